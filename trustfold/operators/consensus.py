@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import math
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -69,6 +70,14 @@ def mean_fill(long: DataFrame, group=D.G) -> DataFrame:
     return long.join(m, list(group)).withColumn("value", F.coalesce("value", "_m")).drop("_m")
 
 
+def fill_missing(long: DataFrame, group=D.G) -> DataFrame:
+    """I4 then I3 in one aggregation: a null takes its group's median (the
+    mean fill that follows in the original only matters for an all-null group,
+    where both are null)."""
+    st = long.groupBy(*group).agg(F.percentile("value", 0.5).alias("_med"), F.avg("value").alias("_m"))
+    return long.join(st, list(group)).withColumn("value", F.coalesce("value", "_med", "_m")).drop("_med", "_m")
+
+
 def detection_frame(chunked: DataFrame, numeric=("value", "k"), categorical=("event_type",), scaler: str | None = None) -> tuple[DataFrame, list[str]]:
     """Encode (numeric, one-hot, label), go long, fill per (chunk, column).
 
@@ -77,10 +86,14 @@ def detection_frame(chunked: DataFrame, numeric=("value", "k"), categorical=("ev
     positive scale (apart from the 1e-9 floors), so the default skips it.
     """
     enc, names = encode_features(chunked, list(numeric), list(categorical))
-    long = mean_fill(median_fill(long_form(enc, names)))
+    long = fill_missing(long_form(enc, names))
     if scaler:
         long = scale_grouped(long, "value", D.G, scaler)
-    return long, names
+    # Every detector reads the long form: write it once to the shared
+    # checkpoint folder, which also cuts the lineage the detectors would
+    # otherwise re-plan eight times.
+    ensure_checkpoint_dir(long.sparkSession)
+    return long.checkpoint(eager=True), names
 
 
 def method_flags(long: DataFrame, p: D.DetectorParams, methods=None, on_error="raise") -> DataFrame:
@@ -147,7 +160,8 @@ def consensus(log: DataFrame, p: D.DetectorParams, numeric=("value", "k"), categ
     chunked = chunk(log, chunk_percent=chunk_percent, max_chunk_rows=max_chunk_rows)
     long, names = detection_frame(chunked, numeric, categorical)
     if mode == "independent":
-        flags = method_flags(long, p, methods)
+        # metrics, best methods and flagged rows all read the flags: write them once.
+        flags = method_flags(long, p, methods).checkpoint(eager=True)
         m = metrics(flags)
         best = best_methods(m)
         flagged = flagged_rows(flags, best)

@@ -256,3 +256,342 @@ def q_vote_topn_split(spark, sf):
     votes = vote_counts(c["misbehaving"], DP, methods=list(D.SQL_CHECKABLE))
     marked, _, _ = top_n_split(c["misbehaving"], votes, P1.intentional_perc)
     return marked.select(ROW_ID, "votes", F.col("Is_Intentional").cast("int").alias("Is_Intentional"))
+
+
+# --------------------------------------------------------------- unsupervised replay, reports
+from trustfold.plans import reports as R  # noqa: E402
+from trustfold.plans.pipeline import unsupervised_sources  # noqa: E402
+
+_UNSUP_CTES = _CONS + ",\n  " + O.vote_ctes(P1) + """,
+  unsup AS (SELECT lg.*, 'normal' AS Dataset_Source FROM lg WHERE row_id IN (SELECT row_id FROM normal)
+            UNION ALL
+            SELECT lg.*, CASE WHEN m.Is_Intentional = 1 THEN 'intentional' ELSE 'unintentional' END
+              FROM lg JOIN marks m USING (row_id))"""
+
+
+def _unsup(spark, sf):
+    return unsupervised_sources(load_log(spark, sf), P1, methods=list(D.SQL_CHECKABLE))
+
+
+@query("final_reputation_unsupervised", _UNSUP_CTES + f""",
+  agg AS (SELECT User_Id, arg_min(User_Reputation, ("Timestamp", row_id)) AS r0,
+                 list(Dataset_Source ORDER BY "Timestamp", row_id) AS srcs FROM unsup GROUP BY User_Id)
+SELECT User_Id, round(r0, 6) AS Original_Reputation, round(list_reduce(srcs, {_fold_sql(P1)}, r0), 6) AS Final_Reputation FROM agg""")
+def q_final_reputation_unsupervised(spark, sf):
+    per_user, _ = replay(_unsup(spark, sf), P1)
+    return per_user.select(USER, r6(F.col("Original_Reputation")).alias("Original_Reputation"), r6(F.col("Final_Reputation")).alias("Final_Reputation"))
+
+
+_SERIES = ["normal_sup", "unintentional_sup", "intentional_sup", "normal_unsup", "unintentional_unsup", "intentional_unsup"]
+
+
+def _rolling_sql(c: str, n: int = 7, non_null: bool = False) -> str:
+    have = f"count({c})" if non_null else "count(*)"
+    return (f"CASE WHEN {have} OVER (ORDER BY Day ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW) = {n} "
+            f"THEN avg({c}) OVER (ORDER BY Day ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW) END")
+
+
+@query("daily_users", _UNSUP_CTES + f""",
+  s AS (SELECT CAST("Timestamp" AS DATE) AS Day, User_Id, Dataset_Source || '_sup' AS series FROM {O.LABELLED} x
+        UNION ALL SELECT CAST("Timestamp" AS DATE), User_Id, Dataset_Source || '_unsup' FROM unsup),
+  p AS (SELECT Day, {", ".join(f"CAST(count(DISTINCT User_Id) FILTER (WHERE series = '{n}') AS BIGINT) AS {n}" for n in _SERIES)}
+          FROM s GROUP BY Day)
+SELECT Day, {", ".join(_SERIES)}, {", ".join(f"round({_rolling_sql(n)}, 6) AS {n}_7d" for n in _SERIES)} FROM p""")
+def q_daily_users(spark, sf):
+    sup = R.with_day(labelled(spark, sf)).select(R.DAY, USER, F.concat(F.col("Dataset_Source"), F.lit("_sup")).alias("series"))
+    uns = R.with_day(_unsup(spark, sf)).select(R.DAY, USER, F.concat(F.col("Dataset_Source"), F.lit("_unsup")).alias("series"))
+    return R.daily_users(sup.unionByName(uns), _SERIES)
+
+
+_CLS = ["Normal", "Unintentional", "Intentional"]
+
+
+@query("daily_majority", f"""WITH l AS (SELECT CAST("Timestamp" AS DATE) AS Day, * FROM {O.LABELLED} x),
+  c AS (SELECT Day, User_Id, True_Class, count(*) AS n FROM l GROUP BY ALL),
+  m AS (SELECT Day, User_Id, arg_min(True_Class, (-n, CASE True_Class WHEN 'Intentional' THEN 0 WHEN 'Unintentional' THEN 1 ELSE 2 END)) AS Category
+          FROM c GROUP BY Day, User_Id),
+  p AS (SELECT Day, {", ".join(f"CAST(count(DISTINCT User_Id) FILTER (WHERE Category = '{c}') AS BIGINT) AS {c}" for c in _CLS)} FROM m GROUP BY Day)
+SELECT Day, {", ".join(_CLS)}, {", ".join(f"round({_rolling_sql(c)}, 6) AS {c}_7d" for c in _CLS)} FROM p""")
+def q_daily_majority(spark, sf):
+    return R.daily_majority(R.with_day(labelled(spark, sf)))
+
+
+_SHARE_SQL = f"""WITH l AS (SELECT CAST("Timestamp" AS DATE) AS Day, * FROM {O.LABELLED} x),
+  p AS (SELECT Day, {", ".join(f"count(*) FILTER (WHERE True_Class = '{c}') AS {c}" for c in _CLS)}, count(*) AS total FROM l GROUP BY Day),
+  s AS (SELECT Day, {", ".join(f"CASE WHEN total = 0 THEN 0.0 ELSE {c} / total * 100.0 END AS {c}" for c in _CLS)} FROM p),
+  r AS (SELECT *, {", ".join(f"{_rolling_sql(c)} AS {c}_7d" for c in _CLS)} FROM s)"""
+
+
+@query("daily_share", _SHARE_SQL + f"""
+SELECT Day, {", ".join(f"round({c}, 6) AS {c}" for c in _CLS)}, {", ".join(f"round({c}_7d, 6) AS {c}_7d" for c in _CLS)} FROM r""")
+def q_daily_share(spark, sf):
+    return R.daily_share(R.with_day(labelled(spark, sf)))
+
+
+@query("daily_share_rolled_twice", _SHARE_SQL + f"""
+SELECT Day, {", ".join(f"round({c}, 6) AS {c}" for c in _CLS)}, {", ".join(f"round({c}_7d, 6) AS {c}_7d" for c in _CLS)},
+       {", ".join(f"round({_rolling_sql(c + '_7d', non_null=True)}, 6) AS {c}_7d2" for c in _CLS)} FROM r""")
+def q_daily_share_rolled_twice(spark, sf):
+    return R.daily_share(R.with_day(labelled(spark, sf)), twice=True)
+
+
+@query("experience_vs_reputation", f"""WITH e AS ({_EXP_SQL}),
+  l AS {O.LABELLED},
+  agg AS (SELECT User_Id, arg_min(User_Reputation, ("Timestamp", row_id)) AS r0,
+                 list(Dataset_Source ORDER BY "Timestamp", row_id) AS srcs FROM l GROUP BY User_Id),
+  f AS (SELECT User_Id, round(list_reduce(srcs, {_fold_sql(P1)}, r0), 6) AS Final_Reputation FROM agg),
+  mx AS (SELECT User_Id, max(User_Experience) AS Max_Experience FROM e GROUP BY User_Id)
+SELECT mx.User_Id, Max_Experience, Final_Reputation FROM mx LEFT JOIN f USING (User_Id)
+ WHERE Max_Experience IS NOT NULL AND Final_Reputation IS NOT NULL""")
+def q_experience_vs_reputation(spark, sf):
+    log = load_log(spark, sf)
+    per_user, _ = replay(labelled(spark, sf), P1)
+    final = per_user.select(USER, r6(F.col("Final_Reputation")).alias("Final_Reputation"))
+    return R.experience_vs_reputation(capped_experience(log), final)
+
+
+@query("stage_comparison", _UNSUP_CTES + f""",
+  l AS {O.LABELLED},
+  a AS (SELECT User_Id, arg_min(User_Reputation, ("Timestamp", row_id)) AS r0,
+               list(Dataset_Source ORDER BY "Timestamp", row_id) AS srcs FROM l GROUP BY User_Id),
+  b AS (SELECT User_Id, arg_min(User_Reputation, ("Timestamp", row_id)) AS r0,
+               list(Dataset_Source ORDER BY "Timestamp", row_id) AS srcs FROM unsup GROUP BY User_Id),
+  o AS (SELECT User_Id, round(median(User_Reputation), 6) AS Original_Reputation FROM lg GROUP BY User_Id)
+SELECT o.User_Id, o.Original_Reputation,
+       round(list_reduce(a.srcs, {_fold_sql(P1)}, a.r0), 6) AS Feedback_Loop_Supervised,
+       round(list_reduce(b.srcs, {_fold_sql(P1)}, b.r0), 6) AS Feedback_Loop_Unsupervised
+  FROM o JOIN a USING (User_Id) JOIN b USING (User_Id)""")
+def q_stage_comparison(spark, sf):
+    log = load_log(spark, sf)
+    orig = log.groupBy(USER).agg(r6(F.median("User_Reputation")).alias("Original_Reputation"))
+    sup, _ = replay(labelled(spark, sf), P1)
+    uns, _ = replay(_unsup(spark, sf), P1)
+    return R.stage_comparison({
+        "Original_Reputation": orig,
+        "Feedback_Loop_Supervised": sup.select(USER, r6(F.col("Final_Reputation")).alias("v")),
+        "Feedback_Loop_Unsupervised": uns.select(USER, r6(F.col("Final_Reputation")).alias("v")),
+    })
+
+
+# --------------------------------------------------------------- imputation, schema, encoding
+from trustfold.operators import encode as E  # noqa: E402
+from trustfold.operators import impute as I  # noqa: E402
+from trustfold.operators import perturb as PT  # noqa: E402
+from trustfold.operators import sampling as S  # noqa: E402
+from trustfold.operators import schema as SC  # noqa: E402
+from trustfold.sources.tables import LOG_BLANK_SQL  # noqa: E402
+
+
+def hu_sql(seed: str, key: str) -> str:
+    """SQL twin of ``scalars.hashed_uniform``."""
+    return (f"(CAST(('0x' || substring(md5(concat_ws('#', '{seed}', CAST({key} AS VARCHAR))), 1, 13)) AS BIGINT)"
+            f" / CAST(4503599627370496 AS DOUBLE))")
+
+
+@query("impute_median_mode", f"""WITH b AS {LOG_BLANK_SQL},
+  st AS (SELECT median(value) AS m,
+                (SELECT event_type FROM b WHERE event_type IS NOT NULL GROUP BY event_type ORDER BY count(*) DESC, event_type LIMIT 1) AS md
+           FROM b)
+SELECT row_id, COALESCE(event_type, md) AS event_type, round(COALESCE(value, m), 6) AS value FROM b, st""")
+def q_impute_median_mode(spark, sf):
+    b = load_log(spark, sf, blank_cells=True)
+    out = I.impute(b, numeric=["value"], categorical=["event_type"])
+    return out.select(ROW_ID, "event_type", r6(F.col("value")).alias("value"))
+
+
+@query("mean_fill", f"""WITH b AS {LOG_BLANK_SQL}
+SELECT row_id, User_Id, round(COALESCE(value, avg(value) OVER (PARTITION BY User_Id)), 6) AS value FROM b""")
+def q_mean_fill(spark, sf):
+    b = load_log(spark, sf, blank_cells=True)
+    return I.mean_fill(b, ["value"], group=[USER]).select(ROW_ID, USER, r6(F.col("value")).alias("value"))
+
+
+@query("column_kinds", f"""SELECT column_name AS "column",
+       CASE WHEN column_type IN ('BIGINT', 'INTEGER', 'DOUBLE', 'FLOAT', 'SMALLINT', 'TINYINT') OR column_type LIKE 'DECIMAL%' THEN 'numerical'
+            WHEN column_type = 'VARCHAR' THEN 'categorical' ELSE 'unknown' END AS kind
+  FROM (DESCRIBE SELECT * FROM {LOG_SQL} t) d WHERE column_name <> 'User_Reputation'""")
+def q_column_kinds(spark, sf):
+    return SC.column_kinds_frame(spark, load_log(spark, sf), target="User_Reputation")
+
+
+@query("target_check", f"""SELECT count(*) AS n_rows, count(*) FILTER (WHERE User_Reputation IS NULL) AS n_null,
+       count(DISTINCT User_Reputation) AS n_distinct, COALESCE(bool_and(User_Reputation = floor(User_Reputation)), TRUE) AS all_whole
+  FROM {LOG_SQL} t""")
+def q_target_check(spark, sf):
+    return SC.target_check_frame(load_log(spark, sf), "User_Reputation")
+
+
+@query("cardinality_split", """SELECT 'c_mktsegment' AS "column", count(DISTINCT c_mktsegment) AS n_distinct,
+       CASE WHEN count(DISTINCT c_mktsegment) <= 15 THEN 'onehot' ELSE 'label' END AS encoding FROM customer
+UNION ALL SELECT 'c_name', count(DISTINCT c_name), CASE WHEN count(DISTINCT c_name) <= 15 THEN 'onehot' ELSE 'label' END FROM customer""")
+def q_cardinality_split(spark, sf):
+    cust = read_table(spark, sf, "customer")
+    cols = ["c_mktsegment", "c_name"]
+    counts = E.distinct_counts(cust, cols)
+    long = counts.unpivot([], cols, "column", "n_distinct")
+    return long.withColumn("encoding", F.when(F.col("n_distinct") <= E.ONEHOT_LIMIT, "onehot").otherwise("label"))
+
+
+@query("onehot", """SELECT l_orderkey, l_linenumber,
+       CAST(l_returnflag = 'A' AS DOUBLE) AS l_returnflag_A, CAST(l_returnflag = 'N' AS DOUBLE) AS l_returnflag_N,
+       CAST(l_returnflag = 'R' AS DOUBLE) AS l_returnflag_R, CAST(l_linestatus = 'O' AS DOUBLE) AS l_linestatus_O
+  FROM lineitem""")
+def q_onehot(spark, sf):
+    li = read_table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", "l_linestatus")
+    out = E.onehot(li, "l_returnflag")
+    return E.onehot(out, "l_linestatus", drop_first=True)  # E9: dummy coding drops the first level
+
+
+@query("label_encode", """SELECT o_orderkey,
+       CAST(dense_rank() OVER (ORDER BY o_orderpriority) - 1 AS BIGINT) AS o_orderpriority,
+       CAST(dense_rank() OVER (ORDER BY o_orderstatus) - 1 AS BIGINT) AS o_orderstatus FROM orders""")
+def q_label_encode(spark, sf):
+    o = read_table(spark, sf, "orders").select("o_orderkey", "o_orderpriority", "o_orderstatus")
+    return E.label_encode(E.label_encode(o, "o_orderpriority"), "o_orderstatus")
+
+
+_SCALE_COLS = ["l_quantity", "l_extendedprice", "l_discount"]
+
+
+@query("standard_scale", "SELECT l_orderkey, l_linenumber, " + ", ".join(
+    f"round(COALESCE((l.{c} - s.a_{c}) / CASE WHEN s.b_{c} <> 0 THEN s.b_{c} END, {O.d(0.0)}), 6) AS {c}" for c in _SCALE_COLS)
+    + " FROM lineitem l, (SELECT " + ", ".join(f"avg({c}) AS a_{c}, stddev_pop({c}) AS b_{c}" for c in _SCALE_COLS) + " FROM lineitem) s")
+def q_standard_scale(spark, sf):
+    li = read_table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", *_SCALE_COLS)
+    out = E.fit_scaler(li, _SCALE_COLS, "standard").transform(li)
+    return out.select("l_orderkey", "l_linenumber", *[r6(F.col(c)).alias(c) for c in _SCALE_COLS])
+
+
+@query("minmax_scale", "SELECT l_orderkey, l_linenumber, " + ", ".join(
+    f"round(COALESCE((l.{c} - s.a_{c}) / CASE WHEN s.b_{c} - s.a_{c} <> 0 THEN s.b_{c} - s.a_{c} END, {O.d(0.0)}), 6) AS {c}" for c in _SCALE_COLS)
+    + " FROM lineitem l, (SELECT " + ", ".join(f"min({c}) AS a_{c}, max({c}) AS b_{c}" for c in _SCALE_COLS) + " FROM lineitem) s")
+def q_minmax_scale(spark, sf):
+    li = read_table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", *_SCALE_COLS)
+    out = E.fit_scaler(li, _SCALE_COLS, "minmax").transform(li)
+    return out.select("l_orderkey", "l_linenumber", *[r6(F.col(c)).alias(c) for c in _SCALE_COLS])
+
+
+# --------------------------------------------------------------- sampling, perturbation
+@query("seeded_sample", f"SELECT row_id, User_Id FROM {LOG_SQL} t ORDER BY {seeded_order_sql()} LIMIT {P1.ground_sample_size}")
+def q_seeded_sample(spark, sf):
+    return S.seeded_sample(load_log(spark, sf), P1.ground_sample_size).select(ROW_ID, USER)
+
+
+def _sets_sql(src: str, p) -> str:
+    return f"""(SELECT *, CASE WHEN _rk < _b THEN 'both' WHEN _rk < _b + _a THEN 'A' WHEN _rk < _b + _a + _u THEN 'B' END AS sample_set
+   FROM (SELECT *, CAST(floor(_c * {O.d(p.overlap_perc)}) AS BIGINT) AS _b,
+                CAST(floor(_c * {O.d(p.intentional_perc)}) AS BIGINT) - CAST(floor(_c * {O.d(p.overlap_perc)}) AS BIGINT) AS _a,
+                CAST(floor(_c * {O.d(p.unintentional_perc)}) AS BIGINT) - CAST(floor(_c * {O.d(p.overlap_perc)}) AS BIGINT) AS _u
+           FROM (SELECT *, row_number() OVER (ORDER BY {seeded_order_sql()}) - 1 AS _rk, count(*) OVER () AS _c FROM {src} s0) s1) s2)"""
+
+
+@query("disjoint_samples", f"SELECT row_id, sample_set FROM {_sets_sql(LOG_SQL, P2)} d")
+def q_disjoint_samples(spark, sf):
+    return S.disjoint_samples(load_log(spark, sf), P2.overlap_perc, P2.intentional_perc, P2.unintentional_perc).select(ROW_ID, "sample_set")
+
+
+# Fixed values of the events mapping: what an injected outlier writes.
+#   intentional: event_type becomes 'error';
+#   unintentional: value becomes 150 + 350u, or k becomes floor(3u).
+def _gens():
+    from trustfold.functions.scalars import hashed_uniform
+
+    return ({"event_type": F.lit("error")},
+            {"value": F.lit(150.0) + F.lit(350.0) * hashed_uniform("42:v", F.col(ROW_ID)),
+             "k": F.floor(F.lit(3.0) * hashed_uniform("42:k", F.col(ROW_ID)))})
+
+
+@query("inject_outliers", f"""WITH s AS {_sets_sql(LOG_SQL, P2)},
+  p AS (SELECT *, CAST(floor({hu_sql('42:ci', 'row_id')} * 1) AS INTEGER) AS pi,
+                  CAST(floor({hu_sql('42:cu', 'row_id')} * 2) AS INTEGER) AS pu FROM s)
+SELECT row_id, sample_set,
+       CASE WHEN sample_set IN ('both', 'A') AND pi = 0 THEN 'error' ELSE event_type END AS event_type,
+       round(CASE WHEN sample_set IN ('both', 'B') AND pu = 0 THEN {O.d(150.0)} + {O.d(350.0)} * {hu_sql('42:v', 'row_id')} ELSE value END, 6) AS value,
+       CASE WHEN sample_set IN ('both', 'B') AND pu = 1 THEN CAST(floor({O.d(3.0)} * {hu_sql('42:k', 'row_id')}) AS BIGINT) ELSE k END AS k
+  FROM p""")
+def q_inject_outliers(spark, sf):
+    gi, gu = _gens()
+    out = PT.inject_outliers(load_log(spark, sf), gi, gu, P2.intentional_perc, P2.unintentional_perc, P2.overlap_perc)
+    return out.select(ROW_ID, "sample_set", "event_type", r6(F.col("value")).alias("value"), "k")
+
+
+_NULL_COLS = ["value", "k", "event_type"]
+
+
+@query("inject_nulls", f"""WITH l AS (SELECT *, row_number() OVER (ORDER BY row_id) - 1 AS _pos FROM {LOG_SQL} t),
+  n AS (SELECT CAST(floor(count(*) * 3 * {O.d(0.15)}) AS BIGINT) AS nd, count(*) AS nr FROM l),
+  d AS (SELECT CAST(floor({hu_sql('42:r', 'id')} * nr) AS BIGINT) AS _pos, CAST(floor({hu_sql('42:c', 'id')} * 3) AS INTEGER) AS c
+          FROM (SELECT range AS id, nr FROM n, range(nd)) r),
+  g AS (SELECT _pos, list(DISTINCT c) AS cs FROM d GROUP BY _pos)
+SELECT row_id,
+       round(CASE WHEN COALESCE(list_contains(cs, 0), FALSE) THEN NULL ELSE value END, 6) AS value,
+       CASE WHEN COALESCE(list_contains(cs, 1), FALSE) THEN NULL ELSE k END AS k,
+       CASE WHEN COALESCE(list_contains(cs, 2), FALSE) THEN NULL ELSE event_type END AS event_type
+  FROM l LEFT JOIN g USING (_pos)""")
+def q_inject_nulls(spark, sf):
+    out = PT.inject_nulls(load_log(spark, sf), _NULL_COLS, 0.15)
+    return out.select(ROW_ID, r6(F.col("value")).alias("value"), "k", "event_type")
+
+
+# Road types and their draw weights in the original simulator.
+ROAD_TYPES = ["1way", "2way", "4way"]
+ROAD_WEIGHTS = [0.3, 0.5, 0.2]
+
+
+@query("weighted_draw", f"""SELECT row_id, CASE WHEN {hu_sql('road', 'row_id')} < {O.d(0.3)} THEN '1way'
+                          WHEN {hu_sql('road', 'row_id')} < {O.d(0.3 + 0.5)} THEN '2way' ELSE '4way' END AS road_type
+  FROM {LOG_SQL} t""")
+def q_weighted_draw(spark, sf):
+    from trustfold.functions.scalars import hashed_uniform
+
+    log = load_log(spark, sf)
+    return log.select(ROW_ID, PT.weighted_draw(hashed_uniform("road", F.col(ROW_ID)), ROAD_TYPES, ROAD_WEIGHTS).alias("road_type"))
+
+
+def _geo_base(df):
+    return df.select(ROW_ID, (F.lit(37.0) + (F.col(USER) % 600).cast("double") / F.lit(100.0)).alias("lat"),
+                     (F.lit(17.0) + (F.col(ROW_ID) % 700).cast("double") / F.lit(100.0)).alias("lon"))
+
+
+@query("geo_offset", f"""WITH b AS (SELECT row_id, {O.d(37.0)} + CAST(User_Id % 600 AS DOUBLE) / {O.d(100.0)} AS lat,
+                           {O.d(17.0)} + CAST(row_id % 700 AS DOUBLE) / {O.d(100.0)} AS lon FROM {LOG_SQL} t),
+  p AS (SELECT row_id, radians(lat) AS p1, radians(lon) AS l1, {hu_sql('geo:d', 'row_id')} * {O.d(200.0)} / {O.d(PT.EARTH_RADIUS_M)} AS dl,
+               {hu_sql('geo:b', 'row_id')} * {O.d(2 * 3.141592653589793)} AS br FROM b),
+  q AS (SELECT *, asin(sin(p1) * cos(dl) + cos(p1) * sin(dl) * cos(br)) AS p2 FROM p)
+SELECT row_id, round(degrees(p2), 6) AS lat, round(degrees(l1 + atan2(sin(br) * sin(dl) * cos(p1), cos(dl) - sin(p1) * sin(p2))), 6) AS lon FROM q""")
+def q_geo_offset(spark, sf):
+    out = PT.jitter_location(_geo_base(load_log(spark, sf)), "lat", "lon", 200.0, seed="geo")
+    return out.select(ROW_ID, r6(F.col("lat")).alias("lat"), r6(F.col("lon")).alias("lon"))
+
+
+# --------------------------------------------------------------- streaming T1-T3
+@query("stream_reputation", _TRACE_SQL + f"""
+SELECT row_id, User_Id, "Timestamp", Dataset_Source, round(list_reduce(srcs, {_fold_sql(P1)}, r0), 6) AS new_reputation,
+       FALSE AS late FROM w""")
+def q_stream_reputation(spark, sf):
+    """Replay the labelled events as a file stream (one ``availableNow`` run); must equal the batch trace."""
+    from trustfold.functions.rules import EVENT_RULES
+    from trustfold.sources.tables import behaviour_log
+    from trustfold.streaming.replay import reputation_stream, run_available
+
+    events = read_table(spark, sf, "events")
+    src = spark.readStream.schema(events.schema).parquet(f"{sf.rstrip('/')}/events.parquet")
+    log = behaviour_log(src).withColumn("True_Class", EVENT_RULES.class_expr()).withColumn("Dataset_Source", source_from_class())
+    out = run_available(spark, reputation_stream(log, P1))
+    res = spark.read.parquet(out)
+    return res.select(ROW_ID, USER, TS, "Dataset_Source", r6(F.col("new_reputation")).alias("new_reputation"), "late")
+
+
+# --------------------------------------------------------------- model-based detectors (rows-only)
+@query("iforest")
+def q_iforest(spark, sf):
+    from trustfold.operators.learned import iforest
+
+    return iforest(_long(spark, sf), DP)
+
+
+@query("ocsvm")
+def q_ocsvm(spark, sf):
+    from trustfold.operators.learned import ocsvm
+
+    return ocsvm(_long(spark, sf), DP)

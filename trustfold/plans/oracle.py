@@ -115,7 +115,7 @@ def loda(src: str, c: float, choices=LODA_BIN_CHOICES) -> str:
        kb AS (SELECT x.*, ks.k, {_binned('x', 'ks.k')} AS b FROM x CROSS JOIN (VALUES {ks}) ks(k)),
        cnt AS (SELECT chunk_id, "column", k, b, count(*) AS nb, any_value(n) AS n FROM kb GROUP BY ALL),
        crit AS (SELECT chunk_id, "column", k, sum(nb * ln(k * nb / n)) - (k - 1 + pow(ln(k), {d(2.5)})) AS crit
-                  FROM cnt GROUP BY ALL),
+                  FROM cnt GROUP BY chunk_id, "column", k),
        best AS (SELECT chunk_id, "column", arg_min(k, (-crit, k)) AS k FROM crit GROUP BY ALL)
   SELECT kb.chunk_id, kb.row_id, kb."column", -ln(cnt.nb / cnt.n) AS score
     FROM kb JOIN best USING (chunk_id, "column", k) JOIN cnt USING (chunk_id, "column", k, b))"""
