@@ -292,8 +292,8 @@ def _rolling_sql(c: str, n: int = 7, non_null: bool = False) -> str:
 
 
 @query("daily_users", _UNSUP_CTES + f""",
-  s AS (SELECT CAST("Timestamp" AS DATE) AS Day, User_Id, Dataset_Source || '_sup' AS series FROM {O.LABELLED} x
-        UNION ALL SELECT CAST("Timestamp" AS DATE), User_Id, Dataset_Source || '_unsup' FROM unsup),
+  s AS (SELECT date_trunc('day', "Timestamp") AS Day, User_Id, Dataset_Source || '_sup' AS series FROM {O.LABELLED} x
+        UNION ALL SELECT date_trunc('day', "Timestamp"), User_Id, Dataset_Source || '_unsup' FROM unsup),
   p AS (SELECT Day, {", ".join(f"CAST(count(DISTINCT User_Id) FILTER (WHERE series = '{n}') AS BIGINT) AS {n}" for n in _SERIES)}
           FROM s GROUP BY Day)
 SELECT Day, {", ".join(_SERIES)}, {", ".join(f"round({_rolling_sql(n)}, 6) AS {n}_7d" for n in _SERIES)} FROM p""")
@@ -306,7 +306,7 @@ def q_daily_users(spark, sf):
 _CLS = ["Normal", "Unintentional", "Intentional"]
 
 
-@query("daily_majority", f"""WITH l AS (SELECT CAST("Timestamp" AS DATE) AS Day, * FROM {O.LABELLED} x),
+@query("daily_majority", f"""WITH l AS (SELECT date_trunc('day', "Timestamp") AS Day, * FROM {O.LABELLED} x),
   c AS (SELECT Day, User_Id, True_Class, count(*) AS n FROM l GROUP BY ALL),
   m AS (SELECT Day, User_Id, arg_min(True_Class, (-n, CASE True_Class WHEN 'Intentional' THEN 0 WHEN 'Unintentional' THEN 1 ELSE 2 END)) AS Category
           FROM c GROUP BY Day, User_Id),
@@ -316,7 +316,7 @@ def q_daily_majority(spark, sf):
     return R.daily_majority(R.with_day(labelled(spark, sf)))
 
 
-_SHARE_SQL = f"""WITH l AS (SELECT CAST("Timestamp" AS DATE) AS Day, * FROM {O.LABELLED} x),
+_SHARE_SQL = f"""WITH l AS (SELECT date_trunc('day', "Timestamp") AS Day, * FROM {O.LABELLED} x),
   p AS (SELECT Day, {", ".join(f"count(*) FILTER (WHERE True_Class = '{c}') AS {c}" for c in _CLS)}, count(*) AS total FROM l GROUP BY Day),
   s AS (SELECT Day, {", ".join(f"CASE WHEN total = 0 THEN 0.0 ELSE {c} / total * 100.0 END AS {c}" for c in _CLS)} FROM p),
   r AS (SELECT *, {", ".join(f"{_rolling_sql(c)} AS {c}_7d" for c in _CLS)} FROM s)"""
@@ -595,3 +595,54 @@ def q_ocsvm(spark, sf):
     from trustfold.operators.learned import ocsvm
 
     return ocsvm(_long(spark, sf), DP)
+
+
+# --------------------------------------------------------------- model jobs M1-M8 (rows-only)
+_MODEL_FEATURES = ["User_Experience", "value", "k"]
+
+
+def _scored(spark, sf, engine="B", budget=2):
+    from trustfold.plans.models import train_and_score
+
+    log = capped_experience(load_log(spark, sf))
+    return train_and_score(log, _MODEL_FEATURES, "User_Reputation", P1.automl_sample_size, engine=engine, budget=budget)
+
+
+@query("predicted_median_by_user")
+def q_predicted_median_by_user(spark, sf):
+    from trustfold.plans.models import predicted_median_by_user
+
+    _, scored = _scored(spark, sf)
+    return predicted_median_by_user(scored)
+
+
+@query("model_r2")
+def q_model_r2(spark, sf):
+    from trustfold.plans.models import r2_sql_frame
+
+    res, scored = _scored(spark, sf)
+    return r2_sql_frame(scored).select("r2", F.lit(res.in_sample).alias("in_sample_r2"), F.lit(res.holdout).alias("holdout_r2"),
+                                      F.lit(res.best).alias("best_model"), F.lit(res.task).alias("task"))
+
+
+@query("model_scores")
+def q_model_scores(spark, sf):
+    from trustfold.plans.models import ledger_row, train_and_score
+
+    log = capped_experience(load_log(spark, sf))
+    sup = labelled(spark, sf).select(ROW_ID, "Dataset_Source")
+    runs = {"raw": log, "supervised": log.join(sup, ROW_ID).where(F.col("Dataset_Source") == "normal")}
+    rows = None
+    for run_type, df in runs.items():
+        for engine in ("A", "B"):
+            res, _ = train_and_score(df, _MODEL_FEATURES, "User_Reputation", P1.automl_sample_size, engine=engine, budget=1)
+            r = ledger_row(spark, f"{run_type}_{engine}", res).withColumn("run_type", F.lit(run_type))
+            rows = r if rows is None else rows.unionByName(r)
+    return R.best_scores(rows, ["raw", "unsupervised", "supervised"])
+
+
+@query("consensus_sequential")
+def q_consensus_sequential(spark, sf):
+    """G5 as coded: rows removed on one column are gone before the next column (checkpointed loop)."""
+    c = C.consensus(load_log(spark, sf), DP, methods=list(D.SQL_CHECKABLE), mode="sequential")
+    return c["best"].select("chunk_id", "column", "method", "outliers_removed", "original_size")

@@ -18,8 +18,8 @@ PRIORITY = [INTENTIONAL, UNINTENTIONAL, NORMAL]
 
 
 def with_day(df: DataFrame, ts: str = TS) -> DataFrame:
-    """S3."""
-    return df.withColumn(DAY, F.to_date(F.col(ts)))
+    """S3: the day as a timestamp truncated to midnight (keeps TIMESTAMP_NTZ)."""
+    return df.withColumn(DAY, F.date_trunc("day", F.col(ts)))
 
 
 def rolling_mean(c: str, n: int = 7, require_non_null: bool = False) -> Column:
