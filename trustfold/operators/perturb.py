@@ -46,7 +46,8 @@ def jitter_location(df: DataFrame, lat: str, lon: str, max_m: float = 200.0, key
     d = hashed_uniform(seed + ":d", F.col(key)) * F.lit(max_m)
     b = hashed_uniform(seed + ":b", F.col(key)) * F.lit(2 * math.pi)
     la, lo = destination(F.col(lat), F.col(lon), d, b)
-    return df.withColumn(lat, la).withColumn(lon, lo)
+    # both from the original point, in one projection
+    return df.select(*[la.alias(c) if c == lat else lo.alias(c) if c == lon else F.col(c) for c in df.columns])
 
 
 def inject_outliers(df: DataFrame, intentional: dict, unintentional: dict, i_perc: float, u_perc: float, overlap: float,

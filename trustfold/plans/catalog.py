@@ -525,12 +525,12 @@ _NULL_COLS = ["value", "k", "event_type"]
   g AS (SELECT _pos, list(DISTINCT c) AS cs FROM d GROUP BY _pos)
 SELECT row_id,
        round(CASE WHEN COALESCE(list_contains(cs, 0), FALSE) THEN NULL ELSE value END, 6) AS value,
-       CASE WHEN COALESCE(list_contains(cs, 1), FALSE) THEN NULL ELSE k END AS k,
+       CAST(CASE WHEN COALESCE(list_contains(cs, 1), FALSE) THEN NULL ELSE k END AS DOUBLE) AS k,
        CASE WHEN COALESCE(list_contains(cs, 2), FALSE) THEN NULL ELSE event_type END AS event_type
   FROM l LEFT JOIN g USING (_pos)""")
 def q_inject_nulls(spark, sf):
     out = PT.inject_nulls(load_log(spark, sf), _NULL_COLS, 0.15)
-    return out.select(ROW_ID, r6(F.col("value")).alias("value"), "k", "event_type")
+    return out.select(ROW_ID, r6(F.col("value")).alias("value"), F.col("k").cast("double").alias("k"), "event_type")
 
 
 # Road types and their draw weights in the original simulator.
@@ -575,7 +575,8 @@ def q_stream_reputation(spark, sf):
     from trustfold.streaming.replay import reputation_stream, run_available
 
     events = read_table(spark, sf, "events")
-    src = spark.readStream.schema(events.schema).parquet(f"{sf.rstrip('/')}/events.parquet")
+    src = (spark.readStream.schema(events.schema).option("pathGlobFilter", "events.parquet")
+           .option("maxFilesPerTrigger", 1).parquet(sf.rstrip("/")))
     log = behaviour_log(src).withColumn("True_Class", EVENT_RULES.class_expr()).withColumn("Dataset_Source", source_from_class())
     out = run_available(spark, reputation_stream(log, P1))
     res = spark.read.parquet(out)

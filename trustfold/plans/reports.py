@@ -70,9 +70,9 @@ def daily_share(labelled: DataFrame, category: str = "True_Class", twice: bool =
     """Per-day share of submissions per class (sums to 100), 7-row mean; W6 rolls it again."""
     counts = labelled.groupBy(DAY, F.col(category).alias("Category")).agg(F.count(F.lit(1)).alias("_n"))
     wide = _pivot(counts, "Category", CLASSES, F.sum("_n"))
-    total = sum((F.col(c) for c in CLASSES), F.lit(0))
-    for c in CLASSES:
-        wide = wide.withColumn(c, F.when(total == 0, F.lit(0.0)).otherwise(F.col(c) / total * 100.0))
+    wide = wide.withColumn("_total", sum((F.col(c) for c in CLASSES), F.lit(0)))
+    total = F.col("_total")
+    wide = wide.select(DAY, *[F.when(total == 0, F.lit(0.0)).otherwise(F.col(c) / total * 100.0).alias(c) for c in CLASSES])
     out = wide.select(DAY, *CLASSES, *[rolling_mean(c).alias(f"{c}_7d") for c in CLASSES])
     if twice:
         out = out.select(DAY, *CLASSES, *[F.col(f"{c}_7d") for c in CLASSES],
