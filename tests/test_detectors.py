@@ -19,12 +19,13 @@ def test_knn_matches_brute_force(spark):
 
 
 def test_zscore_iqr_mad_flag_the_far_point(spark):
-    vals = [1, 2, 2, 3, 3, 3, 4, 4, 5, 100]
+    # with n points a population z-score is at most (n-1)/sqrt(n): use 31 points
+    vals = [1, 2, 2, 3, 3, 3, 4, 4, 5, 6] * 3 + [100]
     long = _long(spark, vals)
     p = D.DetectorParams(contamination=0.1, threshold=3.0)
     for fn in (D.zscore, D.iqr, D.mad):
         flagged = {r["row_id"] for r in fn(long, p).where("is_outlier").collect()}
-        assert 9 in flagged, fn.__name__
+        assert 30 in flagged, fn.__name__
 
 
 def test_contamination_share_bounded(spark):
@@ -33,7 +34,7 @@ def test_contamination_share_bounded(spark):
     p = D.DetectorParams(contamination=0.05, threshold=3.0)
     for name in ("HBOS", "KNN", "LODA"):
         share = D.REGISTRY[name](long, p).agg(F.avg(F.col("is_outlier").cast("double"))).first()[0]
-        assert share <= 0.05 + 1e-9, name
+        assert share <= 0.05 + 1.0 / 400 + 1e-9, name
 
 
 def test_learned_detectors_flag_at_most_contamination(spark):
@@ -45,6 +46,7 @@ def test_learned_detectors_flag_at_most_contamination(spark):
         out = D.REGISTRY[name](long, p)
         assert out.count() == len(vals)
         share = out.agg(F.avg(F.col("is_outlier").cast("double"))).first()[0]
-        assert share <= 0.02 + 1e-9, name
+        # strictly above a linearly interpolated percentile: at most c*n plus one row
+        assert share <= 0.02 + 1.0 / len(vals) + 1e-9, name
     flagged = {r["row_id"] for r in D.REGISTRY["IForest"](long, p).where("is_outlier").collect()}
     assert {300, 301} <= flagged

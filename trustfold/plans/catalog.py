@@ -647,3 +647,19 @@ def q_consensus_sequential(spark, sf):
     """G5 as coded: rows removed on one column are gone before the next column (checkpointed loop)."""
     c = C.consensus(load_log(spark, sf), DP, methods=list(D.SQL_CHECKABLE), mode="sequential")
     return c["best"].select("chunk_id", "column", "method", "outliers_removed", "original_size")
+
+
+# --------------------------------------------------------------- sources and sinks A1-A4
+@query("csv_roundtrip", f"""SELECT row_id, User_Id, "Timestamp", event_type, value FROM {LOG_SQL} t""")
+def q_csv_roundtrip(spark, sf):
+    """Write the log as time-sorted CSV under the shared checkpoint folder, read it back (A1-A3)."""
+    import uuid
+
+    from trustfold.session import ensure_checkpoint_dir
+    from trustfold.sources.io import export, load_csv
+
+    log = load_log(spark, sf).select(ROW_ID, USER, TS, "event_type", "value")
+    base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/csv-{uuid.uuid4().hex}"
+    export(log, f"{base}/behaviour_log.csv", fmt="csv")
+    schema = "row_id long, User_Id long, Timestamp timestamp_ntz, event_type string, value double"
+    return load_csv(spark, base, "behaviour_log", schema=schema)

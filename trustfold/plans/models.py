@@ -116,7 +116,8 @@ def predicted_median_by_user(scored: DataFrame, name: str = "Predicted_Final_Rep
 
 def ledger_row(spark, prefix: str, res: FitResult, path: str | None = None) -> DataFrame:
     """One result row; appended to ``path`` when given."""
-    row = spark.createDataFrame([(prefix, res.engine, res.best, res.task, float(res.in_sample), res.holdout)],
+    holdout = None if res.holdout is None else float(res.holdout)
+    row = spark.createDataFrame([(prefix, res.engine, res.best, res.task, float(res.in_sample), holdout)],
                                 "prefix string, engine string, pipeline string, task string, score double, holdout double")
     if path:
         row.write.mode("append").parquet(path)
