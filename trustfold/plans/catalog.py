@@ -636,7 +636,8 @@ def q_model_scores(spark, sf):
     rows = None
     for run_type, df in runs.items():
         for engine in ("A", "B"):
-            res, _ = train_and_score(df, _MODEL_FEATURES, "User_Reputation", P1.automl_sample_size, engine=engine, budget=1)
+            res, _ = train_and_score(df, _MODEL_FEATURES, "User_Reputation", P1.automl_sample_size, engine=engine, budget=1,
+                                     parallelism=8)
             r = ledger_row(spark, f"{run_type}_{engine}", res).withColumn("run_type", F.lit(run_type))
             rows = r if rows is None else rows.unionByName(r)
     return R.best_scores(rows, ["raw", "unsupervised", "supervised"])

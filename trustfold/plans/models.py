@@ -101,10 +101,11 @@ def search(df: DataFrame, features, target: str, engine: str = "A", budget: int
     return FitResult(best_model, engine, task, in_sample, best_score, best_name)
 
 
-def train_and_score(df: DataFrame, features, target: str, sample_size: int, engine: str = "A", budget: int = 4) -> tuple[FitResult, DataFrame]:
-    """M4 / M5: fit on an exact seeded sample, score every row (row count checked)."""
-    sample = seeded_sample(df, sample_size)
-    res = search(sample, features, target, engine, budget)
+def train_and_score(df: DataFrame, features, target: str, sample_size: int, engine: str = "A", budget: int = 4,
+                    parallelism: int = 2) -> tuple[FitResult, DataFrame]:
+    """M4 / M5: fit on an exact seeded sample, score every row."""
+    sample = seeded_sample(df, sample_size).cache()
+    res = search(sample, features, target, engine, budget, parallelism)
     scored = res.model.transform(_prepare(df, features, target))
     return res, scored
 

@@ -14,6 +14,9 @@ from pyspark.sql import types as T
 
 from trustfold.sources.tables import ROW_ID, TS
 
+# Full microsecond precision (Spark's CSV default keeps milliseconds only).
+TS_FORMAT = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
+
 
 def _path_exists(spark: SparkSession, path: str) -> bool:
     jvm = spark.sparkContext._jvm
@@ -30,7 +33,8 @@ def load_csv(spark: SparkSession, folder: str, file: str, sep: str = ",", schema
     path = f"{folder.rstrip('/')}/{name}"
     if not _path_exists(spark, path):
         raise FileNotFoundError(path)
-    reader = spark.read.option("header", True).option("sep", sep).option("nullValue", "None").option("mode", "PERMISSIVE")
+    reader = (spark.read.option("header", True).option("sep", sep).option("nullValue", "None").option("mode", "PERMISSIVE")
+              .option("timestampNTZFormat", TS_FORMAT).option("timestampFormat", TS_FORMAT))
     reader = reader.schema(schema) if schema is not None else reader.option("inferSchema", True)
     df = reader.csv(path)
     exprs = []
@@ -55,7 +59,7 @@ def export(df: DataFrame, path: str, fmt: str = "csv", append: bool = False, sep
     if partition_by:
         w = w.partitionBy(partition_by)
     if fmt == "csv":
-        w.option("header", True).option("sep", sep).csv(path)
+        w.option("header", True).option("sep", sep).option("timestampNTZFormat", TS_FORMAT).option("timestampFormat", TS_FORMAT).csv(path)
     else:
         w.format(fmt).save(path)
 
