@@ -24,9 +24,10 @@ def main():
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
     from trustfold.plans.catalog import QUERIES
-    from trustfold.session import local_session
+    from trustfold.session import local_session, ship_package
 
     spark = local_session(cpus, int(cpus) if cpus.isdigit() else 8, app="trustfold-bench")
+    ship_package(spark)
     names = [n for n in (sys.argv[1:] or HEADLINE) if n in QUERIES]
     # warm-up: JVM, Python workers and codegen caches, not timed
     QUERIES["label_events"](spark, sf_dir).write.format("noop").mode("overwrite").save()

@@ -55,3 +55,27 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+
+
+_SHIPPED: set = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``trustfold`` importable in Python workers (grouped-map and
+    mapInPandas functions are pickled by module reference).
+
+    The package is zipped once per driver process and added with
+    ``addPyFile``; Spark distributes it to every executor.  On a cluster
+    submitted with ``--py-files`` this is a harmless repeat.
+    """
+    sc = spark.sparkContext
+    key = sc.applicationId
+    if key in _SHIPPED:
+        return
+    import shutil
+
+    pkg_root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    out = tempfile.mkdtemp(prefix="trustfold-pkg-")
+    archive = shutil.make_archive(os.path.join(out, "trustfold"), "zip", root_dir=pkg_root, base_dir="trustfold")
+    sc.addPyFile(archive)
+    _SHIPPED.add(key)
