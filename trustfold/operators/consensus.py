@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from trustfold.operators import detectors as D
 from trustfold.operators.encode import encode_features, scale_grouped
 from trustfold.plans.ordered import global_row_number
-from trustfold.session import ensure_checkpoint_dir
+from trustfold.session import checkpoint_partitioned, ensure_checkpoint_dir
 from trustfold.sources.tables import ROW_ID, TS
 
 # At most this many rows per chunk: keeps every (chunk, column) group small
@@ -90,10 +90,10 @@ def detection_frame(chunked: DataFrame, numeric=("value", "k"), categorical=("ev
     if scaler:
         long = scale_grouped(long, "value", D.G, scaler)
     # Every detector reads the long form: write it once to the shared
-    # checkpoint folder, which also cuts the lineage the detectors would
-    # otherwise re-plan eight times.
-    ensure_checkpoint_dir(long.sparkSession)
-    return long.checkpoint(eager=True), names
+    # checkpoint folder, hash-partitioned on (chunk_id, column).  That cuts
+    # the lineage the detectors would otherwise re-plan eight times, and the
+    # remembered partitioning lets all their group windows skip the exchange.
+    return checkpoint_partitioned(long, D.G), names
 
 
 def method_flags(long: DataFrame, p: D.DetectorParams, methods=None, on_error="raise") -> DataFrame:

@@ -47,42 +47,49 @@ def _pct(c: Column, q, p: DetectorParams) -> Column:
     return F.percentile_approx(c, q, 10000)
 
 
-def _attach(long: DataFrame, stats: DataFrame) -> DataFrame:
-    return long.join(stats, G)
+def _grp(*extra) -> Window:
+    """Whole-group window.  The long form is hash-partitioned on (chunk_id,
+    column) before it is checkpointed, so these windows need no exchange, and
+    a group is bounded by the chunking rule."""
+    return Window.partitionBy(*G, *extra)
 
 
 def contamination_flags(scored: DataFrame, p: DetectorParams, score: str = "score") -> DataFrame:
     """Flag rows whose score is above the (1 - c) linear percentile of their group."""
-    thr = scored.groupBy(*G).agg(_pct(F.col(score), 1.0 - p.contamination, p).alias("_thr"))
-    out = _attach(scored, thr).withColumn("is_outlier", F.coalesce(F.col(score) > F.col("_thr"), F.lit(False)))
+    thr = _pct(F.col(score), 1.0 - p.contamination, p).over(_grp())
+    out = scored.withColumn("_thr", thr).withColumn("is_outlier", F.coalesce(F.col(score) > F.col("_thr"), F.lit(False)))
     return out.select(*KEYS, "is_outlier")
 
 
 def zscore(long: DataFrame, p: DetectorParams) -> DataFrame:
     """|x - mean| / std_pop > t; a zero std becomes 1e-9."""
-    st = long.groupBy(*G).agg(F.avg("value").alias("_m"), F.stddev_pop("value").alias("_sd"))
-    sd = F.when(F.col("_sd") == 0, F.lit(FLOOR)).otherwise(F.col("_sd"))
-    j = _attach(long, st).withColumn("is_outlier", F.abs((F.col("value") - F.col("_m")) / sd) > F.lit(p.threshold))
-    return j.select(*KEYS, "is_outlier")
+    sd = F.stddev_pop("value").over(_grp())
+    sd = F.when(sd == 0, F.lit(FLOOR)).otherwise(sd)
+    flag = F.abs((F.col("value") - F.avg("value").over(_grp())) / sd) > F.lit(p.threshold)
+    return long.withColumn("is_outlier", flag).select(*KEYS, "is_outlier")
 
 
 def iqr(long: DataFrame, p: DetectorParams) -> DataFrame:
     """Outside [q1 - t*iqr, q3 + t*iqr] (linear percentiles; the multiplier is t)."""
-    st = long.groupBy(*G).agg(_pct(F.col("value"), [0.25, 0.75], p).alias("_q"))
+    j = long.withColumn("_q", _pct(F.col("value"), [0.25, 0.75], p).over(_grp()))
     q1, q3 = F.col("_q")[0], F.col("_q")[1]
     width = q3 - q1
     flag = (F.col("value") < q1 - F.lit(p.threshold) * width) | (F.col("value") > q3 + F.lit(p.threshold) * width)
-    return _attach(long, st).withColumn("is_outlier", flag).select(*KEYS, "is_outlier")
+    return j.withColumn("is_outlier", flag).select(*KEYS, "is_outlier")
 
 
 def mad(long: DataFrame, p: DetectorParams) -> DataFrame:
     """D3: |0.6745 (x - median) / MAD| > t; a zero MAD becomes 1e-9."""
-    med = long.groupBy(*G).agg(_pct(F.col("value"), 0.5, p).alias("_med"))
-    j = _attach(long, med).withColumn("_dev", F.abs(F.col("value") - F.col("_med")))
-    md = j.groupBy(*G).agg(_pct(F.col("_dev"), 0.5, p).alias("_mad"))
+    j = long.withColumn("_med", _pct(F.col("value"), 0.5, p).over(_grp()))
+    j = j.withColumn("_mad", _pct(F.abs(F.col("value") - F.col("_med")), 0.5, p).over(_grp()))
     m = F.when(F.col("_mad") == 0, F.lit(FLOOR)).otherwise(F.col("_mad"))
     flag = F.abs(F.lit(0.6745) * (F.col("value") - F.col("_med")) / m) > F.lit(p.threshold)
-    return _attach(j, md).withColumn("is_outlier", flag).select(*KEYS, "is_outlier")
+    return j.withColumn("is_outlier", flag).select(*KEYS, "is_outlier")
+
+
+def _with_range(long: DataFrame) -> DataFrame:
+    return (long.withColumn("_min", F.min("value").over(_grp())).withColumn("_max", F.max("value").over(_grp()))
+            .withColumn("_n", F.count(F.lit(1)).over(_grp())))
 
 
 def _equal_width_bin(bins: Column | int) -> Column:
@@ -94,12 +101,11 @@ def _equal_width_bin(bins: Column | int) -> Column:
 
 def hbos_scores(long: DataFrame, bins: int = HBOS_BINS, alpha: float = HBOS_ALPHA) -> DataFrame:
     """D4 score: -log2(histogram density + alpha) with equal-width bins."""
-    st = long.groupBy(*G).agg(F.min("value").alias("_min"), F.max("value").alias("_max"), F.count(F.lit(1)).alias("_n"))
-    b = _attach(long, st).withColumn("_bin", _equal_width_bin(bins))
-    counts = b.groupBy(*G, "_bin").agg(F.count(F.lit(1)).alias("_nb"))
+    b = _with_range(long).withColumn("_bin", _equal_width_bin(bins))
+    b = b.withColumn("_nb", F.count(F.lit(1)).over(_grp("_bin")))
     width = F.when(F.col("_max") == F.col("_min"), F.lit(1.0)).otherwise((F.col("_max") - F.col("_min")) / F.lit(bins))
     dens = F.col("_nb") / (F.col("_n") * width)
-    return b.join(counts, [*G, "_bin"]).withColumn("score", -F.log2(dens + F.lit(alpha)))
+    return b.withColumn("score", -F.log2(dens + F.lit(alpha)))
 
 
 def hbos(long: DataFrame, p: DetectorParams) -> DataFrame:
@@ -111,18 +117,18 @@ def knn_scores(long: DataFrame, k: int = KNN_K) -> DataFrame:
 
     On sorted values the k nearest others are j to the left and k-j to the
     right for some j, so the distance is min_j max(x - x[i-j], x[i+k-j] - x).
+    One window frame collects the 2k+1 sorted neighbours of each row; the
+    minimum over j is a higher-order expression on that small array.
     """
     w = Window.partitionBy(*G).orderBy("value", "row_id")
-    v = F.col("value")
-    cands = []
-    for j in range(k + 1):
-        left = v - F.lag(v, j).over(w) if j else F.lit(0.0)
-        right = F.lead(v, k - j).over(w) - v if k - j else F.lit(0.0)
-        valid = (F.lag(v, j).over(w).isNotNull() if j else F.lit(True)) & (
-            F.lead(v, k - j).over(w).isNotNull() if k - j else F.lit(True)
-        )
-        cands.append(F.when(valid, F.greatest(left, right)))
-    return long.withColumn("score", F.least(*cands))
+    nb = F.collect_list("value").over(w.rowsBetween(-k, k))
+    pos = F.least(F.row_number().over(w) - 1, F.lit(k))  # index of the row's own value in the frame
+    dist = F.expr(
+        f"""array_min(transform(sequence(0, {k}), j ->
+              CASE WHEN _p - j >= 0 AND _p + {k} - j < size(_nb)
+                   THEN greatest(value - get(_nb, _p - j), get(_nb, _p + {k} - j) - value) END))"""
+    )
+    return long.withColumn("_nb", nb).withColumn("_p", pos.cast("int")).withColumn("score", dist).drop("_nb", "_p")
 
 
 def knn(long: DataFrame, p: DetectorParams) -> DataFrame:
@@ -134,20 +140,18 @@ def loda_scores(long: DataFrame, choices=LODA_BIN_CHOICES) -> DataFrame:
 
     Every random projection of one column only rescales or mirrors it, so the
     ensemble reduces to one histogram; its bin count is picked per group by
-    the penalised likelihood sum n_b ln(k n_b / N) - (k - 1 + ln(k)^2.5).
+    the penalised likelihood sum_b n_b ln(k n_b / N) - (k - 1 + ln(k)^2.5)
+    (ties to the smaller k).  The sum over bins equals a sum over rows of
+    ln(k n_b / N), so every step is a window over the group.
     """
-    st = long.groupBy(*G).agg(F.min("value").alias("_min"), F.max("value").alias("_max"), F.count(F.lit(1)).alias("_n"))
-    b = _attach(long, st).withColumn("_k", F.explode(F.array(*[F.lit(c) for c in choices])))
+    b = _with_range(long).withColumn("_k", F.explode(F.array(*[F.lit(c) for c in choices])))
     b = b.withColumn("_bin", _equal_width_bin(F.col("_k")))
-    counts = b.groupBy(*G, "_k", "_bin").agg(F.count(F.lit(1)).alias("_nb"), F.first("_n").alias("_n"))
-    crit = counts.groupBy(*G, "_k").agg(
-        (F.sum(F.col("_nb") * F.log(F.col("_k") * F.col("_nb") / F.col("_n")))
-         - (F.col("_k") - 1 + F.pow(F.log(F.col("_k").cast("double")), F.lit(2.5)))).alias("_crit")
-    )
-    best = crit.groupBy(*G).agg(F.min_by("_k", F.struct(-F.col("_crit"), F.col("_k"))).alias("_k"))
-    chosen = counts.join(best, [*G, "_k"]).select(*G, "_bin", (F.col("_nb") / F.col("_n")).alias("_share"))
-    rows = _attach(long, st).join(best, G).withColumn("_bin", _equal_width_bin(F.col("_k")))
-    return rows.join(chosen, [*G, "_bin"]).withColumn("score", -F.log(F.col("_share")))
+    b = b.withColumn("_nb", F.count(F.lit(1)).over(_grp("_k", "_bin")))
+    ll = F.sum(F.log(F.col("_k") * F.col("_nb") / F.col("_n"))).over(_grp("_k"))
+    b = b.withColumn("_crit", ll - (F.col("_k") - 1 + F.pow(F.log(F.col("_k").cast("double")), F.lit(2.5))))
+    best = F.max(F.struct(F.col("_crit"), (-F.col("_k")).alias("_nk"))).over(_grp())
+    b = b.withColumn("_best", -best["_nk"]).where(F.col("_k") == F.col("_best"))
+    return b.withColumn("score", -F.log(F.col("_nb") / F.col("_n")))
 
 
 def loda(long: DataFrame, p: DetectorParams) -> DataFrame:

@@ -9,7 +9,7 @@ from trustfold.operators import detectors as D
 from trustfold.operators.consensus import MAX_CHUNK_ROWS, chunk, long_form, mean_fill, median_fill
 from trustfold.operators.encode import scale_grouped
 from trustfold.plans.ordered import global_row_number
-from trustfold.session import ensure_checkpoint_dir
+from trustfold.session import checkpoint_partitioned
 from trustfold.sources.tables import ROW_ID
 
 
@@ -37,8 +37,7 @@ def vote_counts(mis: DataFrame, p: D.DetectorParams, columns=("value", "k"), vot
     long = mean_fill(median_fill(long))
     if scaler:  # the original min-max scales first; flags do not change under it
         long = scale_grouped(long, "value", D.G, scaler)
-    ensure_checkpoint_dir(mis.sparkSession)
-    long = long.checkpoint(eager=True)  # read by every detector
+    long = checkpoint_partitioned(long, D.G)  # read by every detector
     flags = D.run_methods(long, p, methods, on_error)
     hit = F.col("is_outlier") if vote_on == "outlier" else ~F.col("is_outlier")
     per_method = flags.groupBy(ROW_ID, "method").agg(F.max(hit.cast("int")).alias("_hit"))
