@@ -664,3 +664,15 @@ def q_csv_roundtrip(spark, sf):
     export(log, f"{base}/behaviour_log.csv", fmt="csv")
     schema = "row_id long, User_Id long, Timestamp timestamp_ntz, event_type string, value double"
     return load_csv(spark, base, "behaviour_log", schema=schema)
+
+
+# --------------------------------------------------------------- multi-column LODA over embeddings
+from trustfold.operators import loda_multi as LM  # noqa: E402
+
+EMB_DIM = 64  # width of the driver's embedding vectors
+
+
+@query("loda_embeddings", LM.oracle_sql("embeddings", "vec_id", "embedding", EMB_DIM, DP.contamination))
+def q_loda_embeddings(spark, sf):
+    emb = read_table(spark, sf, "embeddings")
+    return LM.loda_flags(emb, "vec_id", "embedding", EMB_DIM, DP.contamination)
