@@ -41,15 +41,23 @@ def chunk_count(n_rows: int, chunk_percent: float = 0.1, max_chunk_rows: int | N
 
 
 def chunk(df: DataFrame, order=(TS, ROW_ID), chunk_percent: float = 0.1, max_chunk_rows: int | None = MAX_CHUNK_ROWS) -> DataFrame:
-    """G1: ``chunk_id`` of contiguous near-equal slices (the first N mod n slices one row longer)."""
-    n_rows = df.count()
-    n = chunk_count(n_rows, chunk_percent, max_chunk_rows)
-    q, r = divmod(n_rows, n)
-    numbered = global_row_number(df, list(order), out="_i")
-    i = F.col("_i")
+    """G1: ``chunk_id`` of contiguous near-equal slices (the first N mod n slices one row longer).
+
+    The same arithmetic as ``chunk_count`` runs on the row count that the
+    global numbering attaches, so no separate count job is needed.
+    """
+    numbered = global_row_number(df, list(order), out="_i", total="_cnt")
+    i, total = F.col("_i"), F.col("_cnt")
+    size = F.greatest(F.lit(1), F.floor(total * F.lit(float(chunk_percent))))
+    n = F.greatest(F.lit(1), F.floor(total / size))
+    if max_chunk_rows:
+        n = F.greatest(n, F.ceil(total / F.lit(float(max_chunk_rows))))
+    numbered = numbered.withColumn("_nc", n.cast("long"))
+    nc = F.col("_nc")
+    q, r = F.floor(total / nc), total % nc
     cut = r * (q + 1)
-    cid = F.when(i < F.lit(cut), F.floor(i / F.lit(q + 1))).otherwise(F.lit(r) + F.floor((i - F.lit(cut)) / F.lit(max(q, 1))))
-    return numbered.withColumn("chunk_id", cid.cast("int")).drop("_i")
+    cid = F.when(i < cut, F.floor(i / (q + 1))).otherwise(r + F.floor((i - cut) / F.greatest(q, F.lit(1))))
+    return numbered.withColumn("chunk_id", cid.cast("int")).drop("_i", "_cnt", "_nc")
 
 
 def long_form(df: DataFrame, columns, ids=("chunk_id", ROW_ID)) -> DataFrame:

@@ -51,14 +51,15 @@ def n_top(rows: int, perc: float) -> int:
 
 
 def top_n_split(mis: DataFrame, votes: DataFrame, perc: float):
-    """The top N rows by (votes desc, row_id) are intentional; none if N is 0 or all rows."""
-    rows = mis.count()
-    n = n_top(rows, perc) if rows else 0
-    ranked = global_row_number(votes, [F.desc("votes"), F.col(ROW_ID)], out="_rank")
-    if n in (0, rows):
-        flag = F.lit(0)
-    else:
-        flag = F.when(F.col("_rank") < F.lit(n), F.lit(1)).otherwise(F.lit(0))
+    """The top N rows by (votes desc, row_id) are intentional; none if N is 0 or all rows.
+
+    N = max(1, round_half_even(rows * perc)) is computed on the row count the
+    global numbering attaches (no separate count job).
+    """
+    ranked = global_row_number(votes, [F.desc("votes"), F.col(ROW_ID)], out="_rank", total="_rows")
+    rows = F.col("_rows")
+    n = F.greatest(F.lit(1), F.bround(rows * F.lit(float(perc)), 0).cast("long"))
+    flag = F.when((n == rows) | (rows == 0), F.lit(0)).when(F.col("_rank") < n, F.lit(1)).otherwise(F.lit(0))
     marks = ranked.select(ROW_ID, "votes", flag.alias("Is_Intentional"))
     out = mis.join(marks, ROW_ID)
     return out, out.where(F.col("Is_Intentional") == 1), out.where(F.col("Is_Intentional") == 0)

@@ -68,16 +68,22 @@ def keyed_row_number(
     return res.drop("_first", "_off", LID, SEG)
 
 
-def global_row_number(df: DataFrame, order: Sequence[str], out: str = "rn", num_partitions: int | None = None) -> DataFrame:
+def global_row_number(df: DataFrame, order: Sequence[str], out: str = "rn", num_partitions: int | None = None,
+                      total: str | None = None) -> DataFrame:
     """0-based global position in ``order`` without a one-partition sort.
 
     The offset table has one row per range partition, a size fixed by
-    configuration, so broadcasting it is safe.
+    configuration, so broadcasting it (and windowing over it) is safe.  With
+    ``total`` the row count of the whole frame is attached as a column, which
+    saves a separate count job.
     """
     r = range_sorted(df, [], order, num_partitions)
     segs = r.groupBy(SEG).agg(F.min(LID).alias("_first"), F.count(F.lit(1)).alias("_n"))
     before = Window.orderBy(SEG).rowsBetween(Window.unboundedPreceding, -1)
-    offs = segs.select(SEG, "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    cols = [SEG, "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off")]
+    if total:
+        cols.append(F.sum("_n").over(Window.partitionBy()).alias(total))
+    offs = segs.select(*cols)
     res = r.join(F.broadcast(offs), SEG).withColumn(out, F.col("_off") + (F.col(LID) - F.col("_first")))
     return res.drop("_first", "_off", LID, SEG)
 
