@@ -140,3 +140,17 @@ def r2_sql_frame(scored: DataFrame) -> DataFrame:
     mean = F.avg("label").over(__import__("pyspark.sql.window", fromlist=["Window"]).Window.partitionBy())
     x = scored.select("label", "prediction", mean.alias("_m"))
     return x.agg((F.lit(1.0) - F.sum((F.col("label") - F.col("prediction")) ** 2) / F.sum((F.col("label") - F.col("_m")) ** 2)).alias("r2"))
+
+
+def replay_features(df: DataFrame, features, source: str = "Dataset_Source"):
+    """M8: model features on replayed data also carry the replay source.
+
+    The source is a string, so it enters the model one-hot (sorted
+    categories, at most three), keeping the numeric-only guard (B13) intact.
+    Returns the frame and the feature names.
+    """
+    from trustfold.operators.encode import categories, onehot
+
+    cats = categories(df, source)
+    out = onehot(df, source, cats, keep_source=True)
+    return out, list(features) + [f"{source}_{c}" for c in cats]
