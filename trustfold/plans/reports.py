@@ -110,3 +110,34 @@ def best_scores(ledger: DataFrame, order) -> DataFrame:
     x = x.withColumn("score", F.when(F.abs(F.col("score")) == F.lit(float("inf")), None).otherwise(F.col("score"))).dropna(subset=["score"])
     best = x.groupBy("engine", "run_type").agg(F.max("score").alias("best_score"))
     return best.withColumn("_o", category_order(F.col("run_type"), order)).orderBy("_o", "engine").drop("_o")
+
+
+# Per-stage result files of one scenario and the column each one
+# becomes in the comparison table, in the original column order.
+STAGE_FILES = [
+    ("original_reputations", "Original_Reputation"),
+    ("predicted_reputations_raw_tpot", "Predicted_TPOT_Raw"),
+    ("predicted_reputations_raw_flaml", "Predicted_FLAML_Raw"),
+    ("feedback_loop_reputations_supervised", "Feedback_Loop_Supervised"),
+    ("predicted_reputations_processed_tpot_supervised", "Processed_TPOT_Supervised"),
+    ("predicted_reputations_processed_flaml_supervised", "Processed_FLAML_Supervised"),
+    ("feedback_loop_reputations_unsupervised", "Feedback_Loop_Unsupervised"),
+    ("predicted_reputations_processed_tpot_unsupervised", "Processed_TPOT_Unsupervised"),
+    ("predicted_reputations_processed_flaml_unsupervised", "Processed_FLAML_Unsupervised"),
+]
+
+
+def reputation_comparison(spark, folder: str, stages=STAGE_FILES) -> DataFrame:
+    """R6 over written per-stage files: read each (A1), strip the ``User_``
+    prefix to an integer id (S1), check there is exactly one value column
+    (B14), rename it (B12), inner-join all stages on the id (J1)."""
+    from trustfold.functions.scalars import user_number
+    from trustfold.operators.schema import single_value_column, trim_names
+    from trustfold.sources.io import load_csv
+
+    tables = {}
+    for file, name in stages:
+        df = trim_names(load_csv(spark, folder, file, schema=None))
+        v = single_value_column(df, USER)
+        tables[name] = df.select(user_number(F.col(USER)).alias(USER), F.col(v).cast("double").alias(name))
+    return stage_comparison(tables).orderBy(USER)
