@@ -141,3 +141,48 @@ def reputation_comparison(spark, folder: str, stages=STAGE_FILES) -> DataFrame:
         v = single_value_column(df, USER)
         tables[name] = df.select(user_number(F.col(USER)).alias(USER), F.col(v).cast("double").alias(name))
     return stage_comparison(tables).orderBy(USER)
+
+
+# Model ledger mapping (prefix, run type, pipeline file, engine
+# label) and the row order of the comparison, as in the original report.
+MODEL_MAPPING = [
+    ("tpot", "Supervised", "final_processed_supervised_tpot.py", "TPOT"),
+    ("tpot", "Unsupervised", "final_processed_unsupervised_tpot.py", "TPOT"),
+    ("tpot", "Raw", "final_raw_tpot.py", "TPOT"),
+    ("flaml", "Raw", "final_raw_flaml.py", "FLAML"),
+    ("flaml", "Supervised", "final_processed_supervised_flaml.py", "FLAML"),
+    ("flaml", "Unsupervised", "final_processed_unsupervised_flaml.py", "FLAML"),
+]
+MODEL_ORDER = ["TPOT (Raw)", "TPOT (Supervised)", "TPOT (Unsupervised)", "FLAML (Raw)", "FLAML (Supervised)", "FLAML (Unsupervised)"]
+
+
+def model_comparison(ledger: DataFrame, mapping=MODEL_MAPPING, order=MODEL_ORDER) -> DataFrame:
+    """Best score per (engine, run type) from a result ledger (prefix, pipeline_file, score).
+
+    S4 / B8: scores coerced to numbers, unparsable ones dropped; B10: only
+    ``.py`` pipeline files, matched case-insensitively on the base name;
+    U2: exact duplicates dropped; W8: best row per mapping entry; B9: infinite
+    scores dropped; S6 / S11: label "ENGINE (Run)" in a fixed order.
+    The mapping has six rows (a fixed bound), so it is broadcast.
+    """
+    from trustfold.functions.scalars import base_name, category_order
+
+    spark = ledger.sparkSession
+    x = ledger.select(
+        F.col("prefix").cast("string").alias("prefix"),
+        F.trim(F.coalesce(F.col("pipeline_file").cast("string"), F.lit(""))).alias("pipeline_file"),
+        F.col("score").cast("string").try_cast("double").alias("score"),
+    )
+    x = x.where(F.col("pipeline_file").endswith(".py") & (F.col("pipeline_file") != "")).dropna(subset=["score"])
+    x = x.dropDuplicates(["pipeline_file", "prefix", "score"])
+    m = spark.createDataFrame(mapping, "m_prefix string, run_type string, m_file string, engine string")
+    j = x.join(F.broadcast(m), (F.lower(F.col("prefix")) == F.col("m_prefix"))
+               & (F.lower(base_name(F.col("pipeline_file"))) == F.lower(F.col("m_file"))))
+    best = j.groupBy("engine", "run_type").agg(
+        F.max_by(F.struct("pipeline_file", "score"), F.col("score")).alias("_b"))
+    out = best.select(
+        F.concat(F.col("engine"), F.lit(" ("), F.col("run_type"), F.lit(")")).alias("engine_run_type"),
+        "engine", "run_type", F.col("_b.pipeline_file").alias("pipeline_file"), F.col("_b.score").alias("score"),
+    )
+    out = out.where(F.abs(F.col("score")) != F.lit(float("inf")))
+    return out.withColumn("_o", category_order(F.col("engine_run_type"), order)).orderBy("_o").drop("_o")
