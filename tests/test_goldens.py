@@ -49,3 +49,21 @@ def test_model_comparison_from_published_ledger(spark, scenario):
     assert [r["engine_run_type"] for r in rows] == MODEL_ORDER
     for r in rows:
         assert round(r["score"], 4) == EXPECTED[scenario][r["engine_run_type"]], (scenario, r["engine_run_type"])
+
+
+@pytest.mark.parametrize("scenario", [1, 2, 3])
+def test_by_method_percent_matches_published_summary(spark, scenario):
+    """Totals per method and their percent of the grand total."""
+    from pyspark.sql import functions as F
+
+    from trustfold.operators.consensus import by_method
+
+    folder = f"{OUT}/scenario_{scenario}/outlier_data"
+    if not os.path.isdir(folder):
+        pytest.skip("published outputs not available")
+    pub = load_csv(spark, folder, "outlier_summary_by_method", schema="method string, total_removed long, percent double")
+    metrics = pub.select("method", F.col("total_removed").alias("outliers_removed"))
+    got = {r["method"]: (r["total_removed"], r["percent"]) for r in by_method(metrics).collect()}
+    for r in pub.collect():
+        assert got[r["method"]][0] == r["total_removed"]
+        assert abs(got[r["method"]][1] - r["percent"]) < 1e-6
