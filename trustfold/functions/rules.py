@@ -104,6 +104,12 @@ def class_counts(labelled: DataFrame, sample: DataFrame | None = None, col: str
     return full.join(s, col, "full").fillna(0, ["n_full", "n_sample"])
 
 
+def class_count_if(labelled: DataFrame, col: str = "True_Class") -> DataFrame:
+    """K7: the three class counts in one pass (``count_if``), one row."""
+    return labelled.agg(*[F.count_if(F.col(col) == F.lit(c)).alias(f"n_{c.lower()}") for c in CLASSES],
+                        F.count(F.lit(1)).alias("n_rows"))
+
+
 LABEL_SQL = """CASE WHEN COALESCE(event_type IN ('error'), FALSE) THEN 'Intentional'
      WHEN COALESCE(value > 150, FALSE) OR COALESCE(k < 3, FALSE) THEN 'Unintentional'
      ELSE 'Normal' END"""

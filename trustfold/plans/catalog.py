@@ -676,3 +676,13 @@ EMB_DIM = 64  # width of the driver's embedding vectors
 def q_loda_embeddings(spark, sf):
     emb = read_table(spark, sf, "embeddings")
     return LM.loda_flags(emb, "vec_id", "embedding", EMB_DIM, DP.contamination)
+
+
+@query("label_count_if", f"""SELECT count(*) FILTER (WHERE c = 'Normal') AS n_normal,
+       count(*) FILTER (WHERE c = 'Unintentional') AS n_unintentional,
+       count(*) FILTER (WHERE c = 'Intentional') AS n_intentional, count(*) AS n_rows
+  FROM (SELECT {LABEL_SQL} AS c FROM {LOG_SQL} t) x""")
+def q_label_count_if(spark, sf):
+    from trustfold.functions.rules import class_count_if
+
+    return class_count_if(label(load_log(spark, sf)))
