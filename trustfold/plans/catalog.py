@@ -157,9 +157,11 @@ def q_max_by_user(spark, sf):
 @query("median_by_user", """SELECT o_custkey AS User_Id, round(median(o_totalprice), 6) AS median_price,
        count(*) AS n_orders FROM orders GROUP BY o_custkey""")
 def q_median_by_user(spark, sf):
+    from trustfold.operators.aggregates import median_of
+
     o = read_table(spark, sf, "orders")
     return o.groupBy(F.col("o_custkey").alias(USER)).agg(
-        r6(F.median("o_totalprice")).alias("median_price"), F.count(F.lit(1)).alias("n_orders"))
+        r6(median_of("o_totalprice")).alias("median_price"), F.count(F.lit(1)).alias("n_orders"))
 
 
 # --------------------------------------------------------------- outliers D, G, R1
@@ -363,7 +365,9 @@ SELECT o.User_Id, o.Original_Reputation,
   FROM o JOIN a USING (User_Id) JOIN b USING (User_Id)""")
 def q_stage_comparison(spark, sf):
     log = load_log(spark, sf)
-    orig = log.groupBy(USER).agg(r6(F.median("User_Reputation")).alias("Original_Reputation"))
+    from trustfold.operators.aggregates import median_of
+
+    orig = log.groupBy(USER).agg(r6(median_of("User_Reputation")).alias("Original_Reputation"))
     sup, _ = replay(labelled(spark, sf), P1)
     uns, _ = replay(_unsup(spark, sf), P1)
     return R.stage_comparison({

@@ -110,9 +110,11 @@ def train_and_score(df: DataFrame, features, target: str, sample_size: int, engi
     return res, scored
 
 
-def predicted_median_by_user(scored: DataFrame, name: str = "Predicted_Final_Reputation") -> DataFrame:
-    """K2: median prediction per user."""
-    return scored.groupBy(USER).agg(F.median("prediction").alias(name))
+def predicted_median_by_user(scored: DataFrame, name: str = "Predicted_Final_Reputation", exact: bool = True) -> DataFrame:
+    """K2: median prediction per user (``exact=False`` for hot users at scale)."""
+    from trustfold.operators.aggregates import median_per_key
+
+    return median_per_key(scored, USER, ["prediction"], exact=exact, names=[name])
 
 
 def ledger_row(spark, prefix: str, res: FitResult, path: str | None = None) -> DataFrame:
