@@ -50,3 +50,17 @@ def test_end_to_end_run_with_carry_over(spark):
     assert j.where(F.abs(F.col("u.Final_Reputation") - F.col("s.Original_Reputation")) > 1e-12).count() == 0
     srcs = {r[0] for r in res["unsupervised"].select("Dataset_Source").distinct().collect()}
     assert srcs <= {"normal", "unintentional", "intentional"} and "normal" in srcs
+
+
+def test_replay_over_long_lineage_keeps_every_row_on_repeat(spark):
+    """Segment ids must agree between the summary and the row branch even when
+    the input's lineage (consensus, votes, numbering) is evaluated again."""
+    from trustfold.operators.reputation import replay
+    from trustfold.plans.pipeline import unsupervised_sources
+
+    for _ in range(3):
+        log = load_log(spark, SF)
+        uns = unsupervised_sources(log, scenario(1), methods=list(D.SQL_CHECKABLE))
+        per_user, trace = replay(uns, scenario(1))
+        assert trace.count() == 1000
+        assert per_user.count() == log.select("User_Id").distinct().count()

@@ -18,12 +18,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trustfold.session import shuffle_partitions
+from trustfold.session import ensure_checkpoint_dir, shuffle_partitions
 
 LID = "_lid"
 SEG = "_seg"
@@ -35,21 +34,26 @@ def _cols(xs: Sequence[str | Column]) -> list[Column]:
 
 
 def range_sorted(df: DataFrame, keys: Sequence[str], order: Sequence[str], num_partitions: int | None = None,
-                 persist: bool = True) -> DataFrame:
+                 materialize: bool = True) -> DataFrame:
     """Range-partition on keys+order, sort inside partitions, add ``_lid`` and ``_seg``.
 
-    The range bounds come from a sample seeded by the RDD id, so two separate
-    exchanges over the same input may cut it differently.  Every caller reads
-    the result twice (summary branch and row branch), so it is persisted: both
-    branches then see one materialisation, and a lost block is recomputed from
-    the same shuffle with the same partitioner.
+    The range bounds come from a sample seeded by the RDD id, and the ids
+    come from the physical position of a row, so any second evaluation of
+    this plan (another branch, a cache miss, a recomputed upstream) may cut
+    the data differently.  Every caller reads the result twice (summary
+    branch and row branch), so it is written as a reliable checkpoint: the
+    ids become stored data, identical for every reader and after any
+    executor loss.
     """
     n = num_partitions or shuffle_partitions(df.sparkSession)
     cols = _cols(list(keys) + list(order))
     out = df.repartitionByRange(n, *cols).sortWithinPartitions(*cols)
     out = out.withColumn(LID, F.monotonically_increasing_id())
     out = out.withColumn(SEG, F.shiftright(F.col(LID), 33).cast("int"))
-    return out.persist(StorageLevel.MEMORY_AND_DISK) if persist else out
+    if not materialize:
+        return out
+    ensure_checkpoint_dir(df.sparkSession)
+    return out.checkpoint(eager=True)
 
 
 def local_position(lid: Column) -> Column:
@@ -164,13 +168,15 @@ def clamp_fold(
     ``final_value``; ``trace`` has the carried columns and ``value`` after each row.
     """
     keep = [key, *order, *[c for c in carry_cols if c not in (key, *order)], start, "_s", "_lo", "_hi"]
-    r = range_sorted(steps.select(*keep), [key], order, num_partitions, persist=False)
+    r = range_sorted(steps.select(*keep), [key], order, num_partitions, materialize=False)
     out_schema = T.StructType(
         [f for f in r.schema.fields if f.name not in ("_s", "_lo", "_hi")]
         + [T.StructField(c, T.DoubleType()) for c in ("_S", "_L", "_H")]
     )
-    # One Python pass; both the segment summary and the trace read it.
-    scanned = r.mapInPandas(_scan_partition(key), out_schema).persist(StorageLevel.MEMORY_AND_DISK)
+    # One Python pass, written once: the segment summary and the trace both
+    # read the stored rows, so their segment ids agree by construction.
+    ensure_checkpoint_dir(steps.sparkSession)
+    scanned = r.mapInPandas(_scan_partition(key), out_schema).checkpoint(eager=True)
 
     segs = scanned.groupBy(key, SEG).agg(
         F.max_by(F.struct("_S", "_L", "_H"), LID).alias("t"),
