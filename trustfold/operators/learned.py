@@ -87,13 +87,12 @@ def _forest_steps(pdf: pd.DataFrame) -> pd.DataFrame:
     reps = np.concatenate([[bounds[0] - 1.0 if len(bounds) else 0.0], bounds])
     total = np.zeros(len(reps))
     for leaves in trees:
-        lo = np.array([l[0] for l in leaves])
-        hi = np.array([l[1] for l in leaves])
-        h = np.array([l[2] for l in leaves])
+        # leaves tile the line; the leaf holding x is the last one starting at or below x
+        lo = np.array([leaf[0] for leaf in leaves])
+        h = np.array([leaf[2] for leaf in leaves])
         order = np.argsort(lo)
         idx = np.searchsorted(lo[order], reps, side="right") - 1
         total += h[order][idx]
-        del hi
     score = np.power(2.0, -(total / len(trees)) / max(_c(psi), 1e-12))
     return pd.DataFrame({"chunk_id": chunk_id, "column": column, "_lo": lows, "score": score})
 
