@@ -690,3 +690,12 @@ def q_label_count_if(spark, sf):
     from trustfold.functions.rules import class_count_if
 
     return class_count_if(label(load_log(spark, sf)))
+
+
+@query("final_reputation_all_methods")
+def q_final_reputation_all_methods(spark, sf):
+    """The unsupervised path as the original runs it: all eight detectors
+    (isolation forest and one-class SVM included) in the consensus and the vote."""
+    per_user, _ = replay(unsupervised_sources(load_log(spark, sf), P1, methods=None), P1)
+    return per_user.select(USER, r6(F.col("Original_Reputation")).alias("Original_Reputation"),
+                           r6(F.col("Final_Reputation")).alias("Final_Reputation"))
