@@ -118,8 +118,8 @@ def fit_scaler(df: DataFrame, cols, kind: str = "standard") -> ScalerModel:
     return ScalerModel(kind, stats)
 
 
-def scale_expr(c: str, kind: str, partition_cols=()):
-    """Scaling as a window-free expression over per-group statistics columns (see ``scale_grouped``)."""
+def scale_expr(c: str, kind: str):
+    """Scaling as an expression over per-group statistics columns ``_a``, ``_b`` (see ``scale_grouped``)."""
     if kind == "standard":
         return F.coalesce((F.col(c) - F.col("_a")) / F.when(F.col("_b") != 0, F.col("_b")), F.lit(0.0))
     return F.coalesce((F.col(c) - F.col("_a")) / F.when(F.col("_b") - F.col("_a") != 0, F.col("_b") - F.col("_a")), F.lit(0.0))
