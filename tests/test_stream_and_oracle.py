@@ -5,7 +5,10 @@ from tests.conftest import SF
 
 FAST = ["label_events", "label_counts", "final_reputation", "reputation_trace", "reputation_carry_over", "kafka_payload",
         "baseline_by_user", "capped_experience", "median_by_user", "chunks", "zscore", "knn20", "daily_share",
-        "impute_median_mode", "seeded_sample", "disjoint_samples", "inject_nulls", "weighted_draw", "onehot", "label_encode"]
+        "impute_median_mode", "seeded_sample", "disjoint_samples", "inject_nulls", "weighted_draw", "onehot", "label_encode",
+        "label_count_if", "max_by_user", "mean_fill", "column_kinds", "target_check", "cardinality_split", "standard_scale",
+        "minmax_scale", "iqr", "mad", "hbos", "loda", "daily_majority", "daily_share_rolled_twice", "experience_vs_reputation",
+        "inject_outliers", "geo_offset", "csv_roundtrip", "consensus_split", "vote_topn_split"]
 
 
 @pytest.mark.parametrize("name", FAST)
