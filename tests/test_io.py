@@ -23,3 +23,21 @@ def test_csv_null_tokens_and_round_trip(spark):
     export(df, out)
     back = load_csv(spark, d, "copy", schema="User_Id string, Timestamp timestamp_ntz, x double, s string")
     assert back.exceptAll(df).count() == 0 and back.count() == 2
+
+
+def test_write_by_class_prunes_on_read(spark):
+    from pyspark.sql import functions as F
+
+    from tests.conftest import SF
+    from trustfold.functions.rules import label
+    from trustfold.sources.io import write_by_class
+    from trustfold.sources.tables import load_log
+
+    lab = label(load_log(spark, SF))
+    out = os.path.join(tempfile.mkdtemp(prefix="trustfold-io-"), "by_class")
+    write_by_class(lab, out)
+    parts = sorted(d for d in os.listdir(out) if d.startswith("True_Class="))
+    assert parts == ["True_Class=Intentional", "True_Class=Normal", "True_Class=Unintentional"]
+    back = spark.read.parquet(out).where(F.col("True_Class") == "Intentional")
+    assert "PartitionFilters: [isnotnull(True_Class" in back._jdf.queryExecution().executedPlan().toString()
+    assert back.count() == lab.where(F.col("True_Class") == "Intentional").count()
