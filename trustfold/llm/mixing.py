@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trustfold.llm.common import stored, word_count
+from trustfold.llm.common import broadcast_if_small, free_names, stored, word_count
 from trustfold.plans.ordered import global_row_number
 
 HASH_BITS = 60
@@ -82,6 +82,29 @@ def thresholds(sized: DataFrame, budgets: DataFrame) -> DataFrame:
     return bound.select(*keys, F.col("least").alias("below"), (F.col("upto") - F.col("rest") <= F.col("rest") - F.col("before")).alias("at"))
 
 
+def _rows(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    return docs.select(
+        F.col(id_col).alias("id"), F.col(source_col).isNull().alias("no_source"),
+        F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("source"),
+        word_count(F.col(text_col)).alias("size"), unit_hash(F.col(id_col)).alias("hash"))
+
+
+def source_plan(sized: DataFrame, weights: tuple[int, ...] = (1, 2, 3), limit: float = 3.0) -> DataFrame:
+    """(no_source, source, source_size, target, whole, below, at): how often each source is taken whole, and the hash
+    threshold that fills the rest of its target."""
+    targets = stored(source_targets(sized, weights, limit).withColumn(
+        "whole", F.when(F.col("size") > 0, F.floor(F.col("target") / F.col("size"))).otherwise(F.lit(0)).cast("long")))
+    budgets = targets.select("no_source", "source", (F.col("target") - F.col("whole") * F.col("size")).alias("rest")).where("rest > 0")
+    return stored(targets.join(thresholds(sized, budgets), ["no_source", "source"], "left").select(
+        "no_source", "source", F.col("size").alias("source_size"), "target", "whole", "below", "at"))
+
+
+def copies() -> Column:
+    """How often the mix repeats a row (hash) of a source (whole, below, at)."""
+    extra = (F.col("hash") < F.col("below")) | ((F.col("hash") == F.col("below")) & F.col("at"))
+    return F.col("whole") + F.coalesce(extra, F.lit(False)).cast("long")
+
+
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
         weights: tuple[int, ...] = (1, 2, 3), limit: float = 3.0) -> DataFrame:
     """(id_col, source, size, source_size, target, copies, taken), one row per row of ``docs``.
@@ -93,18 +116,23 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     their hash and take nothing. An empty table gives an empty result. Other
     columns are not read. Reruns and other partitionings give the same rows.
     """
-    sized = stored(docs.select(
-        F.col(id_col).alias("id"), F.col(source_col).isNull().alias("no_source"),
-        F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("source"),
-        word_count(F.col(text_col)).alias("size"), unit_hash(F.col(id_col)).alias("hash")))
-    targets = stored(source_targets(sized, weights, limit).withColumn(
-        "whole", F.when(F.col("size") > 0, F.floor(F.col("target") / F.col("size"))).otherwise(F.lit(0)).cast("long")))
-    budgets = targets.select("no_source", "source", (F.col("target") - F.col("whole") * F.col("size")).alias("rest")).where("rest > 0")
-    cut = thresholds(sized, budgets)
-    plan = targets.join(cut, ["no_source", "source"], "left").select(
-        "no_source", "source", F.col("size").alias("source_size"), "target", "whole", "below", "at")
-    extra = F.coalesce((F.col("hash") < F.col("below")) | ((F.col("hash") == F.col("below")) & F.col("at")), F.lit(False))
-    out = sized.join(plan, ["no_source", "source"]).withColumn("copies", F.col("whole") + extra.cast("long"))
+    sized = stored(_rows(docs, id_col, text_col, source_col))
+    out = sized.join(broadcast_if_small(source_plan(sized, weights, limit)), ["no_source", "source"]).withColumn("copies", copies())
     return out.select(
         F.col("id").alias(id_col), F.when(~F.col("no_source"), F.col("source")).alias("source"), "size", "source_size",
         "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
+
+
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+                    weights: tuple[int, ...] = (1, 2, 3), limit: float = 3.0) -> DataFrame:
+    """The rows of ``docs`` that the mix takes at least once, unchanged, with size, source_size, target, copies, taken;
+    see ``mix``. Extra columns pass through; they may not be called as the added ones."""
+    added = ("size", "source_size", "target", "copies", "taken")
+    free_names(docs, *added, "_no_source", "_source", "hash", "whole", "below", "at")
+    plan = source_plan(stored(_rows(docs, id_col, text_col, source_col)), weights, limit)
+    plan = plan.withColumnsRenamed({"no_source": "_no_source", "source": "_source"})
+    rows = docs.withColumns({
+        "_no_source": F.col(source_col).isNull(), "_source": F.coalesce(F.col(source_col).cast("string"), F.lit("")),
+        "size": word_count(F.col(text_col)), "hash": unit_hash(F.col(id_col))})
+    out = rows.join(broadcast_if_small(plan), ["_no_source", "_source"]).withColumn("copies", copies()).where("copies > 0")
+    return out.withColumn("taken", F.col("size") * F.col("copies")).select(*[F.col(f"`{c}`") for c in docs.columns], *added)

@@ -6,22 +6,40 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trustfold.llm import mixing, simhash
+from trustfold.llm import decontam, lines, mixing, quality, simhash
 from trustfold.llm.common import table
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without lines that repeat an earlier line, exactly or within 2 edits."""
+    return lines.dedup_lines(table(spark, sf_dir, "documents"))
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents mixed to weights 1, 2, 3 of their sources."""
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a passage of a test item, with the item and the alignment score."""
+    return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics and verdicts of all documents; at most 5% of a language's good documents are rejected."""
+    return quality.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate groups of all documents: 3-word shingles, at most 3 differing bits."""
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), size=3, distance=3)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_line_dedup": op3_line_dedup,
     "op4_mixing": op4_mixing,
+    "op5_decontamination": op5_decontamination,
+    "op9_quality_rules": op9_quality_rules,
     "op10_simhash": op10_simhash,
 }
 
