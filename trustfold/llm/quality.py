@@ -1,16 +1,16 @@
 """Quality rules whose thresholds are chosen under a proven limit on false rejection.
 
-A rule compares a text statistic with a cutoff. Labelled documents of good
-quality are the holdout: for a stratum, a rule and a cutoff, n good documents
-of which k would be rejected. The cutoff is certified if a binomial with n
-trials and the allowed rate would give k or fewer with probability at most the
-error level (the exact, Clopper-Pearson bound). The allowed rate of a stratum is
-shared by its rules, so all rules together keep it. The error level is divided
-by strata and rules (Bonferroni); within a rule, cutoffs are tested from the
-loosest on, and testing ends at the first that fails (fixed sequence), which
-needs no further correction. Of the certified cutoffs the one with the largest
-gap between bad and good documents rejected is used; a rule without one rejects
-nothing in that stratum.
+A rule compares a text statistic with a cutoff. Labelled documents are dealt by
+a hash of their id into a design half and a holdout half. On the design half,
+each stratum picks for each rule the cutoff with the largest gap between the
+bad and the good documents it rejects, ranks the rules by that gap, and leaves
+out those that add no gap to the rules before them. The holdout then tests the first rule, the first two together, and so on: with n
+good holdout documents of which k would be rejected, a set is certified if a
+binomial of n trials at the allowed rate gives k or fewer with probability at
+most the error level (the exact, Clopper-Pearson bound). Sets grow in a fixed
+order and testing ends at the first that fails, which needs no correction
+within a stratum; the error level is divided by the number of strata
+(Bonferroni). A stratum uses its largest certified set, or no rule.
 """
 
 from __future__ import annotations
@@ -126,8 +126,13 @@ def rejects(rule: Rule, cutoff: Column) -> Column:
     return 100 * F.col(rule.part) > cutoff * F.col(rule.whole)
 
 
-def certified(labelled: DataFrame, rate: float, error: float, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """One row per stratum, rule and cutoff: n_good, k_good, n_bad, k_bad, p_value, passed, chosen.
+def in_design(id_col: Column) -> Column:
+    """Half of the ids, by the first hex digit of the MD5 of the id as text."""
+    return F.substring(F.md5(F.coalesce(id_col.cast("string"), F.lit(""))), 1, 1) < "8"
+
+
+def design(labelled: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """(stratum, rule, cutoff, rank): the cutoff of each rule that helps, and the rules' order, per stratum.
 
     ``labelled``: statistics with stratum and good (boolean). One grouped count; its size is strata x cutoffs.
     """
@@ -137,18 +142,63 @@ def certified(labelled: DataFrame, rate: float, error: float, rules: tuple[Rule,
         for c, cutoff in enumerate(rule.cutoffs):
             hit = rejects(rule, F.lit(cutoff))
             counts += [F.count_if(hit & F.col("good")).alias(f"k{r}_{c}"), F.count_if(hit & ~F.col("good")).alias(f"b{r}_{c}")]
-            entries.append(F.struct(F.lit(rule.name).alias("rule"), F.lit(c).alias("step"), F.lit(cutoff).alias("cutoff"),
-                                    F.col(f"k{r}_{c}").alias("k_good"), F.col(f"b{r}_{c}").alias("k_bad")))
-    strata = stored(labelled.groupBy("stratum").agg(*counts))
-    tests = max(1, strata.count() * len(rules))
-    rows = strata.select("stratum", "n_good", "n_bad", F.explode(F.array(*entries)).alias("e")).select("stratum", "n_good", "n_bad", "e.*")
-    rows = rows.withColumn("p_value", _tail("k_good", "n_good", F.lit(rate / len(rules))))
-    order = Window.partitionBy("stratum", "rule").orderBy("step")  # a handful of cutoffs
-    rows = rows.withColumn("passed", F.max("p_value").over(order) <= error / tests)
-    gap = F.when(F.col("passed"), F.col("k_bad") * F.col("n_good") - F.col("k_good") * F.col("n_bad"))
-    best = Window.partitionBy("stratum", "rule").orderBy(F.col("gap").desc_nulls_last(), "step")
-    rows = rows.withColumn("gap", gap).withColumn("chosen", (F.row_number().over(best) == 1) & (F.coalesce("gap", F.lit(0)) > 0))
-    return rows.drop("gap")
+            gap = F.col(f"b{r}_{c}") * F.col("n_good") - F.col(f"k{r}_{c}") * F.col("n_bad")
+            entries.append(F.struct(F.lit(r).alias("rule"), F.lit(c).alias("step"), F.lit(cutoff).alias("cutoff"), gap.alias("gap")))
+    rows = labelled.groupBy("stratum").agg(*counts).select("stratum", F.explode(F.array(*entries)).alias("e")).select("stratum", "e.*")
+    best = Window.partitionBy("stratum", "rule").orderBy(F.col("gap").desc(), "step")  # a handful of cutoffs
+    rows = rows.withColumn("n", F.row_number().over(best)).where("n = 1 AND gap > 0")
+    order = Window.partitionBy("stratum").orderBy(F.col("gap").desc(), "rule")  # at most one row a rule
+    return rows.select("stratum", "rule", "cutoff", F.row_number().over(order).alias("rank"))
+
+
+def certified(labelled: DataFrame, rate: float, error: float, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """One row per stratum with labels: cutoff_r and rank_r of each rule r (null if it does not help), n_good, k_1..k_m
+    (good holdout documents that the first s rules reject) and certified, the number of rules that may be used.
+
+    ``labelled``: statistics with stratum, id and good (boolean).
+    """
+    half = labelled.where(in_design(F.col("id")))
+    chosen = design(half, rules).groupBy(F.col("stratum").alias("_stratum")).agg(*[
+        F.max(F.when(F.col("rule") == r, F.col(c))).alias(f"{c}_{r}") for r in range(len(rules)) for c in ("cutoff", "rank")])
+    chosen = broadcast_if_small(stored(chosen))
+    columns = [c for c in chosen.columns if c != "_stratum"]
+    at = F.col("stratum").eqNullSafe(F.col("_stratum"))
+    chosen = broadcast_if_small(stored(_helpful(half.join(chosen, at), rules, columns)))
+    holdout = labelled.where(~in_design(F.col("id")) & F.col("good"))
+    held = holdout.join(chosen, at, "left")
+    steps = range(1, len(rules) + 1)
+    counts = held.groupBy("stratum", *columns).agg(
+        F.count(F.lit(1)).alias("n_good"), *[F.count_if(_caught(rules, F.lit(s))).alias(f"k_{s}") for s in steps])
+    counts = stored(counts)
+    strata = max(1, counts.count())
+    passed, ends = F.lit(0), F.lit(True)
+    for s in steps:
+        ends = ends & (F.col(f"p_{s}") <= error / strata)
+        passed = F.when(ends, F.lit(s)).otherwise(passed)
+    tested = counts.withColumns({f"p_{s}": _tail(f"k_{s}", "n_good", F.lit(rate)) for s in steps})
+    return tested.withColumn("certified", passed)
+
+
+def _helpful(half: DataFrame, rules: tuple[Rule, ...], columns: list[str]) -> DataFrame:
+    """(_stratum, cutoff_r, rank_r): null for the rules that add no gap to those ranked before them."""
+    steps = range(len(rules) + 1)
+    sums = half.groupBy("_stratum", *columns).agg(
+        F.count_if("good").alias("n_good"), F.count_if(~F.col("good")).alias("n_bad"),
+        *[F.count_if(_caught(rules, F.lit(s)) & F.col("good")).alias(f"k_{s}") for s in steps],
+        *[F.count_if(_caught(rules, F.lit(s)) & ~F.col("good")).alias(f"b_{s}") for s in steps])
+    more = F.array(*[(F.col(f"b_{s}") - F.col(f"b_{s - 1}")) * F.col("n_good") > (F.col(f"k_{s}") - F.col(f"k_{s - 1}")) * F.col("n_bad")
+                     for s in steps if s])
+    keep = sums.withColumn("more", more)
+    return keep.select("_stratum", *[F.when(F.get("more", F.col(f"rank_{r}") - 1), F.col(f"{c}_{r}")).alias(f"{c}_{r}")
+                                     for r in range(len(rules)) for c in ("cutoff", "rank")])
+
+
+def _caught(rules: tuple[Rule, ...], upto: Column) -> Column:
+    """One of the first ``upto`` rules rejects."""
+    out = F.lit(False)
+    for r, rule in enumerate(rules):
+        out = out | F.coalesce((F.col(f"rank_{r}") <= upto) & rejects(rule, F.col(f"cutoff_{r}")), F.lit(False))
+    return out
 
 
 def _verdicts(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, stratum_col: str, rate: float, error: float,
@@ -158,15 +208,10 @@ def _verdicts(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, st
                        F.col(stratum_col).alias("stratum"), F.col(text_col).alias("text"))
     stats = stored(statistics(rows, "text"))
     good = labels.where("quality IS NOT NULL").groupBy(F.col(id_col).alias("id")).agg((F.min("quality") > 0).alias("good"))
-    table = certified(stats.where("NOT base_failed").join(good, "id"), rate, error, rules)
-    cutoffs = table.where("chosen").groupBy(F.col("stratum").alias("_stratum")).agg(
-        *[F.max(F.when(F.col("rule") == r.name, F.col("cutoff"))).alias(f"_{r.name}") for r in rules])
-    cutoffs = broadcast_if_small(stored(cutoffs))
-    caught = F.lit(False)
-    for r in rules:
-        caught = caught | F.coalesce(rejects(r, F.col(f"_{r.name}")), F.lit(False))
-    out = stats.join(cutoffs, F.col("stratum").eqNullSafe(F.col("_stratum")), "left")
-    return out.withColumn("kept", ~F.col("base_failed") & ~caught).select(*stats.columns, "kept")
+    table = certified(stats.where("NOT base_failed").join(good, "id"), rate, error, rules).withColumnRenamed("stratum", "_stratum")
+    used = broadcast_if_small(stored(table.select("_stratum", "certified", *[f"{c}_{r}" for r in range(len(rules)) for c in ("cutoff", "rank")])))
+    out = stats.join(used, F.col("stratum").eqNullSafe(F.col("_stratum")), "left")
+    return out.withColumn("kept", ~F.col("base_failed") & ~_caught(rules, F.col("certified"))).select(*stats.columns, "kept")
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang",
