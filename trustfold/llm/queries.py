@@ -6,10 +6,25 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trustfold.llm import decontam, lines, mixing, quality, simhash
+from trustfold.llm import decontam, html, licenses, lines, maxent, mixing, pii, quality, secrets, simhash
 from trustfold.llm.common import table
 
 
+#: Key of the registered query. A production run takes its key from a secret store.
+PII_KEY = b"example key, not for production!"
+
+
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with valid personal values replaced, and how many of each kind."""
+    out = pii.protect(table(spark, sf_dir, "documents"), PII_KEY)
+    return out.select("doc_id", "text", *[f"n_{k}" for k in pii.KINDS])
+
+
+def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence notices in all documents: lines and whole texts whose bigram Dice coefficient with a template is 0.8 or more."""
+    return licenses.licenses(table(spark, sf_dir, "documents"), licenses.default_templates(spark))
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents without lines that repeat an earlier line, exactly or within 2 edits."""
     return lines.dedup_lines(table(spark, sf_dir, "documents"))
@@ -25,6 +40,21 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op6_maxent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents scored by the model trained on those that are not held out, beside a smoothed word model."""
+    return maxent.language_model_scores(table(spark, sf_dir, "documents"))
+
+
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in all documents; each distinct text is scanned once."""
+    return secrets.document_secrets(table(spark, sf_dir, "documents"))
+
+
+def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of all pages."""
+    return html.extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Statistics and verdicts of all documents; at most 5% of a language's good documents are rejected."""
     return quality.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -36,9 +66,14 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_pii": op1_pii,
+    "op2_licenses": op2_licenses,
     "op3_line_dedup": op3_line_dedup,
     "op4_mixing": op4_mixing,
     "op5_decontamination": op5_decontamination,
+    "op6_maxent_lm": op6_maxent_lm,
+    "op7_secrets": op7_secrets,
+    "op8_html": op8_html,
     "op9_quality_rules": op9_quality_rules,
     "op10_simhash": op10_simhash,
 }
