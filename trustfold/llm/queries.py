@@ -78,7 +78,114 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_simhash": op10_simhash,
 }
 
+
+def _text(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
+def _licenses_sql() -> str:
+    values = ", ".join(f"({i}, {_text(name)}, {_text(text)})" for i, (name, text) in enumerate(licenses.TEMPLATES))
+    normal = r"string_split(trim(regexp_replace(lower({0}), '[^\p{{L}}\p{{N}}]+', ' ', 'g')), ' ')"
+    grams = "unnest(list_transform(range(1, len({0})), lambda i: {0}[i] || ' ' || {0}[i + 1]))"
+    s = licenses.SCORE
+    return f"""
+WITH t AS (SELECT template, license, {normal.format("text")} AS w FROM (VALUES {values}) v(template, license, text)),
+tg AS (SELECT template, license, size, gram, count(*) AS times
+       FROM (SELECT template, license, len(w) - 1 AS size, {grams.format("w")} AS gram FROM t) GROUP BY ALL),
+units AS (
+  SELECT DISTINCT doc_id, text, line, unit FROM (
+    SELECT doc_id, text, unnest(range(0, len(string_split(text, chr(10))))) AS line, unnest(string_split(text, chr(10))) AS unit FROM documents
+    UNION ALL SELECT doc_id, text, -1, text FROM documents WHERE contains(text, chr(10)))),
+u AS (SELECT row_number() OVER () AS id, doc_id, line, {normal.format("unit")} AS w FROM units),
+ug AS (SELECT id, doc_id, line, n, gram, count(*) AS here
+       FROM (SELECT id, doc_id, line, len(w) - 1 AS n, {grams.format("w")} AS gram FROM u WHERE len(w) BETWEEN 2 AND 200) GROUP BY ALL),
+pairs AS (SELECT id, doc_id, line, template, license, 2.0 * sum(least(here, times)) / (n + size) AS dice
+          FROM ug JOIN tg USING (gram) GROUP BY id, doc_id, line, n, template, license, size)
+SELECT doc_id, CAST(line AS INTEGER) AS line, license, template, CAST(dice AS DOUBLE) AS dice FROM pairs WHERE dice >= {s}
+QUALIFY row_number() OVER (PARTITION BY id ORDER BY dice DESC, template) = 1"""
+
+
+def _secrets_sql() -> str:
+    found = []
+    for i, r in enumerate(secrets.RULES):
+        p = _text(r.pattern)
+        found.append(
+            f"SELECT doc_id, rid, {i} AS ord, {_text(r.kind)} AS kind, {r.least} AS minimum, regexp_split_to_array(text, {p}) AS pieces, "
+            f"regexp_extract_all(text, {p}, 0) AS m, regexp_extract_all(text, {p}, {r.group}) AS v FROM d WHERE regexp_matches(text, {p})")
+    base = ", ".join(_text(r.kind) for r in secrets.BASE_RULES)
+    counts = ", ".join(f"count(*) FILTER (WHERE kind = {_text(r.kind)}) AS n_{r.kind}" for r in secrets.BASE_RULES)
+    kept = ", ".join(f"CAST(coalesce(n_{r.kind}, 0) AS BIGINT) AS n_{r.kind}" for r in secrets.BASE_RULES)
+    return f"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS rid, coalesce(text, '') AS text FROM documents),
+f AS ({" UNION ALL ".join(found)}),
+e AS (SELECT rid, ord, kind, minimum, length(v[n]) AS size, length(m[n]) AS chars,
+             list_sum(list_transform(pieces[1:n], lambda x: length(x))) + list_sum(list_transform(m[1:n], lambda x: length(x))) AS stop
+      FROM (SELECT *, unnest(range(1, len(m) + 1)) AS n FROM f)),
+s AS (SELECT rid, ord, kind, stop - chars AS start, kind || ':' || CAST(CAST(stop - chars AS BIGINT) AS VARCHAR) || ':' || CAST(CAST(stop AS BIGINT) AS VARCHAR) AS span
+      FROM e WHERE size >= minimum),
+g AS (SELECT rid, {counts}, count(*) AS n_spans, string_agg(span, ',' ORDER BY start, ord) FILTER (WHERE kind IN ({base})) AS base,
+             string_agg(span, ',' ORDER BY start, ord) AS spans FROM s GROUP BY rid)
+SELECT doc_id, {kept}, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN g USING (rid)"""
+
+
+def _quality_sql(rate: float = 0.05, error: float = 0.05) -> str:
+    rules = quality.RULES
+    steps = range(1, len(rules) + 1)
+    hit = lambda r, c: f"(100 * {rules[r].part} > {c} * {rules[r].whole})"
+    entries = " UNION ALL ".join(
+        f"SELECT stratum, {r} AS rule, {i} AS step, {c} AS cutoff, count(*) FILTER (WHERE good) AS n_good, count(*) FILTER (WHERE NOT good) AS n_bad, "
+        f"count(*) FILTER (WHERE good AND {hit(r, c)}) AS k, count(*) FILTER (WHERE NOT good AND {hit(r, c)}) AS b FROM half GROUP BY stratum"
+        for r, rule in enumerate(rules) for i, c in enumerate(rule.cutoffs))
+    caught = lambda s, t: " OR ".join(
+        f"coalesce({t}.rank_{r} <= {s} AND 100 * {rule.part} > {t}.cutoff_{r} * {rule.whole}, false)" for r, rule in enumerate(rules))
+    pivot = ", ".join(f"max(cutoff) FILTER (WHERE rule = {r}) AS cutoff_{r}, max(rank) FILTER (WHERE rule = {r}) AS rank_{r}" for r in range(len(rules)))
+    sums = ", ".join(f"count(*) FILTER (WHERE good AND ({caught(s, 'p')})) AS k_{s}, count(*) FILTER (WHERE NOT good AND ({caught(s, 'p')})) AS b_{s}" for s in (0, *steps))
+    more = ", ".join(f"(b_{s} - b_{s - 1}) * n_good > (k_{s} - k_{s - 1}) * n_bad" for s in steps)
+    keep = ", ".join(f"CASE WHEN more[rank_{r}] THEN {c}_{r} END AS {c}_{r}" for r in range(len(rules)) for c in ("cutoff", "rank"))
+    tail = lambda k: (
+        f"CASE WHEN n_good = 0 OR {k} >= n_good * {rate} THEN 1.0 ELSE list_sum(list_transform(range(0, {k} + 1), lambda i: exp(lgamma(n_good + 1) "
+        f"- lgamma(i + 1) - lgamma(n_good - i + 1) + i * ln({rate}) + (n_good - i) * ln({1 - rate})))) END")
+    passed = " ".join(f"WHEN NOT ({tail(f'k_{s}')} <= {error} / strata) THEN {s - 1}" for s in steps)
+    word = r"[^\x20\x09-\x0D]+"
+    return rf"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, lang AS stratum, coalesce(text, '') AS t FROM documents),
+w AS (SELECT rid, regexp_extract_all(t, '{word}') AS w FROM d),
+win AS (SELECT rid, unnest(range(1, len(w) - 1)) AS i, unnest(list_transform(range(1, len(w) - 1), lambda i: [w[i], w[i + 1], w[i + 2]])) AS g FROM w WHERE len(w) >= 3),
+rep AS (SELECT rid, i, count(*) OVER (PARTITION BY rid, g) AS n FROM win),
+cov AS (SELECT rid, count(DISTINCT p) AS n_repeat_words FROM (SELECT rid, unnest([i, i + 1, i + 2]) AS p FROM rep WHERE n > 1) GROUP BY rid),
+ln AS (SELECT rid, count(*) AS n_lines, count(*) - count(DISTINCT l) AS n_dup_lines
+       FROM (SELECT rid, unnest(string_split(t, chr(10))) AS l FROM d) WHERE regexp_matches(l, '{word}') GROUP BY rid),
+st AS (
+  SELECT d.rid, d.doc_id, d.stratum, CAST(len(w.w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(w.w, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+         CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(coalesce(n_dup_lines, 0) AS BIGINT) AS n_dup_lines,
+         CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words, CAST(coalesce(n_lines, 0) AS BIGINT) AS n_lines,
+         CAST(len(regexp_extract_all(t, '\p{{Lu}}')) AS BIGINT) AS n_upper
+  FROM d JOIN w USING (rid) LEFT JOIN cov USING (rid) LEFT JOIN ln USING (rid)),
+base AS (SELECT *, n_words < {quality.MIN_WORDS} OR 100 * n_repeat_words > {quality.MAX_REPEAT_PERCENT} * n_words AS base_failed FROM st),
+lab AS (SELECT doc_id, min(quality) > 0 AS good FROM labels WHERE quality IS NOT NULL GROUP BY doc_id),
+labelled AS (SELECT base.*, good, substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 1) < '8' AS design FROM base JOIN lab USING (doc_id) WHERE NOT base_failed),
+half AS (SELECT * FROM labelled WHERE design),
+cand AS (SELECT *, b * n_good - k * n_bad AS gap FROM ({entries})),
+best AS (SELECT * FROM cand WHERE gap > 0 QUALIFY row_number() OVER (PARTITION BY stratum, rule ORDER BY gap DESC, step) = 1),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY gap DESC, rule) AS rank FROM best),
+p AS (SELECT stratum, {pivot} FROM ranked GROUP BY stratum),
+sums AS (SELECT p.*, count(*) FILTER (WHERE good) AS n_good, count(*) FILTER (WHERE NOT good) AS n_bad, {sums}
+         FROM half JOIN p ON half.stratum IS NOT DISTINCT FROM p.stratum GROUP BY ALL),
+helpful AS (SELECT stratum, {keep} FROM (SELECT *, [{more}] AS more FROM sums)),
+held AS (SELECT h.stratum, {", ".join(f"p.{c}_{r}" for r in range(len(rules)) for c in ("cutoff", "rank"))}, count(*) AS n_good,
+                {", ".join(f"count(*) FILTER (WHERE {caught(s, 'p')}) AS k_{s}" for s in steps)}
+         FROM labelled h LEFT JOIN helpful p ON h.stratum IS NOT DISTINCT FROM p.stratum WHERE NOT design AND good GROUP BY ALL),
+used AS (SELECT *, CASE {passed} ELSE {len(rules)} END AS certified FROM (SELECT *, count(*) OVER () AS strata FROM held))
+SELECT base.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, n_upper, base_failed,
+       NOT base_failed AND NOT ({caught('u.certified', 'u')}) AS kept
+FROM base LEFT JOIN used u ON base.stratum IS NOT DISTINCT FROM u.stratum"""
+
+
 SQL: dict[str, str] = {
+    "op2_licenses": _licenses_sql(),
+    "op7_secrets": _secrets_sql(),
+    "op9_quality_rules": _quality_sql(),
     "op4_mixing": r"""
 WITH sized AS (
   SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
