@@ -6,32 +6,27 @@ within k edits holds one of them unchanged, at a place that the length
 difference bounds. So each distinct line puts its segments into an index, keyed
 by (length, segment number, hash of the segment), and probes the index of each
 length from l - k to l with the few substrings that can match (the
-multi-match-aware windows). Pairs that share a key must also agree, within 2k,
-on a bag of letter counts, which is carried in the key rows; those that do are
-verified by a banded bit-parallel edit distance. Links are contracted to
-classes, and of each class the first line of the corpus stays.
+multi-match-aware windows). Keys that only one line has are dropped where they
+meet. Of the lines that are left, pairs that share a key must also agree, within
+2k, on a bag of letter counts; those that do are verified by a banded
+bit-parallel edit distance. Links are contracted to classes, and of each class
+the first line of the corpus stays.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trustfold.llm.common import broadcast_if_small, free_names, row_key, stored
+from trustfold.llm.common import BROADCAST_ROWS, broadcast_if_small, free_names, let, row_key, stored
 from trustfold.llm.components import components
 
 EDITS = 2
 #: Shorter lines are left alone; near copies are sought among lines of at least NEAR_CHARS.
 MIN_CHARS, NEAR_CHARS = 12, 30
-SPACE = " \t\r\x0b\x0c"
-#: Letters whose counts, modulo 4096, make the bag.
-BAG = (" ", "e", "n", "t", "a")
-BAG_BITS = 12
-
-
-def let(value: Column, body) -> Column:
-    """``body(value)`` with ``value`` evaluated once."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+#: Letters whose counts, modulo 128, make the bag.
+BAG = (" ", "e", "n", "t", "a", "r", "i", "o")
+BAG_BITS = 7
 
 
 # --- edit distance -----------------------------------------------------------
@@ -110,33 +105,23 @@ def edit_distance(a: Column, b: Column, k: int) -> Column:
 # --- candidates ----------------------------------------------------------------
 
 
-def _segment(length: Column, i: int, k: int) -> tuple[Column, Column]:
-    """Start (from 0) and length of segment i of a line of ``length``."""
-    start = F.floor(length * i / (k + 1)).cast("int")
-    return start, F.floor(length * (i + 1) / (k + 1)).cast("int") - start
-
-
-def index_keys(line: Column, k: int) -> list[Column]:
-    n = F.length(line)
-    out = []
-    for i in range(k + 1):
-        at, size = _segment(n, i, k)
-        out.append(F.xxhash64(n, F.lit(i), F.substr(line, at + 1, size)))
-    return out
+def placements(k: int) -> list[tuple[int, int, int]]:
+    """(less, i, off): a line of length n looks for segment i of lines of length n - less, ``off`` places from where
+    that segment begins. The first k + 1 are its own segments, which it also puts into the index."""
+    own = [(0, i, 0) for i in range(k + 1)]
+    others = [(less, i, off) for less in range(k + 1) for i in range(k + 1)
+              for off in range(max(-i, less - (k - i)), min(i, less + k - i) + 1) if less or off]
+    return own + others
 
 
-def probe_keys(line: Column, k: int) -> list[Column]:
-    """Keys under which lines up to ``k`` shorter, or as long, may have indexed a segment that ``line`` holds elsewhere
-    than in its own segment. ``line`` has more than 2k(k + 1) characters."""
-    out = []
-    for less in range(k + 1):
-        n = F.length(line) - less
-        for i in range(k + 1):
-            at, size = _segment(n, i, k)
-            for off in range(max(-i, less - (k - i)), min(i, less + k - i) + 1):
-                if less or off:
-                    out.append(F.xxhash64(n, F.lit(i), F.substr(line, at + 1 + off, size)))
-    return out
+def line_keys(distinct: DataFrame, k: int) -> DataFrame:
+    """(lid, key, own): index keys (own) and probe keys of every line (lid, line) of more than 2k(k + 1) characters."""
+    at = F.array(*[F.struct(F.lit(x).alias("less"), F.lit(i).alias("i"), F.lit(o).alias("off")) for x, i, o in placements(k)])
+    rows = distinct.select("lid", "line", F.length("line").alias("chars")).select("lid", "line", "chars", F.explode(at).alias("p"))
+    rows = rows.select("lid", "line", (F.col("chars") - F.col("p.less")).alias("n"), F.col("p.i").alias("i"), F.col("p.off").alias("off"))
+    rows = rows.withColumn("own", (F.col("n") == F.length("line")) & (F.col("off") == 0))
+    begin, end = F.expr(f"CAST(n * i DIV {k + 1} AS INT)"), F.expr(f"CAST(n * (i + 1) DIV {k + 1} AS INT)")
+    return rows.select("lid", F.xxhash64("n", "i", F.substr("line", begin + 1 + F.col("off"), end - begin)).alias("key"), "own")
 
 
 def _bag(line: Column) -> Column:
@@ -157,16 +142,25 @@ def _bag_distance(x: Column, y: Column) -> Column:
     return total
 
 
-def candidate_pairs(distinct: DataFrame, k: int = EDITS) -> DataFrame:
-    """(a, b), a <> b: ids of distinct lines (lid, line) that share an index key and have close bags; each pair once."""
-    line = F.col("line")
-    base = distinct.select("lid", _bag(line).alias("bag"), "line")
-    index = base.select(F.col("lid").alias("a"), F.col("bag").alias("bag_a"), F.explode(F.array(*index_keys(line, k))).alias("key"))
-    both = base.select(F.col("lid").alias("b"), F.col("bag").alias("bag_b"),
-                       F.posexplode(F.array(*index_keys(line, k), *probe_keys(line, k))).alias("pos", "key_b"))
-    probe = both.select("b", "bag_b", "key_b", (F.col("pos") <= k).alias("own"))
+def shared_keys(distinct: DataFrame, k: int = EDITS) -> DataFrame:
+    """(lid, key, own): the rows of ``line_keys`` whose key is in the index and belongs to more than one row."""
+    here = Window.partitionBy("key")
+    keys = line_keys(distinct, k).withColumns({"n": F.count(F.lit(1)).over(here), "index": F.max("own").over(here)})
+    return keys.where("n > 1 AND index").select("lid", "key", "own")
+
+
+def edit_links(shared: DataFrame, texts: DataFrame, k: int = EDITS) -> DataFrame:
+    """(a, b), a < b, each once: lines that share an index key and lie within ``k`` edits. ``texts``: (lid, line).
+
+    Bags and distances are part of the join's condition, so a crowd of lines that share a key but are no near copies
+    yields no rows, and adaptive execution may split the crowd.
+    """
+    rows = shared.join(texts.select("lid", "line", _bag(F.col("line")).alias("bag")), "lid")
+    index = rows.where("own").select(F.col("lid").alias("a"), F.col("line").alias("line_a"), F.col("bag").alias("bag_a"), "key")
+    probe = rows.select(F.col("lid").alias("b"), F.col("line").alias("line_b"), F.col("bag").alias("bag_b"), "own", F.col("key").alias("key_b"))
     meet = (F.col("key") == F.col("key_b")) & (F.col("a") != F.col("b")) & (~F.col("own") | (F.col("a") < F.col("b")))
-    met = index.join(probe, meet & (_bag_distance(F.col("bag_a"), F.col("bag_b")) <= 2 * k))
+    close = F.when(_bag_distance(F.col("bag_a"), F.col("bag_b")) <= 2 * k, edit_distance(F.col("line_a"), F.col("line_b"), k) <= k)
+    met = index.join(probe, meet & close)
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
@@ -177,22 +171,25 @@ def _split_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(row, id, no, line, lid) for every line of MIN_CHARS or more."""
     rows = docs.select(row_key(docs, id_col, text_col).alias("row"), F.col(id_col).alias("id"),
                        F.posexplode(F.split(F.col(text_col), "\n")).alias("no", "line"))
-    rows = rows.withColumn("line", F.btrim("line", F.lit(SPACE))).where(F.length("line") >= MIN_CHARS)
+    rows = rows.withColumn("line", F.trim("line")).where(F.length("line") >= MIN_CHARS)
     return rows.withColumn("lid", F.xxhash64("line"))
 
 
-def near_links(docs: DataFrame, lines: DataFrame, repeated: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
-    """(a, b): line ids within ``k`` edits. ``repeated``: (lid, first) of lines that occur more than once; of those only
-    the first occurrence is cut into segments."""
+def near_links(docs: DataFrame, firsts: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
+    """(a, b): line ids within ``k`` edits. ``firsts``: (lid, first, n), the first occurrence of each line and how many
+    there are; only first occurrences are cut into segments."""
     texts = _split_lines(docs, id_col, text_col).where(F.length("line") >= NEAR_CHARS)
-    once = texts.join(broadcast_if_small(repeated), "lid", "left").where(
-        F.col("first").isNull() | ((F.col("first.row") == F.col("row")) & (F.col("first.no") == F.col("no"))))
-    pairs = stored(candidate_pairs(once.select("lid", "line"), k))
-    wanted = stored(pairs.select(F.col("a").alias("lid")).union(pairs.select("b")).distinct())
-    named = stored(texts.select("lid", "line").join(broadcast_if_small(wanted), "lid", "left_semi").groupBy("lid").agg(F.min("line").alias("line")))
-    left, right = named.select(F.col("lid").alias("a"), F.col("line").alias("x")), named.select(F.col("lid").alias("b"), F.col("line").alias("y"))
-    found = pairs.join(left, "a").join(right, "b").repartition("a", "b")
-    return stored(found.where(edit_distance(F.col("x"), F.col("y"), k) <= k).select("a", "b"))
+    repeated = broadcast_if_small(stored(firsts.where("n > 1").select("lid", F.col("first.row").alias("at_row"), F.col("first.no").alias("at_no"))))
+    is_first = F.col("at_row").isNull() | ((F.col("at_row") == F.col("row")) & (F.col("at_no") == F.col("no")))
+    shared = stored(shared_keys(texts.join(repeated, "lid", "left").where(is_first).select("lid", "line"), k))
+    # the texts of the lines that are left, read from the documents in which they first occur
+    wanted = firsts.join(broadcast_if_small(stored(shared.select("lid").distinct())), "lid", "left_semi")
+    places = wanted.groupBy(F.col("first.row").alias("row")).agg(F.collect_list(F.struct("lid", F.col("first.no").alias("no"))).alias("places"))
+    found = docs.select(row_key(docs, id_col, text_col).alias("row"), F.col(text_col).alias("text")).join(broadcast_if_small(stored(places)), "row")
+    named = found.select(F.explode("places").alias("p"), F.split("text", "\n").alias("lines")).select(
+        F.col("p.lid").alias("lid"), F.trim(F.get("lines", F.col("p.no"))).alias("line"))
+    named = stored(named.groupBy("lid").agg(F.min("line").alias("line")))
+    return stored(edit_links(shared, named, k))
 
 
 def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = EDITS) -> tuple[DataFrame, DataFrame]:
@@ -201,8 +198,7 @@ def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     lines = stored(_split_lines(docs, id_col, text_col).select("row", "id", "no", "lid"))
     place = F.struct(F.col("id").isNull().alias("no_id"), "id", "row", "no")
     firsts = stored(lines.groupBy("lid").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")))
-    repeated = stored(firsts.where("n > 1").select("lid", "first"))
-    roots = components(near_links(docs, lines, repeated, id_col, text_col, k)).withColumnRenamed("node", "lid")
+    roots = components(near_links(docs, firsts, id_col, text_col, k)).withColumnRenamed("node", "lid")
     member = firsts.join(roots, "lid", "left").where("n > 1 OR root IS NOT NULL").withColumn("class", F.coalesce("root", "lid"))
     member = stored(member.select("lid", "class", "first"))
     least = member.groupBy("class").agg(F.min("first").alias("stays"))
@@ -232,14 +228,15 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     free_names(docs, "row", "n_lines", "n_exact", "n_near", "dropped")
     gone = stored(dropped_lines(docs, id_col, text_col, k))
-    all_lines = F.split(F.col(text_col), "\n")
+    if (gone.agg(F.sum(F.size("dropped"))).first()[0] or 0) <= BROADCAST_ROWS:
+        gone = broadcast_if_small(gone)
+    text, zero = F.col(text_col), F.lit(0).cast("long")
+    left = F.array_join(F.filter(F.split(text, "\n"), lambda x, i: ~F.array_contains(F.col("dropped"), i)), "\n")
+    breaks = F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))
     out = docs.withColumn("row", row_key(docs, id_col, text_col)).join(gone, "row", "left")
-    left = F.array_join(F.filter(all_lines, lambda x, i: ~F.array_contains(F.col("dropped"), i)), "\n")
-    return out.withColumn("n_lines", F.coalesce(F.size(all_lines).cast("long"), F.lit(0).cast("long"))).withColumn(
-        text_col, F.when(F.col("dropped").isNull(), F.col(text_col)).otherwise(left)
-    ).withColumns({
-        "n_lines": F.when(F.col(text_col).isNull(), F.lit(0).cast("long")).otherwise(F.col("n_lines")),
-        "n_exact": F.coalesce("n_exact", F.lit(0).cast("long")), "n_near": F.coalesce("n_near", F.lit(0).cast("long")),
+    return out.withColumns({
+        text_col: F.when(F.col("dropped").isNull(), text).otherwise(left), "n_lines": F.coalesce((breaks + 1).cast("long"), zero),
+        "n_exact": F.coalesce("n_exact", zero), "n_near": F.coalesce("n_near", zero),
         "dropped": F.coalesce("dropped", F.array().cast("array<int>"))}).drop("row")
 
 
