@@ -23,17 +23,17 @@ def test_zscore_iqr_mad_flag_the_far_point(spark):
     vals = [1, 2, 2, 3, 3, 3, 4, 4, 5, 6] * 3 + [100]
     long = _long(spark, vals)
     p = D.DetectorParams(contamination=0.1, threshold=3.0)
-    for fn in (D.zscore, D.iqr, D.mad):
-        flagged = {r["row_id"] for r in fn(long, p).where("is_outlier").collect()}
-        assert 30 in flagged, fn.__name__
+    for name in ("Z-Score", "IQR", "MAD"):
+        flagged = {r["row_id"] for r in D.detect(long, p, name).where("is_outlier").collect()}
+        assert 30 in flagged, name
 
 
 def test_contamination_share_bounded(spark):
     rng = np.random.default_rng(5)
     long = _long(spark, rng.normal(size=400))
     p = D.DetectorParams(contamination=0.05, threshold=3.0)
-    for name in ("HBOS", "KNN", "LODA"):
-        share = D.REGISTRY[name](long, p).agg(F.avg(F.col("is_outlier").cast("double"))).first()[0]
+    for name in ("HBOS", "kNN", "LODA"):
+        share = D.detect(long, p, name).agg(F.avg(F.col("is_outlier").cast("double"))).first()[0]
         assert share <= 0.05 + 1.0 / 400 + 1e-9, name
 
 
@@ -42,11 +42,47 @@ def test_learned_detectors_flag_at_most_contamination(spark):
     vals = np.concatenate([rng.normal(size=300), [25.0, -30.0]])
     long = _long(spark, vals)
     p = D.DetectorParams(contamination=0.02, threshold=3.0)
-    for name in ("IForest", "OCSVM"):
-        out = D.REGISTRY[name](long, p)
+    for name in ("IForest", "OC-SVM"):
+        out = D.detect(long, p, name)
         assert out.count() == len(vals)
         share = out.agg(F.avg(F.col("is_outlier").cast("double"))).first()[0]
         # strictly above a linearly interpolated percentile: at most c*n plus one row
         assert share <= 0.02 + 1.0 / len(vals) + 1e-9, name
-    flagged = {r["row_id"] for r in D.REGISTRY["IForest"](long, p).where("is_outlier").collect()}
+    flagged = {r["row_id"] for r in D.detect(long, p, "IForest").where("is_outlier").collect()}
     assert {300, 301} <= flagged
+
+
+def test_one_pass_equals_single_methods(spark):
+    rng = np.random.default_rng(11)
+    long = _long(spark, np.round(rng.normal(size=250), 1)).unionByName(_long(spark, rng.exponential(size=180), chunk=1))
+    p = D.DetectorParams(contamination=0.05, threshold=2.0)
+    both, names = D.masks(long, p)
+    assert names == list(D.METHODS)
+    got = {(r["chunk_id"], r["row_id"]): r["mask"] for r in both.collect()}
+    assert len(got) == 430
+    for name in names:
+        single = {(r["chunk_id"], r["row_id"]) for r in D.detect(long, p, name).where("is_outlier").collect()}
+        assert single == {k for k, m in got.items() if m & D.bit(name)}, name
+
+
+def test_knn_over_partition_edges(spark):
+    """One group over many range partitions, some with fewer rows than k."""
+    vals = np.round(np.random.default_rng(13).normal(size=700) * 2, 2)
+    long = _long(spark, vals)
+    spark.conf.set("spark.sql.shuffle.partitions", "60")
+    try:
+        got = {r["row_id"]: r["score"] for r in D.knn_scores(long, k=20).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+    for i, v in enumerate(vals):
+        assert abs(got[i] - np.sort(np.abs(np.delete(vals, i) - v))[19]) < 1e-9
+
+
+def test_tree_samples_use_the_whole_group(spark):
+    from trustfold.operators import learned
+
+    for n in (100, 3000, 60000):
+        long = _long(spark, range(n))
+        got = learned.tree_samples(long, D.moments(long)).groupBy("tree").agg(F.count("*").alias("n"), F.max("value").alias("m")).collect()
+        assert len(got) == 100
+        assert all(r["n"] < 400 for r in got) and max(r["m"] for r in got) > 0.98 * n

@@ -17,20 +17,29 @@ def test_top_n_guard_all_rows_means_none(spark):
 
 
 def test_failing_method_is_skipped_in_votes_but_fatal_in_consensus(spark, monkeypatch):
-    def broken(long, p):
-        raise RuntimeError("broken detector")
+    """The model fails in its Python worker, for one group only; the results are read, not counted."""
+    from trustfold.operators import learned
 
-    monkeypatch.setitem(D.REGISTRY, "Broken", broken)
+    def broken(chunk_id, column, pdf):
+        if column == "k":
+            raise RuntimeError("broken detector")
+        return real(chunk_id, column, pdf)
+
+    real = learned._forest
+    monkeypatch.setattr(learned, "_forest", broken)
     import datetime as dt
 
     t0 = dt.datetime(2024, 1, 1)
-    mis = spark.createDataFrame([(i, t0 + dt.timedelta(minutes=i), float(i % 7), i % 3) for i in range(60)],
+    mis = spark.createDataFrame([(i, t0 + dt.timedelta(minutes=i), float(i % 7) + 90 * (i == 5), i % 3) for i in range(60)],
                                 "row_id long, Timestamp timestamp_ntz, value double, k long")
-    v = vote_counts(mis, D.DetectorParams(0.05, 3.0), methods=["Z-Score", "Broken"], on_error="skip")
-    assert v.count() == 60
-    with pytest.raises(RuntimeError):
-        D.run_methods(spark.createDataFrame([(0, 1, "x", 1.0)], "chunk_id int, row_id long, column string, value double"),
-                      D.DetectorParams(), methods=["Broken"], on_error="raise")
+    p = D.DetectorParams(0.05, 3.0)
+    with pytest.warns(UserWarning, match="IForest left out: RuntimeError: broken detector"):
+        v = vote_counts(mis, p, methods=["Z-Score", "IForest"], on_error="skip")
+    assert {r["row_id"]: r["votes"] for r in v.collect()} == {i: int(i == 5) for i in range(60)}
+    with pytest.raises(RuntimeError, match="broken detector"):
+        vote_counts(mis, p, methods=["Z-Score", "IForest"], on_error="raise")
+    with pytest.raises(ValueError, match="unknown"):
+        vote_counts(mis, p, methods=["No such method"], on_error="raise")
 
 
 def test_validate_target_feature_rejects_nulls_and_label_encodes(spark):

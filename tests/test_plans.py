@@ -1,21 +1,24 @@
 """Plan-shape checks: the properties the scale design relies on."""
 
 from tests.conftest import SF
-from trustfold.operators import consensus as C
 from trustfold.operators import detectors as D
-from trustfold.sources.tables import load_log, read_table
+from trustfold.sources.tables import read_table
 
 
 def _plan(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-def test_detectors_run_without_exchange_on_partitioned_long_form(spark):
-    long, _ = C.detection_frame(C.chunk(load_log(spark, SF)))
-    p = D.DetectorParams()
-    for name in ("Z-Score", "IQR", "MAD", "HBOS", "KNN", "LODA"):
-        plan = _plan(D.REGISTRY[name](long, p))
-        assert "Exchange" not in plan, name
+def test_a_group_spans_several_tasks(spark):
+    """One (chunk, column) group: no step hashes its rows into one partition, and its masks come from many."""
+    from pyspark.sql import functions as F
+
+    long = spark.range(0, 40000, 1, 8).select(F.lit(0).alias("chunk_id"), F.col("id").alias("row_id"), F.lit("x").alias("column"),
+                                              F.rand(1).alias("value")).checkpoint()
+    masks, _ = D.masks(long, D.DetectorParams(), ["HBOS", "kNN", "Z-Score", "IQR", "MAD"])
+    sizes = [r["count"] for r in masks.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) >= 6 and max(sizes) < 20000
+    assert "Window" not in _plan(masks)
 
 
 def test_scan_reads_only_needed_columns(spark):

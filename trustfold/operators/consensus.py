@@ -5,6 +5,10 @@ every (chunk, column) group at once; per group the method whose removal count
 is nearest the median count wins (ties by registry order); rows flagged by a
 winning method on any column are Misbehaving, the rest Normal.
 
+All methods' flags of a row and column are one bit mask.  Metrics are one
+grouped count per bit, and a row is flagged if the winner's bit is set: no
+table of rows x columns x methods exists.
+
 Mode ``independent`` (default) checks every column on all rows of the chunk
 in one job.  Mode ``sequential`` reproduces the original order dependence:
 rows removed on one column are gone before the next column is checked; it
@@ -13,46 +17,29 @@ loops over columns and cuts lineage with a reliable checkpoint.
 
 from __future__ import annotations
 
-import math
-
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trustfold.operators import detectors as D
-from trustfold.operators.encode import encode_features, scale_grouped
+from trustfold.operators.encode import encode_features, numeric_columns, scale_grouped, string_columns
 from trustfold.plans.ordered import global_row_number
-from trustfold.session import checkpoint_partitioned, ensure_checkpoint_dir
-from trustfold.sources.tables import ROW_ID, TS
-
-# At most this many rows per chunk: keeps every (chunk, column) group small
-# enough for exact percentiles and the sorted kNN window.  Below 10x this
-# size the chunk rule is exactly the original one (10 near-equal chunks).
-MAX_CHUNK_ROWS = 5_000_000
-EXCLUDE = ("User_Id", "Timestamp", "User_Reputation", "User_Experience", ROW_ID)
+from trustfold.plans.percentiles import group_percentiles
+from trustfold.session import ensure_checkpoint_dir
+from trustfold.sources.tables import ROW_ID, TS, USER
 
+#: Never checked for outliers: keys, the target and what is derived from it.
+EXCLUDE = (USER, TS, "User_Reputation", "User_Experience", ROW_ID, "chunk_id")
 
-def chunk_count(n_rows: int, chunk_percent: float = 0.1, max_chunk_rows: int | None = MAX_CHUNK_ROWS) -> int:
-    size = max(1, int(n_rows * chunk_percent))
-    n = max(1, n_rows // size)
-    if max_chunk_rows:
-        n = max(n, math.ceil(n_rows / max_chunk_rows))
-    return n
 
-
-def chunk(df: DataFrame, order=(TS, ROW_ID), chunk_percent: float = 0.1, max_chunk_rows: int | None = MAX_CHUNK_ROWS) -> DataFrame:
+def chunk(df: DataFrame, order=(TS, ROW_ID), chunk_percent: float = 0.1) -> DataFrame:
     """G1: ``chunk_id`` of contiguous near-equal slices (the first N mod n slices one row longer).
 
-    The same arithmetic as ``chunk_count`` runs on the row count that the
-    global numbering attaches, so no separate count job is needed.
+    The row count comes with the global numbering, so no separate count job is needed.
     """
     numbered = global_row_number(df, list(order), out="_i", total="_cnt")
     i, total = F.col("_i"), F.col("_cnt")
     size = F.greatest(F.lit(1), F.floor(total * F.lit(float(chunk_percent))))
-    n = F.greatest(F.lit(1), F.floor(total / size))
-    if max_chunk_rows:
-        n = F.greatest(n, F.ceil(total / F.lit(float(max_chunk_rows))))
-    numbered = numbered.withColumn("_nc", n.cast("long"))
+    numbered = numbered.withColumn("_nc", F.greatest(F.lit(1), F.floor(total / size)).cast("long"))
     nc = F.col("_nc")
     q, r = F.floor(total / nc), total % nc
     cut = r * (q + 1)
@@ -60,92 +47,88 @@ def chunk(df: DataFrame, order=(TS, ROW_ID), chunk_percent: float = 0.1, max_chu
     return numbered.withColumn("chunk_id", cid.cast("int")).drop("_i", "_cnt", "_nc")
 
 
+def checked_columns(df: DataFrame, exclude=EXCLUDE) -> tuple[list[str], list[str]]:
+    """(numeric, categorical) columns of the frame that are not excluded."""
+    return numeric_columns(df, exclude), string_columns(df, exclude)
+
+
 def long_form(df: DataFrame, columns, ids=("chunk_id", ROW_ID)) -> DataFrame:
     cols = [F.col(c).cast("double").alias(c) for c in columns]
     wide = df.select(*ids, *cols)
     return wide.unpivot(list(ids), list(columns), "column", "value")
 
 
-def median_fill(long: DataFrame, group=D.G) -> DataFrame:
-    """I4 on the long form: a null takes its group's median."""
-    med = long.groupBy(*group).agg(F.percentile("value", 0.5).alias("_med"))
-    return long.join(med, list(group)).withColumn("value", F.coalesce("value", "_med")).drop("_med")
+def fill_missing(long: DataFrame, group=tuple(D.G)) -> DataFrame:
+    """I4: a null takes its group's median.  (The mean fill I3 that follows in the original has nothing left to fill:
+    a group without a median has no mean either.)"""
+    medians = group_percentiles(long, list(group), {"_med": (F.col("value"), 0.5)}, few=True)
+    return long.join(F.broadcast(medians), list(group)).withColumn("value", F.coalesce("value", "_med")).drop("_med")
 
 
-def mean_fill(long: DataFrame, group=D.G) -> DataFrame:
-    """I3 on the long form: a null takes its group's mean."""
-    m = long.groupBy(*group).agg(F.avg("value").alias("_m"))
-    return long.join(m, list(group)).withColumn("value", F.coalesce("value", "_m")).drop("_m")
+def detection_frame(chunked: DataFrame, numeric=None, categorical=None, scaler: str | None = None) -> tuple[DataFrame, list[str]]:
+    """Encode (numeric, one-hot, label), go long, fill per (chunk, column); (frame, column names).
 
-
-def fill_missing(long: DataFrame, group=D.G) -> DataFrame:
-    """I4 then I3 in one aggregation: a null takes its group's median (the
-    mean fill that follows in the original only matters for an all-null group,
-    where both are null)."""
-    st = long.groupBy(*group).agg(F.percentile("value", 0.5).alias("_med"), F.avg("value").alias("_m"))
-    return long.join(st, list(group)).withColumn("value", F.coalesce("value", "_med", "_m")).drop("_med", "_m")
-
-
-def detection_frame(chunked: DataFrame, numeric=("value", "k"), categorical=("event_type",), scaler: str | None = None) -> tuple[DataFrame, list[str]]:
-    """Encode (numeric, one-hot, label), go long, fill per (chunk, column).
-
-    Scaling is optional: the original standard-scales each chunk first, but
-    every SQL-checkable detector gives the same flags under a shift or a
-    positive scale (apart from the 1e-9 floors), so the default skips it.
+    Without lists, all columns that are not excluded are checked.  Scaling is optional: the original standard-scales
+    each chunk first, but every SQL-checkable detector gives the same flags under a shift or a positive scale (apart
+    from the 1e-9 floors), so the default skips it.  The frame is written once, as every detector reads it.
     """
-    enc, names = encode_features(chunked, list(numeric), list(categorical))
-    long = fill_missing(long_form(enc, names))
+    if numeric is None and categorical is None:
+        numeric, categorical = checked_columns(chunked)
+    enc, names = encode_features(chunked, list(numeric or ()), list(categorical or ()))
+    ensure_checkpoint_dir(chunked.sparkSession)
+    long = fill_missing(long_form(enc, names).checkpoint())
     if scaler:
         long = scale_grouped(long, "value", D.G, scaler)
-    # Every detector reads the long form: write it once to the shared
-    # checkpoint folder, hash-partitioned on (chunk_id, column).  That cuts
-    # the lineage the detectors would otherwise re-plan eight times, and the
-    # remembered partitioning lets all their group windows skip the exchange.
-    return checkpoint_partitioned(long, D.G), names
+    return long.checkpoint(), names
 
 
-def method_flags(long: DataFrame, p: D.DetectorParams, methods=None, on_error="raise") -> DataFrame:
-    return D.run_methods(long, p, methods, on_error)
+def metrics(masks: DataFrame, methods) -> DataFrame:
+    """Per (chunk, column, method): rows before, removed and after."""
+    has = lambda m: F.col("mask").bitwiseAND(F.lit(D.bit(m))) != 0
+    counts = masks.groupBy("chunk_id", "column").agg(
+        F.count(F.lit(1)).alias("original_size"), *[F.count_if(has(m)).alias(f"_{i}") for i, m in enumerate(methods)])
+    each = F.explode(F.array(*[F.struct(F.lit(m).alias("method"), F.lit(D.priority(m)).alias("priority"), F.col(f"_{i}").alias("outliers_removed"))
+                               for i, m in enumerate(methods)]))
+    rows = counts.select("chunk_id", "column", "original_size", each.alias("_m")).select("chunk_id", "column", "_m.*", "original_size")
+    return rows.withColumn("cleaned_size", F.col("original_size") - F.col("outliers_removed"))
 
 
-def metrics(flags: DataFrame, with_indices: bool = False) -> DataFrame:
-    """Per (chunk, column, method): rows before, removed, after (and the removed ids on request)."""
-    aggs = [
-        F.count(F.lit(1)).alias("original_size"),
-        F.count_if(F.col("is_outlier")).alias("outliers_removed"),
-    ]
-    if with_indices:
-        aggs.append(F.array_sort(F.collect_list(F.when(F.col("is_outlier"), F.col(ROW_ID)))).alias("outlier_indices"))
-    m = flags.groupBy("chunk_id", "column", "method", "priority").agg(*aggs)
-    return m.withColumn("cleaned_size", F.col("original_size") - F.col("outliers_removed"))
+def outlier_ids(masks: DataFrame, methods) -> DataFrame:
+    """The removed row ids, one row each: chunk_id, column, method, row_id."""
+    hit = F.array_compact(F.array(*[F.when(F.col("mask").bitwiseAND(F.lit(D.bit(m))) != 0, F.lit(m)) for m in methods]))
+    return masks.select("chunk_id", "column", F.explode(hit).alias("method"), ROW_ID)
 
 
 def best_methods(m: DataFrame) -> DataFrame:
     """Per (chunk, column) the method nearest the median removal count, ties by registry order."""
-    w = Window.partitionBy("chunk_id", "column")
+    w = Window.partitionBy("chunk_id", "column")  # one row per method
     ranked = m.withColumn("_med", F.percentile(F.col("outliers_removed").cast("double"), 0.5).over(w)).withColumn(
         "_r", F.row_number().over(w.orderBy(F.abs(F.col("outliers_removed") - F.col("_med")), "priority"))
     )
     return ranked.where(F.col("_r") == 1).drop("_r", "_med")
 
 
-def flagged_rows(flags: DataFrame, best: DataFrame) -> DataFrame:
+def flagged_rows(masks: DataFrame, best: DataFrame) -> DataFrame:
     """Distinct (chunk, row) flagged by the winning method of any column."""
-    win = flags.join(best.select("chunk_id", "column", "method"), ["chunk_id", "column", "method"], "left_semi")
-    return win.where("is_outlier").select("chunk_id", ROW_ID).distinct()
+    winner = best.select("chunk_id", "column", F.call_function("shiftleft", F.lit(1), F.col("priority")).alias("_bit"))
+    return masks.join(F.broadcast(winner), ["chunk_id", "column"]).where("mask & _bit <> 0").select("chunk_id", ROW_ID).distinct()
+
+
+def tag(log: DataFrame, flagged: DataFrame) -> DataFrame:
+    """The log with ``is_misbehaving``, in one join."""
+    hit = flagged.select(ROW_ID, F.lit(True).alias("_hit")).distinct()
+    return log.join(hit, ROW_ID, "left").withColumn("is_misbehaving", F.coalesce("_hit", F.lit(False))).drop("_hit")
 
 
-def split(log: DataFrame, flagged: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Normal = anti join, Misbehaving = semi join on row id."""
-    ids = flagged.select(ROW_ID)
-    return log.join(ids, ROW_ID, "left_anti"), log.join(ids, ROW_ID, "left_semi")
+def in_time_order(df: DataFrame) -> DataFrame:
+    """Rows by time, null times last, as written to the result table."""
+    order = [F.col(TS).asc_nulls_last(), F.col(ROW_ID)]
+    return df.repartitionByRange(*order).sortWithinPartitions(*order)
 
 
-def summary(log: DataFrame, normal: DataFrame) -> DataFrame:
-    """Original, cleaned, unique removed and percent removed, in one row."""
-    o = log.agg(F.count(F.lit(1)).alias("original_rows"))
-    c = normal.agg(F.count(F.lit(1)).alias("cleaned_rows"))
-    both = o.unionByName(c, allowMissingColumns=True).agg(F.max("original_rows").alias("original_rows"), F.max("cleaned_rows").alias("cleaned_rows"))
+def summary(tagged: DataFrame) -> DataFrame:
+    """Original, cleaned, unique removed and percent removed, in one row and one pass."""
+    both = tagged.agg(F.count(F.lit(1)).alias("original_rows"), F.count_if(~F.col("is_misbehaving")).alias("cleaned_rows"))
     removed = F.col("original_rows") - F.col("cleaned_rows")
     return both.select(
         "original_rows",
@@ -158,47 +141,45 @@ def summary(log: DataFrame, normal: DataFrame) -> DataFrame:
 def by_method(m: DataFrame) -> DataFrame:
     """Total removed per method and its percent of the grand total."""
     t = m.groupBy("method").agg(F.sum("outliers_removed").alias("total_removed"))
-    grand = F.sum("total_removed").over(Window.partitionBy())
+    grand = F.sum("total_removed").over(Window.partitionBy())  # one row per method
     return t.withColumn("percent", F.when(grand == 0, F.lit(0.0)).otherwise(F.round(F.col("total_removed") / grand * 100, 6)))
 
 
-def consensus(log: DataFrame, p: D.DetectorParams, numeric=("value", "k"), categorical=("event_type",), methods=None,
-              mode: str = "independent", chunk_percent: float = 0.1, max_chunk_rows: int | None = MAX_CHUNK_ROWS):
-    """Full G1-G9 pass.  Returns dict with chunked, flags, metrics, best, normal, misbehaving."""
-    chunked = chunk(log, chunk_percent=chunk_percent, max_chunk_rows=max_chunk_rows)
-    long, names = detection_frame(chunked, numeric, categorical)
+def consensus(log: DataFrame, p: D.DetectorParams, numeric=None, categorical=None, methods=None,
+              mode: str = "independent", chunk_percent: float = 0.1, on_error: str = "raise"):
+    """Full G1-G10 pass.  Returns a dict: long, columns, methods, masks, metrics, best, flagged, tagged, normal, misbehaving."""
+    long, names = detection_frame(chunk(log, chunk_percent=chunk_percent), numeric, categorical)
     if mode == "independent":
-        # metrics, best methods and flagged rows all read the flags: write them once.
-        flags = method_flags(long, p, methods).checkpoint(eager=True)
-        m = metrics(flags)
-        best = best_methods(m)
-        flagged = flagged_rows(flags, best)
+        masks, used = D.masks(long, p, methods, on_error)
+        masks = masks.checkpoint()  # read by metrics, flagged rows and ids
+        m = metrics(masks, used)
+        best = best_methods(m).checkpoint()
+        flagged = flagged_rows(masks, best)
     elif mode == "sequential":
-        flags, m, best, flagged = _sequential(long, names, p, methods)
+        masks, used, m, best, flagged = _sequential(long, names, p, methods, on_error)
     else:
         raise ValueError(f"unknown mode {mode!r}")
-    normal, mis = split(log, flagged)
-    return {"chunked": chunked, "long": long, "flags": flags, "metrics": m, "best": best,
-            "flagged": flagged, "normal": normal, "misbehaving": mis, "columns": names}
+    tagged = tag(log, flagged).checkpoint()
+    return {"long": long, "columns": names, "methods": used, "masks": masks, "metrics": m, "best": best, "flagged": flagged, "tagged": tagged,
+            "normal": tagged.where("NOT is_misbehaving").drop("is_misbehaving"),
+            "misbehaving": tagged.where("is_misbehaving").drop("is_misbehaving")}
 
 
-def _sequential(long: DataFrame, names, p, methods):
+def _sequential(long: DataFrame, names, p, methods, on_error):
     """Columns in order; rows flagged on a column leave the chunk before the next one."""
-    ensure_checkpoint_dir(long.sparkSession)
-    removed = None
-    all_flags, all_metrics, all_best, all_flagged = [], [], [], []
+    removed, used = None, None
+    all_masks, all_best = [], []
     for c in names:
         part = long.where(F.col("column") == c)
         if removed is not None:
             part = part.join(removed, ["chunk_id", ROW_ID], "left_anti")
-        flags = method_flags(part, p, methods)
-        m = metrics(flags)
-        best = best_methods(m)
-        fl = flagged_rows(flags, best).checkpoint()
-        removed = fl if removed is None else removed.unionByName(fl).checkpoint()
-        all_flags.append(flags)
-        all_metrics.append(m)
+        masks, used = D.masks(part.checkpoint(), p, methods, on_error)
+        masks = masks.checkpoint()
+        best = best_methods(metrics(masks, used)).checkpoint()
+        hit = flagged_rows(masks, best)
+        removed = (hit if removed is None else removed.unionByName(hit)).checkpoint()
+        all_masks.append(masks)
         all_best.append(best)
-        all_flagged.append(fl)
-    u = lambda xs: xs[0] if len(xs) == 1 else xs[0].unionByName(u(xs[1:]))
-    return u(all_flags), u(all_metrics), u(all_best), removed
+    union = lambda xs: xs[0] if len(xs) == 1 else xs[0].unionByName(union(xs[1:]))
+    masks = union(all_masks)
+    return masks, used, metrics(masks, used), union(all_best), removed

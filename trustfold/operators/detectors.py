@@ -1,11 +1,17 @@
-"""One-dimensional outlier detectors on the long form.
+"""One-dimensional outlier detectors on the long form.
 
 Input: ``(chunk_id, row_id, column, value)`` without nulls (fill first).
-Output: the input keys plus ``is_outlier`` (boolean).  Statistics are
-computed per (chunk_id, column) group with ``groupBy`` (partial aggregation)
-and joined back; the statistics table has one row per group, so AQE
-broadcasts it.  Only kNN needs the sorted group (a window); group size is
-bounded by the chunking rule (see ``consensus.chunk``).
+Output of ``masks``: the input keys and ``mask``, one bit per method.
+
+A (chunk, column) group is never held in one task.  Everything a detector
+needs to know of its group is a small row of statistics, made by partial
+aggregation: moments, range, bin counts, exact percentiles
+(``trustfold.plans.percentiles``) and fitted models of fixed size.  There are as
+many rows as chunks times columns, which the chunk rule and the schema bound, so
+they are broadcast, and all methods' flags are computed in one pass.  Only
+kNN needs order: values are range-partitioned, and a run of one group within
+one partition gets the 20 nearest values of its neighbours from a table of
+partition edges.
 
 Constants that the original leaves to library defaults are ours and
 documented here: HBOS 10 equal-width bins with regulariser 0.1; kNN 20
@@ -15,11 +21,20 @@ penalised likelihood among 5, 10, 20, 40.
 
 from __future__ import annotations
 
+import warnings
 from dataclasses import dataclass
-from typing import Callable
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from trustfold.operators import learned
+from trustfold.plans.ordered import SEG, range_sorted
+from trustfold.plans.percentiles import group_percentiles, weighted_percentiles
+from trustfold.session import ensure_checkpoint_dir
 
 G = ["chunk_id", "column"]
 KEYS = ["chunk_id", "row_id", "column"]
@@ -29,182 +44,209 @@ HBOS_ALPHA = 0.1
 KNN_K = 20
 LODA_BIN_CHOICES = (5, 10, 20, 40)
 
+# The published method names, in registry order, which breaks ties.
+METHODS = ("HBOS", "kNN", "IForest", "LODA", "OC-SVM", "Z-Score", "IQR", "MAD")
+SQL_CHECKABLE = ("HBOS", "kNN", "LODA", "Z-Score", "IQR", "MAD")
+
 
 @dataclass(frozen=True)
 class DetectorParams:
     contamination: float = 0.01
     threshold: float = 3.0
-    exact: bool = True  # exact percentiles; False -> approx_percentile at scale
 
     @classmethod
-    def from_scenario(cls, s, exact: bool = True) -> "DetectorParams":
-        return cls(s.contamination_rate, s.threshold, exact)
-
-
-def _pct(c: Column, q, p: DetectorParams) -> Column:
-    if p.exact:
-        return F.percentile(c, q)
-    return F.percentile_approx(c, q, 10000)
-
-
-def _grp(*extra) -> Window:
-    """Whole-group window.  The long form is hash-partitioned on (chunk_id,
-    column) before it is checkpointed, so these windows need no exchange, and
-    a group is bounded by the chunking rule."""
-    return Window.partitionBy(*G, *extra)
+    def from_scenario(cls, s) -> "DetectorParams":
+        return cls(s.contamination_rate, s.threshold)
 
 
-def contamination_flags(scored: DataFrame, p: DetectorParams, score: str = "score") -> DataFrame:
-    """Flag rows whose score is above the (1 - c) linear percentile of their group."""
-    thr = _pct(F.col(score), 1.0 - p.contamination, p).over(_grp())
-    out = scored.withColumn("_thr", thr).withColumn("is_outlier", F.coalesce(F.col(score) > F.col("_thr"), F.lit(False)))
-    return out.select(*KEYS, "is_outlier")
-
-
-def zscore(long: DataFrame, p: DetectorParams) -> DataFrame:
-    """|x - mean| / std_pop > t; a zero std becomes 1e-9."""
-    sd = F.stddev_pop("value").over(_grp())
-    sd = F.when(sd == 0, F.lit(FLOOR)).otherwise(sd)
-    flag = F.abs((F.col("value") - F.avg("value").over(_grp())) / sd) > F.lit(p.threshold)
-    return long.withColumn("is_outlier", flag).select(*KEYS, "is_outlier")
+def priority(name: str) -> int:
+    return METHODS.index(name)
 
 
-def iqr(long: DataFrame, p: DetectorParams) -> DataFrame:
-    """Outside [q1 - t*iqr, q3 + t*iqr] (linear percentiles; the multiplier is t)."""
-    j = long.withColumn("_q", _pct(F.col("value"), [0.25, 0.75], p).over(_grp()))
-    q1, q3 = F.col("_q")[0], F.col("_q")[1]
-    width = q3 - q1
-    flag = (F.col("value") < q1 - F.lit(p.threshold) * width) | (F.col("value") > q3 + F.lit(p.threshold) * width)
-    return j.withColumn("is_outlier", flag).select(*KEYS, "is_outlier")
+def bit(name: str) -> int:
+    return 1 << priority(name)
 
 
-def mad(long: DataFrame, p: DetectorParams) -> DataFrame:
-    """D3: |0.6745 (x - median) / MAD| > t; a zero MAD becomes 1e-9."""
-    j = long.withColumn("_med", _pct(F.col("value"), 0.5, p).over(_grp()))
-    j = j.withColumn("_mad", _pct(F.abs(F.col("value") - F.col("_med")), 0.5, p).over(_grp()))
-    m = F.when(F.col("_mad") == 0, F.lit(FLOOR)).otherwise(F.col("_mad"))
-    flag = F.abs(F.lit(0.6745) * (F.col("value") - F.col("_med")) / m) > F.lit(p.threshold)
-    return j.withColumn("is_outlier", flag).select(*KEYS, "is_outlier")
+# --- group statistics -------------------------------------------------------------
 
 
-def _with_range(long: DataFrame) -> DataFrame:
-    return (long.withColumn("_min", F.min("value").over(_grp())).withColumn("_max", F.max("value").over(_grp()))
-            .withColumn("_n", F.count(F.lit(1)).over(_grp())))
+def moments(long: DataFrame) -> DataFrame:
+    """One row per group: _mean, _sd, _min, _max, _n."""
+    return long.groupBy(*G).agg(
+        F.avg("value").alias("_mean"), F.stddev_pop("value").alias("_sd"), F.min("value").alias("_min"),
+        F.max("value").alias("_max"), F.count(F.lit(1)).alias("_n"))
 
 
-def _equal_width_bin(bins: Column | int) -> Column:
-    k = F.lit(bins) if isinstance(bins, int) else bins
-    width = (F.col("_max") - F.col("_min")) / k
+def _bin(bins: Column) -> Column:
+    """Equal-width bin of ``value`` between ``_min`` and ``_max``; 0 if they are equal."""
+    width = (F.col("_max") - F.col("_min")) / bins
     raw = F.floor((F.col("value") - F.col("_min")) / width)
-    return F.when(F.col("_max") == F.col("_min"), F.lit(0)).otherwise(F.least(raw.cast("int"), (k - 1).cast("int")))
-
-
-def hbos_scores(long: DataFrame, bins: int = HBOS_BINS, alpha: float = HBOS_ALPHA) -> DataFrame:
-    """D4 score: -log2(histogram density + alpha) with equal-width bins."""
-    b = _with_range(long).withColumn("_bin", _equal_width_bin(bins))
-    b = b.withColumn("_nb", F.count(F.lit(1)).over(_grp("_bin")))
-    width = F.when(F.col("_max") == F.col("_min"), F.lit(1.0)).otherwise((F.col("_max") - F.col("_min")) / F.lit(bins))
-    dens = F.col("_nb") / (F.col("_n") * width)
-    return b.withColumn("score", -F.log2(dens + F.lit(alpha)))
-
+    return F.when(F.col("_max") == F.col("_min"), F.lit(0)).otherwise(F.least(raw.cast("int"), (bins - 1).cast("int")))
 
-def hbos(long: DataFrame, p: DetectorParams) -> DataFrame:
-    return contamination_flags(hbos_scores(long), p)
 
+def _score_threshold(scores: DataFrame, c: float, name: str) -> DataFrame:
+    """D9 for scores that come as (score, rows) per group: the (1 - c) linear percentile."""
+    n = scores.groupBy(*G).agg(F.sum("rows").alias("_all"))
+    rows = scores.groupBy(*G, "score").agg(F.sum("rows").alias("rows")).join(n, G)
+    return weighted_percentiles(rows, G, "score", "rows", F.lit(1.0 - c), F.lit(0), F.col("_all"), name)
 
-def knn_scores(long: DataFrame, k: int = KNN_K) -> DataFrame:
-    """D5 score: distance to the k-th nearest other value, exact in 1-D.
 
-    On sorted values the k nearest others are j to the left and k-j to the
-    right for some j, so the distance is min_j max(x - x[i-j], x[i+k-j] - x).
-    One window frame collects the 2k+1 sorted neighbours of each row; the
-    minimum over j is a higher-order expression on that small array.
-    """
-    w = Window.partitionBy(*G).orderBy("value", "row_id")
-    nb = F.collect_list("value").over(w.rowsBetween(-k, k))
-    pos = F.least(F.row_number().over(w) - 1, F.lit(k))  # index of the row's own value in the frame
-    dist = F.expr(
-        f"""array_min(transform(sequence(0, {k}), j ->
-              CASE WHEN _p - j >= 0 AND _p + {k} - j < size(_nb)
-                   THEN greatest(value - get(_nb, _p - j), get(_nb, _p + {k} - j) - value) END))"""
-    )
-    return long.withColumn("_nb", nb).withColumn("_p", pos.cast("int")).withColumn("score", dist).drop("_nb", "_p")
+def _bin_scores(counts: DataFrame, name: str, p: DetectorParams) -> DataFrame:
+    """One row per group: ``_{name}``, the scores by bin, and ``_{name}_cut``.  ``counts``: bin, rows, score."""
+    by_bin = counts.groupBy(*G).agg(F.map_from_entries(F.collect_list(F.struct("bin", "score"))).alias(f"_{name}"))
+    return by_bin.join(_score_threshold(counts.select(*G, "score", "rows"), p.contamination, f"_{name}_cut"), G)
 
 
-def knn(long: DataFrame, p: DetectorParams) -> DataFrame:
-    return contamination_flags(knn_scores(long), p)
+def hbos_stats(binned: DataFrame, p: DetectorParams) -> DataFrame:
+    """A bin's score is -log2(histogram density + alpha)."""
+    width = F.when(F.col("_max") == F.col("_min"), F.lit(1.0)).otherwise((F.col("_max") - F.col("_min")) / F.lit(HBOS_BINS))
+    counts = binned.groupBy(*G, "_min", "_max", "_n", _bin(F.lit(HBOS_BINS)).alias("bin")).agg(F.count(F.lit(1)).alias("rows"))
+    return _bin_scores(counts.withColumn("score", -F.log2(F.col("rows") / (F.col("_n") * width) + F.lit(HBOS_ALPHA))), "hbos", p)
 
 
-def loda_scores(long: DataFrame, choices=LODA_BIN_CHOICES) -> DataFrame:
-    """D7 score in one dimension: -ln(bin share) of an equal-width histogram.
+def loda_stats(binned: DataFrame, p: DetectorParams) -> DataFrame:
+    """D7 in one dimension: -ln(bin share) of an equal-width histogram, and ``_loda_k``, its bins.
 
-    Every random projection of one column only rescales or mirrors it, so the
-    ensemble reduces to one histogram; its bin count is picked per group by
-    the penalised likelihood sum_b n_b ln(k n_b / N) - (k - 1 + ln(k)^2.5)
-    (ties to the smaller k).  The sum over bins equals a sum over rows of
-    ln(k n_b / N), so every step is a window over the group.
+    Every random projection of one column only rescales or mirrors it, so the ensemble reduces to one histogram; its bin
+    count is picked per group by the penalised likelihood sum_b n_b ln(k n_b / N) - (k - 1 + ln(k)^2.5) (ties to the smaller k).
     """
-    b = _with_range(long).withColumn("_k", F.explode(F.array(*[F.lit(c) for c in choices])))
-    b = b.withColumn("_bin", _equal_width_bin(F.col("_k")))
-    b = b.withColumn("_nb", F.count(F.lit(1)).over(_grp("_k", "_bin")))
-    ll = F.sum(F.log(F.col("_k") * F.col("_nb") / F.col("_n"))).over(_grp("_k"))
-    b = b.withColumn("_crit", ll - (F.col("_k") - 1 + F.pow(F.log(F.col("_k").cast("double")), F.lit(2.5))))
-    best = F.max(F.struct(F.col("_crit"), (-F.col("_k")).alias("_nk"))).over(_grp())
-    b = b.withColumn("_best", -best["_nk"]).where(F.col("_k") == F.col("_best"))
-    return b.withColumn("score", -F.log(F.col("_nb") / F.col("_n")))
-
-
-def loda(long: DataFrame, p: DetectorParams) -> DataFrame:
-    return contamination_flags(loda_scores(long), p)
-
-
-def _iforest(long, p):
-    from trustfold.operators.learned import iforest
+    picks = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), _bin(F.lit(k)).alias("bin")) for k in LODA_BIN_CHOICES]))
+    counts = binned.select(*G, "_n", picks.alias("_e")).groupBy(*G, "_n", "_e.k", "_e.bin").agg(F.count(F.lit(1)).alias("rows"))
+    fit = F.sum(F.col("rows") * F.log(F.col("k") * F.col("rows") / F.col("_n"))) - (F.col("k") - 1 + F.pow(F.log(F.col("k").cast("double")), F.lit(2.5)))
+    best = counts.groupBy(*G, "k").agg(fit.alias("fit")).groupBy(*G).agg(F.max(F.struct("fit", (-F.col("k")).alias("nk"))).alias("b"))
+    best = best.select(*G, (-F.col("b.nk")).alias("k"))
+    chosen = counts.join(best, [*G, "k"]).withColumn("score", -F.log(F.col("rows") / F.col("_n")))
+    return _bin_scores(chosen, "loda", p).join(best.withColumnRenamed("k", "_loda_k"), G)
 
-    return iforest(long, p)
 
+# --- kNN --------------------------------------------------------------------------
 
-def _ocsvm(long, p):
-    from trustfold.operators.learned import ocsvm
 
-    return ocsvm(long, p)
+def kth_distances(x: np.ndarray, before: np.ndarray, after: np.ndarray, k: int) -> np.ndarray:
+    """Distance from each of the sorted ``x`` to its k-th nearest other value, NaN if there are fewer; ``before`` and
+    ``after`` are the sorted values next to x.  The k nearest are j to the left and k - j to the right for some j."""
+    pad = np.full(k, np.nan)
+    line = np.concatenate([pad, before[-k:] if len(before) else before, x, after[:k], pad])
+    at = k + min(k, len(before)) + np.arange(len(x))
+    best = np.full(len(x), np.nan)
+    for j in range(k + 1):
+        best = np.fmin(best, np.maximum(x - line[at - j], line[at + k - j] - x))
+    return best
 
 
-# Method registry (D10): name -> detector; the order is the tie-break priority.
-REGISTRY: dict[str, Callable[[DataFrame, DetectorParams], DataFrame]] = {
-    "HBOS": hbos,
-    "KNN": knn,
-    "IForest": _iforest,
-    "LODA": loda,
-    "OCSVM": _ocsvm,
-    "Z-Score": zscore,
-    "IQR": iqr,
-    "MAD": mad,
-}
-SQL_CHECKABLE = ("HBOS", "KNN", "LODA", "Z-Score", "IQR", "MAD")
-
-
-def priority(name: str) -> int:
-    return list(REGISTRY).index(name)
-
-
-def run_methods(long: DataFrame, p: DetectorParams, methods=None, on_error: str = "raise") -> DataFrame:
-    """All detectors on all groups at once: (chunk_id,row_id,column,method,priority,is_outlier).
+def knn_scores(long: DataFrame, k: int = KNN_K) -> DataFrame:
+    """KEYS, value and D5 score of every row, exact in one dimension.
 
-    ``on_error="skip"`` leaves out a method whose plan cannot be built (G16).
+    A group may run over many range partitions.  Each contributes its first and last k values of the group to a table of
+    edges: at most 2k values for each pair of group and partition, of which there are no more than groups plus partitions.
     """
-    parts = []
-    for name in methods or list(REGISTRY):
-        try:
-            out = REGISTRY[name](long, p)
-        except Exception:
-            if on_error == "skip":
-                continue
-            raise
-        parts.append(out.select(*KEYS, F.lit(name).alias("method"), F.lit(priority(name)).alias("priority"), "is_outlier"))
-    if not parts:
-        raise ValueError("no outlier method could be planned")
-    res = parts[0]
-    for x in parts[1:]:
-        res = res.unionByName(x)
-    return res
+    sorted_rows = range_sorted(long.select(*KEYS, "value"), G, ["value", "row_id"])
+
+    def ends(batches):
+        held = pd.concat(list(batches), ignore_index=True)  # one range partition
+        for _, rows in held.groupby(G, sort=False):
+            yield rows if len(rows) <= 2 * k else pd.concat([rows.head(k), rows.tail(k)])
+
+    runs = sorted_rows.select(*G, SEG, "value")
+    edges = runs.mapInPandas(ends, runs.schema)
+    by_run: dict[tuple, dict[int, list[float]]] = {}
+    for r in edges.toLocalIterator():
+        by_run.setdefault((r[0], r[1]), {}).setdefault(r[2], []).append(r[3])
+    shared = long.sparkSession.sparkContext.broadcast({g: runs for g, runs in by_run.items() if len(runs) > 1})
+
+    def near(group, seg):
+        runs = shared.value.get(group, {})
+        left = [v for s in runs if s < seg for v in runs[s]]
+        right = [v for s in runs if s > seg for v in runs[s]]
+        return np.sort(np.array(left, dtype=float)), np.sort(np.array(right, dtype=float))
+
+    def score(batches):
+        held = pd.concat(list(batches), ignore_index=True)  # one range partition
+        for group, rows in held.groupby(G, sort=False):
+            before, after = near(group, int(rows[SEG].iloc[0]))
+            yield rows[[*KEYS, "value"]].assign(score=kth_distances(rows["value"].to_numpy(), before, after, k))
+
+    schema = T.StructType([long.schema[c] for c in (*KEYS, "value")] + [T.StructField("score", T.DoubleType())])
+    scored = sorted_rows.select(*KEYS, "value", SEG).mapInPandas(score, schema)
+    return scored.withColumn("score", F.when(~F.isnan("score"), F.col("score")))
+
+
+# --- all methods ---------------------------------------------------------------------
+
+
+def _fit_models(long: DataFrame, stats: DataFrame, names, on_error: str) -> tuple[dict, list[str]]:
+    """Fitted models of the learned methods by group, and the methods left.  A model that fails fails its method: at
+    ``on_error="skip"`` the method is dropped with a warning."""
+    models, left = {}, list(names)
+    for name, fit in (("IForest", learned.fit_forests), ("OC-SVM", learned.fit_machines)):
+        if name not in names:
+            continue
+        got, errors = fit(long, stats)
+        if errors:
+            if on_error != "skip":
+                raise RuntimeError(f"{name}: {errors[0]}")
+            warnings.warn(f"{name} left out: {errors[0]}", stacklevel=3)
+            left.remove(name)
+        else:
+            models[name] = got
+    return models, left
+
+
+def masks(long: DataFrame, p: DetectorParams, methods=None, on_error: str = "raise") -> tuple[DataFrame, list[str]]:
+    """(frame, methods): KEYS and ``mask``, whose bit ``bit(name)`` says that the method flags the row, for every row of
+    ``long``; and the methods that ran.  ``on_error="skip"`` (G16) leaves out a method whose model cannot be fitted."""
+    names = list(methods or METHODS)
+    unknown = [n for n in names if n not in METHODS]
+    if unknown:
+        if on_error != "skip":
+            raise ValueError(f"unknown outlier methods: {unknown}")
+        warnings.warn(f"unknown outlier methods left out: {unknown}", stacklevel=2)
+        names = [n for n in names if n in METHODS]
+    ensure_checkpoint_dir(long.sparkSession)
+    stats = moments(long).checkpoint()
+    models, names = _fit_models(long, stats, names, on_error)
+    if not names:
+        raise ValueError("no outlier method could be used")
+    rows = long
+    if "kNN" in names or models:
+        rows = knn_scores(long) if "kNN" in names else long.withColumn("score", F.lit(None).cast("double"))
+        rows = learned.with_scores(rows.withColumnRenamed("score", "kNN"), models).checkpoint()
+    binned = long.join(F.broadcast(stats), G)
+    flags, sides = {}, [stats]
+    if "Z-Score" in names:
+        sd = F.when(F.col("_sd") == 0, F.lit(FLOOR)).otherwise(F.col("_sd"))
+        flags["Z-Score"] = F.abs((F.col("value") - F.col("_mean")) / sd) > F.lit(p.threshold)
+    ranks: dict[str, tuple[Column, float]] = {}
+    if "IQR" in names:
+        ranks |= {"_q1": (F.col("value"), 0.25), "_q3": (F.col("value"), 0.75)}
+        width = F.lit(p.threshold) * (F.col("_q3") - F.col("_q1"))
+        flags["IQR"] = (F.col("value") < F.col("_q1") - width) | (F.col("value") > F.col("_q3") + width)
+    if "MAD" in names:
+        ranks["_med"] = (F.col("value"), 0.5)
+    for name in ("kNN", *models):
+        if name in names:  # D9: above the (1 - c) percentile of the group's scores
+            ranks[f"_{name}_cut"] = (F.col(f"`{name}`"), 1.0 - p.contamination)
+            flags[name] = F.col(f"`{name}`") > F.col(f"`_{name}_cut`")
+    if ranks:
+        sides.append(group_percentiles(rows, G, ranks, few=True).checkpoint())
+    if "MAD" in names:
+        far = long.join(F.broadcast(sides[-1].select(*G, "_med")), G)
+        sides.append(group_percentiles(far, G, {"_mad": (F.abs(F.col("value") - F.col("_med")), 0.5)}, few=True))
+        m = F.when(F.col("_mad") == 0, F.lit(FLOOR)).otherwise(F.col("_mad"))
+        flags["MAD"] = F.abs(F.lit(0.6745) * (F.col("value") - F.col("_med")) / m) > F.lit(p.threshold)
+    if "HBOS" in names:
+        sides.append(hbos_stats(binned, p))
+        flags["HBOS"] = F.col("_hbos")[_bin(F.lit(HBOS_BINS))] > F.col("_hbos_cut")
+    if "LODA" in names:
+        sides.append(loda_stats(binned, p))
+        flags["LODA"] = F.col("_loda")[_bin(F.col("_loda_k"))] > F.col("_loda_cut")
+    side = reduce(lambda a, b: a.join(b, G), sides).checkpoint()  # one row per group
+    mask = reduce(lambda a, b: a.bitwiseOR(b), [
+        F.when(F.coalesce(flags[n], F.lit(False)), F.lit(bit(n))).otherwise(F.lit(0)) for n in names])
+    return rows.join(F.broadcast(side), G).select(*KEYS, mask.alias("mask")), names
+
+
+def detect(long: DataFrame, p: DetectorParams, method: str) -> DataFrame:
+    """KEYS and ``is_outlier`` of one method."""
+    out, _ = masks(long, p, [method])
+    return out.select(*KEYS, (F.col("mask") > 0).alias("is_outlier"))

@@ -1,17 +1,18 @@
 """Model-based detectors (D6 Isolation Forest, D8 one-class SVM).
 
-Both train on a bounded, hash-chosen subsample per (chunk, column) group in
-``applyInPandas`` (the training set never grows with the data) and score all
-rows with built-in Spark expressions:
-
-* IForest (Liu et al. 2008): 100 trees on 256-row subsamples, depth limit
-  ceil(log2 256).  In one dimension the forest's mean path length is a step
-  function of x; its steps are emitted as (lower bound, score) rows and
-  assigned to the rows with one sorted window per group (no UDF on rows).
+Both fit one model of fixed size per (chunk, column) group and score all rows
+in vectorised batches:
+
+* IForest (Liu et al. 2008): 100 trees of 256 rows each, depth limit
+  ceil(log2 256).  Trees draw their rows by hash from the whole group: in a
+  round, rows are dealt into n / 256 disjoint sets, each a tree's sample, and
+  small groups are dealt in as many rounds as give 100 sets.  In one dimension
+  the forest's mean path length is a step function of x, which is the model.
 * OC-SVM (Schoelkopf et al. 2001), re-aimed for scale: RBF kernel
   approximated by 64 random Fourier features (Rahimi & Recht 2007), primal
-  sub-gradient descent with nu = 0.5 on a subsample of at most 2048 rows;
-  the score is the signed margin, computed for every row with ``aggregate``.
+  sub-gradient descent with nu = 0.5.  All rows take part, as a histogram of
+  4096 equal-width cells with each cell's count and mean; the score is the
+  signed margin.
 
 Both feed the contamination threshold (D9).  No SQL oracle exists for them;
 tests check properties instead (flag share at most c plus ties).
@@ -24,137 +25,157 @@ import zlib
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trustfold.operators.detectors import G, KEYS, DetectorParams, contamination_flags
-
 N_TREES = 100
 SUBSAMPLE = 256
-POOL = 4096
 RFF_DIM = 64
 OCSVM_NU = 0.5
-OCSVM_SAMPLE = 2048
+OCSVM_CELLS = 4096
 OCSVM_STEPS = 200
+_G = ["chunk_id", "column"]
 
 
 def _group_seed(chunk_id, column) -> int:
     return zlib.crc32(f"{chunk_id}|{column}".encode()) & 0x7FFFFFFF
 
 
-def _subsample(long: DataFrame, n: int, seed: str) -> DataFrame:
-    w = Window.partitionBy(*G).orderBy(F.md5(F.concat_ws("#", F.lit(seed), F.col("row_id").cast("string"))), "row_id")
-    return long.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= n).drop("_r")
+def _collect(fitted: DataFrame) -> tuple[dict, list[str]]:
+    """({group: arrays}, errors): one model per group, of a size that the data do not change."""
+    rows = fitted.collect()
+    errors = [r["error"] for r in rows if r["error"]]
+    return {(r["chunk_id"], r["column"]): [np.array(a, dtype=float) for a in r["model"]] for r in rows if not r["error"]}, errors
+
+
+_FIT_SCHEMA = "chunk_id int, column string, model array<array<double>>, error string"
+
+
+def _fitted(fit):
+    """``fit(chunk_id, column, pdf)`` as a grouped map that returns the error of a group whose fit fails."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        chunk_id, column = int(pdf["chunk_id"].iloc[0]), pdf["column"].iloc[0]
+        try:
+            model, error = [np.asarray(a, dtype=float).tolist() for a in fit(chunk_id, column, pdf)], None
+        except Exception as e:  # noqa: BLE001 - the caller decides what a failed model means
+            model, error = [], f"{type(e).__name__}: {e} (chunk {chunk_id}, column {column})"
+        return pd.DataFrame({"chunk_id": [chunk_id], "column": [column], "model": [model], "error": [error]})
 
+    return run
 
-def _c(n):
-    if n <= 1:
-        return 0.0
-    return 2.0 * (math.log(n - 1) + 0.5772156649) - 2.0 * (n - 1) / n
 
+# --- isolation forest -----------------------------------------------------------
 
-def _grow(x: np.ndarray, rng, depth: int, limit: int, splits: list, out: list):
-    """Grow one isolation tree; record (split) values and leaves as (lo, hi, path length)."""
-    stack = [(x, depth, -np.inf, np.inf)]
+
+def path_correction(n: int) -> float:
+    """Mean path length of an unsuccessful search among n points (the usual harmonic estimate)."""
+    return 0.0 if n <= 1 else 2.0 * (math.log(n - 1) + 0.5772156649) - 2.0 * (n - 1) / n
+
+
+def _grow(x: np.ndarray, rng, limit: int) -> list[tuple[float, float]]:
+    """Leaves of one isolation tree as (lower bound, path length); they tile the line."""
+    stack, leaves = [(x, 0, -np.inf)], []
     while stack:
-        xs, d, lo, hi = stack.pop()
-        if d >= limit or len(xs) <= 1 or xs.min() == xs.max():
-            out.append((lo, hi, d + _c(len(xs))))
+        xs, depth, low = stack.pop()
+        if depth >= limit or len(xs) <= 1 or xs.min() == xs.max():
+            leaves.append((low, depth + path_correction(len(xs))))
             continue
-        s = rng.uniform(xs.min(), xs.max())
-        splits.append(s)
-        stack.append((xs[xs < s], d + 1, lo, s))
-        stack.append((xs[xs >= s], d + 1, s, hi))
+        cut = rng.uniform(xs.min(), xs.max())
+        stack.append((xs[xs < cut], depth + 1, low))
+        stack.append((xs[xs >= cut], depth + 1, cut))
+    return sorted(leaves)
 
 
-def _forest_steps(pdf: pd.DataFrame) -> pd.DataFrame:
-    chunk_id, column = pdf["chunk_id"].iloc[0], pdf["column"].iloc[0]
-    x = pdf["value"].to_numpy(dtype=float)
+def _forest(chunk_id, column, pdf: pd.DataFrame):
+    """(lower bounds, scores) of the forest's step function."""
     rng = np.random.default_rng(_group_seed(chunk_id, column))
-    psi = min(SUBSAMPLE, len(x))
-    limit = int(math.ceil(math.log2(max(psi, 2))))
-    trees = []
-    points = []
-    for _ in range(N_TREES):
-        sub = x[rng.choice(len(x), psi, replace=False)] if len(x) > psi else x
-        splits, leaves = [], []
-        _grow(sub, rng, 0, limit, splits, leaves)
-        trees.append(leaves)
-        points.extend(splits)
-    bounds = np.unique(np.array(points, dtype=float)) if points else np.array([], dtype=float)
-    lows = np.concatenate([[-np.inf], bounds])
-    reps = np.concatenate([[bounds[0] - 1.0 if len(bounds) else 0.0], bounds])
-    total = np.zeros(len(reps))
+    limit = math.ceil(math.log2(SUBSAMPLE))
+    samples = [x["value"].to_numpy(dtype=float) for _, x in pdf.groupby("tree")]
+    trees = [_grow(x, rng, limit) for x in samples]
+    lows = np.unique([low for leaves in trees for low, _ in leaves])
+    total = np.zeros(len(lows))
     for leaves in trees:
-        # leaves tile the line; the leaf holding x is the last one starting at or below x
-        lo = np.array([leaf[0] for leaf in leaves])
-        h = np.array([leaf[2] for leaf in leaves])
-        order = np.argsort(lo)
-        idx = np.searchsorted(lo[order], reps, side="right") - 1
-        total += h[order][idx]
-    score = np.power(2.0, -(total / len(trees)) / max(_c(psi), 1e-12))
-    return pd.DataFrame({"chunk_id": chunk_id, "column": column, "_lo": lows, "score": score})
+        at = np.searchsorted([low for low, _ in leaves], lows, side="right") - 1
+        total += np.array([h for _, h in leaves])[at]
+    size = min(SUBSAMPLE, max(len(x) for x in samples))
+    return lows, np.power(2.0, -(total / len(trees)) / max(path_correction(size), 1e-12))
 
 
-_STEP_SCHEMA = "chunk_id int, column string, _lo double, score double"
+def tree_samples(long: DataFrame, stats: DataFrame, trees: int = N_TREES, size: int = SUBSAMPLE) -> DataFrame:
+    """(chunk_id, column, tree, value): about ``size`` rows for each of ``trees`` trees, whatever the group's size."""
+    sets = F.greatest(F.lit(1), F.ceil(F.col("_n") / size)).cast("int")
+    rounds = F.ceil(F.lit(trees) / F.col("sets")).cast("int")
+    rows = long.join(F.broadcast(stats.select(*_G, sets.alias("sets"))), _G).withColumn("round", F.explode(F.sequence(F.lit(0), rounds - 1)))
+    tree = F.col("round") * F.col("sets") + F.pmod(F.xxhash64("row_id", "round"), F.col("sets")).cast("int")
+    return rows.withColumn("tree", tree).where(F.col("tree") < trees).select(*_G, "tree", "value")
 
 
-def iforest_scores(long: DataFrame) -> DataFrame:
-    pool = _subsample(long, POOL, "iforest")
-    steps = pool.groupBy(*G).applyInPandas(_forest_steps, _STEP_SCHEMA)
-    rows = long.select(*KEYS, F.col("value").alias("_lo"), F.lit(None).cast("double").alias("score"), F.lit(1).alias("_row"))
-    marks = steps.select("chunk_id", F.lit(None).cast("long").alias("row_id"), "column", "_lo", "score", F.lit(0).alias("_row"))
-    w = Window.partitionBy(*G).orderBy("_lo", "_row").rowsBetween(Window.unboundedPreceding, 0)
-    both = rows.unionByName(marks).withColumn("score", F.last("score", ignorenulls=True).over(w))
-    return both.where(F.col("_row") == 1).select(*KEYS, "score")
+def fit_forests(long: DataFrame, stats: DataFrame):
+    return _collect(tree_samples(long, stats).groupBy(*_G).applyInPandas(_fitted(_forest), _FIT_SCHEMA))
 
 
-def iforest(long: DataFrame, p: DetectorParams) -> DataFrame:
-    return contamination_flags(iforest_scores(long), p)
+# --- one-class SVM ---------------------------------------------------------------
 
 
-def _rff(seed: int):
-    rng = np.random.default_rng(seed)
-    return rng.normal(size=RFF_DIM), rng.uniform(0, 2 * math.pi, size=RFF_DIM)
+def _features(z: np.ndarray, omega: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return math.sqrt(2.0 / RFF_DIM) * np.cos(np.outer(z, omega) + b)
 
 
-def _ocsvm_fit(pdf: pd.DataFrame) -> pd.DataFrame:
-    chunk_id, column = pdf["chunk_id"].iloc[0], pdf["column"].iloc[0]
-    x = pdf["value"].to_numpy(dtype=float)
-    mu, sd = float(x.mean()), float(x.std()) or 1.0
-    z = (x - mu) / sd
-    omega, b = _rff(_group_seed(chunk_id, column))
-    phi = math.sqrt(2.0 / RFF_DIM) * np.cos(np.outer(z, omega) + b)
-    n = len(z)
-    w = phi.mean(axis=0)
-    rho = float(np.quantile(phi @ w, OCSVM_NU))
+def _machine(chunk_id, column, pdf: pd.DataFrame):
+    """(mean, sd, rho), w, omega, b; ``pdf`` has the mean and the rows of each cell."""
+    x, n = pdf["mean"].to_numpy(dtype=float), pdf["rows"].to_numpy(dtype=float)
+    mu, sd = float(pdf["_mean"].iloc[0]), float(pdf["_sd"].iloc[0]) or 1.0
+    rng = np.random.default_rng(_group_seed(chunk_id, column))
+    omega, b = rng.normal(size=RFF_DIM), rng.uniform(0, 2 * math.pi, size=RFF_DIM)
+    phi, share = _features((x - mu) / sd, omega, b), n / n.sum()
+    w = share @ phi
+    order = np.argsort(phi @ w)
+    rho = float((phi @ w)[order][np.searchsorted(np.cumsum(share[order]), OCSVM_NU)])
     for t in range(1, OCSVM_STEPS + 1):
-        lr = 1.0 / (t + 10)
-        m = phi @ w
-        viol = m < rho
-        gw = w - phi[viol].sum(axis=0) / (OCSVM_NU * n)
-        grho = viol.sum() / (OCSVM_NU * n) - 1.0
-        w -= lr * gw
-        rho -= lr * grho
-    return pd.DataFrame({"chunk_id": [chunk_id], "column": [column], "_mu": [mu], "_sd": [sd],
-                         "_w": [w.tolist()], "_om": [omega.tolist()], "_b": [b.tolist()], "_rho": [rho]})
-
-
-_SVM_SCHEMA = "chunk_id int, column string, _mu double, _sd double, _w array<double>, _om array<double>, _b array<double>, _rho double"
-
-
-def ocsvm_scores(long: DataFrame) -> DataFrame:
-    sample = _subsample(long, OCSVM_SAMPLE, "ocsvm")
-    model = sample.groupBy(*G).applyInPandas(_ocsvm_fit, _SVM_SCHEMA)
-    z = (F.col("value") - F.col("_mu")) / F.col("_sd")
-    scale = math.sqrt(2.0 / RFF_DIM)
-    margin = F.aggregate(
-        F.arrays_zip("_w", "_om", "_b"), F.lit(0.0),
-        lambda acc, e: acc + e["_w"] * F.lit(scale) * F.cos(e["_om"] * z + e["_b"]),
-    )
-    return long.join(model, G).withColumn("score", F.col("_rho") - margin).select(*KEYS, "score")
-
-
-def ocsvm(long: DataFrame, p: DetectorParams) -> DataFrame:
-    return contamination_flags(ocsvm_scores(long), p)
+        below = phi @ w < rho
+        w = w - (w - share[below] @ phi[below] / OCSVM_NU) / (t + 10)
+        rho -= (share[below].sum() / OCSVM_NU - 1.0) / (t + 10)
+    return [mu, sd, rho], w, omega, b
+
+
+def fit_machines(long: DataFrame, stats: DataFrame):
+    rows = long.join(F.broadcast(stats), _G)  # one row per chunk and column
+    width = (F.col("_max") - F.col("_min")) / OCSVM_CELLS
+    cell = F.when(width > 0, F.least(F.floor((F.col("value") - F.col("_min")) / width), F.lit(OCSVM_CELLS - 1))).otherwise(F.lit(0))
+    cells = rows.groupBy(*_G, "_mean", "_sd", cell.alias("cell")).agg(F.avg("value").alias("mean"), F.count(F.lit(1)).alias("rows"))
+    return _collect(cells.groupBy(*_G).applyInPandas(_fitted(_machine), _FIT_SCHEMA))
+
+
+# --- scores ----------------------------------------------------------------------
+
+
+def _forest_scores(model, x: np.ndarray) -> np.ndarray:
+    lows, scores = model
+    return scores[np.searchsorted(lows, x, side="right") - 1]
+
+
+def _machine_scores(model, x: np.ndarray) -> np.ndarray:
+    (mu, sd, rho), w, omega, b = model
+    return rho - _features((x - mu) / sd, omega, b) @ w
+
+
+def with_scores(rows: DataFrame, models: dict) -> DataFrame:
+    """``rows`` (chunk_id, column, value, ...) with one score column per model, by its method's name."""
+    if not models:
+        return rows
+    score = {"IForest": _forest_scores, "OC-SVM": _machine_scores}
+    shared = rows.sparkSession.sparkContext.broadcast(models)  # groups x a fixed size
+
+    def run(batches):
+        for pdf in batches:
+            for name, by_group in shared.value.items():
+                out = np.full(len(pdf), np.nan)
+                for group, at in pdf.groupby(_G, sort=False).indices.items():
+                    out[at] = score[name](by_group[group], pdf["value"].to_numpy()[at])
+                pdf[name] = out
+            yield pdf
+
+    schema = T.StructType(list(rows.schema.fields) + [T.StructField(n, T.DoubleType()) for n in models])
+    return rows.mapInPandas(run, schema)

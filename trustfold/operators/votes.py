@@ -6,42 +6,35 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trustfold.operators import detectors as D
-from trustfold.operators.consensus import MAX_CHUNK_ROWS, chunk, long_form, mean_fill, median_fill
-from trustfold.operators.encode import scale_grouped
+from trustfold.operators.consensus import fill_missing, long_form
+from trustfold.operators.encode import numeric_columns, scale_grouped
 from trustfold.plans.ordered import global_row_number
-from trustfold.session import checkpoint_partitioned
+from trustfold.session import ensure_checkpoint_dir
 from trustfold.sources.tables import ROW_ID
 
 
 def checked_columns(df: DataFrame, configured=("value", "k")) -> list[str]:
     """Configured columns that exist, else every numeric column."""
     cols = [c for c in configured if c in df.columns]
-    if cols:
-        return cols
-    from trustfold.operators.encode import numeric_columns
-
-    return numeric_columns(df, exclude=("chunk_id", ROW_ID))
+    return cols or numeric_columns(df, exclude=("chunk_id", ROW_ID))
 
 
 def vote_counts(mis: DataFrame, p: D.DetectorParams, columns=("value", "k"), vote_on: str = "outlier",
-                methods=None, on_error: str = "skip", max_chunk_rows: int | None = MAX_CHUNK_ROWS,
-                scaler: str | None = None) -> DataFrame:
+                methods=None, on_error: str = "skip", scaler: str | None = None) -> DataFrame:
     """One vote per method that hits the row on at least one checked column.
 
-    ``vote_on="outlier"`` counts flagged rows (as described); ``"inlier"``
+    All rows are one chunk.  ``vote_on="outlier"`` counts flagged rows (as described); ``"inlier"``
     counts the rows a detector keeps, as the original code does.
     """
     cols = checked_columns(mis, columns)
-    grouped = chunk(mis, chunk_percent=1.0, max_chunk_rows=max_chunk_rows)
-    long = long_form(grouped, cols)
-    long = mean_fill(median_fill(long))
+    ensure_checkpoint_dir(mis.sparkSession)
+    long = fill_missing(long_form(mis.withColumn("chunk_id", F.lit(0)), cols).checkpoint())
     if scaler:  # the original min-max scales first; flags do not change under it
         long = scale_grouped(long, "value", D.G, scaler)
-    long = checkpoint_partitioned(long, D.G)  # read by every detector
-    flags = D.run_methods(long, p, methods, on_error)
-    hit = F.col("is_outlier") if vote_on == "outlier" else ~F.col("is_outlier")
-    per_method = flags.groupBy(ROW_ID, "method").agg(F.max(hit.cast("int")).alias("_hit"))
-    votes = per_method.groupBy(ROW_ID).agg(F.sum("_hit").cast("bigint").alias("votes"))
+    masks, used = D.masks(long.checkpoint(), p, methods, on_error)
+    every = sum(D.bit(m) for m in used)
+    hit = F.col("mask") if vote_on == "outlier" else F.bitwise_not("mask").bitwiseAND(F.lit(every))
+    votes = masks.groupBy(ROW_ID).agg(F.bit_count(F.bit_or(hit)).cast("bigint").alias("votes"))
     return mis.select(ROW_ID).join(votes, ROW_ID, "left").fillna(0, ["votes"])
 
 

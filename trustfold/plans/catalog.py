@@ -183,20 +183,20 @@ def q_chunks(spark, sf):
     return _chunked(spark, sf).select(ROW_ID, "chunk_id")
 
 
-def _detector_query(name, fn, sqlfn, arg):
+def _detector_query(name, method, sqlfn, arg):
     @query(name, f"SELECT chunk_id, row_id, \"column\", is_outlier FROM {sqlfn(_LONG, arg)} d")
     def q(spark, sf):
-        return fn(_long(spark, sf), DP)
+        return D.detect(_long(spark, sf), DP, method)
 
     return q
 
 
-_detector_query("zscore", D.zscore, O.zscore, DP.threshold)
-_detector_query("iqr", D.iqr, O.iqr, DP.threshold)
-_detector_query("mad", D.mad, O.mad, DP.threshold)
-_detector_query("hbos", D.hbos, O.hbos, DP.contamination)
-_detector_query("knn20", D.knn, O.knn, DP.contamination)
-_detector_query("loda", D.loda, O.loda, DP.contamination)
+_detector_query("zscore", "Z-Score", O.zscore, DP.threshold)
+_detector_query("iqr", "IQR", O.iqr, DP.threshold)
+_detector_query("mad", "MAD", O.mad, DP.threshold)
+_detector_query("hbos", "HBOS", O.hbos, DP.contamination)
+_detector_query("knn20", "kNN", O.knn, DP.contamination)
+_detector_query("loda", "LODA", O.loda, DP.contamination)
 
 
 def _consensus(spark, sf):
@@ -221,10 +221,26 @@ def q_best_method(spark, sf):
 @query("consensus_split", _CONS + """
 SELECT row_id, User_Id, 'Normal' AS Split FROM normal UNION ALL SELECT row_id, User_Id, 'Misbehaving' FROM mis""")
 def q_consensus_split(spark, sf):
+    split = F.when(F.col("is_misbehaving"), F.lit("Misbehaving")).otherwise(F.lit("Normal"))
+    return _consensus(spark, sf)["tagged"].select(ROW_ID, USER, split.alias("Split"))
+
+
+@query("outlier_ids", _CONS + """
+SELECT chunk_id, "column", method, row_id FROM flg WHERE is_outlier""")
+def q_outlier_ids(spark, sf):
+    """The rows that each method removes, as rows."""
     c = _consensus(spark, sf)
-    n = c["normal"].select(ROW_ID, USER, F.lit("Normal").alias("Split"))
-    m = c["misbehaving"].select(ROW_ID, USER, F.lit("Misbehaving").alias("Split"))
-    return n.unionByName(m)
+    return C.outlier_ids(c["masks"], c["methods"])
+
+
+@query("misbehaving_by_time", _CONS + """
+SELECT row_id, User_Id, "Timestamp", row_number() OVER (ORDER BY "Timestamp", row_id) - 1 AS place FROM mis""")
+def q_misbehaving_by_time(spark, sf):
+    """The misbehaving rows in time order; place comes from the order of the written rows."""
+    from trustfold.plans.ordered import global_row_number
+
+    ordered = C.in_time_order(_consensus(spark, sf)["misbehaving"].select(ROW_ID, USER, TS))
+    return global_row_number(ordered, [F.col(TS).asc_nulls_last(), F.col(ROW_ID)], out="place")
 
 
 @query("outlier_summary", _CONS + """
@@ -232,8 +248,7 @@ SELECT o AS original_rows, c AS cleaned_rows, o - c AS unique_removed,
        CASE WHEN o = 0 THEN 0.0 ELSE round((o - c) / o * 100, 6) END AS percent_removed
   FROM (SELECT (SELECT count(*) FROM lg) AS o, (SELECT count(*) FROM normal) AS c) s""")
 def q_outlier_summary(spark, sf):
-    c = _consensus(spark, sf)
-    return C.summary(load_log(spark, sf), c["normal"])
+    return C.summary(_consensus(spark, sf)["tagged"])
 
 
 @query("outliers_by_method", _CONS + """
@@ -590,16 +605,12 @@ def q_stream_reputation(spark, sf):
 # --------------------------------------------------------------- model-based detectors (rows-only)
 @query("iforest")
 def q_iforest(spark, sf):
-    from trustfold.operators.learned import iforest
-
-    return iforest(_long(spark, sf), DP)
+    return D.detect(_long(spark, sf), DP, "IForest")
 
 
 @query("ocsvm")
 def q_ocsvm(spark, sf):
-    from trustfold.operators.learned import ocsvm
-
-    return ocsvm(_long(spark, sf), DP)
+    return D.detect(_long(spark, sf), DP, "OC-SVM")
 
 
 # --------------------------------------------------------------- model jobs M1-M8 (rows-only)

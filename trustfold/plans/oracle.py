@@ -8,7 +8,6 @@ literal is cast explicitly (DuckDB reads ``0.1`` as DECIMAL).
 from __future__ import annotations
 
 from trustfold.functions.rules import LABEL_SQL
-from trustfold.operators.consensus import MAX_CHUNK_ROWS
 from trustfold.operators.detectors import HBOS_ALPHA, HBOS_BINS, KNN_K, LODA_BIN_CHOICES
 from trustfold.sources.tables import LOG_SQL
 
@@ -28,12 +27,11 @@ def step_lambda(inc: float, p1: float, p2: float, src: str = "x") -> str:
     )
 
 
-def chunked(src: str, percent: float = 0.1, cap: int = MAX_CHUNK_ROWS) -> str:
+def chunked(src: str, percent: float = 0.1) -> str:
     return f"""(SELECT * EXCLUDE (_i, _cnt, _n, _q, _r),
         CAST(CASE WHEN _i < _r * (_q + 1) THEN _i // (_q + 1) ELSE _r + (_i - _r * (_q + 1)) // greatest(_q, 1) END AS INTEGER) AS chunk_id
    FROM (SELECT *, _cnt // _n AS _q, _cnt % _n AS _r
-           FROM (SELECT *, greatest(greatest(1, _cnt // greatest(1, CAST(floor(_cnt * {d(percent)}) AS BIGINT))),
-                                    CAST(ceil(_cnt / {d(float(cap))}) AS BIGINT)) AS _n
+           FROM (SELECT *, greatest(1, _cnt // greatest(1, CAST(floor(_cnt * {d(percent)}) AS BIGINT))) AS _n
                    FROM (SELECT *, row_number() OVER (ORDER BY "Timestamp", row_id) - 1 AS _i, count(*) OVER () AS _cnt
                            FROM {src} c0) c1) c2) c3)"""
 
@@ -122,7 +120,7 @@ def loda(src: str, c: float, choices=LODA_BIN_CHOICES) -> str:
     return flags_from_scores(scored, c)
 
 
-METHOD_SQL = {"HBOS": (0, hbos), "KNN": (1, knn), "LODA": (3, loda), "Z-Score": (5, zscore), "IQR": (6, iqr), "MAD": (7, mad)}
+METHOD_SQL = {"HBOS": (0, hbos), "kNN": (1, knn), "LODA": (3, loda), "Z-Score": (5, zscore), "IQR": (6, iqr), "MAD": (7, mad)}
 
 
 def all_flags(src: str, c: float, t: float) -> str:

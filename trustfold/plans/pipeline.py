@@ -32,9 +32,9 @@ def unsupervised_sources(log: DataFrame, p: Scenario, methods=None, mode: str =
     c = C.consensus(log, dp, methods=methods, mode=mode)
     votes = vote_counts(c["misbehaving"], dp, vote_on=vote_on, methods=methods)
     marked, _, _ = top_n_split(c["misbehaving"], votes, p.intentional_perc)
-    mis_src = marked.select(ROW_ID, F.when(F.col("Is_Intentional") == 1, F.lit("intentional")).otherwise(F.lit("unintentional")).alias(SOURCE))
-    normal_src = c["normal"].select(ROW_ID, F.lit("normal").alias(SOURCE))
-    return log.join(mis_src.unionByName(normal_src), ROW_ID)
+    kind = F.when(F.col("Is_Intentional") == 1, F.lit("intentional")).otherwise(F.lit("unintentional"))
+    halves = c["normal"].withColumn(SOURCE, F.lit("normal")), marked.select(*log.columns, kind.alias(SOURCE))
+    return halves[0].select(*log.columns, SOURCE).unionByName(halves[1])
 
 
 def run(log: DataFrame, p: Scenario, methods=None, carry_over: bool = False) -> dict:
