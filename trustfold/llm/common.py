@@ -13,8 +13,21 @@ from trustfold.session import ensure_checkpoint_dir, ship_package
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+#: Most rows and bytes that go to a Python worker at once, where the session leaves Spark's defaults. Texts are long: Spark's
+#: default of 10000 rows is some tens of megabytes, which a worker holds several times over.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "1000"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "8388608b")}
+
+
+def prepare(spark: SparkSession) -> None:
+    """Send the package to the workers, and lower the Arrow batch sizes unless the session sets its own."""
     ship_package(spark)
+    for name, (default, value) in BATCH.items():
+        if spark.conf.get(name, default) == default:
+            spark.conf.set(name, value)
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    prepare(spark)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
