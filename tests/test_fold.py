@@ -72,3 +72,41 @@ def test_keyed_row_number_matches_window(spark):
     got = keyed_row_number(log, "User_Id", ["Timestamp", "row_id"], num_partitions=9).select("row_id", "rn")
     assert got.count() == log.count()
     assert got.exceptAll(ref).count() == 0
+
+
+def test_null_times_come_last_and_null_users_count(spark):
+    import datetime as dt
+
+    t = dt.datetime(2025, 1, 1)
+    rows = [(1, 7, None, "intentional", 0.9), (2, 7, t, "normal", 0.5), (3, None, t, "normal", 0.3), (4, None, None, "intentional", 0.8)]
+    log = spark.createDataFrame(rows, "row_id long, User_Id long, Timestamp timestamp_ntz, Dataset_Source string, User_Reputation double")
+    log = log.withColumn("User_Experience", F.lit(0.1))
+    for n in (1, 4):
+        per_user, trace = replay(log, scenario(1), num_partitions=n)
+        got = {r["User_Id"]: (r["Original_Reputation"], round(r["Final_Reputation"], 6)) for r in per_user.collect()}
+        assert got == {7: (0.5, 0.49), None: (0.3, 0.29)}
+        assert {r["row_id"]: round(r["new_reputation"], 6) for r in trace.collect()} == {1: 0.49, 2: 0.505, 3: 0.305, 4: 0.29}
+        rn = keyed_row_number(log, "User_Id", ["Timestamp", "row_id"], num_partitions=n)
+        assert {r["row_id"]: r["rn"] for r in rn.collect()} == {1: 2, 2: 1, 3: 1, 4: 2}
+
+
+def test_no_shuffle_after_the_range_exchange(spark):
+    """The plans of trace, per-key fold and numbering read the stored, sorted rows and exchange nothing."""
+    from trustfold.operators.reputation import capped_experience, replay_trace
+
+    log = _labelled(spark)
+    for df in (replay_trace(log, scenario(1)), capped_experience(log)):
+        assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_user_over_many_segments(spark):
+    """One user holds all rows and runs over every partition; a carried-over value starts it."""
+    log = _labelled(spark).withColumn("User_Id", F.lit(5).cast("long"))
+    start = spark.createDataFrame([(5, 0.25), (6, 0.9)], "User_Id long, Final_Reputation double")
+    one = replay(log, scenario(1), initial=start, num_partitions=1)
+    many = replay(log, scenario(1), initial=start, num_partitions=40)
+    a, b = one[0].collect(), many[0].collect()
+    assert len(a) == len(b) == 1 and a[0]["Original_Reputation"] == b[0]["Original_Reputation"] == 0.25
+    assert abs(a[0]["Final_Reputation"] - b[0]["Final_Reputation"]) < 1e-9
+    j = one[1].alias("x").join(many[1].alias("y"), "row_id")
+    assert j.count() == log.count() and j.where("abs(x.new_reputation - y.new_reputation) > 1e-9").count() == 0

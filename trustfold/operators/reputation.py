@@ -2,17 +2,17 @@
 
 Each labelled row moves its user's reputation: a normal row adds the
 increment with an upper clamp at 1, a misbehaving row subtracts its penalty
-with a lower clamp at 0.  Rows are applied in (Timestamp, row_id) order; the
+with a lower clamp at 0.  Rows are applied in (Timestamp, row_id) order, null times last; the
 start value is the user's first ``User_Reputation`` or a carried-over value.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trustfold.params import Scenario
-from trustfold.plans.ordered import clamp_fold, keyed_row_number
+from trustfold.plans.ordered import fold_per_key, fold_trace, keyed_row_number
 from trustfold.sources.tables import ROW_ID, TARGET, TS, USER
 
 SOURCE = "Dataset_Source"
@@ -39,38 +39,47 @@ def with_steps(df: DataFrame, params: Scenario, source: str = SOURCE) -> DataFra
     return df.withColumn("_s", s.cast("double")).withColumn("_lo", lo).withColumn("_hi", hi)
 
 
-def replay(
-    labelled: DataFrame,
-    params: Scenario,
-    source: str = SOURCE,
-    initial: DataFrame | None = None,
-    carry_cols=(ROW_ID, SOURCE),
-    num_partitions: int | None = None,
-):
-    """W1-W3.  Returns (per_user, trace).
-
-    per_user: User_Id, Original_Reputation, Final_Reputation.
-    trace: User_Id, Timestamp, row_id, Dataset_Source, new_reputation.
-    ``initial`` (User_Id, Final_Reputation) carries state over from a former run.
-    """
+def _prepared(labelled: DataFrame, params: Scenario, source: str, initial: DataFrame | None):
     steps = with_steps(labelled, params, source)
     if source != SOURCE:
         steps = steps.withColumn(SOURCE, F.col(source))
-    init = None
-    if initial is not None:
-        init = initial.select(USER, F.col("Final_Reputation").alias("initial"))
-    per_key, trace = clamp_fold(
-        steps, USER, [TS, ROW_ID], TARGET, carry_cols=list(carry_cols), initial=init, num_partitions=num_partitions
-    )
-    per_user = per_key.select(
-        USER, F.col("start_value").alias("Original_Reputation"), F.col("final_value").alias("Final_Reputation")
-    )
-    return per_user, trace.withColumnRenamed("value", "new_reputation")
+    return steps, None if initial is None else initial.select(USER, F.col("Final_Reputation").alias("initial"))
+
+
+def replay_users(labelled: DataFrame, params: Scenario, source: str = SOURCE, initial: DataFrame | None = None,
+                 num_partitions: int | None = None) -> DataFrame:
+    """User_Id, Original_Reputation, Final_Reputation.  Nothing is written per row of the log.
+
+    ``initial`` (User_Id, Final_Reputation) carries state over from a former run.
+    """
+    steps, init = _prepared(labelled, params, source, initial)
+    per_key = fold_per_key(steps, USER, [TS, ROW_ID], TARGET, initial=init, num_partitions=num_partitions)
+    return per_key.select(USER, F.col("start_value").alias("Original_Reputation"), F.col("final_value").alias("Final_Reputation"))
+
+
+def replay_trace(labelled: DataFrame, params: Scenario, source: str = SOURCE, initial: DataFrame | None = None,
+                 carry_cols=(ROW_ID, SOURCE), num_partitions: int | None = None) -> DataFrame:
+    """User_Id, Timestamp, row_id, Dataset_Source, new_reputation, one row per row of the log."""
+    steps, init = _prepared(labelled, params, source, initial)
+    trace = fold_trace(steps, USER, [TS, ROW_ID], TARGET, carry_cols=list(carry_cols), initial=init, num_partitions=num_partitions)
+    return trace.withColumnRenamed("value", "new_reputation")
+
+
+def replay(labelled: DataFrame, params: Scenario, source: str = SOURCE, initial: DataFrame | None = None,
+           carry_cols=(ROW_ID, SOURCE), num_partitions: int | None = None):
+    """W1-W3 for callers that want both: (per_user, trace)."""
+    return (replay_users(labelled, params, source, initial, num_partitions),
+            replay_trace(labelled, params, source, initial, carry_cols, num_partitions))
+
+
+def first_in_time(col: str) -> Column:
+    """Aggregate: the value on the first row in time order, null times last."""
+    return F.min_by(F.col(col), F.struct(F.col(TS).isNull(), F.col(TS), F.col(ROW_ID)))
 
 
 def first_reputation(log: DataFrame) -> DataFrame:
     """The user's reputation on the first row in time order (partial aggregation, skew-safe)."""
-    return log.groupBy(USER).agg(F.min_by(F.col(TARGET), F.struct(TS, ROW_ID)).alias("Original_Reputation"))
+    return log.groupBy(USER).agg(first_in_time(TARGET).alias("Original_Reputation"))
 
 
 def capped_experience(log: DataFrame, step: float = 0.001, cap: float = 1.0, digits: int = 4) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from trustfold.functions.rules import LABEL_SQL, class_counts, label
 from trustfold.operators import consensus as C
 from trustfold.operators import detectors as D
-from trustfold.operators.reputation import capped_experience, first_reputation, replay, source_from_class
+from trustfold.operators.reputation import capped_experience, first_in_time, replay_trace, replay_users, source_from_class
 from trustfold.operators.votes import top_n_split, vote_counts
 from trustfold.params import scenario
 from trustfold.plans import oracle as O
@@ -85,7 +85,7 @@ def _fold_sql(p, src="Dataset_Source") -> str:
                  list(Dataset_Source ORDER BY "Timestamp", row_id) AS srcs FROM l GROUP BY User_Id)
 SELECT User_Id, round(r0, 6) AS Original_Reputation, round(list_reduce(srcs, {_fold_sql(P1)}, r0), 6) AS Final_Reputation FROM agg""")
 def q_final_reputation(spark, sf):
-    per_user, _ = replay(labelled(spark, sf), P1)
+    per_user = replay_users(labelled(spark, sf), P1)
     return per_user.select(USER, r6(F.col("Original_Reputation")).alias("Original_Reputation"), r6(F.col("Final_Reputation")).alias("Final_Reputation"))
 
 
@@ -99,7 +99,7 @@ _TRACE_SQL = f"""WITH l AS {O.LABELLED},
 @query("reputation_trace", _TRACE_SQL + f"""
 SELECT row_id, User_Id, "Timestamp", Dataset_Source, round(list_reduce(srcs, {_fold_sql(P1)}, r0), 6) AS new_reputation FROM w""")
 def q_reputation_trace(spark, sf):
-    _, trace = replay(labelled(spark, sf), P1)
+    trace = replay_trace(labelled(spark, sf), P1)
     return trace.select(ROW_ID, USER, TS, "Dataset_Source", r6(F.col("new_reputation")).alias("new_reputation"))
 
 
@@ -109,8 +109,8 @@ def q_reputation_trace(spark, sf):
 SELECT User_Id, round(list_reduce(srcs, {_fold_sql(P2)}, list_reduce(srcs, {_fold_sql(P1)}, r0)), 6) AS Final_Reputation FROM agg""")
 def q_reputation_carry_over(spark, sf):
     lab = labelled(spark, sf)
-    first, _ = replay(lab, P1)
-    second, _ = replay(lab, P2, initial=first)
+    first = replay_users(lab, P1)
+    second = replay_users(lab, P2, initial=first)
     return second.select(USER, r6(F.col("Final_Reputation")).alias("Final_Reputation"))
 
 
@@ -126,7 +126,7 @@ SELECT CAST(User_Id AS VARCHAR) AS "key",
 def q_kafka_payload(spark, sf):
     from trustfold.streaming.sink import kafka_frame
 
-    _, trace = replay(labelled(spark, sf), P1)
+    trace = replay_trace(labelled(spark, sf), P1)
     return kafka_frame(trace)
 
 
@@ -134,9 +134,42 @@ def q_kafka_payload(spark, sf):
        round(arg_min(value, ("Timestamp", row_id)), 6) AS first_value FROM {LOG_SQL} t GROUP BY User_Id""")
 def q_baseline_by_user(spark, sf):
     log = load_log(spark, sf)
-    fr = first_reputation(log)
-    fv = log.groupBy(USER).agg(F.min_by("value", F.struct(TS, ROW_ID)).alias("first_value"))
-    return fr.join(fv, USER).select(USER, r6(F.col("Original_Reputation")).alias("Original_Reputation"), r6(F.col("first_value")).alias("first_value"))
+    out = log.groupBy(USER).agg(first_in_time("User_Reputation").alias("Original_Reputation"), first_in_time("value").alias("first_value"))
+    return out.select(USER, r6(F.col("Original_Reputation")).alias("Original_Reputation"), r6(F.col("first_value")).alias("first_value"))
+
+
+# Fixed rule of the test mapping: every 9th event has no time, every 13th no user.
+_GAPS_SQL = f"""(SELECT * REPLACE (CASE WHEN row_id % 13 = 0 THEN NULL ELSE User_Id END AS User_Id,
+                        CASE WHEN row_id % 9 = 0 THEN NULL ELSE "Timestamp" END AS "Timestamp") FROM {O.LABELLED} g)"""
+
+
+def _with_gaps(spark, sf):
+    return labelled(spark, sf).withColumns({
+        USER: F.when(F.col(ROW_ID) % 13 != 0, F.col(USER)), TS: F.when(F.col(ROW_ID) % 9 != 0, F.col(TS))})
+
+
+@query("reputation_with_gaps", f"""WITH l AS {_GAPS_SQL},
+  w AS (SELECT *, first_value(User_Reputation) OVER u AS r0,
+               row_number() OVER u AS n, list(Dataset_Source) OVER (PARTITION BY User_Id ORDER BY "Timestamp" NULLS LAST, row_id
+                                          ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS srcs FROM l
+         WINDOW u AS (PARTITION BY User_Id ORDER BY "Timestamp" NULLS LAST, row_id))
+SELECT row_id, COALESCE(User_Id, -1) AS User_Id, "Timestamp", round(list_reduce(srcs, {_fold_sql(P1)}, r0), 6) AS new_reputation,
+       round(least({O.d(1.0)}, User_Experience + {O.d(0.001)} * n), 4) AS User_Experience FROM w""")
+def q_reputation_with_gaps(spark, sf):
+    """W1 and W4 over a log whose times and users have nulls: null times come last, a null user is a user."""
+    log = _with_gaps(spark, sf)
+    exp = capped_experience(log).select(ROW_ID, "User_Experience")
+    user = F.coalesce(USER, F.lit(-1)).alias(USER)
+    return replay_trace(log, P1).select(ROW_ID, user, TS, r6(F.col("new_reputation")).alias("new_reputation")).join(exp, ROW_ID)
+
+
+@query("final_with_gaps", f"""WITH l AS {_GAPS_SQL},
+  agg AS (SELECT User_Id, list(User_Reputation ORDER BY "Timestamp" NULLS LAST, row_id)[1] AS r0,
+                 list(Dataset_Source ORDER BY "Timestamp" NULLS LAST, row_id) AS srcs FROM l GROUP BY User_Id)
+SELECT COALESCE(User_Id, -1) AS User_Id, round(r0, 6) AS Original_Reputation, round(list_reduce(srcs, {_fold_sql(P1)}, r0), 6) AS Final_Reputation FROM agg""")
+def q_final_with_gaps(spark, sf):
+    per_user = replay_users(_with_gaps(spark, sf), P1)
+    return per_user.select(F.coalesce(USER, F.lit(-1)).alias(USER), r6(F.col("Original_Reputation")).alias("Original_Reputation"), r6(F.col("Final_Reputation")).alias("Final_Reputation"))
 
 
 _EXP_SQL = f"""SELECT row_id, User_Id,
@@ -295,7 +328,7 @@ def _unsup(spark, sf):
                  list(Dataset_Source ORDER BY "Timestamp", row_id) AS srcs FROM unsup GROUP BY User_Id)
 SELECT User_Id, round(r0, 6) AS Original_Reputation, round(list_reduce(srcs, {_fold_sql(P1)}, r0), 6) AS Final_Reputation FROM agg""")
 def q_final_reputation_unsupervised(spark, sf):
-    per_user, _ = replay(_unsup(spark, sf), P1)
+    per_user = replay_users(_unsup(spark, sf), P1)
     return per_user.select(USER, r6(F.col("Original_Reputation")).alias("Original_Reputation"), r6(F.col("Final_Reputation")).alias("Final_Reputation"))
 
 
@@ -362,7 +395,7 @@ SELECT mx.User_Id, Max_Experience, Final_Reputation FROM mx LEFT JOIN f USING (U
  WHERE Max_Experience IS NOT NULL AND Final_Reputation IS NOT NULL""")
 def q_experience_vs_reputation(spark, sf):
     log = load_log(spark, sf)
-    per_user, _ = replay(labelled(spark, sf), P1)
+    per_user = replay_users(labelled(spark, sf), P1)
     final = per_user.select(USER, r6(F.col("Final_Reputation")).alias("Final_Reputation"))
     return R.experience_vs_reputation(capped_experience(log), final)
 
@@ -383,8 +416,8 @@ def q_stage_comparison(spark, sf):
     from trustfold.operators.aggregates import median_of
 
     orig = log.groupBy(USER).agg(r6(median_of("User_Reputation")).alias("Original_Reputation"))
-    sup, _ = replay(labelled(spark, sf), P1)
-    uns, _ = replay(_unsup(spark, sf), P1)
+    sup = replay_users(labelled(spark, sf), P1)
+    uns = replay_users(_unsup(spark, sf), P1)
     return R.stage_comparison({
         "Original_Reputation": orig,
         "Feedback_Loop_Supervised": sup.select(USER, r6(F.col("Final_Reputation")).alias("v")),
@@ -707,6 +740,6 @@ def q_label_count_if(spark, sf):
 def q_final_reputation_all_methods(spark, sf):
     """The unsupervised path as the original runs it: all eight detectors
     (isolation forest and one-class SVM included) in the consensus and the vote."""
-    per_user, _ = replay(unsupervised_sources(load_log(spark, sf), P1, methods=None), P1)
+    per_user = replay_users(unsupervised_sources(load_log(spark, sf), P1, methods=None), P1)
     return per_user.select(USER, r6(F.col("Original_Reputation")).alias("Original_Reputation"),
                            r6(F.col("Final_Reputation")).alias("Final_Reputation"))
