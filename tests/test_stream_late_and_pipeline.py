@@ -12,7 +12,7 @@ from trustfold.operators.reputation import source_from_class
 from trustfold.params import scenario
 from trustfold.plans.pipeline import run
 from trustfold.sources.tables import behaviour_log, load_log
-from trustfold.streaming.replay import reputation_stream, run_available
+from trustfold.streaming.replay import replay_to_table
 
 
 def test_late_rows_are_flagged_in_arrival_order(spark):
@@ -26,7 +26,7 @@ def test_late_rows_are_flagged_in_arrival_order(spark):
     schema = spark.read.parquet(f"{SF}/events.parquet").schema
     src = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src_dir)
     log = behaviour_log(src).withColumn("True_Class", EVENT_RULES.class_expr()).withColumn("Dataset_Source", source_from_class())
-    out = spark.read.parquet(run_available(spark, reputation_stream(log, scenario(1)), base=tempfile.mkdtemp(prefix="trustfold-out-")))
+    out = replay_to_table(spark, log, scenario(1), base=tempfile.mkdtemp(prefix="trustfold-out-")).cache()
     first_ts = t.iloc[half]["ts"]
     newer = out.where(F.col("Timestamp") >= F.lit(first_ts))
     older = out.where(F.col("Timestamp") < F.lit(first_ts))
@@ -64,3 +64,46 @@ def test_replay_over_long_lineage_keeps_every_row_on_repeat(spark):
         per_user, trace = replay(uns, scenario(1))
         assert trace.count() == 1000
         assert per_user.count() == log.select("User_Id").distinct().count()
+
+
+def _stream(spark, folder, **options):
+    schema = spark.read.parquet(f"{SF}/events.parquet").schema
+    src = spark.readStream.schema(schema).options(**options).parquet(folder)
+    return behaviour_log(src).withColumn("True_Class", EVENT_RULES.class_expr()).withColumn("Dataset_Source", source_from_class())
+
+
+def test_stream_reads_a_folder_of_part_files(spark):
+    """Files in time order give the batch trace, whatever their number and the cut into micro-batches."""
+    from trustfold.functions.rules import label
+    from trustfold.operators.reputation import replay_trace
+
+    t = pq.read_table(f"{SF}/events.parquet").to_pandas().sort_values(["ts", "event_id"])
+    folder = os.path.join(tempfile.mkdtemp(prefix="trustfold-parts-"), "events.parquet")
+    os.makedirs(folder)
+    for i in range(3):
+        t.iloc[i * 334 : (i + 1) * 334].to_parquet(os.path.join(folder, f"part-{i}.parquet"), index=False)
+        os.utime(os.path.join(folder, f"part-{i}.parquet"), (1_700_000_000 + i, 1_700_000_000 + i))
+    log = label(load_log(spark, SF)).withColumn("Dataset_Source", source_from_class())
+    want = {r["row_id"]: round(r["new_reputation"], 9) for r in replay_trace(log, scenario(1)).collect()}
+    for options in ({}, {"maxFilesPerTrigger": "1"}):
+        rows = replay_to_table(spark, _stream(spark, folder, **options), scenario(1)).collect()
+        assert {r["row_id"]: round(r["new_reputation"], 9) for r in rows} == want and len(rows) == len(t)
+        assert not any(r["late"] for r in rows)
+
+
+def test_rows_beyond_the_delay_are_left_out(spark):
+    import datetime as dt
+
+    from trustfold.streaming.replay import STATE_SCHEMA, apply_batch
+
+    t = dt.datetime(2025, 1, 10)
+    schema = "row_id long, User_Id long, Timestamp timestamp_ntz, Dataset_Source string, User_Reputation double"
+    first = spark.createDataFrame([(1, 7, t, "normal", 0.5), (2, None, None, "normal", 0.2)], schema)
+    trace, state = apply_batch(first, spark.createDataFrame([], STATE_SCHEMA), scenario(1))
+    assert trace.count() == 2
+    state = state.checkpoint()
+    late = [(3, 7, t - dt.timedelta(hours=1), "normal", 0.9), (4, 7, t - dt.timedelta(days=3), "normal", 0.9), (5, 8, t, "normal", 0.4)]
+    trace, after = apply_batch(spark.createDataFrame(late, schema), state, scenario(1), max_delay="1 DAY")
+    assert {r["row_id"]: (r["late"], round(r["new_reputation"], 6)) for r in trace.collect()} == {3: (True, 0.51), 5: (False, 0.405)}
+    got = {r["User_Id"]: (round(r["Final_Reputation"], 6), r["last_ts"], r["last_row"]) for r in after.collect()}
+    assert got == {7: (0.51, t, 1), None: (0.205, None, 2), 8: (0.405, t, 5)}

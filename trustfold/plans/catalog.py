@@ -127,7 +127,7 @@ def q_kafka_payload(spark, sf):
     from trustfold.streaming.sink import kafka_frame
 
     trace = replay_trace(labelled(spark, sf), P1)
-    return kafka_frame(trace)
+    return kafka_frame(trace.withColumn("new_reputation", r6(F.col("new_reputation"))))
 
 
 @query("baseline_by_user", f"""SELECT User_Id, round(arg_min(User_Reputation, ("Timestamp", row_id)), 6) AS Original_Reputation,
@@ -621,18 +621,32 @@ def q_geo_offset(spark, sf):
 SELECT row_id, User_Id, "Timestamp", Dataset_Source, round(list_reduce(srcs, {_fold_sql(P1)}, r0), 6) AS new_reputation,
        FALSE AS late FROM w""")
 def q_stream_reputation(spark, sf):
-    """Replay the labelled events as a file stream (one ``availableNow`` run); must equal the batch trace."""
+    """Replay the labelled events as a file stream; must equal the batch trace."""
+    from trustfold.streaming.replay import replay_to_table
+
+    res = replay_to_table(spark, _event_stream(spark, sf), P1)
+    return res.select(ROW_ID, USER, TS, "Dataset_Source", r6(F.col("new_reputation")).alias("new_reputation"), "late")
+
+
+def _event_stream(spark, sf):
+    """The labelled events as a stream: of the one file, or of all part files of the folder, that hold the table."""
     from trustfold.functions.rules import EVENT_RULES
     from trustfold.sources.tables import behaviour_log
-    from trustfold.streaming.replay import reputation_stream, run_available
-
-    events = read_table(spark, sf, "events")
-    src = (spark.readStream.schema(events.schema).option("pathGlobFilter", "events.parquet")
-           .option("maxFilesPerTrigger", 1).parquet(sf.rstrip("/")))
-    log = behaviour_log(src).withColumn("True_Class", EVENT_RULES.class_expr()).withColumn("Dataset_Source", source_from_class())
-    out = run_available(spark, reputation_stream(log, P1))
-    res = spark.read.parquet(out)
-    return res.select(ROW_ID, USER, TS, "Dataset_Source", r6(F.col("new_reputation")).alias("new_reputation"), "late")
+
+    from trustfold.streaming.replay import table_stream
+
+    src = table_stream(spark, sf, "events")
+    return behaviour_log(src).withColumn("True_Class", EVENT_RULES.class_expr()).withColumn("Dataset_Source", source_from_class())
+
+
+@query("stream_payload", SQL["kafka_payload"])
+def q_stream_payload(spark, sf):
+    """The stream's JSON messages, written by a file sink."""
+    from trustfold.streaming.replay import replay_to_table
+    from trustfold.streaming.sink import kafka_frame
+
+    frame = lambda t: kafka_frame(t.withColumn("new_reputation", r6(F.col("new_reputation"))))
+    return replay_to_table(spark, _event_stream(spark, sf), P1, frame=frame)
 
 
 # --------------------------------------------------------------- model-based detectors (rows-only)

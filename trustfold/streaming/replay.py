@@ -1,102 +1,107 @@
 """Stateful reputation stream.
 
-``groupBy(User_Id).applyInPandasWithState`` keeps one state row per user:
-(reputation, last timestamp, last row id).  Inside a micro-batch a user's
-rows are sorted by (Timestamp, row_id) and folded with the vectorised
-clamp-shift scan, so the per-user work is numpy, not a Python loop per row.
-
-Late data (T3): rows are applied in arrival order; a row older than the
-user's last applied row is flagged ``late`` (the original replays a fully
-sorted table, so it never sees one).  An optional watermark drops rows that
-are later than the allowed delay.
-
-Output goes to a file sink under the shared checkpoint folder; nothing is
-collected to the driver.
+Every micro-batch of the event stream is replayed with the batch fold, which
+splits hot users over many tasks, starting from the state that the batch before
+left: one row per user (reputation, last time, last row).  State is a table per
+batch, written before the batch is committed; a batch that runs again overwrites
+its own output and state, so results are exactly once.
+
+Order (T3): inside a micro-batch rows are applied by (Timestamp, row_id), null
+times last; across batches in order of arrival.  A row older than the last one
+applied for its user is flagged ``late`` (the original replays a fully sorted
+table, so it never sees one); with ``max_delay`` rows later than that are left
+out.
+
+Outputs are tables under the shared checkpoint folder; nothing is collected to
+the driver.
 """
 
 from __future__ import annotations
 
-import os
 import uuid
+from collections.abc import Callable
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupStateTimeout
 
-from trustfold.operators.reputation import INT_SRC, NORMAL_SRC, SOURCE, UNINT_SRC
+from trustfold.operators.reputation import SOURCE, replay_trace, replay_users
 from trustfold.params import Scenario
-from trustfold.plans.ordered import segmented_clamp_scan
 from trustfold.session import ensure_checkpoint_dir
-from trustfold.sources.tables import ROW_ID, TARGET, TS, USER
-
-OUT_SCHEMA = "User_Id long, row_id long, Timestamp timestamp_ntz, Dataset_Source string, new_reputation double, late boolean"
-STATE_SCHEMA = "reputation double, last_ts timestamp_ntz, last_row long"
-
-
-def _steps(src: np.ndarray, p: Scenario):
-    s = np.where(src == NORMAL_SRC, p.normal_increment,
-                 np.where(src == UNINT_SRC, -p.unintentional_penalty, np.where(src == INT_SRC, -p.intentional_penalty, 0.0)))
-    lo = np.where((src == UNINT_SRC) | (src == INT_SRC), 0.0, -np.inf)
-    hi = np.where(src == NORMAL_SRC, 1.0, np.inf)
-    return s.astype(float), lo, hi
-
-
-def make_update(p: Scenario):
-    def update(key, pdfs, state):
-        pdf = pd.concat(list(pdfs), ignore_index=True).sort_values([TS, ROW_ID], kind="mergesort")
-        if state.exists:
-            r0, last_ts, last_row = state.get
-        else:
-            r0, last_ts, last_row = float(pdf[TARGET].iloc[0]), None, None
-        s, lo, hi = _steps(pdf[SOURCE].to_numpy(dtype=object), p)
-        S, L, H = segmented_clamp_scan(np.zeros(len(pdf)), s, lo, hi)
-        values = np.minimum(H, np.maximum(L, r0 + S))
-        if last_ts is None:
-            late = np.zeros(len(pdf), dtype=bool)
-        else:
-            ts = pdf[TS].to_numpy()
-            late = (ts < np.datetime64(last_ts)) | ((ts == np.datetime64(last_ts)) & (pdf[ROW_ID].to_numpy() < last_row))
-        new_last = pdf.iloc[-1]
-        if last_ts is None or (new_last[TS], new_last[ROW_ID]) > (pd.Timestamp(last_ts), last_row):
-            last_ts, last_row = new_last[TS].to_pydatetime(), int(new_last[ROW_ID])
-        state.update((float(values[-1]), last_ts, last_row))
-        yield pd.DataFrame({USER: pdf[USER].to_numpy(), ROW_ID: pdf[ROW_ID].to_numpy(), TS: pdf[TS].to_numpy(),
-                            SOURCE: pdf[SOURCE].to_numpy(), "new_reputation": values, "late": late})
-
-    return update
-
-
-def reputation_stream(events: DataFrame, p: Scenario, watermark: str | None = None) -> DataFrame:
-    """Streaming DataFrame of per-event reputation updates (append mode)."""
-    if watermark:
-        events = events.withWatermark(TS, watermark)
-    return events.groupBy(USER).applyInPandasWithState(
-        make_update(p), OUT_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout
-    )
-
-
-def run_available(spark: SparkSession, stream: DataFrame, fmt: str = "parquet", base: str | None = None, sink_opts=None) -> str:
-    """Drain a stream with ``availableNow`` into a file sink under the shared
-    checkpoint folder; returns the output path (read it back as a table)."""
-    root = base or ensure_checkpoint_dir(spark)
-    run = uuid.uuid4().hex
-    out = os.path.join(root, f"stream-out-{run}")
-    ckpt = os.path.join(root, f"stream-ckpt-{run}")
-    w = stream.writeStream.format(fmt).option("path", out).option("checkpointLocation", ckpt).outputMode("append")
-    for k, v in (sink_opts or {}).items():
-        w = w.option(k, v)
-    q = w.trigger(availableNow=True).start()
+from trustfold.sources.tables import ROW_ID, TS, USER
+
+STATE_SCHEMA = "User_Id long, Final_Reputation double, last_ts timestamp_ntz, last_row long"
+Sink = Callable[[DataFrame, int], None]
+
+
+def table_stream(spark: SparkSession, folder: str, table: str) -> DataFrame:
+    """Stream of ``folder``/``table``.parquet, be it one file or a folder of part files."""
+    top, name = folder.rstrip("/"), f"{table}.parquet"
+    schema = spark.read.parquet(f"{top}/{name}").schema
+    fs_path = spark._jvm.org.apache.hadoop.fs.Path(f"{top}/{name}")
+    if fs_path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(fs_path).isDirectory():
+        return spark.readStream.schema(schema).parquet(f"{top}/{name}")
+    return spark.readStream.schema(schema).option("pathGlobFilter", name).parquet(top)  # a file source reads folders
+
+
+def table_sink(path: str) -> Sink:
+    """Each batch's rows as Parquet under ``path``/batch=<id>."""
+    return lambda frame, batch_id: frame.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+
+def apply_batch(batch: DataFrame, state: DataFrame, p: Scenario, max_delay: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(trace, state) after one micro-batch.  trace has ``late``; a null user is a user."""
+    last = state.select(F.col(USER).alias("_user"), "last_ts", "last_row")
+    rows = batch.join(last, F.col(USER).eqNullSafe(F.col("_user")), "left")
+    place = F.struct(F.col(TS).isNull(), F.col(TS), F.col(ROW_ID))
+    late = F.coalesce(place < F.struct(F.col("last_ts").isNull(), F.col("last_ts"), F.col("last_row")), F.lit(False)) & F.col("last_row").isNotNull()
+    if max_delay:
+        rows = rows.where(~late | F.coalesce(F.col(TS) >= F.col("last_ts") - F.expr(f"INTERVAL {max_delay}"), F.lit(True)))
+    rows = rows.withColumn("late", late).drop("_user", "last_ts", "last_row").checkpoint()
+    initial = state.select(USER, "Final_Reputation")
+    trace = replay_trace(rows, p, initial=initial, carry_cols=(ROW_ID, SOURCE, "late"))
+    newest = F.max(F.struct(F.col(TS).isNull().alias("none"), F.col(TS).alias("ts"), F.col(ROW_ID).alias("row")))
+    seen = rows.groupBy(F.col(USER).alias("_user")).agg(newest.alias("_new"))
+    users = replay_users(rows, p, initial=initial).select(F.col(USER).alias("_u"), F.col("Final_Reputation").alias("_now"))
+    moved = seen.join(users, F.col("_user").eqNullSafe(F.col("_u"))).drop("_u")
+    both = state.join(moved, F.col(USER).eqNullSafe(F.col("_user")), "full")
+    touched = F.col("_new").isNotNull()
+    ahead = touched & (F.col("last_row").isNull() | (
+        F.struct(F.col("last_ts").isNull().alias("none"), F.col("last_ts").alias("ts"), F.col("last_row").alias("row")) < F.col("_new")))
+    new_state = both.select(
+        F.when(touched, F.col("_user")).otherwise(F.col(USER)).alias(USER), F.when(touched, F.col("_now")).otherwise(F.col("Final_Reputation")).alias("Final_Reputation"),
+        F.when(ahead, F.col("_new.ts")).otherwise(F.col("last_ts")).alias("last_ts"), F.when(ahead, F.col("_new.row")).otherwise(F.col("last_row")).alias("last_row"))
+    return trace, new_state
+
+
+def replay_stream(spark: SparkSession, events: DataFrame, p: Scenario, sink: Sink, base: str | None = None,
+                  max_delay: str | None = None) -> None:
+    """Drain the labelled event stream, as far as it is available, through the fold into ``sink(trace, batch_id)``."""
+    root = f"{(base or ensure_checkpoint_dir(spark)).rstrip('/')}/stream-{uuid.uuid4().hex}"
+
+    def on_batch(batch: DataFrame, batch_id: int) -> None:
+        session = batch.sparkSession
+        before = session.read.schema(STATE_SCHEMA).parquet(f"{root}/state/{batch_id - 1}") if batch_id else session.createDataFrame([], STATE_SCHEMA)
+        trace, after = apply_batch(batch, before, p, max_delay)
+        sink(trace, batch_id)
+        after.write.mode("overwrite").parquet(f"{root}/state/{batch_id}")
+
+    q = events.writeStream.foreachBatch(on_batch).option("checkpointLocation", f"{root}/offsets").trigger(availableNow=True).start()
     q.awaitTermination()
     if q.exception():
         raise q.exception()
-    return out
 
 
-def kafka_stream(updates: DataFrame, servers: str, topic: str, checkpoint: str):
-    """JSON updates to a Kafka topic (needs the Kafka connector jar)."""
-    from trustfold.streaming.sink import kafka_frame
+def replay_to_table(spark: SparkSession, events: DataFrame, p: Scenario, base: str | None = None, frame=None, max_delay: str | None = None) -> DataFrame:
+    """Drain the stream into a table and read it back.  ``frame`` turns a trace into what is written, for example
+    ``kafka_frame`` for the JSON messages (T2)."""
+    path = f"{(base or ensure_checkpoint_dir(spark)).rstrip('/')}/stream-out-{uuid.uuid4().hex}"
+    to = table_sink(path)
+    replay_stream(spark, events, p, lambda trace, batch_id: to(frame(trace) if frame else trace, batch_id), base, max_delay)
+    return spark.read.parquet(path).drop("batch")
 
-    return (kafka_frame(updates).writeStream.format("kafka").option("kafka.bootstrap.servers", servers)
-            .option("topic", topic).option("checkpointLocation", checkpoint).outputMode("append").start())
+
+def kafka_sink(servers: str, topic: str) -> Sink:
+    """Each batch's JSON messages to a Kafka topic (needs the Kafka connector on the classpath)."""
+    from trustfold.streaming.sink import kafka_frame, write_kafka
+
+    return lambda trace, batch_id: write_kafka(kafka_frame(trace), servers, topic)

@@ -25,7 +25,7 @@ def iso_timestamp(ts: Column) -> Column:
 def payload(trace: DataFrame, user: str = "User_Id", value: str = "new_reputation", source: str = "Dataset_Source", ts: str = "Timestamp") -> Column:
     msg = F.struct(
         F.col(user).cast("string").alias("user_id"),
-        F.round(F.col(value), 6).alias("new_reputation"),
+        F.col(value).alias("new_reputation"),
         F.col(source).alias("dataset_source"),
         iso_timestamp(F.col(ts)).alias("timestamp"),
     )
