@@ -18,7 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trustfold.llm.common import broadcast_if_small, stored
+from trustfold.llm.common import BROADCAST_ROWS, broadcast_if_small, stored
 
 
 @dataclass(frozen=True)
@@ -130,7 +130,9 @@ def secrets_by_path(paths: DataFrame, findings: DataFrame, path_col: str, rules:
     as kind:start:end joined by commas in order of start and then of the rules, and all spans joined likewise."""
     order = F.array(*[F.lit(r.kind) for r in rules])
     span = F.struct("start", F.array_position(order, F.col("kind")).alias("at"), "kind", "end")
-    per_blob = findings.groupBy("blob").agg(F.sort_array(F.collect_list(span)).alias("all"))
+    per_blob = stored(findings.groupBy("blob").agg(F.sort_array(F.collect_list(span)).alias("all")))
+    if (per_blob.agg(F.sum(F.size("all"))).first()[0] or 0) <= BROADCAST_ROWS:  # so that a blob of many paths stays spread
+        per_blob = F.broadcast(per_blob)
     spans = F.coalesce("all", F.array().cast("array<struct<start:bigint,at:bigint,kind:string,end:bigint>>"))
     out = paths.join(per_blob, "blob", "left").withColumn("all", spans)
     of = lambda kinds: F.filter("all", lambda s: s["kind"].isin(*kinds))
