@@ -104,16 +104,18 @@ def statistics(rows: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def binomial_cdf(k: int, n: int, p: float) -> float:
-    """P(X <= k), X binomial. Sums from k down until the terms no longer count."""
+    """P(X <= k), X binomial. Sums the tail on k's side of the mean, away from it, until the terms no longer count."""
     if k >= n:
         return 1.0
-    term = math.exp(math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) + k * math.log(p) + (n - k) * math.log1p(-p))
-    total, i = 0.0, k
-    while i >= 0 and term > 1e-18 * total:
+    below = k < n * p
+    i = k if below else k + 1
+    term = math.exp(math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(p) + (n - i) * math.log1p(-p))
+    total = 0.0
+    while 0 <= i <= n and term > 1e-18 * total:
         total += term
-        term *= i * (1 - p) / ((n - i + 1) * p)
-        i -= 1
-    return min(1.0, total)
+        term *= i * (1 - p) / ((n - i + 1) * p) if below else (n - i) * p / ((i + 1) * (1 - p))
+        i += -1 if below else 1
+    return min(1.0, total if below else 1.0 - total)
 
 
 @F.pandas_udf(T.DoubleType())
