@@ -19,11 +19,6 @@ def parse_ts(c: Column) -> Column:
     return F.try_to_timestamp(c.cast("string"))
 
 
-def day(c: Column) -> Column:
-    """S3."""
-    return F.to_date(c)
-
-
 def to_number(c: Column) -> Column:
     """S4."""
     return c.cast("string").try_cast("double")
@@ -59,9 +54,14 @@ def percent_of(part: Column, total: Column) -> Column:
     return F.when(total == 0, F.lit(0.0)).otherwise(part / total * 100)
 
 
-def integer_like(c: Column, max_distinct: int = 10):
+def all_whole(c: Column) -> Column:
+    """S13 aggregate: no value has a fraction."""
+    return F.coalesce(F.bool_and(c == F.floor(c)), F.lit(True))
+
+
+def integer_like(c: Column, max_distinct: int = 10) -> Column:
     """S13 / M1 aggregate: at most ``max_distinct`` distinct values and all whole."""
-    return (F.count_distinct(c) <= max_distinct) & F.coalesce(F.bool_and(c == F.floor(c)), F.lit(True))
+    return (F.count_distinct(c) <= max_distinct) & all_whole(c)
 
 
 def hashed_uniform(seed: str, *keys) -> Column:

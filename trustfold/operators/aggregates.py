@@ -1,29 +1,17 @@
-"""Per-key aggregates (K1-K3, K9) with a scale switch.
-
-An exact median keeps a value -> count map per group, so one key holding a
-third of all rows makes that map as large as its distinct values.  With
-``exact=False`` the same call uses ``percentile_approx`` (a bounded sketch
-merged across map-side partial aggregates).  Exact is the default because it
-is what the oracle checks at test sizes.
-"""
+"""Per-key aggregates (K1-K3, K9)."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-APPROX_ACCURACY = 10000
-
-
-def median_of(c: Column | str, exact: bool = True) -> Column:
-    c = F.col(c) if isinstance(c, str) else c
-    return F.median(c) if exact else F.percentile_approx(c, 0.5, APPROX_ACCURACY)
+from trustfold.plans.percentiles import group_percentiles
 
 
-def median_per_key(df: DataFrame, key: str, cols, exact: bool = True, names=None) -> DataFrame:
-    """K1 / K2: median of each column per key, in one aggregation."""
+def median_per_key(df: DataFrame, key: str, cols, names=None) -> DataFrame:
+    """K1 / K2: exact median of each column per key.  A key that holds a third of all rows is many partial counts."""
     names = list(names or cols)
-    return df.groupBy(key).agg(*[median_of(c, exact).alias(n) for c, n in zip(cols, names)])
+    return group_percentiles(df, [key], {n: (F.col(c), 0.5) for c, n in zip(cols, names)})
 
 
 def max_per_key(df: DataFrame, key: str, col: str, name: str | None = None) -> DataFrame:

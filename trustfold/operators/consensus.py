@@ -120,12 +120,6 @@ def tag(log: DataFrame, flagged: DataFrame) -> DataFrame:
     return log.join(hit, ROW_ID, "left").withColumn("is_misbehaving", F.coalesce("_hit", F.lit(False))).drop("_hit")
 
 
-def in_time_order(df: DataFrame) -> DataFrame:
-    """Rows by time, null times last, as written to the result table."""
-    order = [F.col(TS).asc_nulls_last(), F.col(ROW_ID)]
-    return df.repartitionByRange(*order).sortWithinPartitions(*order)
-
-
 def summary(tagged: DataFrame) -> DataFrame:
     """Original, cleaned, unique removed and percent removed, in one row and one pass."""
     both = tagged.agg(F.count(F.lit(1)).alias("original_rows"), F.count_if(~F.col("is_misbehaving")).alias("cleaned_rows"))

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -83,17 +83,13 @@ class ScalerModel:
     stats: dict[str, tuple[float, float]]  # column -> (center, scale)
 
     def transform(self, df: DataFrame) -> DataFrame:
-        exprs = []
-        for c in df.columns:
-            if c in self.stats:
-                center, scale = self.stats[c]
-                if scale is None or scale == 0:
-                    exprs.append(F.when(F.col(c).isNull(), F.lit(None)).otherwise(F.lit(0.0)).alias(c))
-                else:
-                    exprs.append(((F.col(c) - F.lit(center)) / F.lit(scale)).alias(c))
-            else:
-                exprs.append(F.col(c))
-        return df.select(*exprs)
+        """Scaled columns; a null, and every value of a constant column, becomes 0 (as ``scale_grouped``)."""
+        return df.select(*[scaled(F.col(c), *map(F.lit, self.stats[c])).alias(c) if c in self.stats else F.col(c) for c in df.columns])
+
+    @classmethod
+    def from_frame(cls, frame: DataFrame) -> "ScalerModel":
+        rows = frame.collect()  # one row per column
+        return cls(rows[0]["kind"] if rows else "standard", {r["column"]: (r["center"], r["scale"]) for r in rows})
 
     def to_frame(self, spark) -> DataFrame:
         rows = [(c, self.kind, float(a) if a is not None else None, float(b) if b is not None else None) for c, (a, b) in self.stats.items()]
@@ -118,11 +114,10 @@ def fit_scaler(df: DataFrame, cols, kind: str = "standard") -> ScalerModel:
     return ScalerModel(kind, stats)
 
 
-def scale_expr(c: str, kind: str):
-    """Scaling as an expression over per-group statistics columns ``_a``, ``_b`` (see ``scale_grouped``)."""
-    if kind == "standard":
-        return F.coalesce((F.col(c) - F.col("_a")) / F.when(F.col("_b") != 0, F.col("_b")), F.lit(0.0))
-    return F.coalesce((F.col(c) - F.col("_a")) / F.when(F.col("_b") - F.col("_a") != 0, F.col("_b") - F.col("_a")), F.lit(0.0))
+def scaled(value: Column, center: Column, scale: Column) -> Column:
+    """(value - center) / scale, 0 where that is not a number."""
+    scale = scale.cast("double")
+    return F.coalesce((value - center.cast("double")) / F.when(scale != 0, scale), F.lit(0.0))
 
 
 def scale_grouped(df: DataFrame, value: str, group, kind: str = "standard") -> DataFrame:
@@ -130,8 +125,8 @@ def scale_grouped(df: DataFrame, value: str, group, kind: str = "standard") -> D
     if kind == "standard":
         st = df.groupBy(*group).agg(F.avg(value).alias("_a"), F.stddev_pop(value).alias("_b"))
     else:
-        st = df.groupBy(*group).agg(F.min(value).alias("_a"), F.max(value).alias("_b"))
-    return df.join(st, list(group)).withColumn(value, scale_expr(value, kind)).drop("_a", "_b")
+        st = df.groupBy(*group).agg(F.min(value).alias("_a"), (F.max(value) - F.min(value)).alias("_b"))
+    return df.join(st, list(group)).withColumn(value, scaled(F.col(value), F.col("_a"), F.col("_b"))).drop("_a", "_b")
 
 
 def encode_features(df: DataFrame, numeric, categorical, limit: int = ONEHOT_LIMIT) -> tuple[DataFrame, list[str]]:

@@ -1,4 +1,4 @@
-"""Imputation (I1-I5).  Statistics come from one aggregation over all columns."""
+"""Imputation (I1-I3, I5).  The per-chunk median fill (I4) is ``consensus.fill_missing``."""
 
 from __future__ import annotations
 
@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from trustfold.plans.percentiles import group_percentiles
+
 UNKNOWN = "Unknown"
 
 
@@ -15,30 +17,29 @@ def _kinds(df: DataFrame, exclude=()):
     return num, cat
 
 
-def fill_stats(df: DataFrame, numeric=None, categorical=None, exact: bool = True) -> dict:
-    """Medians of numeric columns (I1) and modes of string columns (I2), in one pass.
+def fill_stats(df: DataFrame, numeric=None, categorical=None) -> dict:
+    """Medians of numeric columns (I1) and modes of string columns (I2), the smallest of equally frequent ones.
 
-    ``mode(c, true)`` is deterministic and picks the smallest value on ties,
-    as a sorted pandas ``mode()`` does; ``exact=False`` swaps the median for
-    ``percentile_approx`` at scale.
+    Medians come from ``group_percentiles`` and modes from a grouped count per column, so that no task holds a column's
+    values.
     """
     n, c = _kinds(df)
     numeric = n if numeric is None else list(numeric)
     categorical = c if categorical is None else list(categorical)
-    med = (lambda x: F.median(x)) if exact else (lambda x: F.percentile_approx(x, 0.5, 10000))
-    aggs = [med(F.col(x)).alias(f"n{i}") for i, x in enumerate(numeric)]
-    aggs += [F.mode(F.col(x), True).alias(f"c{i}") for i, x in enumerate(categorical)]
-    if not aggs:
-        return {}
-    row = df.agg(*aggs).first()
-    stats = {x: row[f"n{i}"] for i, x in enumerate(numeric)}
-    stats.update({x: (row[f"c{i}"] if row[f"c{i}"] is not None else UNKNOWN) for i, x in enumerate(categorical)})
+    stats = {}
+    if numeric:
+        row = group_percentiles(df, [], {f"n{i}": (F.col(x), 0.5) for i, x in enumerate(numeric)}).first()
+        stats.update({x: row[f"n{i}"] if row else None for i, x in enumerate(numeric)})
+    for x in categorical:
+        counts = df.where(F.col(x).isNotNull()).groupBy(F.col(x).alias("v")).agg(F.count(F.lit(1)).alias("n"))
+        mode = counts.agg(F.min_by("v", F.struct(-F.col("n"), F.col("v"))).alias("v")).first()["v"]
+        stats[x] = mode if mode is not None else UNKNOWN
     return stats
 
 
-def impute(df: DataFrame, numeric=None, categorical=None, exact: bool = True) -> DataFrame:
+def impute(df: DataFrame, numeric=None, categorical=None) -> DataFrame:
     """I1 + I2: numeric nulls (and NaN) take the column median, strings the mode or 'Unknown'."""
-    stats = fill_stats(df, numeric, categorical, exact)
+    stats = fill_stats(df, numeric, categorical)
     exprs = []
     for f in df.schema.fields:
         c = F.col(f.name)
@@ -64,15 +65,6 @@ def mean_fill(df: DataFrame, cols, group=()) -> DataFrame:
     return out
 
 
-def median_fill_grouped(df: DataFrame, cols, group) -> DataFrame:
-    """I4: nulls take the median of their group (e.g. per chunk)."""
-    meds = df.groupBy(*group).agg(*[F.median(c).alias(f"_q_{c}") for c in cols])
-    out = df.join(meds, list(group), "left")
-    for c in cols:
-        out = out.withColumn(c, F.coalesce(F.col(c), F.col(f"_q_{c}"))).drop(f"_q_{c}")
-    return out
-
-
 def zero_fill(df: DataFrame, cols=None) -> DataFrame:
     """Nulls become 0 after an outer join or a pivot."""
     return df.fillna(0, subset=cols) if cols else df.fillna(0)

@@ -8,8 +8,8 @@ the projections, and the top c fraction (D9) is flagged.
 
 Per-projection statistics come from ``groupBy`` with partial aggregation and
 have R and R x bins rows, a bound fixed by the parameters, so they are
-broadcast.  The threshold is one global percentile (exact, or approximate at
-scale) returned as a scalar.
+broadcast.  The threshold is one global exact percentile, a scalar that
+``group_percentiles`` finds without holding the scores in one task.
 """
 
 from __future__ import annotations
@@ -65,11 +65,14 @@ def loda_scores(df: DataFrame, id_col: str, vec: str, dim: int, n: int = N_PROJE
     return scored
 
 
-def loda_flags(df: DataFrame, id_col: str, vec: str, dim: int, contamination: float, exact: bool = True, **kw) -> DataFrame:
-    scored = loda_scores(df, id_col, vec, dim, **kw)
-    q = 1.0 - contamination
-    thr = scored.agg((F.percentile("score", q) if exact else F.percentile_approx("score", q, 10000)).alias("t")).first()["t"]
-    return scored.withColumn("is_outlier", F.coalesce(F.col("score") > F.lit(thr), F.lit(False)))
+def loda_flags(df: DataFrame, id_col: str, vec: str, dim: int, contamination: float, **kw) -> DataFrame:
+    from trustfold.plans.percentiles import group_percentiles
+    from trustfold.session import ensure_checkpoint_dir
+
+    ensure_checkpoint_dir(df.sparkSession)
+    scored = loda_scores(df, id_col, vec, dim, **kw).checkpoint()
+    row = group_percentiles(scored, [], {"t": (F.col("score"), 1.0 - contamination)}).first()
+    return scored.withColumn("is_outlier", F.coalesce(F.col("score") > F.lit(row["t"] if row else None).cast("double"), F.lit(False)))
 
 
 def oracle_sql(table: str, id_col: str, vec: str, dim: int, contamination: float, n: int = N_PROJECTIONS,

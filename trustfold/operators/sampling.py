@@ -20,8 +20,8 @@ def seeded_key(key: str = ROW_ID, seed: str = SEED) -> Column:
 
 
 def time_order(df: DataFrame, ts: str = TS, tie: str = ROW_ID) -> DataFrame:
-    """L1: sort by time; ties always end in the row id (range-partitioned sort)."""
-    return df.orderBy(F.col(ts), F.col(tie))
+    """L1: sort by time, null times last; ties always end in the row id (range-partitioned sort)."""
+    return df.orderBy(F.col(ts).asc_nulls_last(), F.col(tie))
 
 
 def seeded_sample(df: DataFrame, n: int, key: str = ROW_ID, seed: str = SEED) -> DataFrame:

@@ -6,17 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-NUMERICAL, CATEGORICAL, UNKNOWN = "numerical", "categorical", "unknown"
-
-# The fourteen model features and six intentional columns of the
-# original behaviour log, in their configured order.
-FEATURES = [
-    "User_Experience", "User_Activity", "University_Area", "Violation_Type", "Road_Type", "Road_Accident",
-    "Speed_Limit", "Internet_Connection", "Internet_Signal_Strength", "Battery_Percentage",
-    "Accelerometer_Range", "Accelerometer_Resolution", "Latitude", "Longitude",
-]
-INTENTIONAL_COLUMNS = ["User_Activity", "University_Area", "Road_Accident", "Road_Type", "Speed_Limit", "Violation_Type"]
+from trustfold.functions.scalars import all_whole
 
+NUMERICAL, CATEGORICAL, UNKNOWN = "numerical", "categorical", "unknown"
 
 def column_kinds(df: DataFrame, target: str | None = None) -> list[tuple[str, str]]:
     """B1: (column, kind) for every column except the target."""
@@ -52,7 +44,7 @@ def target_check_frame(df: DataFrame, target: str) -> DataFrame:
         F.count(F.lit(1)).alias("n_rows"),
         F.count_if(t.isNull()).alias("n_null"),
         F.count_distinct(t).alias("n_distinct"),
-        F.coalesce(F.bool_and(t == F.floor(t)), F.lit(True)).alias("all_whole"),
+        all_whole(t).alias("all_whole"),
     )
 
 

@@ -26,14 +26,53 @@ class Scenario:
         return replace(self, **kw)
 
 
-# The three published scenarios (knob order as in the source table:
-# intentional %, unintentional %, overlap %, missing %, ground sample size,
-# contamination rate, threshold, normal increment, unintentional penalty,
-# intentional penalty, model budget seconds, model sample size).
+# The three published scenarios.
 SCENARIOS = {
-    1: Scenario(1, 0.05, 0.1, 0.0, 0.0, 500, 0.01, 3.0, 0.005, 0.005, 0.015, 30, 1000),
-    2: Scenario(2, 0.1, 0.2, 0.05, 0.02, 1000, 0.02, 2.5, 0.0075, 0.0075, 0.02, 30, 1200),
-    3: Scenario(3, 0.25, 0.3, 0.10, 0.15, 3000, 0.08, 4.0, 0.005, 0.001, 0.03, 30, 2000),
+    1: Scenario(
+        scenario_id=1,
+        intentional_perc=0.05,
+        unintentional_perc=0.1,
+        overlap_perc=0.0,
+        missing_perc=0.0,
+        ground_sample_size=500,
+        contamination_rate=0.01,
+        threshold=3.0,
+        normal_increment=0.005,
+        unintentional_penalty=0.005,
+        intentional_penalty=0.015,
+        automl_budget=30,
+        automl_sample_size=1000,
+    ),
+    2: Scenario(
+        scenario_id=2,
+        intentional_perc=0.1,
+        unintentional_perc=0.2,
+        overlap_perc=0.05,
+        missing_perc=0.02,
+        ground_sample_size=1000,
+        contamination_rate=0.02,
+        threshold=2.5,
+        normal_increment=0.0075,
+        unintentional_penalty=0.0075,
+        intentional_penalty=0.02,
+        automl_budget=30,
+        automl_sample_size=1200,
+    ),
+    3: Scenario(
+        scenario_id=3,
+        intentional_perc=0.25,
+        unintentional_perc=0.3,
+        overlap_perc=0.10,
+        missing_perc=0.15,
+        ground_sample_size=3000,
+        contamination_rate=0.08,
+        threshold=4.0,
+        normal_increment=0.005,
+        unintentional_penalty=0.001,
+        intentional_penalty=0.03,
+        automl_budget=30,
+        automl_sample_size=2000,
+    ),
 }
 
 
@@ -41,10 +80,3 @@ def scenario(scenario_id: int = 1) -> Scenario:
     if scenario_id not in SCENARIOS:
         raise ValueError(f"unknown scenario {scenario_id!r}; known: {sorted(SCENARIOS)}")
     return SCENARIOS[scenario_id]
-
-
-def params_frame(spark):
-    """Scenario table (one row per scenario) for jobs that run several scenarios at once."""
-    from dataclasses import asdict
-
-    return spark.createDataFrame([asdict(s) for s in SCENARIOS.values()])

@@ -19,7 +19,7 @@ from trustfold.operators.reputation import capped_experience, first_in_time, rep
 from trustfold.operators.votes import top_n_split, vote_counts
 from trustfold.params import scenario
 from trustfold.plans import oracle as O
-from trustfold.sources.tables import LOG_SQL, ROW_ID, TS, USER, load_log, read_table
+from trustfold.sources.tables import LOG_BLANK_SQL, LOG_SQL, ROW_ID, TS, USER, behaviour_log, load_log, read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -190,11 +190,11 @@ def q_max_by_user(spark, sf):
 @query("median_by_user", """SELECT o_custkey AS User_Id, round(median(o_totalprice), 6) AS median_price,
        count(*) AS n_orders FROM orders GROUP BY o_custkey""")
 def q_median_by_user(spark, sf):
-    from trustfold.operators.aggregates import median_of
+    from trustfold.operators.aggregates import median_per_key
 
-    o = read_table(spark, sf, "orders")
-    return o.groupBy(F.col("o_custkey").alias(USER)).agg(
-        r6(median_of("o_totalprice")).alias("median_price"), F.count(F.lit(1)).alias("n_orders"))
+    o = read_table(spark, sf, "orders").withColumnRenamed("o_custkey", USER)
+    med = median_per_key(o, USER, ["o_totalprice"], ["median_price"]).select(USER, r6(F.col("median_price")).alias("median_price"))
+    return med.join(o.groupBy(USER).agg(F.count(F.lit(1)).alias("n_orders")), USER)
 
 
 # --------------------------------------------------------------- outliers D, G, R1
@@ -216,6 +216,13 @@ def q_chunks(spark, sf):
     return _chunked(spark, sf).select(ROW_ID, "chunk_id")
 
 
+@query("fill_per_chunk", f"""SELECT chunk_id, row_id, "column", round(value, 6) AS value FROM {O.long_form(O.chunked(LOG_BLANK_SQL))} f""")
+def q_fill_per_chunk(spark, sf):
+    """I4: blank cells take their chunk's and column's median."""
+    long, _ = C.detection_frame(C.chunk(load_log(spark, sf, blank_cells=True)))
+    return long.select("chunk_id", ROW_ID, "column", r6(F.col("value")).alias("value"))
+
+
 def _detector_query(name, method, sqlfn, arg):
     @query(name, f"SELECT chunk_id, row_id, \"column\", is_outlier FROM {sqlfn(_LONG, arg)} d")
     def q(spark, sf):
@@ -269,11 +276,12 @@ def q_outlier_ids(spark, sf):
 @query("misbehaving_by_time", _CONS + """
 SELECT row_id, User_Id, "Timestamp", row_number() OVER (ORDER BY "Timestamp", row_id) - 1 AS place FROM mis""")
 def q_misbehaving_by_time(spark, sf):
-    """The misbehaving rows in time order; place comes from the order of the written rows."""
+    """The misbehaving rows in time order, each with its place."""
+    from trustfold.operators.sampling import time_order
     from trustfold.plans.ordered import global_row_number
 
-    ordered = C.in_time_order(_consensus(spark, sf)["misbehaving"].select(ROW_ID, USER, TS))
-    return global_row_number(ordered, [F.col(TS).asc_nulls_last(), F.col(ROW_ID)], out="place")
+    mis = _consensus(spark, sf)["misbehaving"].select(ROW_ID, USER, TS)
+    return time_order(global_row_number(mis, [TS, ROW_ID], out="place"))
 
 
 @query("outlier_summary", _CONS + """
@@ -400,6 +408,13 @@ def q_experience_vs_reputation(spark, sf):
     return R.experience_vs_reputation(capped_experience(log), final)
 
 
+def _median_reputation(log):
+    from trustfold.operators.aggregates import median_per_key
+
+    med = median_per_key(log, USER, ["User_Reputation"], ["Original_Reputation"])
+    return med.select(USER, r6(F.col("Original_Reputation")).alias("Original_Reputation"))
+
+
 @query("stage_comparison", _UNSUP_CTES + f""",
   l AS {O.LABELLED},
   a AS (SELECT User_Id, arg_min(User_Reputation, ("Timestamp", row_id)) AS r0,
@@ -413,9 +428,7 @@ SELECT o.User_Id, o.Original_Reputation,
   FROM o JOIN a USING (User_Id) JOIN b USING (User_Id)""")
 def q_stage_comparison(spark, sf):
     log = load_log(spark, sf)
-    from trustfold.operators.aggregates import median_of
-
-    orig = log.groupBy(USER).agg(r6(median_of("User_Reputation")).alias("Original_Reputation"))
+    orig = _median_reputation(log)
     sup = replay_users(labelled(spark, sf), P1)
     uns = replay_users(_unsup(spark, sf), P1)
     return R.stage_comparison({
@@ -431,7 +444,6 @@ from trustfold.operators import impute as I  # noqa: E402
 from trustfold.operators import perturb as PT  # noqa: E402
 from trustfold.operators import sampling as S  # noqa: E402
 from trustfold.operators import schema as SC  # noqa: E402
-from trustfold.sources.tables import LOG_BLANK_SQL  # noqa: E402
 
 
 def hu_sql(seed: str, key: str) -> str:
@@ -661,57 +673,173 @@ def q_ocsvm(spark, sf):
 
 
 # --------------------------------------------------------------- model jobs M1-M8 (rows-only)
-_MODEL_FEATURES = ["User_Experience", "value", "k"]
+_NUMERIC = ["User_Experience", "value", "k"]
+_CATEGORICAL = ["event_type"]
 
 
-def _scored(spark, sf, engine="B", budget=2):
-    from trustfold.plans.models import train_and_score
+def _model_runs(spark, sf):
+    """The three run types: raw log, and the replayed rows of either labelling with their source as a feature (M8)."""
+    log = capped_experience(load_log(spark, sf)).checkpoint()
+    sup = labelled(spark, sf).select(ROW_ID, "Dataset_Source")
+    uns = _unsup(spark, sf).select(ROW_ID, "Dataset_Source")
+    return {"raw": (log, _CATEGORICAL), "supervised": (log.join(sup, ROW_ID), [*_CATEGORICAL, "Dataset_Source"]),
+            "unsupervised": (log.join(uns, ROW_ID), [*_CATEGORICAL, "Dataset_Source"])}
+
+
+def _ready(spark, sf, run):
+    from trustfold.plans.models import fit_features
 
-    log = capped_experience(load_log(spark, sf))
-    return train_and_score(log, _MODEL_FEATURES, "User_Reputation", P1.automl_sample_size, engine=engine, budget=budget)
+    df, categorical = _model_runs(spark, sf)[run]
+    df = df.checkpoint()
+    return df, fit_features(df, _NUMERIC, categorical)
 
 
 @query("predicted_median_by_user")
 def q_predicted_median_by_user(spark, sf):
-    from trustfold.plans.models import predicted_median_by_user
+    """M4 / K2: both searches on the supervised replay, two median predictions per user."""
+    from trustfold.plans.models import predict_final_reputations
 
-    _, scored = _scored(spark, sf)
-    return predicted_median_by_user(scored)
+    return predict_final_reputations(*_ready(spark, sf, "supervised"), "User_Reputation", P1.automl_sample_size)[0]
 
 
 @query("model_r2")
 def q_model_r2(spark, sf):
-    from trustfold.plans.models import r2_sql_frame
+    from trustfold.plans.models import r2, train_and_score
 
-    res, scored = _scored(spark, sf)
-    return r2_sql_frame(scored).select("r2", F.lit(res.in_sample).alias("in_sample_r2"), F.lit(res.holdout).alias("holdout_r2"),
-                                      F.lit(res.best).alias("best_model"), F.lit(res.task).alias("task"))
+    df, features = _ready(spark, sf, "raw")
+    res, scored = train_and_score(df, features, "User_Reputation", P1.automl_sample_size, engine="B", budget=2)
+    return r2(scored).select("r2", F.lit(res.in_sample).alias("in_sample_r2"), F.lit(res.holdout).alias("holdout_r2"),
+                             F.lit(res.best).alias("best_model"), F.lit(res.task).alias("task"))
 
 
 @query("model_scores")
 def q_model_scores(spark, sf):
-    from trustfold.plans.models import ledger_row, train_and_score
+    """Best score per engine and run type, each run trained on all of its rows' kinds and entered in a ledger."""
+    import uuid
 
-    log = capped_experience(load_log(spark, sf))
-    sup = labelled(spark, sf).select(ROW_ID, "Dataset_Source")
-    runs = {"raw": log, "supervised": log.join(sup, ROW_ID).where(F.col("Dataset_Source") == "normal")}
-    rows = None
-    for run_type, df in runs.items():
+    from trustfold.plans.models import append_ledger, fit_features, ledger_row, train_and_score
+    from trustfold.session import ensure_checkpoint_dir
+
+    path, ledger = f"{ensure_checkpoint_dir(spark).rstrip('/')}/ledger-{uuid.uuid4().hex}", None
+    for run, (df, categorical) in _model_runs(spark, sf).items():
+        df = df.checkpoint()
+        features = fit_features(df, _NUMERIC, categorical)
         for engine in ("A", "B"):
-            res, _ = train_and_score(df, _MODEL_FEATURES, "User_Reputation", P1.automl_sample_size, engine=engine, budget=1,
-                                     parallelism=8)
-            r = ledger_row(spark, f"{run_type}_{engine}", res).withColumn("run_type", F.lit(run_type))
-            rows = r if rows is None else rows.unionByName(r)
-    return R.best_scores(rows, ["raw", "unsupervised", "supervised"])
+            res, _ = train_and_score(df, features, "User_Reputation", P1.automl_sample_size, engine, budget=1, parallelism=8)
+            ledger = append_ledger(ledger_row(spark, f"{run}_{engine}", res), path)
+    run_type = F.element_at(F.split("prefix", "_"), 1).alias("run_type")
+    return R.best_scores(ledger.select("*", run_type), ["raw", "unsupervised", "supervised"])
+
+
+# Coefficients (intercept, User_Experience, value, k, normal row) of two scoring models, so that SQL can check M5, M6 and K2.
+_COEFFICIENTS = {"A": (0.4, 0.3, 0.0005, -0.001, 0.02), "B": (0.55, -0.1, 0.0002, 0.0004, -0.03)}
+
+
+def _linear(engine: str, normal):
+    a, e, v, k, n = _COEFFICIENTS[engine]
+    return F.lit(a) + F.lit(e) * F.col("User_Experience") + F.lit(v) * F.col("value") + F.lit(k) * F.col("k") + F.lit(n) * normal.cast("double")
+
+
+def _linear_sql(engine: str, normal: str) -> str:
+    a, e, v, k, n = map(O.d, _COEFFICIENTS[engine])
+    return f"({a} + {e} * User_Experience + {v} * value + {k} * k + {n} * CAST({normal} AS DOUBLE))"
+
+
+@query("fixed_model_r2", f"""SELECT round(1 - sum(pow(User_Reputation - p, 2)) / sum(pow(User_Reputation - m, 2)), 6) AS r2, count(*) AS n_rows
+  FROM (SELECT *, {_linear_sql("A", "Dataset_Source = 'normal'")} AS p, avg(User_Reputation) OVER () AS m FROM {O.LABELLED} l) x""")
+def q_fixed_model_r2(spark, sf):
+    """M5 / M6: all rows scored by fixed coefficients, r2 in one aggregate."""
+    from trustfold.plans.models import r2
 
+    rows = labelled(spark, sf).withColumn("p", _linear("A", F.col("Dataset_Source") == "normal"))
+    return r2(rows, "User_Reputation", "p").select(r6(F.col("r2")).alias("r2"), "n_rows")
 
-@query("consensus_sequential")
+
+# Nine stages of a user's reputation: the median of the log, the two replays, and both fixed models on each run type.
+_STAGES = {
+    "Original_Reputation": None, "Predicted_A_Raw": ("A", "TRUE", "lg"), "Predicted_B_Raw": ("B", "TRUE", "lg"), "Feedback_Loop_Supervised": None,
+    "Processed_A_Supervised": ("A", "Dataset_Source = 'normal'", "l"), "Processed_B_Supervised": ("B", "Dataset_Source = 'normal'", "l"),
+    "Feedback_Loop_Unsupervised": None, "Processed_A_Unsupervised": ("A", "Dataset_Source = 'normal'", "unsup"),
+    "Processed_B_Unsupervised": ("B", "Dataset_Source = 'normal'", "unsup"),
+}
+
+
+@query("nine_stage_comparison", _UNSUP_CTES + f""",
+  l AS {O.LABELLED},
+  a AS (SELECT User_Id, arg_min(User_Reputation, ("Timestamp", row_id)) AS r0, list(Dataset_Source ORDER BY "Timestamp", row_id) AS srcs FROM l GROUP BY User_Id),
+  b AS (SELECT User_Id, arg_min(User_Reputation, ("Timestamp", row_id)) AS r0, list(Dataset_Source ORDER BY "Timestamp", row_id) AS srcs FROM unsup GROUP BY User_Id),
+  o AS (SELECT User_Id, round(median(User_Reputation), 6) AS Original_Reputation FROM lg GROUP BY User_Id),
+  """ + ",\n  ".join(f"{n} AS (SELECT User_Id, round(median({_linear_sql(s[0], s[1])}), 6) AS v FROM {s[2]} GROUP BY User_Id)" for n, s in _STAGES.items() if s) + f"""
+SELECT o.User_Id, o.Original_Reputation, round(list_reduce(a.srcs, {_fold_sql(P1)}, a.r0), 6) AS Feedback_Loop_Supervised,
+       round(list_reduce(b.srcs, {_fold_sql(P1)}, b.r0), 6) AS Feedback_Loop_Unsupervised, {", ".join(f"{n}.v AS {n}" for n, s in _STAGES.items() if s)}
+  FROM o JOIN a USING (User_Id) JOIN b USING (User_Id) {" ".join(f"JOIN {n} USING (User_Id)" for n, s in _STAGES.items() if s)}""")
+def q_nine_stage_comparison(spark, sf):
+    """All nine stages per user, inner-joined."""
+    from trustfold.plans.models import predicted_medians
+
+    log, uns = load_log(spark, sf), _unsup(spark, sf).checkpoint()
+    runs = {"Raw": log.withColumn("_n", F.lit(True)), "Supervised": labelled(spark, sf).withColumn("_n", F.col("Dataset_Source") == "normal"),
+            "Unsupervised": uns.withColumn("_n", F.col("Dataset_Source") == "normal")}
+    stages = {"Original_Reputation": _median_reputation(log)}
+    for run, df in runs.items():
+        med = predicted_medians(df.select(USER, *[_linear(e, F.col("_n")).alias(f"prediction_{e}") for e in "AB"])).checkpoint()
+        for e in "AB":
+            name = f"Predicted_{e}_Raw" if run == "Raw" else f"Processed_{e}_{run}"
+            stages[name] = med.select(USER, r6(F.col(f"Predicted_Final_Reputation_{e}")).alias("v"))
+    for run, df in (("Supervised", labelled(spark, sf)), ("Unsupervised", uns)):
+        stages[f"Feedback_Loop_{run}"] = replay_users(df, P1).select(USER, r6(F.col("Final_Reputation")).alias("v"))
+    return R.stage_comparison({n: stages[n] for n in _STAGES})
+
+
+# Fixed rule of the test mapping: a result ledger with one row per event; spelling, blanks, text that is no number, and
+# infinities vary with the id.
+_LEDGER_FILES = [m[2] for m in R.MODEL_MAPPING]
+_LEDGER_SQL = f"""(SELECT CASE WHEN event_id % 3 = 0 THEN upper(split_part(f, '_', -1)) ELSE split_part(f, '_', -1) END AS prefix,
+       CASE event_id % 5 WHEN 0 THEN ' runs/' || upper(f) || '.py' WHEN 1 THEN f || '.txt' WHEN 2 THEN '' ELSE 'out/' || f || '.py ' END AS pipeline_file,
+       CASE WHEN event_id % 7 = 0 THEN 'n/a' WHEN event_id % 210 = 8 THEN 'Infinity' ELSE CAST(round(value / 1000, 4) AS VARCHAR) END AS score
+  FROM (SELECT *, [{", ".join("'" + f[:-3] + "'" for f in _LEDGER_FILES)}][event_id % 6 + 1] AS f FROM events) e)"""
+
+
+@query("model_comparison", f"""WITH l AS (SELECT DISTINCT lower(prefix) AS prefix, trim(pipeline_file) AS pipeline_file, TRY_CAST(score AS DOUBLE) AS score FROM {_LEDGER_SQL} x
+              WHERE trim(pipeline_file) LIKE '%.py' AND TRY_CAST(score AS DOUBLE) IS NOT NULL),
+  m AS (SELECT * FROM (VALUES {", ".join(f"('{a}', '{b}', '{c}', '{e}')" for a, b, c, e in R.MODEL_MAPPING)}) m(prefix, run_type, file, engine))
+SELECT engine || ' (' || run_type || ')' AS engine_run_type, engine, run_type, max(score) AS score
+  FROM l JOIN m ON l.prefix = m.prefix AND lower(split_part(l.pipeline_file, '/', -1)) = m.file GROUP BY ALL HAVING isfinite(max(score))""")
+def q_model_comparison(spark, sf):
+    """R5 / W8 / B9 / B10 / S4 / S6 / S11 / U2 over a ledger with the usual blemishes."""
+    files = F.array(*[F.lit(f[:-3]) for f in _LEDGER_FILES])
+    e = read_table(spark, sf, "events").withColumn("f", F.element_at(files, (F.col("event_id") % 6 + 1).cast("int")))
+    tail, case = F.element_at(F.split("f", "_"), -1), F.col("event_id")
+    name = F.when(case % 5 == 0, F.concat(F.lit(" runs/"), F.upper("f"), F.lit(".py"))).when(case % 5 == 1, F.concat("f", F.lit(".txt"))).when(
+        case % 5 == 2, F.lit("")).otherwise(F.concat(F.lit("out/"), F.col("f"), F.lit(".py ")))
+    score = F.when(case % 7 == 0, F.lit("n/a")).when(case % 210 == 8, F.lit("Infinity")).otherwise(F.round(F.col("value") / 1000, 4).cast("string"))
+    ledger = e.select(F.when(case % 3 == 0, F.upper(tail)).otherwise(tail).alias("prefix"), name.alias("pipeline_file"), score.alias("score"))
+    return R.model_comparison(ledger).drop("pipeline_file")
+
+
+# The event types of the driver's table, in sorted order: the one-hot columns that the sequential form visits.
+_SEQ_COLUMNS = ["value", "k"] + [f"event_type_{c}" for c in ("click", "error", "purchase", "signup", "view")]
+
+
+@query("consensus_sequential", O.sequential(P1, _SEQ_COLUMNS))
 def q_consensus_sequential(spark, sf):
     """G5 as coded: rows removed on one column are gone before the next column (checkpointed loop)."""
     c = C.consensus(load_log(spark, sf), DP, methods=list(D.SQL_CHECKABLE), mode="sequential")
     return c["best"].select("chunk_id", "column", "method", "outliers_removed", "original_size")
 
 
+_WIDE_SQL = f"(SELECT l.*, e.props FROM {LOG_SQL} l JOIN events e ON e.event_id = l.row_id)"
+
+
+@query("consensus_all_columns", "WITH " + O.consensus_ctes(P1, _WIDE_SQL, label=("props",)) + """
+SELECT chunk_id, "column", method, outliers_removed FROM bst""")
+def q_consensus_all_columns(spark, sf):
+    """Every column that is not excluded, the JSON text with its 100 values label-encoded."""
+    log = behaviour_log(read_table(spark, sf, "events"), keep=("props",))
+    c = C.consensus(log, DP, methods=list(D.SQL_CHECKABLE))
+    return c["best"].select("chunk_id", "column", "method", "outliers_removed")
+
+
 # --------------------------------------------------------------- sources and sinks A1-A4
 @query("csv_roundtrip", f"""SELECT row_id, User_Id, "Timestamp", event_type, value FROM {LOG_SQL} t""")
 def q_csv_roundtrip(spark, sf):
@@ -757,3 +885,81 @@ def q_final_reputation_all_methods(spark, sf):
     per_user = replay_users(unsupervised_sources(load_log(spark, sf), P1, methods=None), P1)
     return per_user.select(USER, r6(F.col("Original_Reputation")).alias("Original_Reputation"),
                            r6(F.col("Final_Reputation")).alias("Final_Reputation"))
+
+
+# Fixed rule of the test mapping: a full 17-column log over the order lines; the expressions read the same in Spark and in the oracle.
+_FULL_LOG = {
+    "row_id": "l_orderkey * 10 + l_linenumber",
+    "User_Activity": "CASE WHEN l_orderkey % 41 = 0 THEN 'Flying' WHEN l_orderkey % 43 = 0 THEN 'Swimming' WHEN l_orderkey % 47 = 0 THEN NULL ELSE 'Walking' END",
+    "University_Area": "CASE WHEN l_partkey % 53 = 0 THEN 'Center' WHEN l_partkey % 59 = 0 THEN 'Spinari' ELSE 'Zep' END",
+    "Road_Accident": "CAST(l_partkey % 97 AS INTEGER)",
+    "Road_Type": "CASE WHEN l_suppkey % 61 = 0 THEN '5way' WHEN l_suppkey % 67 = 0 THEN '6way' ELSE '2way' END",
+    "Speed_Limit": "CAST(10 * (1 + l_orderkey % 160) AS INTEGER)",
+    "Violation_Type": "CASE WHEN l_partkey % 71 = 0 THEN 'Lane_Discards' WHEN l_partkey % 73 = 0 THEN 'Harassing_Driver' WHEN l_partkey % 79 = 0 THEN 'Illegal_Parking' ELSE 'Speeding' END",
+    "Battery_Percentage": "CAST(floor(l_extendedprice / 800) AS INTEGER)",
+    "Internet_Signal_Strength": "CASE WHEN l_partkey % 89 = 0 THEN 'weak' ELSE CAST(CAST(floor(-l_quantity * 2.5 - 5) AS INTEGER) AS VARCHAR(9)) END",
+    "Accelerometer_Range": "CAST(l_orderkey % 36 AS INTEGER) - 18",
+    "Accelerometer_Resolution": "CASE WHEN l_suppkey % 83 = 0 THEN NULL ELSE CAST(l_discount / 4.9 AS VARCHAR(30)) END",
+    "Latitude": "36.5 + CAST(l_orderkey % 1000 AS DOUBLE) / 150",
+    "Longitude": "16.5 + CAST(l_partkey % 1000 AS DOUBLE) / 130",
+}
+
+
+def _rules_sql() -> str:
+    from trustfold.functions.rules import BEHAVIOUR_LOG_RULES as B
+
+    text = lambda v: f"'{v}'" if isinstance(v, str) else str(v)
+    sets = " OR ".join(f"COALESCE({c} IN ({', '.join(map(text, vs))}), FALSE)" for c, vs in B.intentional)
+    breaches = " OR ".join(f"COALESCE(TRY_CAST({b.column} AS DOUBLE) {b.op} {O.d(float(b.bound))}, FALSE)" for b in B.unintentional)
+    return f"CASE WHEN {sets} THEN 'Intentional' WHEN {breaches} THEN 'Unintentional' ELSE 'Normal' END"
+
+
+@query("label_full_log", f"SELECT row_id, {_rules_sql()} AS True_Class FROM (SELECT {', '.join(f'{e} AS {c}' for c, e in _FULL_LOG.items())} FROM lineitem) l")
+def q_label_full_log(spark, sf):
+    """C1-C3 with all six forbidden sets and ten breaches."""
+    from trustfold.functions.rules import BEHAVIOUR_LOG_RULES
+
+    log = read_table(spark, sf, "lineitem").selectExpr(*[f"{e} AS {c}" for c, e in _FULL_LOG.items()])
+    return label(log, BEHAVIOUR_LOG_RULES).select(ROW_ID, "True_Class")
+
+
+@query("class_sets", f"""WITH l AS (SELECT *, {LABEL_SQL} AS True_Class FROM {LOG_SQL} t)
+SELECT row_id, CASE True_Class WHEN 'Normal' THEN 'kept' ELSE 'removed' END AS Dataset_Source, k,
+       CASE WHEN True_Class = 'Normal' THEN NULL WHEN k = 2 THEN NULL ELSE value END AS value FROM l""")
+def q_class_sets(spark, sf):
+    """Rows by class, projected, tagged, united by name; ids by set operations."""
+    lab = label(load_log(spark, sf))
+    removed = S.id_union(SC.where_class(lab, "Intentional"), SC.where_class(lab, "Unintentional"))
+    kept = S.id_difference(lab, removed)
+    infinite = SC.inf_to_null(F.when(F.col("k") == 2, F.lit(float("inf"))).otherwise(F.col("value")))
+    bad = SC.project(SC.exclude(lab, [USER]).withColumn("value", infinite), [ROW_ID, "k", "value"]).join(removed, ROW_ID)
+    good = SC.project(lab, [ROW_ID, "k"]).join(kept, ROW_ID)
+    return S.union_by_name(SC.tag_source(bad, "removed"), SC.tag_source(good, "kept")).select(ROW_ID, "Dataset_Source", "k", "value")
+
+
+@query("scalar_functions", """SELECT event_id AS row_id, CASE WHEN event_id % 5 = 0 THEN -1 ELSE CAST(user_id AS INTEGER) END AS user_number,
+       CASE WHEN event_id % 6 = 0 THEN 'none' ELSE strftime(ts, '%Y/%m/%d %H:%M:%S') END AS parsed, event_type AS name, event_type AS head,
+       greatest(CAST(20.0 AS DOUBLE), least(CAST(120.0 AS DOUBLE), value)) AS clamped, round_even(value, 0) AS whole,
+       round(CASE WHEN user_id % 7 = 0 THEN 0.0 ELSE value / (user_id % 7) * 100 END, 6) AS share FROM events""")
+def q_scalar_functions(spark, sf):
+    """S1, S2, S5, S6, S9, S12 over texts made of the events' columns."""
+    from trustfold.functions import scalars as SF
+
+    e = read_table(spark, sf, "events")
+    i = F.col("event_id")
+    user = F.concat(F.lit("User_"), F.when(i % 5 == 0, F.lit("x")).otherwise(F.col("user_id").cast("string")))
+    when = F.when(i % 6 == 0, F.lit("no time")).otherwise(F.date_format("ts", "yyyy-MM-dd HH:mm:ss"))
+    return e.select(
+        i.alias(ROW_ID), F.coalesce(SF.user_number(user), F.lit(-1)).alias("user_number"),
+        F.coalesce(F.date_format(SF.parse_ts(when), "yyyy/MM/dd HH:mm:ss"), F.lit("none")).alias("parsed"),
+        SF.norm_text(F.concat(F.lit("  "), F.upper("event_type"), F.lit(" "))).alias("name"),
+        SF.label_head(F.concat("event_type", F.lit(" ("), F.col("user_id").cast("string"), F.lit(")"))).alias("head"),
+        SF.clamp(F.col("value"), 20.0, 120.0).alias("clamped"), SF.round_half_even(F.col("value")).alias("whole"),
+        r6(SF.percent_of(F.col("value"), F.col("user_id") % 7)).alias("share"))
+
+
+@query("first_event_by_user", """SELECT event_id, ts, user_id, event_type, value FROM events
+QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) = 1""")
+def q_first_event_by_user(spark, sf):
+    """One row per user and event type, the first in time."""
+    return S.first_per_key(read_table(spark, sf, "events").drop("props"), ["user_id", "event_type"], ["ts", "event_id"])

@@ -7,9 +7,11 @@ selects, scores and summarises with ``pyspark.ml``:
   of linear / elastic-net, decision tree, random forest and GBT;
 * search B (M3): ``TrainValidationSplit`` over the same families, cheapest
   first, with the candidate count as the budget;
-* M4: train on an exact seeded sample, refit, score **all** rows;
+* M4 / M8: encode and scale the features, with the replay source where there is
+  one, train on an exact seeded sample (or on all rows), score **all** rows with
+  both models, and take each user's median prediction;
 * M6: in-sample score written to an append-mode ledger (plus hold-out);
-* M7: ``PipelineModel`` save / load.
+* M7 / E7: the fitted pipeline, scaler and categories are saved and loaded together.
 """
 
 from __future__ import annotations
@@ -22,12 +24,15 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.ml.classification import DecisionTreeClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder, TrainValidationSplit
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from trustfold.functions.scalars import integer_like
+from trustfold.operators.aggregates import median_per_key
+from trustfold.operators.encode import ScalerModel, categories, fit_scaler, onehot
 from trustfold.operators.sampling import seeded_sample
-from trustfold.operators.schema import numeric_only
+from trustfold.operators.schema import check_target, numeric_only, require_columns
 from trustfold.sources.tables import ROW_ID, USER
 
 SEED = 420
@@ -37,9 +42,7 @@ def task_type(df: DataFrame, target: str) -> str:
     """M1: classification if the target is non-numeric, or numeric with at most 10 whole values."""
     if not isinstance(df.schema[target].dataType, T.NumericType):
         return "classification"
-    t = F.col(target)
-    row = df.agg(F.count_distinct(t).alias("d"), F.coalesce(F.bool_and(t == F.floor(t)), F.lit(True)).alias("w")).first()
-    return "classification" if row["d"] <= 10 and row["w"] else "regression"
+    return "classification" if df.agg(integer_like(F.col(target)).alias("whole")).first()["whole"] else "regression"
 
 
 def _candidates(task: str, features: str = "features", label: str = "label"):
@@ -78,13 +81,13 @@ def _prepare(df: DataFrame, features, target):
 
 
 def search(df: DataFrame, features, target: str, engine: str = "A", budget: int = 4, parallelism: int = 2) -> FitResult:
-    """M2 (engine A, k-fold CV) or M3 (engine B, one hold-out split, first ``budget`` candidates)."""
+    """M2 (engine A, k-fold CV) or M3 (engine B, one hold-out split), over the first ``budget`` families of candidates."""
     task = task_type(df, target)
     data = _prepare(df, features, target)
     assembler = VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="keep")
     ev = _evaluator(task)
     best_model, best_score, best_name = None, None, None
-    for est, grid_spec in _candidates(task)[: budget if engine == "B" else None]:
+    for est, grid_spec in _candidates(task)[:budget]:
         grid = ParamGridBuilder()
         for name, vals in grid_spec:
             grid = grid.addGrid(est.getParam(name), vals)
@@ -101,58 +104,104 @@ def search(df: DataFrame, features, target: str, engine: str = "A", budget: int
     return FitResult(best_model, engine, task, in_sample, best_score, best_name)
 
 
-def train_and_score(df: DataFrame, features, target: str, sample_size: int, engine: str = "A", budget: int = 4,
+@dataclass
+class Features:
+    """Fitted feature preparation: scaled numeric columns, one-hot categories, the names that models see."""
+
+    scaler: ScalerModel
+    categories: dict[str, list[str]]
+    names: list[str]
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        out = self.scaler.transform(df)
+        for c, cats in self.categories.items():
+            out = onehot(out, c, cats, keep_source=True)
+        return out
+
+    def save(self, spark, path: str) -> None:
+        self.scaler.to_frame(spark).write.mode("overwrite").parquet(f"{path}/scaler")
+        rows = [(i, c, v) for c, cats in self.categories.items() for i, v in enumerate(cats)]
+        spark.createDataFrame(rows, "place int, column string, value string").write.mode("overwrite").parquet(f"{path}/categories")
+        spark.createDataFrame(list(enumerate(self.names)), "place int, name string").write.mode("overwrite").parquet(f"{path}/names")
+
+    @classmethod
+    def load(cls, spark, path: str) -> "Features":
+        cats: dict[str, list[str]] = {}
+        for r in sorted(spark.read.parquet(f"{path}/categories").collect(), key=lambda r: (r["column"], r["place"])):
+            cats.setdefault(r["column"], []).append(r["value"])
+        names = [r["name"] for r in sorted(spark.read.parquet(f"{path}/names").collect(), key=lambda r: r["place"])]
+        return cls(ScalerModel.from_frame(spark.read.parquet(f"{path}/scaler")), cats, names)
+
+
+def fit_features(df: DataFrame, numeric, categorical) -> Features:
+    """M8: numeric columns standard-scaled, categories one-hot; the replay source is one of the categories."""
+    require_columns(df, [*numeric, *categorical])
+    cats = {c: categories(df, c) for c in categorical}
+    return Features(fit_scaler(df, list(numeric), "standard"), cats, [*numeric, *[f"{c}_{v}" for c in categorical for v in cats[c]]])
+
+
+def train_and_score(df: DataFrame, features: Features, target: str, sample_size: int | None, engine: str = "A", budget: int = 4,
                     parallelism: int = 2) -> tuple[FitResult, DataFrame]:
-    """M4 / M5: fit on an exact seeded sample, score every row."""
-    sample = seeded_sample(df, sample_size).cache()
-    res = search(sample, features, target, engine, budget, parallelism)
-    scored = res.model.transform(_prepare(df, features, target))
-    return res, scored
+    """M4 / M5: fit on an exact seeded sample (all rows if ``sample_size`` is None), score every row."""
+    ready = features.transform(df)
+    sample = (ready if sample_size is None else seeded_sample(ready, sample_size)).cache()
+    res = search(sample, features.names, target, engine, budget, parallelism)
+    sample.unpersist()
+    return res, res.model.transform(_prepare(ready, features.names, target))
 
 
-def predicted_median_by_user(scored: DataFrame, name: str = "Predicted_Final_Reputation", exact: bool = True) -> DataFrame:
-    """K2: median prediction per user (``exact=False`` for hot users at scale)."""
-    from trustfold.operators.aggregates import median_per_key
+def check_scored(df: DataFrame, scored: DataFrame) -> None:
+    """M5: as many predictions as rows."""
+    rows, got = df.count(), scored.where(F.col("prediction").isNotNull()).count()
+    if rows != got:
+        raise ValueError(f"{got} predictions for {rows} rows")
 
-    return median_per_key(scored, USER, ["prediction"], exact=exact, names=[name])
 
+def predict_final_reputations(df: DataFrame, features: Features, target: str, sample_size: int | None, budget: int = 2,
+                              parallelism: int = 8) -> tuple[DataFrame, dict[str, FitResult]]:
+    """M4: both searches, all rows scored, each user's median prediction of each (K2)."""
+    check_target(df, target)
+    results, scored = {}, df.select(ROW_ID, USER)
+    for engine in ("A", "B"):
+        results[engine], out = train_and_score(df, features, target, sample_size, engine, budget, parallelism)
+        check_scored(df, out)
+        scored = scored.join(out.select(ROW_ID, F.col("prediction").alias(f"prediction_{engine}")), ROW_ID)
+    return predicted_medians(scored), results
 
-def ledger_row(spark, prefix: str, res: FitResult, path: str | None = None) -> DataFrame:
-    """One result row; appended to ``path`` when given."""
-    holdout = None if res.holdout is None else float(res.holdout)
-    row = spark.createDataFrame([(prefix, res.engine, res.best, res.task, float(res.in_sample), holdout)],
-                                "prefix string, engine string, pipeline string, task string, score double, holdout double")
-    if path:
-        row.write.mode("append").parquet(path)
-    return row
+
+def predicted_medians(scored: DataFrame) -> DataFrame:
+    """K2: per user, the median of both predictions."""
+    return median_per_key(scored, USER, ["prediction_A", "prediction_B"], ["Predicted_Final_Reputation_A", "Predicted_Final_Reputation_B"])
 
 
-def save(res: FitResult, path: str) -> None:
-    """A7 / M7."""
-    res.model.write().overwrite().save(path)
+_LEDGER = "prefix string, engine string, pipeline string, task string, score double, holdout double"
+
+
+def ledger_row(spark, prefix: str, res: FitResult) -> DataFrame:
+    """M6: one result row."""
+    holdout = None if res.holdout is None else float(res.holdout)
+    return spark.createDataFrame([(prefix, res.engine, res.best, res.task, float(res.in_sample), holdout)], _LEDGER)
 
 
-def load_and_predict(path: str, df: DataFrame, features, target: str) -> DataFrame:
-    """M7: load a saved pipeline and score."""
-    return PipelineModel.load(path).transform(_prepare(df, features, target))
+def append_ledger(row: DataFrame, path: str) -> DataFrame:
+    """Append to the ledger and return the whole of it."""
+    row.write.mode("append").parquet(path)
+    return row.sparkSession.read.schema(_LEDGER).parquet(path)
 
 
-def r2_sql_frame(scored: DataFrame) -> DataFrame:
-    """M6 as SQL-checkable arithmetic: r2 = 1 - SS_res / SS_tot over the prediction table."""
-    mean = F.avg("label").over(__import__("pyspark.sql.window", fromlist=["Window"]).Window.partitionBy())
-    x = scored.select("label", "prediction", mean.alias("_m"))
-    return x.agg((F.lit(1.0) - F.sum((F.col("label") - F.col("prediction")) ** 2) / F.sum((F.col("label") - F.col("_m")) ** 2)).alias("r2"))
+def save(res: FitResult, features: Features, path: str) -> None:
+    """Model, scaler and categories."""
+    res.model.write().overwrite().save(f"{path}/model")
+    features.save(SparkSession.active(), f"{path}/features")
 
 
-def replay_features(df: DataFrame, features, source: str = "Dataset_Source"):
-    """M8: model features on replayed data also carry the replay source.
+def load_and_predict(path: str, df: DataFrame, target: str) -> DataFrame:
+    """M7: load a saved model with its feature preparation and score."""
+    features = Features.load(df.sparkSession, f"{path}/features")
+    return PipelineModel.load(f"{path}/model").transform(_prepare(features.transform(df), features.names, target))
 
-    The source is a string, so it enters the model one-hot (sorted
-    categories, at most three), keeping the numeric-only guard (B13) intact.
-    Returns the frame and the feature names.
-    """
-    from trustfold.operators.encode import categories, onehot
 
-    cats = categories(df, source)
-    out = onehot(df, source, cats, keep_source=True)
-    return out, list(features) + [f"{source}_{c}" for c in cats]
+def r2(scored: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
+    """M6 as one aggregate over the prediction table: r2 = 1 - sum((y - p)^2) / (n var_pop(y))."""
+    y, p = F.col(label), F.col(prediction)
+    return scored.agg((F.lit(1.0) - F.sum((y - p) * (y - p)) / (F.count(y) * F.var_pop(y))).alias("r2"), F.count(F.lit(1)).alias("n_rows"))

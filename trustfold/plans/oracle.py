@@ -36,13 +36,15 @@ def chunked(src: str, percent: float = 0.1) -> str:
                            FROM {src} c0) c1) c2) c3)"""
 
 
-def long_form(src: str, numeric=("value", "k"), onehot=("event_type",)) -> str:
+def long_form(src: str, numeric=("value", "k"), onehot=("event_type",), label=()) -> str:
     parts = [f"SELECT chunk_id, row_id, '{c}' AS \"column\", CAST({c} AS DOUBLE) AS value FROM {src} lf" for c in numeric]
     for c in onehot:
         parts.append(
             f"SELECT chunk_id, row_id, '{c}_' || cats.c AS \"column\", COALESCE(CAST(lf.{c} = cats.c AS DOUBLE), {d(0.0)}) AS value "
             f"FROM {src} lf CROSS JOIN (SELECT DISTINCT {c} AS c FROM {src} WHERE {c} IS NOT NULL) cats"
         )
+    for c in label:
+        parts.append(f"SELECT chunk_id, row_id, '{c}' AS \"column\", CAST(dense_rank() OVER (ORDER BY {c}) - 1 AS DOUBLE) AS value FROM {src} lf")
     body = "\n UNION ALL ".join(parts)
     return f"""(SELECT chunk_id, row_id, "column",
         COALESCE(value, quantile_cont(value, {d(0.5)}) OVER (PARTITION BY chunk_id, "column")) AS value
@@ -145,11 +147,11 @@ def best(m: str) -> str:
              FROM {m} b0) b1) b2 WHERE _r = 1)"""
 
 
-def consensus_ctes(p) -> str:
+def consensus_ctes(p, log: str = LOG_SQL, label=()) -> str:
     """WITH-list: log, ch, lng, flg, met, bst, flagged, normal, mis."""
-    return f"""lg AS (SELECT * FROM {LOG_SQL} l),
+    return f"""lg AS (SELECT * FROM {log} l),
   ch AS (SELECT * FROM {chunked('lg')} c),
-  lng AS (SELECT * FROM {long_form('ch')} x),
+  lng AS (SELECT * FROM {long_form('ch', label=label)} x),
   flg AS (SELECT * FROM {all_flags('lng', p.contamination_rate, p.threshold)} f),
   met AS (SELECT * FROM {metrics('flg')} m),
   bst AS (SELECT * FROM {best('met')} b),
@@ -172,3 +174,19 @@ def vote_ctes(p, vote_on: str = "outlier") -> str:
                     greatest(1, CAST(round_even(count(*) OVER () * {d(p.intentional_perc)}, 0) AS BIGINT)) AS _n
                FROM votes),
   marks AS (SELECT row_id, votes, CASE WHEN _n IN (0, _rows) THEN 0 WHEN _rank < _n THEN 1 ELSE 0 END AS Is_Intentional FROM ranked)"""
+
+
+def sequential(p, columns) -> str:
+    """The columns one after another; rows flagged on a column are gone from the next ones."""
+    ctes = [f"lg AS (SELECT * FROM {LOG_SQL} l)", f"ch AS (SELECT * FROM {chunked('lg')} c)", f"lng AS (SELECT * FROM {long_form('ch')} x)"]
+    for i, c in enumerate(columns):
+        left = f"AND row_id NOT IN (SELECT row_id FROM gone{i - 1})" if i else ""
+        ctes += [
+            f"lng{i} AS (SELECT * FROM lng WHERE \"column\" = '{c}' {left})",
+            f"flg{i} AS (SELECT * FROM {all_flags(f'lng{i}', p.contamination_rate, p.threshold)} f)",
+            f"met{i} AS (SELECT * FROM {metrics(f'flg{i}')} m)",
+            f"bst{i} AS (SELECT * FROM {best(f'met{i}')} b)",
+            f"gone{i} AS (SELECT row_id FROM flg{i} JOIN bst{i} USING (chunk_id, \"column\", method) WHERE is_outlier"
+            + (f" UNION SELECT row_id FROM gone{i - 1})" if i else ")")]
+    rows = " UNION ALL ".join(f"SELECT chunk_id, \"column\", method, outliers_removed, original_size FROM bst{i}" for i in range(len(columns)))
+    return "WITH " + ",\n  ".join(ctes) + "\n" + rows

@@ -10,6 +10,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trustfold.functions.rules import CLASSES, INTENTIONAL, NORMAL, UNINTENTIONAL
+from trustfold.operators.aggregates import max_per_key
+from trustfold.operators.impute import zero_fill
+from trustfold.operators.schema import inf_to_null
 from trustfold.sources.tables import TS, USER
 
 DAY = "Day"
@@ -35,7 +38,7 @@ def rolling_mean(c: str, n: int = 7, require_non_null: bool = False) -> Column:
 
 def _pivot(long: DataFrame, col: str, values, agg: Column) -> DataFrame:
     """One column per category, absent ones as 0."""
-    return long.groupBy(DAY).pivot(col, list(values)).agg(agg).fillna(0, subset=list(values))
+    return zero_fill(long.groupBy(DAY).pivot(col, list(values)).agg(agg), list(values))
 
 
 def daily_users(series: DataFrame, names) -> DataFrame:
@@ -82,7 +85,7 @@ def daily_share(labelled: DataFrame, category: str = "True_Class", twice: bool =
 
 def experience_vs_reputation(experience: DataFrame, final: DataFrame) -> DataFrame:
     """Max experience per user, left join final reputation, drop incomplete rows."""
-    mx = experience.groupBy(USER).agg(F.max("User_Experience").alias("Max_Experience"))
+    mx = max_per_key(experience, USER, "User_Experience", "Max_Experience")
     return mx.join(final.select(USER, "Final_Reputation"), USER, "left").dropna(subset=["Max_Experience", "Final_Reputation"])
 
 
@@ -107,7 +110,7 @@ def best_scores(ledger: DataFrame, order) -> DataFrame:
     from trustfold.functions.scalars import category_order
 
     x = ledger.withColumn("score", F.col("score").cast("string").try_cast("double")).dropna(subset=["score"])
-    x = x.withColumn("score", F.when(F.abs(F.col("score")) == F.lit(float("inf")), None).otherwise(F.col("score"))).dropna(subset=["score"])
+    x = x.withColumn("score", inf_to_null(F.col("score"))).dropna(subset=["score"])
     best = x.groupBy("engine", "run_type").agg(F.max("score").alias("best_score"))
     return best.withColumn("_o", category_order(F.col("run_type"), order)).orderBy("_o", "engine").drop("_o")
 
@@ -184,5 +187,5 @@ def model_comparison(ledger: DataFrame, mapping=MODEL_MAPPING, order=MODEL_ORDER
         F.concat(F.col("engine"), F.lit(" ("), F.col("run_type"), F.lit(")")).alias("engine_run_type"),
         "engine", "run_type", F.col("_b.pipeline_file").alias("pipeline_file"), F.col("_b.score").alias("score"),
     )
-    out = out.where(F.abs(F.col("score")) != F.lit(float("inf")))
+    out = out.withColumn("score", inf_to_null(F.col("score"))).dropna(subset=["score"])
     return out.withColumn("_o", category_order(F.col("engine_run_type"), order)).orderBy("_o").drop("_o")

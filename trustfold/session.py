@@ -79,23 +79,3 @@ def ship_package(spark: SparkSession) -> None:
     archive = shutil.make_archive(os.path.join(out, "trustfold"), "zip", root_dir=pkg_root, base_dir="trustfold")
     sc.addPyFile(archive)
     _SHIPPED.add(key)
-
-
-def checkpoint_partitioned(df, cols, num_partitions: int | None = None):
-    """Hash-partition ``df`` on ``cols`` and write a reliable checkpoint that
-    remembers the partitioning, so later groupBy / window / join on ``cols``
-    need no exchange.
-
-    An eager checkpoint taken under adaptive execution records the partitioning
-    as unknown, so adaptive execution is switched off for this one job and
-    restored afterwards.
-    """
-    spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    n = num_partitions or shuffle_partitions(spark)
-    prev = spark.conf.get("spark.sql.adaptive.enabled", "true")
-    spark.conf.set("spark.sql.adaptive.enabled", "false")
-    try:
-        return df.repartition(n, *cols).checkpoint(eager=True)
-    finally:
-        spark.conf.set("spark.sql.adaptive.enabled", prev)

@@ -37,13 +37,14 @@ def baseline_experience(user: Column) -> Column:
     return F.lit(0.001) + (user % 400).cast("double") / F.lit(1000.0)
 
 
-def behaviour_log(events: DataFrame, blank_cells: bool = False) -> DataFrame:
+def behaviour_log(events: DataFrame, blank_cells: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
     """Map ``events`` onto the behaviour log: one row per user submission.
 
     Columns: row_id, User_Id, Timestamp, event_type, value, k,
     User_Reputation, User_Experience.  With ``blank_cells`` the fixed
     missing-cell rule is applied (value blank on every 7th id, event_type on
     every 11th), which feeds the imputation operators; all rows are kept.
+    ``keep`` names further columns of ``events`` to carry.
     """
     user = F.col("user_id")
     value = F.col("value")
@@ -60,6 +61,7 @@ def behaviour_log(events: DataFrame, blank_cells: bool = False) -> DataFrame:
         k_value().alias("k"),
         baseline_reputation(user).alias(TARGET),
         baseline_experience(user).alias("User_Experience"),
+        *keep,
     )
 
 
