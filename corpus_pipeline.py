@@ -5,13 +5,11 @@ Each stage takes what its predecessor kept, written as Parquet and read again.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from trustfold.llm import decontam, lines, mixing, quality, simhash
 from trustfold.llm.common import table
-from trustfold.session import ensure_checkpoint_dir
+from trustfold.session import scratch_path
 
 #: Columns of ``documents`` that the stages set or read; others pass through.
 _LENGTH = "n_chars"
@@ -56,7 +54,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    top = f"{ensure_checkpoint_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    top = scratch_path(spark, "pipeline")
     for number, (_, stage) in enumerate(STAGES):
         path = f"{top}/{number}"
         stage(spark, docs, sf_dir).write.parquet(path)

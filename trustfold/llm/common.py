@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trustfold.session import ensure_checkpoint_dir, ship_package
+from trustfold.session import scratch_path, ship_package
 
 #: A word: a run of anything but ASCII white space. ``bytes.split()`` cuts UTF-8 text at the same places.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -35,10 +33,10 @@ def stored(df: DataFrame) -> DataFrame:
     """Write ``df`` below the cluster's checkpoint folder and read it back.
 
     This cuts the lineage, survives the loss of any executor, and gives every
-    later reader the same rows.
+    later reader the same rows. ``trustfold.session.clear_scratch`` removes what has been written.
     """
     spark = df.sparkSession
-    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/llm-{uuid.uuid4().hex}"
+    path = scratch_path(spark, "llm")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -63,8 +61,8 @@ def free_names(df: DataFrame, *names: str) -> None:
         raise ValueError(f"rename these columns first: {taken}")
 
 
-#: Rows of two long columns that a driver-approved broadcast may hold (about 64 MB in memory).
-BROADCAST_ROWS = 1_000_000
+#: Rows of two long columns that a driver-approved broadcast may hold (some tens of megabytes in memory).
+BROADCAST_ROWS = 500_000
 
 
 def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:

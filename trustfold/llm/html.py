@@ -28,8 +28,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trustfold.llm.common import stored
-
 CELLS = 1 << 14
 #: Elements without text, elements that begin a block, and elements that hold a part of the page.
 SILENT = frozenset("script style noscript template svg math head title iframe object canvas select textarea".split())
@@ -194,7 +192,7 @@ def main_text(page: str | None, weights: np.ndarray, seen: np.ndarray) -> str:
     for t in all_tokens[start:end]:
         if t.text and not t.boiler:
             blocks.setdefault(t.block, []).append(t.text)
-        elif t.kind in ("tag:br", "tag:wbr") and t.kind == "tag:br":
+        elif t.kind == "tag:br":
             blocks.setdefault(t.block, []).append(" ")
     lines = (" ".join(html.unescape("".join(parts)).split()) for parts in blocks.values())
     return "\n".join(x for x in lines if x)
