@@ -24,7 +24,7 @@ def main():
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
     from trustfold.plans.catalog import QUERIES
-    from trustfold.session import local_session, ship_package
+    from trustfold.session import clear_scratch, local_session, ship_package
 
     spark = local_session(cpus, int(cpus) if cpus.isdigit() else 8, app="trustfold-bench")
     ship_package(spark)
@@ -39,6 +39,7 @@ def main():
         t = time.time()
         QUERIES[n](spark, sf_dir).write.format("noop").mode("overwrite").save()
         times[n] = round(time.time() - t, 3)
+        clear_scratch(spark)
     sf = os.path.basename(sf_dir.rstrip("/")).replace("sf", "")
     print(json.dumps({"metric": "headline_total", "value": round(sum(times.values()), 3), "unit": "sec",
                       "queries": times, "sf": float(sf) if sf.replace(".", "").isdigit() else sf}))

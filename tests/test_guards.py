@@ -1,5 +1,4 @@
 import pytest
-from pyspark.sql import functions as F
 
 from trustfold.operators import detectors as D
 from trustfold.operators.encode import validate_target_feature

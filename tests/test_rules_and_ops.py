@@ -1,7 +1,3 @@
-import datetime as dt
-
-from pyspark.sql import functions as F
-
 from tests.conftest import SF
 from trustfold.functions.rules import BEHAVIOUR_LOG_RULES, EVENT_RULES, label
 from trustfold.operators import encode as E

@@ -73,15 +73,10 @@ def replay(labelled: DataFrame, params: Scenario, source: str = SOURCE, initial:
 
 
 def first_in_time(col: str) -> Column:
-    """Aggregate: the value on the first row in time order, null times last."""
+    """K10, an aggregate: the value on the first row in time order, null times last (partial, so no user is one task)."""
     return F.min_by(F.col(col), F.struct(F.col(TS).isNull(), F.col(TS), F.col(ROW_ID)))
 
 
-def first_reputation(log: DataFrame) -> DataFrame:
-    """The user's reputation on the first row in time order (partial aggregation, skew-safe)."""
-    return log.groupBy(USER).agg(first_in_time(TARGET).alias("Original_Reputation"))
-
-
 def capped_experience(log: DataFrame, step: float = 0.001, cap: float = 1.0, digits: int = 4) -> DataFrame:
     """Experience grows by ``step`` per submission in time order, capped, rounded."""
     numbered = keyed_row_number(log, USER, [TS, ROW_ID], out="_rn")

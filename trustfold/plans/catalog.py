@@ -715,12 +715,10 @@ def q_model_r2(spark, sf):
 @query("model_scores")
 def q_model_scores(spark, sf):
     """Best score per engine and run type, each run trained on all of its rows' kinds and entered in a ledger."""
-    import uuid
-
     from trustfold.plans.models import append_ledger, fit_features, ledger_row, train_and_score
-    from trustfold.session import ensure_checkpoint_dir
+    from trustfold.session import scratch_path
 
-    path, ledger = f"{ensure_checkpoint_dir(spark).rstrip('/')}/ledger-{uuid.uuid4().hex}", None
+    path, ledger = scratch_path(spark, "ledger"), None
     for run, (df, categorical) in _model_runs(spark, sf).items():
         df = df.checkpoint()
         features = fit_features(df, _NUMERIC, categorical)
@@ -844,13 +842,11 @@ def q_consensus_all_columns(spark, sf):
 @query("csv_roundtrip", f"""SELECT row_id, User_Id, "Timestamp", event_type, value FROM {LOG_SQL} t""")
 def q_csv_roundtrip(spark, sf):
     """Write the log as time-sorted CSV under the shared checkpoint folder, read it back (A1-A3)."""
-    import uuid
-
-    from trustfold.session import ensure_checkpoint_dir
+    from trustfold.session import scratch_path
     from trustfold.sources.io import export, load_csv
 
     log = load_log(spark, sf).select(ROW_ID, USER, TS, "event_type", "value")
-    base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/csv-{uuid.uuid4().hex}"
+    base = scratch_path(spark, "csv")
     export(log, f"{base}/behaviour_log.csv", fmt="csv")
     schema = "row_id long, User_Id long, Timestamp timestamp_ntz, event_type string, value double"
     return load_csv(spark, base, "behaviour_log", schema=schema)

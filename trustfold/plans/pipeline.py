@@ -18,7 +18,6 @@ from trustfold.operators import detectors as D
 from trustfold.operators.reputation import SOURCE, replay, source_from_class
 from trustfold.operators.votes import top_n_split, vote_counts
 from trustfold.params import Scenario
-from trustfold.sources.tables import ROW_ID
 
 
 def supervised_sources(log: DataFrame, rules=EVENT_RULES) -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from trustfold.operators.reputation import SOURCE, replay_trace, replay_users
 from trustfold.params import Scenario
-from trustfold.session import ensure_checkpoint_dir
+from trustfold.session import scratch_path
 from trustfold.sources.tables import ROW_ID, TS, USER
 
 STATE_SCHEMA = "User_Id long, Final_Reputation double, last_ts timestamp_ntz, last_row long"
@@ -76,7 +76,7 @@ def apply_batch(batch: DataFrame, state: DataFrame, p: Scenario, max_delay: str
 def replay_stream(spark: SparkSession, events: DataFrame, p: Scenario, sink: Sink, base: str | None = None,
                   max_delay: str | None = None) -> None:
     """Drain the labelled event stream, as far as it is available, through the fold into ``sink(trace, batch_id)``."""
-    root = f"{(base or ensure_checkpoint_dir(spark)).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    root = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}" if base else scratch_path(spark, "stream")
 
     def on_batch(batch: DataFrame, batch_id: int) -> None:
         session = batch.sparkSession
@@ -94,7 +94,7 @@ def replay_stream(spark: SparkSession, events: DataFrame, p: Scenario, sink: Sin
 def replay_to_table(spark: SparkSession, events: DataFrame, p: Scenario, base: str | None = None, frame=None, max_delay: str | None = None) -> DataFrame:
     """Drain the stream into a table and read it back.  ``frame`` turns a trace into what is written, for example
     ``kafka_frame`` for the JSON messages (T2)."""
-    path = f"{(base or ensure_checkpoint_dir(spark)).rstrip('/')}/stream-out-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/stream-out-{uuid.uuid4().hex}" if base else scratch_path(spark, "stream-out")
     to = table_sink(path)
     replay_stream(spark, events, p, lambda trace, batch_id: to(frame(trace) if frame else trace, batch_id), base, max_delay)
     return spark.read.parquet(path).drop("batch")
