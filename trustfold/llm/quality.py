@@ -138,15 +138,13 @@ def design(labelled: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 
     ``labelled``: statistics with stratum and good (boolean). One grouped count; its size is strata x cutoffs.
     """
-    counts = [F.count_if("good").alias("n_good"), F.count_if(~F.col("good")).alias("n_bad")]
-    entries = []
-    for r, rule in enumerate(rules):
-        for c, cutoff in enumerate(rule.cutoffs):
-            hit = rejects(rule, F.lit(cutoff))
-            counts += [F.count_if(hit & F.col("good")).alias(f"k{r}_{c}"), F.count_if(hit & ~F.col("good")).alias(f"b{r}_{c}")]
-            gap = F.col(f"b{r}_{c}") * F.col("n_good") - F.col(f"k{r}_{c}") * F.col("n_bad")
-            entries.append(F.struct(F.lit(r).alias("rule"), F.lit(c).alias("step"), F.lit(cutoff).alias("cutoff"), gap.alias("gap")))
-    rows = labelled.groupBy("stratum").agg(*counts).select("stratum", F.explode(F.array(*entries)).alias("e")).select("stratum", "e.*")
+    tests = F.array(*[
+        F.struct(F.lit(r).alias("rule"), F.lit(c).alias("step"), F.lit(cutoff).alias("cutoff"), rejects(rule, F.lit(cutoff)).alias("hit"))
+        for r, rule in enumerate(rules) for c, cutoff in enumerate(rule.cutoffs)])
+    each = labelled.select("stratum", "good", F.explode(tests).alias("t")).select("stratum", "good", "t.*")
+    good, bad = F.col("good"), ~F.col("good")
+    gap = F.count_if(bad & F.col("hit")) * F.count_if(good) - F.count_if(good & F.col("hit")) * F.count_if(bad)
+    rows = each.groupBy("stratum", "rule", "step", "cutoff").agg(gap.alias("gap"))
     best = Window.partitionBy("stratum", "rule").orderBy(F.col("gap").desc(), "step")  # a handful of cutoffs
     rows = rows.withColumn("n", F.row_number().over(best)).where("n = 1 AND gap > 0")
     order = Window.partitionBy("stratum").orderBy(F.col("gap").desc(), "rule")  # at most one row a rule
@@ -167,10 +165,10 @@ def certified(labelled: DataFrame, rate: float, error: float, rules: tuple[Rule,
     at = F.col("stratum").eqNullSafe(F.col("_stratum"))
     chosen = broadcast_if_small(stored(_helpful(half.join(chosen, at), rules, columns)))
     holdout = labelled.where(~in_design(F.col("id")) & F.col("good"))
-    held = holdout.join(chosen, at, "left")
+    held = holdout.join(chosen, at, "left").withColumn("hit", _first_hit(rules))
     steps = range(1, len(rules) + 1)
     counts = held.groupBy("stratum", *columns).agg(
-        F.count(F.lit(1)).alias("n_good"), *[F.count_if(_caught(rules, F.lit(s))).alias(f"k_{s}") for s in steps])
+        F.count(F.lit(1)).alias("n_good"), *[F.count_if(F.col("hit") <= s).alias(f"k_{s}") for s in steps])
     counts = stored(counts)
     strata = max(1, counts.count())
     passed, ends = F.lit(0), F.lit(True)
@@ -184,10 +182,10 @@ def certified(labelled: DataFrame, rate: float, error: float, rules: tuple[Rule,
 def _helpful(half: DataFrame, rules: tuple[Rule, ...], columns: list[str]) -> DataFrame:
     """(_stratum, cutoff_r, rank_r): null for the rules that add no gap to those ranked before them."""
     steps = range(len(rules) + 1)
-    sums = half.groupBy("_stratum", *columns).agg(
+    sums = half.withColumn("hit", _first_hit(rules)).groupBy("_stratum", *columns).agg(
         F.count_if("good").alias("n_good"), F.count_if(~F.col("good")).alias("n_bad"),
-        *[F.count_if(_caught(rules, F.lit(s)) & F.col("good")).alias(f"k_{s}") for s in steps],
-        *[F.count_if(_caught(rules, F.lit(s)) & ~F.col("good")).alias(f"b_{s}") for s in steps])
+        *[F.count_if((F.col("hit") <= s) & F.col("good")).alias(f"k_{s}") for s in steps],
+        *[F.count_if((F.col("hit") <= s) & ~F.col("good")).alias(f"b_{s}") for s in steps])
     more = F.array(*[(F.col(f"b_{s}") - F.col(f"b_{s - 1}")) * F.col("n_good") > (F.col(f"k_{s}") - F.col(f"k_{s - 1}")) * F.col("n_bad")
                      for s in steps if s])
     keep = sums.withColumn("more", more)
@@ -195,12 +193,10 @@ def _helpful(half: DataFrame, rules: tuple[Rule, ...], columns: list[str]) -> Da
                                      for r in range(len(rules)) for c in ("cutoff", "rank")])
 
 
-def _caught(rules: tuple[Rule, ...], upto: Column) -> Column:
-    """One of the first ``upto`` rules rejects."""
-    out = F.lit(False)
-    for r, rule in enumerate(rules):
-        out = out | F.coalesce((F.col(f"rank_{r}") <= upto) & rejects(rule, F.col(f"cutoff_{r}")), F.lit(False))
-    return out
+def _first_hit(rules: tuple[Rule, ...]) -> Column:
+    """Rank of the first rule that rejects, null if none does."""
+    ranks = [F.when(rejects(rule, F.col(f"cutoff_{r}")), F.col(f"rank_{r}")) for r, rule in enumerate(rules)]
+    return F.least(*ranks, F.lit(None).cast("int"))
 
 
 def _verdicts(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, stratum_col: str, rate: float, error: float,
@@ -213,7 +209,8 @@ def _verdicts(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, st
     table = certified(stats.where("NOT base_failed").join(good, "id"), rate, error, rules).withColumnRenamed("stratum", "_stratum")
     used = broadcast_if_small(stored(table.select("_stratum", "certified", *[f"{c}_{r}" for r in range(len(rules)) for c in ("cutoff", "rank")])))
     out = stats.join(used, F.col("stratum").eqNullSafe(F.col("_stratum")), "left")
-    return out.withColumn("kept", ~F.col("base_failed") & ~_caught(rules, F.col("certified"))).select(*stats.columns, "kept")
+    caught = F.coalesce(_first_hit(rules) <= F.col("certified"), F.lit(False))
+    return out.withColumn("kept", ~F.col("base_failed") & ~caught).select(*stats.columns, "kept")
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang",
