@@ -22,7 +22,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated lines go; a document of which nothing is left goes, and n_chars follows the text."""
-    return lines.drop_repeated_lines(docs, length_col=_LENGTH)
+    return lines.drop_repeated_lines(docs, length_col=_LENGTH, min_chars=1)
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

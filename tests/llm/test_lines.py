@@ -125,3 +125,10 @@ def test_drop_repeated_lines(spark):
     assert lines.dedup_lines(df.limit(0)).count() == 0
     with pytest.raises(ValueError):
         lines.dedup_lines(df.withColumn("n_near", F.lit(1)))
+
+
+def test_short_lines(spark):
+    """Lines with a letter or digit are copies at any length, and near copies from 13 characters on."""
+    docs = spark.createDataFrame([(1, "Ietzte.\n}\nshort line 13"), (2, "Ietzte.\n}\nshqrt line 13\nown"), (3, "ab\nab")], "doc_id long, text string")
+    got = {r["doc_id"]: (r["text"], r["n_exact"], r["n_near"]) for r in lines.dedup_lines(docs, min_chars=1).collect()}
+    assert got == {1: ("Ietzte.\n}\nshort line 13", 0, 0), 2: ("}\nown", 1, 1), 3: ("ab", 1, 0)}

@@ -22,8 +22,9 @@ from trustfold.llm.common import BROADCAST_ROWS, broadcast_if_small, free_names,
 from trustfold.llm.components import components
 
 EDITS = 2
-#: Shorter lines are left alone; near copies are sought among lines of at least NEAR_CHARS.
-MIN_CHARS, NEAR_CHARS = 12, 30
+#: Shorter lines are left alone unless the caller says otherwise; near copies are sought among lines of at least
+#: NEAR_CHARS, from which on k + 1 segments find them all.
+MIN_CHARS, NEAR_CHARS = 12, 2 * EDITS * (EDITS + 1) + 1
 #: Letters whose counts, modulo 128, make the bag.
 BAG = (" ", "e", "n", "t", "a", "r", "i", "o")
 BAG_BITS = 7
@@ -167,18 +168,19 @@ def edit_links(shared: DataFrame, texts: DataFrame, k: int = EDITS) -> DataFrame
 # --- classes -----------------------------------------------------------------
 
 
-def _split_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(row, id, no, line, lid) for every line of MIN_CHARS or more."""
+def _split_lines(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataFrame:
+    """(row, id, no, line, lid) for every line of ``min_chars`` or more; those under MIN_CHARS need a letter or digit."""
     rows = docs.select(row_key(docs, id_col, text_col).alias("row"), F.col(id_col).alias("id"),
                        F.posexplode(F.split(F.col(text_col), "\n")).alias("no", "line"))
-    rows = rows.withColumn("line", F.trim("line")).where(F.length("line") >= MIN_CHARS)
+    rows = rows.withColumn("line", F.trim("line")).where((F.length("line") >= min_chars) & ((F.length("line") >= MIN_CHARS) | F.col("line").rlike(r"[\p{L}\p{N}]")))
     return rows.withColumn("lid", F.xxhash64("line"))
 
 
 def near_links(docs: DataFrame, firsts: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
     """(a, b): line ids within ``k`` edits. ``firsts``: (lid, first, n), the first occurrence of each line and how many
     there are; only first occurrences are cut into segments."""
-    texts = _split_lines(docs, id_col, text_col).where(F.length("line") >= NEAR_CHARS)
+    least = max(NEAR_CHARS, 2 * k * (k + 1) + 1)
+    texts = _split_lines(docs, id_col, text_col, least)
     repeated = broadcast_if_small(stored(firsts.where("n > 1").select("lid", F.col("first.row").alias("at_row"), F.col("first.no").alias("at_no"))))
     is_first = F.col("at_row").isNull() | ((F.col("at_row") == F.col("row")) & (F.col("at_no") == F.col("no")))
     shared = stored(shared_keys(texts.join(repeated, "lid", "left").where(is_first).select("lid", "line"), k))
@@ -192,10 +194,10 @@ def near_links(docs: DataFrame, firsts: DataFrame, id_col: str, text_col: str, k
     return stored(edit_links(shared, named, k))
 
 
-def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = EDITS) -> tuple[DataFrame, DataFrame]:
+def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = EDITS, min_chars: int = MIN_CHARS) -> tuple[DataFrame, DataFrame]:
     """(lines, classes): lines is (row, id, no, lid) of every line considered; classes is (lid, class, first), one row
     per line that has a copy or a near copy, where first is the class's first occurrence (no_id, id, row, no)."""
-    lines = stored(_split_lines(docs, id_col, text_col).select("row", "id", "no", "lid"))
+    lines = stored(_split_lines(docs, id_col, text_col, min_chars).select("row", "id", "no", "lid"))
     place = F.struct(F.col("id").isNull().alias("no_id"), "id", "row", "no")
     firsts = stored(lines.groupBy("lid").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")))
     roots = components(near_links(docs, firsts, id_col, text_col, k)).withColumnRenamed("node", "lid")
@@ -205,10 +207,10 @@ def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return lines, stored(member.join(least, "class").select("lid", "class", F.col("stays").alias("first"), F.col("first").alias("own")))
 
 
-def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = EDITS) -> DataFrame:
+def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
     """(row, n_exact, n_near, dropped): per document row key, its lines that repeat an earlier line exactly, those that
     only come within ``k`` edits of an earlier line, and the numbers of all of them, from 0."""
-    lines, classes = line_classes(docs, id_col, text_col, k)
+    lines, classes = line_classes(docs, id_col, text_col, k, min_chars)
     seen = lines.distinct().join(broadcast_if_small(classes), "lid")
     same = lambda at: (F.col(f"{at}.row") == F.col("row")) & (F.col(f"{at}.no") == F.col("no"))
     gone = seen.where(~same("first")).select("row", "no", same("own").alias("near"))
@@ -216,18 +218,19 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         F.count_if(~F.col("near")).alias("n_exact"), F.count_if("near").alias("n_near"), F.sort_array(F.collect_list("no")).alias("dropped"))
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = EDITS) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
     """``docs`` with each text's repeated lines removed, and n_lines, n_exact, n_near (long) and dropped (line numbers).
 
     Of every class of equal or nearly equal lines the first stays: least id
-    (null last), then row, then line. Lines under MIN_CHARS characters always
-    stay, near copies count from NEAR_CHARS characters on. A null text stays
+    (null last), then row, then line. Lines under ``min_chars`` characters always
+    stay, and so do those under MIN_CHARS without a letter or digit; near copies
+    count from NEAR_CHARS characters on. A null text stays
     null and has no lines; an empty text stays empty. Rows that are equal in id
     and text are one document: their lines are not copies of each other. Extra
     columns pass through; they may not be called as the added ones.
     """
     free_names(docs, "row", "n_lines", "n_exact", "n_near", "dropped")
-    gone = stored(dropped_lines(docs, id_col, text_col, k))
+    gone = stored(dropped_lines(docs, id_col, text_col, k, min_chars))
     if (gone.agg(F.sum(F.size("dropped"))).first()[0] or 0) <= BROADCAST_ROWS:
         gone = broadcast_if_small(gone)
     text, zero = F.col(text_col), F.lit(0).cast("long")
@@ -241,11 +244,11 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = None,
-                        k: int = EDITS) -> DataFrame:
+                        k: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
     """``docs`` with the columns they have: texts without repeated lines, ``length_col`` (if there) set to the new
     number of characters. A document that had words and keeps none goes; see ``dedup_lines``."""
     word = F.col(text_col).rlike(r"[^\x20\x09-\x0D]")
-    out = dedup_lines(docs, id_col, text_col, k).where((F.size("dropped") == 0) | word)
+    out = dedup_lines(docs, id_col, text_col, k, min_chars).where((F.size("dropped") == 0) | word)
     if length_col in docs.columns:
         out = out.withColumn(length_col, F.length(text_col).cast(docs.schema[length_col].dataType))
     return out.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -27,7 +27,7 @@ def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents without lines that repeat an earlier line, exactly or within 2 edits."""
-    return lines.dedup_lines(table(spark, sf_dir, "documents"))
+    return lines.dedup_lines(table(spark, sf_dir, "documents"), min_chars=1)
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
