@@ -132,3 +132,11 @@ def test_short_lines(spark):
     docs = spark.createDataFrame([(1, "Ietzte.\n}\nshort line 13"), (2, "Ietzte.\n}\nshqrt line 13\nown"), (3, "ab\nab")], "doc_id long, text string")
     got = {r["doc_id"]: (r["text"], r["n_exact"], r["n_near"]) for r in lines.dedup_lines(docs, min_chars=1).collect()}
     assert got == {1: ("Ietzte.\n}\nshort line 13", 0, 0), 2: ("}\nown", 1, 1), 3: ("ab", 1, 0)}
+
+
+def test_white_space_at_either_end(spark):
+    """CRLF, tab-indented and form-feed copies are exact copies; what stays keeps its own white space."""
+    a, b = "a line of text", "this is a longer line of text, of more than thirty"
+    docs = spark.createDataFrame([(1, f"{a}\r\n{b}\r"), (2, f"{a}\n\t\t\t\t{b}"), (3, f"\t{a}\x0b\n\x0c {b} \t")], "doc_id long, text string")
+    got = {r["doc_id"]: (r["text"], r["n_exact"], r["n_near"]) for r in lines.dedup_lines(docs).collect()}
+    assert got == {1: (f"{a}\r\n{b}\r", 0, 0), 2: ("", 2, 0), 3: ("", 2, 0)}

@@ -25,6 +25,7 @@ EDITS = 2
 #: Shorter lines are left alone unless the caller says otherwise; near copies are sought among lines of at least
 #: NEAR_CHARS, from which on k + 1 segments find them all.
 MIN_CHARS, NEAR_CHARS = 12, 2 * EDITS * (EDITS + 1) + 1
+SPACE = " \t\r\x0b\x0c"
 #: Letters whose counts, modulo 128, make the bag.
 BAG = (" ", "e", "n", "t", "a", "r", "i", "o")
 BAG_BITS = 7
@@ -172,7 +173,7 @@ def _split_lines(docs: DataFrame, id_col: str, text_col: str, min_chars: int) ->
     """(row, id, no, line, lid) for every line of ``min_chars`` or more; those under MIN_CHARS need a letter or digit."""
     rows = docs.select(row_key(docs, id_col, text_col).alias("row"), F.col(id_col).alias("id"),
                        F.posexplode(F.split(F.col(text_col), "\n")).alias("no", "line"))
-    rows = rows.withColumn("line", F.trim("line")).where((F.length("line") >= min_chars) & ((F.length("line") >= MIN_CHARS) | F.col("line").rlike(r"[\p{L}\p{N}]")))
+    rows = rows.withColumn("line", F.btrim("line", F.lit(SPACE))).where((F.length("line") >= min_chars) & ((F.length("line") >= MIN_CHARS) | F.col("line").rlike(r"[\p{L}\p{N}]")))
     return rows.withColumn("lid", F.xxhash64("line"))
 
 
@@ -189,7 +190,7 @@ def near_links(docs: DataFrame, firsts: DataFrame, id_col: str, text_col: str, k
     places = wanted.groupBy(F.col("first.row").alias("row")).agg(F.collect_list(F.struct("lid", F.col("first.no").alias("no"))).alias("places"))
     found = docs.select(row_key(docs, id_col, text_col).alias("row"), F.col(text_col).alias("text")).join(broadcast_if_small(stored(places)), "row")
     named = found.select(F.explode("places").alias("p"), F.split("text", "\n").alias("lines")).select(
-        F.col("p.lid").alias("lid"), F.trim(F.get("lines", F.col("p.no"))).alias("line"))
+        F.col("p.lid").alias("lid"), F.btrim(F.get("lines", F.col("p.no")), F.lit(SPACE)).alias("line"))
     named = stored(named.groupBy("lid").agg(F.min("line").alias("line")))
     return stored(edit_links(shared, named, k))
 
