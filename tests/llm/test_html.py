@@ -65,3 +65,31 @@ def test_empty_table_and_clashing_names(spark):
     assert html.extract(spark.createDataFrame([], "page_id long, html string")).count() == 0
     with pytest.raises(ValueError):
         html.extract(spark.createDataFrame([(1, "a", "b")], "page_id long, html string, text string"))
+
+
+def test_lists_tables_and_adverts_inside_the_article():
+    """Menus are lists and articles hold none in the labelled pages; a list, table or advert still cuts nothing off."""
+    rnd = random.Random(3)
+    menu = "<ul>" + "".join(f"<li><a href=/{w}>{w} {w}</a></li>" for w in WORDS * 3) + "</ul>"
+    advert = f"<div class=ad><p>{text(rnd, 40)}</p></div>"
+    labelled = [f"<body>{menu}{advert}<article><h1>{text(rnd, 4)}</h1><p>{text(rnd, 80)}</p></article>{menu}</body>" for _ in range(200)]
+    inside, outside = html.Counter(), html.Counter()
+    for page_text in labelled:
+        for t in html.tokens(page_text):
+            if t.words or not t.text:
+                side = inside if t.inside and not t.boiler else outside
+                for kind in (t.kind, *([html.marked(t)] if hasattr(html, "marked") else [])):
+                    side[html.cell(kind)] += max(1, t.words)
+    weights, seen = html.np.zeros(html.CELLS), html.np.zeros(html.CELLS, dtype=bool)
+    for c in {*inside, *outside}:
+        w = html.math.log((inside[c] + html.PRIOR) / (outside[c] + html.PRIOR))
+        weights[c], seen[c] = max(-html.LIMIT, min(html.LIMIT, w)), True
+    a, b, c = text(rnd, 12), text(rnd, 40), text(rnd, 50)
+    items = [text(rnd, 6) for _ in range(10)]
+    lists = "<ul>" + "".join(f"<li>{x}</li>" for x in items) + "</ul>"
+    table = "<table>" + "".join(f"<tr><td>{x}</td></tr>" for x in items) + "</table>"
+    wrap = lambda body: f"<body>{menu}{advert}<article>{body}</article>{menu}</body>"
+    for middle in (lists, table):
+        assert html.main_text(wrap(f"<p>{b}</p>{middle}<p>{c}</p>"), weights, seen) == "\n".join([b, *items, c])
+        assert html.main_text(wrap(f"<p>{b}</p>{middle}"), weights, seen) == "\n".join([b, *items])
+    assert html.main_text(wrap(f"<h1>{a}</h1><p>{a}</p>{advert}<p>{c}</p>"), weights, seen) == "\n".join([a, a, c])

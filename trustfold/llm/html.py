@@ -3,8 +3,10 @@
 A page becomes a sequence of tokens: tags, and pieces of text under the nearest
 structural element that holds them. Words score positive and tags negative; how
 much is learned from labelled pages, by the log odds of a token's kind inside
-and outside the labelled content. One linear scan finds the run of tokens with
-the largest sum. Of that run, text in elements that are never content (menus,
+and outside the labelled content. A kind tells whether the token lies in a menu
+or the like; on pages that mark their content, also whether it lies there, so
+that a list in an article is no menu. One linear scan finds the run of tokens
+with the largest sum. Of that run, text in elements that are never content (menus,
 adverts, forms, comments and the like, by name, class or id) is left out.
 
 Pages that mark their content with one <article> or <main> element are the
@@ -20,6 +22,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -47,6 +50,7 @@ BOILER_WORDS = frozenset(
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)(?:>|\Z)", re.S)
 _ATTR = re.compile(r"(?:\s|^)(class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
+_CONTENT_TAG = re.compile(r"tag:(?:article|main)(?![^.!])")
 _NAME = re.compile(r"[A-Za-z]+")
 
 
@@ -83,8 +87,10 @@ def tokens(page: str) -> Iterator[Token]:
         n = len(raw.split())
         if not raw:
             return None
-        near = next((o.kind for o in reversed(stack) if o.tag in STRUCTURE), "")
-        return Token("text:" + near, n, raw, block, any(o.boiler for o in stack), any(o.content for o in stack))
+        near = next((o for o in reversed(stack) if o.tag in STRUCTURE), None)
+        boiler = any(o.boiler for o in stack)
+        kind = (near.kind if near else "") + ("!" if boiler and not (near and near.boiler) else "")
+        return Token("text:" + kind, n, raw, block, boiler, any(o.content for o in stack))
 
     for m in _TOKEN.finditer(page):
         if not silent and m.start() > at and (t := piece(page[at : m.start()])):
@@ -107,7 +113,7 @@ def tokens(page: str) -> Iterator[Token]:
         if tag in BLOCK:
             block += 1
         kind = "/" + tag if end else ".".join([tag, *sorted(set(names) & BOILER_WORDS)])
-        here = any(o.content for o in stack)
+        here, held = any(o.content for o in stack), any(o.boiler for o in stack)
         if tag in STRUCTURE or tag in BOILER_TAGS:
             if end:
                 while stack and any(o.tag == tag for o in stack):
@@ -119,11 +125,18 @@ def tokens(page: str) -> Iterator[Token]:
                         o.boiler = False
                 boiler = tag in BOILER_TAGS or bool(set(names) & BOILER_WORDS) or (tag == "header" and not here)
                 stack.append(_Open(tag, kind, boiler and tag not in ("html", "body", *CONTENT), tag in CONTENT))
-        yield Token("tag:" + kind, block=block, inside=here and not (end and tag in CONTENT))
+        inside = here and not (end and tag in CONTENT)
+        yield Token("tag:" + kind + ("!" if held else ""), block=block, boiler=held or any(o.boiler for o in stack), inside=inside)
     if not silent and at < len(page) and (t := piece(page[at:])):
         yield t
 
 
+def marked(t: Token) -> str:
+    """The kind of a token of a labelled page, with its place."""
+    return t.kind + ("@in" if t.inside else "@out")
+
+
+@lru_cache(maxsize=1 << 14)
 def cell(kind: str) -> int:
     return xxhash.xxh32_intdigest(kind) % CELLS
 
@@ -146,7 +159,10 @@ def learn(pages: DataFrame, html_col: str = "html") -> tuple[np.ndarray, np.ndar
                 if page and len(re.findall(r"<article[\s>]", page)) + len(re.findall(r"<main[\s>]", page)) == 1:
                     for t in tokens(page):
                         if t.words or not t.text:
-                            (inside if t.inside and not t.boiler else outside)[cell(t.kind)] += max(1, t.words)
+                            side = inside if t.inside and not t.boiler else outside
+                            side[cell(t.kind)] += max(1, t.words)
+                            if not (t.inside and t.boiler):  # scored 0 whatever their kind
+                                side[cell(marked(t))] += max(1, t.words)
         yield pd.DataFrame([(c, inside[c], outside[c]) for c in {*inside, *outside}], columns=["cell", "n_in", "n_out"])
 
     rows = pages.select(F.col(html_col).alias("html")).mapInPandas(run, "cell int, n_in long, n_out long")
@@ -158,9 +174,17 @@ def learn(pages: DataFrame, html_col: str = "html") -> tuple[np.ndarray, np.ndar
     return weights, seen
 
 
-def score(t: Token, weights: np.ndarray, seen: np.ndarray) -> float:
-    """Of a piece of text, its words' sum; of a tag, a negative number. Kinds without a label score by their name."""
-    c = cell(t.kind)
+def score(t: Token, weights: np.ndarray, seen: np.ndarray, one: bool = False) -> float:
+    """Of a piece of text, its words' sum; of a tag, a negative number. Kinds without a label score by their name.
+
+    ``one``: the page has one content element, outside which tokens score by kind and place, too. Inside a content element boiler
+    scores 0, as it is left out of the result anyway, and no tag ends the run.
+    """
+    if t.inside and t.boiler:
+        return 0.0
+    c = cell(marked(t) if t.inside or one else t.kind)
+    if t.inside and not t.text:
+        return LEAST_TAG
     if t.text:
         if seen[c]:
             return float(weights[c]) * t.words
@@ -187,12 +211,13 @@ def main_text(page: str | None, weights: np.ndarray, seen: np.ndarray) -> str:
     if not page:
         return ""
     all_tokens = list(tokens(page))
-    start, end = best_run([score(t, weights, seen) for t in all_tokens])
+    one = sum(bool(_CONTENT_TAG.match(t.kind)) for t in all_tokens) == 1
+    start, end = best_run([score(t, weights, seen, one) for t in all_tokens])
     blocks: dict[int, list[str]] = {}
     for t in all_tokens[start:end]:
         if t.text and not t.boiler:
             blocks.setdefault(t.block, []).append(t.text)
-        elif t.kind == "tag:br":
+        elif t.kind in ("tag:br", "tag:br!"):
             blocks.setdefault(t.block, []).append(" ")
     lines = (" ".join(html.unescape("".join(parts)).split()) for parts in blocks.values())
     return "\n".join(x for x in lines if x)
