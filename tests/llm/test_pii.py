@@ -65,3 +65,26 @@ def test_frame(spark):
     for bad in (lambda: pii.protect(docs, b"short"), lambda: pii.protect(docs.withColumnRenamed("extra", "n_ip"), KEY)):
         with pytest.raises(ValueError):
             bad()
+
+
+NATIONAL = [("(415) 555-0132", "phone"), ("415-555-0132", "phone"), ("1 415.555.0132", "phone"), ("020 7123 4567", "phone"), ("(0161) 496 0000", "phone"),
+            ("01632 960123", "phone"), ("01 42 68 53 00", "phone"), ("3/4/2021", "date"), ("3/25/2021", "date"), ("31.1.2021", "date"), ("5/09/2021", "date"),
+            ("2021-3-4", "date"), ("2021/11/9", "date"), ("2001:db8::8a2e:370:7334", "ip"), ("2001:0DB8:0:0:0:FF00:42:8329", "ip"), ("fe80::1ff:fe23:4567:890a", "ip")]
+
+
+@pytest.mark.parametrize("value,kind", NATIONAL)
+def test_national_short_and_ipv6_forms(value, kind):
+    text = f"é see {value}, or ({value}). {value}: so"
+    for n in range(20):
+        key = KEY + b"%d" % n
+        out, counts = pii.pseudonymise(text, key)
+        assert dict(zip(pii.KINDS, counts)) == {k: 3 * (k == kind) for k in pii.KINDS}
+        assert out != text and pii.pseudonymise(out, key, back=True) == (text, counts)
+        shape = lambda s: re.sub(r"[a-z]", "a", re.sub(r"[A-Z]", "A", re.sub(r"\d", "9", s)))
+        assert shape(out) == shape(text)
+
+
+@pytest.mark.parametrize("value", ["115-555-0132", "411-555-0132", "415-911-0132", "30/2/2021", "2/30/2021", "0/4/2021", "12:30:45", "a::b", "std::dead::beef", "2001:db8::1::2",
+                                   "1:2:3:4:5:6:7:8", "415-555-01324", "0000 496 0000"])
+def test_other_numbers_stay(value):
+    assert pii.pseudonymise(f"a {value} b", KEY) == (f"a {value} b", [0] * len(pii.KINDS))

@@ -15,6 +15,7 @@ from __future__ import annotations
 import calendar
 import datetime
 import hashlib
+import ipaddress
 import math
 import re
 
@@ -97,6 +98,28 @@ def _phone(s: str, key: bytes, back: bool) -> str | None:
     return _into(s, code + out)
 
 
+_CODES = [a for a in range(200, 1000) if a % 100 != 11]
+
+
+def _nanp(s: str, key: bytes, back: bool) -> str | None:
+    """North American: area and exchange codes from 200, none that ends in 11; the leading 1, if any, stays."""
+    d = _digits(s)
+    one, (area, exchange, line) = d[:-10], (int(d[-10:-7]), int(d[-7:-4]), int(d[-4:]))
+    if area % 100 == 11 or exchange % 100 == 11:
+        return None
+    x = (_CODES.index(area) * len(_CODES) + _CODES.index(exchange)) * 10_000 + line
+    x, line = divmod(permute(x, len(_CODES) ** 2 * 10_000, key, b"nanp", back), 10_000)
+    area, exchange = divmod(x, len(_CODES))
+    return _into(s, f"{one}{_CODES[area]}{_CODES[exchange]}{line:04d}")
+
+
+def _trunk(s: str, key: bytes, back: bool) -> str | None:
+    """British (eleven digits) and French (ten) numbers; the leading 0 and the digit after it stay."""
+    d = _digits(s)
+    n = len(d) - 2
+    return _into(s, d[:2] + f"{permute(int(d[2:]), 10**n, key, b'trunk%d' % n + d[:2].encode(), back):0{n}d}")
+
+
 def _ip(s: str, key: bytes, back: bool) -> str | None:
     parts = s.split(".")
     if any(int(p) > 255 or (len(p) > 1 and p[0] == "0") for p in parts):
@@ -105,6 +128,17 @@ def _ip(s: str, key: bytes, back: bool) -> str | None:
     return ".".join(str(b) for b in x.to_bytes(4, "big"))
 
 
+def _ip6(s: str, key: bytes, back: bool) -> str | None:
+    """Global, unique local and link-local addresses; the first group and the places of digits and letters stay."""
+    try:
+        first = int(ipaddress.IPv6Address(s)) >> 112
+    except ValueError:
+        return None
+    if not (0x2000 <= first <= 0x3FFF or 0xFC00 <= first <= 0xFDFF or 0xFE80 <= first <= 0xFEBF):
+        return None
+    return s[:4] + _letters(s[4:], key, b"ip6" + s[:4].lower().encode(), back, _hex)
+
+
 _SSN_AREAS = [a for a in range(1, 900) if a != 666]
 
 
@@ -143,14 +177,53 @@ def _date(s: str, key: bytes, back: bool) -> str | None:
     return f"{a:02d}{sep}{b:02d}{sep}{new.year:04d}"
 
 
+def _short_date(s: str, key: bytes, back: bool) -> str | None:
+    """Dates with a day or month of one digit. They are permuted among those with as many digits, in the same order."""
+    sep = re.search(r"\D", s)[0]
+    parts = s.split(sep)
+    iso = len(parts[0]) == 4
+    y, (a, b) = int(parts[0] if iso else parts[2]), (parts[1:] if iso else parts[:2])
+    if len(a) == len(b) == 2:
+        return None
+    values = lambda t, most: range(1, (9 if len(t) == 1 else most) + 1)
+    month_first = iso or int(b) > 12
+    if iso:
+        firsts, seconds = values(a, 12), values(b, 31)
+    elif month_first:  # only a day above 12 shows that the month is first
+        firsts, seconds = values(a, 12), range(13, 32)
+    else:
+        firsts, seconds = values(a, 31), values(b, 12)
+
+    def valid(y: int, a: int, b: int) -> bool:
+        m, d = (a, b) if month_first else (b, a)
+        return 1 <= m <= 12 and 1 <= d <= calendar.monthrange(y, m)[1]
+
+    if not (1900 <= y <= 2099 and int(a) in firsts and int(b) in seconds and valid(y, int(a), int(b))):
+        return None
+    i, j, tweak = int(a), int(b), b"date%d%d%d%d" % (iso, month_first, len(a), len(b))
+    while True:
+        x = ((y - 1900) * len(firsts) + firsts.index(i)) * len(seconds) + seconds.index(j)
+        x, j = divmod(permute(x, 200 * len(firsts) * len(seconds), key, tweak, back), len(seconds))
+        y, i = divmod(x, len(firsts))
+        y, i, j = y + 1900, firsts[i], seconds[j]
+        if valid(y, i, j):
+            break
+    i, j = f"{i:0{len(a)}d}", f"{j:0{len(b)}d}"
+    return sep.join((f"{y}", i, j) if iso else (i, j, f"{y}"))
+
+
+def _hex(c: str) -> str:
+    return "0123456789" if c.isdigit() else "abcdef" if c.islower() else "ABCDEF"
+
+
 def _alphabet(c: str) -> str:
     return "0123456789" if c.isdigit() else "abcdefghijklmnopqrstuvwxyz" if c.islower() else "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
-def _letters(s: str, key: bytes, tweak: bytes, back: bool) -> str:
+def _letters(s: str, key: bytes, tweak: bytes, back: bool, alphabet=_alphabet) -> str:
     """Digits, lower and upper case letters of ``s`` permuted together, each staying what it is."""
     places = [i for i, c in enumerate(s) if c.isascii() and c.isalnum()]
-    sets = [_alphabet(s[i]) for i in places]
+    sets = [alphabet(s[i]) for i in places]
     x, n = 0, 1
     for i, a in zip(places, sets):
         x, n = x * len(a) + a.index(s[i]), n * len(a)
@@ -187,10 +260,16 @@ _FORMATS = (
     ("email", "@", re.compile(r"(?<![\w.+%-])\w[\w.%+-]*@[A-Za-z0-9](?:[A-Za-z0-9.-]*[A-Za-z0-9])?\.[A-Za-z]{2,}(?![\w@])"), _email),
     ("iban", "", re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"), _iban),
     ("ip", ".", re.compile(r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\.?\d)"), _ip),
+    ("ip", ":", re.compile(r"(?<![\w:.])(?=[0-9A-Fa-f]{4}:)[0-9A-Fa-f]{4}(?::[0-9A-Fa-f]{1,4}){0,7}(?:::(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6})?)?(?!\w|:[\w:])"), _ip6),
     ("date", "", re.compile(r"(?<![\d./-])(?:\d{4}([-/.])\d\d\1\d\d|\d\d([-/.])\d\d\2\d{4})(?![/-]?\d)"), _date),
+    ("date", "", re.compile(r"(?<![\d./-])(?:\d{4}([-/])\d\d?\1\d\d?|\d\d?([-/.])\d\d?\2\d{4})(?![/-]?\d)"), _short_date),
     ("ssn", "-", re.compile(r"(?<![\d-])\d{3}-\d\d-\d{4}(?![\d-])"), _ssn),
     ("phone", "+", re.compile(r"(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}(?!\d)"), _phone),
     ("card", "", re.compile(r"(?<![\d.-])\d(?:[ -]?\d){12,18}(?![\d-])"), _card),
+    ("phone", "", re.compile(r"(?<![\w+.-])(?:1[ .-])?(?:\([2-9]\d\d\) ?|[2-9]\d\d[ .-])[2-9]\d\d[ .-]\d{4}(?![\w-]|\.\d)"), _nanp),
+    ("phone", "", re.compile(
+        r"(?<![\w+.-])(?:(?:\(02\d\)|02\d)[ -]\d{4}[ -]?\d{4}|(?:\(0[1378]\d\d\)|0[1378]\d\d)[ -]\d{3}[ -]?\d{4}|"
+        r"(?:\(0[17]\d{3}\)|0[17]\d{3})[ -]\d{3}[ -]?\d{3}|0[1-9]([ .-])\d\d(?:\1\d\d){3})(?![\w-]|[ .]?\d\d)"), _trunk),
 )
 _DIGIT = re.compile(r"[0-9]")
 
@@ -202,7 +281,8 @@ def pseudonymise(text: str, key: bytes, back: bool = False) -> tuple[str, list[i
         return text, counts
     # pieces that are done are never searched again, so that no value is replaced twice
     pieces: list[tuple[str, bool]] = [(text, False)]
-    for i, (_, sign, pattern, swap) in enumerate(_FORMATS):
+    for kind, sign, pattern, swap in _FORMATS:
+        i = KINDS.index(kind)
         if sign and sign not in text:
             continue
         out: list[tuple[str, bool]] = []
