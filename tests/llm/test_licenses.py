@@ -47,3 +47,16 @@ def test_empty_tables(spark):
     assert licenses.licenses(none, licenses.default_templates(spark)).count() == 0
     some = spark.createDataFrame([(1, "Released under the MIT License.")], "doc_id long, text string")
     assert licenses.licenses(some, spark.createDataFrame([], "template int, license string, text string")).count() == 0
+
+
+def test_full_texts_match_as_a_whole(spark):
+    """LICENSE files with a holder's name and other line breaks, and the MIT grant on one line inside a text."""
+    text = dict(licenses.full_texts()[::-1])
+    whole = {k: text[k].replace("<year>", "2019").replace("<copyright holder>", "A. Person").replace("<copyright holders>", "A. Person")
+             for k in ("MIT", "BSD-2-Clause", "BSD-3-Clause", "ISC", "Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "MPL-2.0")}
+    grant = next(t for k, t in licenses.full_texts() if k == "MIT" and t.startswith("Permission")).replace("\n", " ")
+    rows = [(k, "Our project\n" + t.replace("\n", "\r\n")) for k, t in whole.items()] + [("one line", "words before\n" + grant + "\n" + "words after " * 300)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string").repartition(3)
+    found = {(r["doc_id"], r["line"]): r["license"] for r in licenses.licenses(docs, licenses.default_templates(spark)).collect()}
+    assert {k: found.get((k, -1)) for k in whole} == {k: k for k in whole}
+    assert found[("one line", 1)] == "MIT"

@@ -11,6 +11,8 @@ templates whose bounds hold the unit.
 
 from __future__ import annotations
 
+from importlib.resources import files
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,7 +21,7 @@ from trustfold.llm.common import broadcast_if_small, let, row_key, stored
 SCORE = 0.8
 
 #: Common notices of public licences.
-TEMPLATES: tuple[tuple[str, str], ...] = (
+NOTICES: tuple[tuple[str, str], ...] = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.'),
     ("MIT", "Released under the MIT License."),
@@ -47,6 +49,16 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
 )
 
 
+def full_texts() -> tuple[tuple[str, str], ...]:
+    """The files of license_texts in order of their names: <license>.txt, or <license>.<part>.txt."""
+    texts = sorted((f for f in (files(__package__) / "license_texts").iterdir() if f.name.endswith(".txt")), key=lambda f: f.name)
+    return tuple((f.name.removesuffix(".txt").removesuffix(".header").removesuffix(".grant"), f.read_text(encoding="utf-8")) for f in texts)
+
+
+#: The notices, then whole licences and whole headers.
+TEMPLATES: tuple[tuple[str, str], ...] = NOTICES + full_texts()
+
+
 def normal(text: Column) -> Column:
     """Lower-cased runs of letters and digits, one space apart."""
     return F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "))
@@ -71,6 +83,20 @@ def template_grams(templates: DataFrame, score: float) -> DataFrame:
     return rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("times"))
 
 
+def _within(n: Column, bounds: list) -> Column:
+    """Whether ``n`` lies in one of the bounds, merged where they meet."""
+    merged: list[list[int]] = []
+    for low, high in sorted((b["low"], b["high"]) for b in bounds):
+        if merged and low <= merged[-1][1] + 1:
+            merged[-1][1] = max(merged[-1][1], high)
+        else:
+            merged.append([low, high])
+    inside = F.lit(False)
+    for low, high in merged:
+        inside = inside | n.between(low, high)
+    return inside
+
+
 def default_templates(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(i, *t) for i, t in enumerate(TEMPLATES)], "template int, license string, text string")
 
@@ -83,12 +109,12 @@ def licenses(docs: DataFrame, templates: DataFrame, id_col: str = "doc_id", text
     null or empty texts. Rows equal in id and text count as one. Empty tables give an empty result. Other columns are not read.
     """
     grams = stored(template_grams(templates, score))
-    low, high = grams.agg(F.coalesce(F.min("low"), F.lit(1)), F.coalesce(F.max("high"), F.lit(0))).first()
+    bounds = grams.select("low", "high").distinct().collect()  # one row a size of template at most
     rows = docs.select(row_key(docs, id_col, text_col).alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     lines = F.split("text", "\n")
     whole = F.when(F.size(lines) > 1, F.col("text"))
     units = rows.select("row", "id", F.posexplode(F.concat(F.array(whole), lines)).alias("at", "unit"))
-    sized = units.select("row", "id", (F.col("at") - 1).alias("line"), "unit", bigram_count(F.col("unit")).alias("n")).where(F.col("n").between(low, high))
+    sized = units.select("row", "id", (F.col("at") - 1).alias("line"), "unit", bigram_count(F.col("unit")).alias("n")).where(_within(F.col("n"), bounds))
     met = sized.select("row", "id", "line", "n", F.posexplode(bigrams(F.col("unit"))).alias("pos", "gram")).join(broadcast_if_small(grams, 100_000), "gram")
     same = met.where("n BETWEEN low AND high").groupBy("row", "id", "line", "n", "template", "license", "size", "times", "gram").agg(
         F.count_distinct("pos").alias("here"))  # rows equal in id and text count once
