@@ -140,3 +140,14 @@ def test_white_space_at_either_end(spark):
     docs = spark.createDataFrame([(1, f"{a}\r\n{b}\r"), (2, f"{a}\n\t\t\t\t{b}"), (3, f"\t{a}\x0b\n\x0c {b} \t")], "doc_id long, text string")
     got = {r["doc_id"]: (r["text"], r["n_exact"], r["n_near"]) for r in lines.dedup_lines(docs).collect()}
     assert got == {1: (f"{a}\r\n{b}\r", 0, 0), 2: ("", 2, 0), 3: ("", 2, 0)}
+
+
+def test_shared_keys_without_a_window(spark):
+    """A segment that very many lines share is counted by partial sums, not gathered as one window group."""
+    made = [(i, "the same opening of " + f"{i:010d}" * 2) for i in range(300)]
+    frame = spark.createDataFrame(made, "lid long, line string")
+    shared = lines.shared_keys(frame)
+    assert "Window" not in shared._jdf.queryExecution().executedPlan().toString()
+    keys = lines.line_keys(frame, lines.EDITS).collect()
+    n, index = Counter(r["key"] for r in keys), {r["key"] for r in keys if r["own"]}
+    assert Counter(map(tuple, shared.collect())) == Counter(tuple(r) for r in keys if n[r["key"]] > 1 and r["key"] in index)

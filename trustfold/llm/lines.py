@@ -15,7 +15,7 @@ the first line of the corpus stays.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trustfold.llm.common import BROADCAST_ROWS, broadcast_if_small, free_names, let, row_key, stored
@@ -145,10 +145,13 @@ def _bag_distance(x: Column, y: Column) -> Column:
 
 
 def shared_keys(distinct: DataFrame, k: int = EDITS) -> DataFrame:
-    """(lid, key, own): the rows of ``line_keys`` whose key is in the index and belongs to more than one row."""
-    here = Window.partitionBy("key")
-    keys = line_keys(distinct, k).withColumns({"n": F.count(F.lit(1)).over(here), "index": F.max("own").over(here)})
-    return keys.where("n > 1 AND index").select("lid", "key", "own")
+    """(lid, key, own): the rows of ``line_keys`` whose key is in the index and belongs to more than one row.
+
+    Keys are counted by partial sums; a key that very many lines share is never gathered in one task unless the join is
+    shuffled, and adaptive execution may split it there."""
+    keys = line_keys(distinct, k)
+    kept = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("own").alias("index")).where("n > 1 AND index").select("key")
+    return keys.join(broadcast_if_small(stored(kept)), "key").select("lid", "key", "own")
 
 
 def edit_links(shared: DataFrame, texts: DataFrame, k: int = EDITS) -> DataFrame:
