@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trustfold.llm import decontam, html, licenses, lines, maxent, mixing, pii, quality, secrets, simhash
+from trustfold.llm import decontam, exact, html, licenses, lines, maxent, mixing, pii, quality, secrets, simhash
 from trustfold.llm.common import table
 
 
@@ -65,6 +65,11 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), size=3, distance=3)
 
 
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with the row that stays of those equal but for white space."""
+    return exact.duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op2_licenses": op2_licenses,
@@ -76,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_html": op8_html,
     "op9_quality_rules": op9_quality_rules,
     "op10_simhash": op10_simhash,
+    "op13_exact_dedup": op13_exact_dedup,
 }
 
 
@@ -186,6 +192,10 @@ SQL: dict[str, str] = {
     "op2_licenses": _licenses_sql(),
     "op7_secrets": _secrets_sql(),
     "op9_quality_rules": _quality_sql(),
+    "op13_exact_dedup": r"""
+WITH d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents)
+SELECT doc_id, min(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
+       row_number() OVER (PARTITION BY t ORDER BY doc_id NULLS LAST) = 1 AS kept, sha256(t) AS text_sha256 FROM d""",
     "op4_mixing": r"""
 WITH sized AS (
   SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
