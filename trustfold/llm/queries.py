@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from trustfold.llm import decontam, exact, html, licenses, lines, maxent, mixing, pii, quality, secrets, simhash
+from trustfold.llm import decontam, exact, html, licenses, lines, maxent, merkle, mixing, pii, quality, secrets, simhash
 from trustfold.llm.common import table
 
 
@@ -65,6 +66,22 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), size=3, distance=3)
 
 
+#: What a leaf of the manifest covers, in this order.
+MERKLE_FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
+
+
+def tampered_leaf() -> Column:
+    """The leaf of a copy in which texts of ids with an even CRC-32 have lost their line ends; a null id is not among them."""
+    cut = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0, F.lit(False))
+    text = F.when(cut, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
+    return merkle.leaf_digest(*[text if f == "text" else F.col(f) for f in MERKLE_FIELDS])
+
+
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tampered copy of all documents proved against their manifest."""
+    return merkle.audit(table(spark, sf_dir, "documents"), tampered_leaf(), MERKLE_FIELDS)
+
+
 def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents with the row that stays of those equal but for white space."""
     return exact.duplicates(table(spark, sf_dir, "documents"))
@@ -81,6 +98,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_html": op8_html,
     "op9_quality_rules": op9_quality_rules,
     "op10_simhash": op10_simhash,
+    "op11_merkle": op11_merkle,
     "op13_exact_dedup": op13_exact_dedup,
 }
 
@@ -188,7 +206,41 @@ SELECT base.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
 FROM base LEFT JOIN used u ON base.stratum IS NOT DISTINCT FROM u.stratum"""
 
 
+def _merkle_sql(levels: int = 14) -> str:
+    """Level by level, all nodes at once; good for groups of up to 3^levels rows and as many groups."""
+    hash_of = "sha256(" + " || ".join(
+        f"CASE WHEN {f} IS NULL THEN '-' ELSE strlen(CAST({f} AS VARCHAR)) || ':' || CAST({f} AS VARCHAR) END" for f in MERKLE_FIELDS) + ")"
+    ctes = [
+        "crc AS (SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: xor(c >> 1, CASE WHEN c % 2 = 1 THEN 3988292384 ELSE 0 END))) AS t)",
+        "d AS (SELECT *, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))), "
+        "lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1]))) AS crc FROM documents, crc)",
+        f"pairs AS (SELECT doc_id, source, {hash_of} AS leaf, {hash_of.replace('CAST(text AS VARCHAR)', 'seen_text').replace('text IS NULL', 'seen_text IS NULL')} AS seen "
+        "FROM (SELECT *, CASE WHEN crc % 2 = 0 THEN replace(text, chr(10), '') ELSE text END AS seen_text FROM d))",
+        "lf AS (SELECT *, coalesce('=' || source, '') AS tree, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS LAST, leaf) - 1 AS pos FROM pairs)",
+        "g0 AS (SELECT tree, pos, leaf AS h FROM lf)"]
+
+    def grow(n: str):
+        side = lambda a, b: f"coalesce(string_agg(h, '') OVER (PARTITION BY tree, pos // 3 ORDER BY pos ROWS BETWEEN {a} AND {b}), '')"
+        for k in range(levels):
+            ctes.append(f"{n}s{k} AS (SELECT *, count(*) OVER (PARTITION BY tree) AS c, {side('UNBOUNDED PRECEDING', '1 PRECEDING')} AS l, {side('1 FOLLOWING', 'UNBOUNDED FOLLOWING')} AS r FROM {n}{k})")
+            ctes.append(f"{n}{k + 1} AS (SELECT tree, pos // 3 AS pos, CASE WHEN any_value(c) = 1 THEN any_value(h) ELSE sha256(string_agg(h, '' ORDER BY pos)) END AS h FROM {n}s{k} GROUP BY tree, pos // 3)")
+
+    grow("g")
+    ctes.append(f"t0 AS (SELECT '' AS tree, row_number() OVER (ORDER BY tree) - 1 AS pos, h, tree AS source FROM g{levels})")
+    grow("t")
+    ctes.append(f"p0 AS (SELECT lf.*, g{levels}.h AS subroot, t0.pos AS top, seen AS f, '' AS p FROM lf JOIN g{levels} USING (tree) JOIN t0 ON t0.source = lf.tree)")
+    at = 0
+    for n, key, place in (("g", "s.tree = p.tree", "p.pos"), ("t", "true", "p.top")):
+        for k in range(levels):
+            ctes.append(f"p{at + 1} AS (SELECT p.* EXCLUDE (f, p), CASE WHEN c = 1 THEN f ELSE sha256(l || f || r) END AS f, p || l || r AS p "
+                        f"FROM p{at} p JOIN {n}s{k} s ON {key} AND s.pos = {place} // {3 ** k})")
+            at += 1
+    return f"""WITH {", ".join(ctes)}
+SELECT doc_id, leaf, subroot, h AS root, sha256(p) AS proof_sha256, f AS folded_root, f = h AS verified FROM p{at} p, t{levels}"""
+
+
 SQL: dict[str, str] = {
+    "op11_merkle": _merkle_sql(),
     "op2_licenses": _licenses_sql(),
     "op7_secrets": _secrets_sql(),
     "op9_quality_rules": _quality_sql(),
