@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trustfold.llm import decontam, exact, html, licenses, lines, maxent, merkle, mixing, pii, quality, secrets, simhash
+from trustfold.llm import decontam, divergence, exact, html, licenses, lines, maxent, merkle, mixing, pii, quality, secrets, simhash
 from trustfold.llm.common import table
 
 
@@ -82,6 +82,11 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.audit(table(spark, sf_dir, "documents"), tampered_leaf(), MERKLE_FIELDS)
 
 
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distances of all sources of each language from one another, and the words that set each apart from its language."""
+    return divergence.divergence(table(spark, sf_dir, "documents"))
+
+
 def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents with the row that stays of those equal but for white space."""
     return exact.duplicates(table(spark, sf_dir, "documents"))
@@ -99,6 +104,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality_rules": op9_quality_rules,
     "op10_simhash": op10_simhash,
     "op11_merkle": op11_merkle,
+    "op12_divergence": op12_divergence,
     "op13_exact_dedup": op13_exact_dedup,
 }
 
@@ -244,6 +250,27 @@ SQL: dict[str, str] = {
     "op2_licenses": _licenses_sql(),
     "op7_secrets": _secrets_sql(),
     "op9_quality_rules": _quality_sql(),
+    "op12_divergence": r"""
+WITH w AS (
+  SELECT row_number() OVER () AS rid, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS words
+  FROM documents),
+g AS (SELECT DISTINCT lang, source FROM w),
+c AS (SELECT lang, source, t, count(*) AS n, count(DISTINCT rid) AS d FROM (SELECT rid, lang, source, unnest(words) AS t FROM w) GROUP BY ALL),
+k AS (SELECT lang, t, sum(n)::HUGEINT AS n FROM c GROUP BY lang, t HAVING sum(d) >= 10),
+l AS (SELECT lang, count(*)::HUGEINT AS terms, sum(n)::HUGEINT AS total FROM k GROUP BY lang),
+n AS (SELECT g.lang, g.source, coalesce(sum(c.n), 0)::HUGEINT AS total FROM g LEFT JOIN (SELECT c.* FROM c JOIN k USING (lang, t)) c USING (lang, source) GROUP BY ALL),
+p AS (SELECT n.lang, n.source, k.t, coalesce(c.n, 0) AS n, 1 + 1000000000::HUGEINT * (coalesce(c.n, 0) + 2) // (n.total + 2 * terms) AS p,
+             1 + 1000000000::HUGEINT * (k.n + 2) // (l.total + 2 * terms) AS q
+      FROM n JOIN l USING (lang) JOIN k USING (lang) LEFT JOIN c ON c.lang = n.lang AND c.source = n.source AND c.t = k.t),
+f AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value
+      FROM p a JOIN p b ON a.lang = b.lang AND a.t = b.t AND a.source <> b.source GROUP BY ALL),
+r AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(f.value, 0) AS value
+      FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+      UNION ALL SELECT lang, source, 'term', t, (p - q) * (p - q) // (p + q) FROM p WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(row_number() OVER o AS INTEGER) AS rank FROM r
+WINDOW o AS (PARTITION BY lang, source, part ORDER BY value DESC, item)
+QUALIFY part = 'pair' OR row_number() OVER o <= 10""",
     "op13_exact_dedup": r"""
 WITH d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents)
 SELECT doc_id, min(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
