@@ -42,6 +42,21 @@ def test_spans_against_re(spark):
     assert any("github" in r["spans"] for r in got) and any("private_key" in r["spans"] for r in got) and any("url_login" in r["spans"] for r in got)
 
 
+def test_repeated_rows_and_null_ids_with_findings(spark):
+    text = "x password = abcdefghijklmnop and deadbeefdeadbeef1234"
+    docs = spark.createDataFrame([(1, text), (1, text), (2, text)], "doc_id long, text string").repartition(2)
+    assert [r["spans"] for r in secrets.document_secrets(docs).collect()] == ["assign:2:29,hex:34:54"] * 3
+    none = spark.createDataFrame([(None, text)] * 3 + [(None, "token=abcdefghijkl"), (4, "token=abcdefghijkl")], "doc_id long, text string")
+    got = sorted(r["spans"] for r in secrets.document_secrets(none).collect())
+    assert got == ["assign:0:18"] * 2 + ["assign:2:29,hex:34:54"] * 3
+
+
+def test_very_long_text(spark):
+    text = "plain words " * 100_000 + "token=abcdefghijkl"
+    got = secrets.document_secrets(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert got["spans"] == f"assign:{len(text) - 18}:{len(text)}"
+
+
 def test_ledger_scans_each_blob_and_rule_once(spark):
     v1 = spark.createDataFrame([("a", "token=aaaaaaaaaaaa"), ("b", "token=aaaaaaaaaaaa"), ("c", "plain")], "path string, text string")
     paths, found, ledger = secrets.scan(v1, "path", "text", secrets.BASE_RULES)

@@ -79,13 +79,13 @@ def find(texts: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
             _per_rule(rules, lambda r: F.transform(F.split("text", r.pattern, -1), F.length)).alias("before"),
             _per_rule(rules, lambda r: F.transform(F.regexp_extract_all("text", F.lit(r.pattern), F.lit(0)), F.length)).alias("match"),
             _per_rule(rules, lambda r: F.transform(F.regexp_extract_all("text", F.lit(r.pattern), F.lit(r.group)), F.length)).alias("value"),
-        ).alias("parts"))
+        ).alias("parts")).dropDuplicates(["blob", "rule"])  # a repeated row brings its text again; only lengths are shuffled
     each = parts.select("blob", "rule", F.posexplode("parts").alias("n", "p")).select("blob", "rule", "n", "p.*")
-    upto = Window.partitionBy("blob", "rule").orderBy("n")  # the matches of one rule in one text
+    upto = Window.partitionBy("blob", "rule").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)  # the matches of one rule in one text
     each = each.withColumn("end", F.sum(F.col("before") + F.coalesce("match", F.lit(0))).over(upto).cast("long"))
     least = _per_rule(rules, lambda r: F.lit(r.least))
     return each.where(F.col("match").isNotNull() & (F.col("value") >= least)).select(
-        "blob", "rule", (F.col("end") - F.col("match")).alias("start"), "end").distinct()
+        "blob", "rule", (F.col("end") - F.col("match")).alias("start"), "end")
 
 
 def scan(versions: DataFrame, path_col: str, text_col: str, rules: tuple[Rule, ...] = RULES,
@@ -94,7 +94,7 @@ def scan(versions: DataFrame, path_col: str, text_col: str, rules: tuple[Rule, .
 
     paths: (path_col, blob), a row per row of ``versions``. findings: (blob, kind, version, start, end) of the pairs
     scanned now; add them to those of earlier scans. ledger: (blob, rules), the names of the rules that have scanned the
-    blob, the given ledger included. A null text is the empty blob. Repeated rows are scanned once. An empty table gives
+    blob, the given ledger included. A null text is the empty blob. Repeated rows have one set of findings. An empty table gives
     empty results. Other columns are not read.
     """
     paths = stored(versions.select(F.col(path_col), blob_id(F.col(text_col)).alias("blob")))
@@ -110,7 +110,7 @@ def scan(versions: DataFrame, path_col: str, text_col: str, rules: tuple[Rule, .
     if ledger is None:
         texts = texts.withColumn("todo", names)
     else:
-        texts = texts.join(known.select("blob", todo.alias("todo")).where(F.size("todo") > 0), "blob")
+        texts = texts.join(broadcast_if_small(stored(known.select("blob", todo.alias("todo")).where(F.size("todo") > 0))), "blob")
     kinds, numbers = (F.array(*[F.lit(getattr(r, x)) for r in rules]) for x in ("kind", "version"))
     found = stored(find(texts.where("text IS NOT NULL").select("blob", "text", "todo"), rules))
     findings = found.select("blob", F.get(kinds, F.col("rule")).alias("kind"), F.get(numbers, F.col("rule")).alias("version"), "start", "end")
@@ -141,7 +141,13 @@ def secrets_by_path(paths: DataFrame, findings: DataFrame, path_col: str, rules:
         F.sha2(_joined(of([r.kind for r in base])).cast("binary"), 256).alias("base_sha256"), _joined(F.col("all")).alias("spans"))
 
 
-def document_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """The secrets of every row of ``docs`` with an empty ledger; see ``scan`` and ``secrets_by_path``."""
-    paths, findings, _ = scan(docs, id_col, text_col, rules)
-    return secrets_by_path(paths, findings, id_col, rules)
+def document_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES,
+                     base: tuple[Rule, ...] = BASE_RULES) -> DataFrame:
+    """The secrets of every row of ``docs``; see ``scan`` and ``secrets_by_path``.
+
+    Two scans share a ledger: the first has the base rules; the second has all rules and reads what the ledger lacks, which
+    is every text with the rules that have come since.
+    """
+    _, first, ledger = scan(docs, id_col, text_col, base)
+    paths, second, _ = scan(docs, id_col, text_col, rules, stored(ledger))
+    return secrets_by_path(paths, first.unionByName(second), id_col, rules, base)
