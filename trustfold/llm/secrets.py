@@ -68,10 +68,10 @@ def _per_rule(rules: tuple[Rule, ...], value) -> Column:
 
 
 def find(texts: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """(blob, rule, start, end): all findings of ``texts`` (blob, text, todo), with the rules whose names todo lists;
+    """(blob, rule, start, end): all findings of ``texts`` (blob, text, todo), with the rules whose bits todo has set;
     rule is a number in ``rules``."""
-    wants = lambda r: F.array_contains("todo", F.lit(r.name)) & F.col("text").rlike(r.pattern)
-    hit = F.array_compact(F.array(*[F.when(wants(r), F.lit(i)) for i, r in enumerate(rules)]))
+    wants = lambda i, r: (F.col("todo").bitwiseAND(1 << i) != 0) & F.col("text").rlike(r.pattern)
+    hit = F.array_compact(F.array(*[F.when(wants(i, r), F.lit(i)) for i, r in enumerate(rules)]))
     rows = texts.select("blob", "text", F.explode(hit).alias("rule"))
     parts = rows.select(
         "blob", "rule",
@@ -102,15 +102,16 @@ def scan(versions: DataFrame, path_col: str, text_col: str, rules: tuple[Rule, .
     names = F.array(*[F.lit(r.name) for r in rules])
     known = blobs.select("blob", F.lit(None).cast("array<string>").alias("rules")) if ledger is None else (
         blobs.select("blob").join(ledger.groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_list("rules"))).alias("rules")), "blob", "left"))
-    todo = F.array_except(names, F.coalesce("rules", F.array().cast("array<string>")))
+    done = F.coalesce("rules", F.array().cast("array<string>"))
+    todo = sum((F.when(F.array_contains(done, F.lit(r.name)), F.lit(0)).otherwise(F.lit(1 << i)) for i, r in enumerate(rules)), F.lit(0)).cast("long")
     texts = versions.select(F.col(path_col).alias("path"), blob_id(F.col(text_col)).alias("blob"), F.col(text_col).alias("text"))
     # one path of each blob that several have; rows equal in path and text may still come twice
     many = broadcast_if_small(stored(blobs.where("n > 1").select("blob", "first", F.lit(True).alias("many"))))
     texts = texts.join(many, "blob", "left").where(F.col("many").isNull() | F.col("path").eqNullSafe(F.col("first")))
     if ledger is None:
-        texts = texts.withColumn("todo", names)
+        texts = texts.withColumn("todo", F.lit((1 << len(rules)) - 1).cast("long"))
     else:
-        texts = texts.join(broadcast_if_small(stored(known.select("blob", todo.alias("todo")).where(F.size("todo") > 0))), "blob")
+        texts = texts.join(broadcast_if_small(stored(known.select("blob", todo.alias("todo")).where("todo > 0"))), "blob")
     kinds, numbers = (F.array(*[F.lit(getattr(r, x)) for r in rules]) for x in ("kind", "version"))
     found = stored(find(texts.where("text IS NOT NULL").select("blob", "text", "todo"), rules))
     findings = found.select("blob", F.get(kinds, F.col("rule")).alias("kind"), F.get(numbers, F.col("rule")).alias("version"), "start", "end")
