@@ -86,3 +86,21 @@ def test_tree_samples_use_the_whole_group(spark):
         got = learned.tree_samples(long, D.moments(long)).groupBy("tree").agg(F.count("*").alias("n"), F.max("value").alias("m")).collect()
         assert len(got) == 100
         assert all(r["n"] < 400 for r in got) and max(r["m"] for r in got) > 0.98 * n
+
+
+def test_knn_jobs_do_not_depend_on_partitions(spark):
+    """Runs of fewer rows than k in a partition, several groups in one, and the same number of jobs at any number of them."""
+    rng = np.random.default_rng(17)
+    long = _long(spark, np.round(rng.normal(size=90), 1)).unionByName(_long(spark, rng.random(7), chunk=1)).unionByName(_long(spark, np.zeros(60), chunk=2))
+    jobs, scores = [], []
+    sc = spark.sparkContext
+    for n in (2, 40, 120):
+        spark.conf.set("spark.sql.shuffle.partitions", str(n))
+        sc.setJobGroup(f"knn{n}", "")
+        scores.append(sorted((r["chunk_id"], r["row_id"], -1 if r["score"] is None else round(r["score"], 9)) for r in D.knn_scores(long, k=20).collect()))
+        jobs.append(len(sc.statusTracker().getJobIdsForGroup(f"knn{n}")))
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+    assert scores[0] == scores[1] == scores[2] and len(scores[0]) == 157
+    assert [s for c, _, s in scores[0] if c == 1] == [-1] * 7 and {s for c, _, s in scores[0] if c == 2} == {0}
+    assert jobs[0] == jobs[1] == jobs[2] <= 5

@@ -60,8 +60,10 @@ def long_form(df: DataFrame, columns, ids=("chunk_id", ROW_ID)) -> DataFrame:
 
 def fill_missing(long: DataFrame, group=tuple(D.G)) -> DataFrame:
     """I4: a null takes its group's median.  (The mean fill I3 that follows in the original has nothing left to fill:
-    a group without a median has no mean either.)"""
-    medians = group_percentiles(long, list(group), {"_med": (F.col("value"), 0.5)}, few=True)
+    a group without a median has no mean either.)  A frame without nulls is returned as it is."""
+    if not long.where(F.col("value").isNull()).limit(1).count():
+        return long
+    medians = group_percentiles(long, list(group), {"_med": (F.col("value"), 0.5)})
     return long.join(F.broadcast(medians), list(group)).withColumn("value", F.coalesce("value", "_med")).drop("_med")
 
 

@@ -9,9 +9,8 @@ aggregation: moments, range, bin counts, exact percentiles
 (``trustfold.plans.percentiles``) and fitted models of fixed size.  There are as
 many rows as chunks times columns, which the chunk rule and the schema bound, so
 they are broadcast, and all methods' flags are computed in one pass.  Only
-kNN needs order: values are range-partitioned, and a run of one group within
-one partition gets the 20 nearest values of its neighbours from a table of
-partition edges.
+kNN needs order: values are range-partitioned, and partitions exchange the
+values at their edges.
 
 Constants that the original leaves to library defaults are ours and
 documented here: HBOS 10 equal-width bins with regulariser 0.1; kNN 20
@@ -26,7 +25,7 @@ from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -38,6 +37,7 @@ from trustfold.session import ensure_checkpoint_dir
 
 G = ["chunk_id", "column"]
 KEYS = ["chunk_id", "row_id", "column"]
+_RUN = "_run"  # hash of the group, by which runs are told apart
 FLOOR = 1e-9
 HBOS_BINS = 10
 HBOS_ALPHA = 0.1
@@ -88,7 +88,7 @@ def _score_threshold(scores: DataFrame, c: float, name: str) -> DataFrame:
     """D9 for scores that come as (score, rows) per group: the (1 - c) linear percentile."""
     n = scores.groupBy(*G).agg(F.sum("rows").alias("_all"))
     rows = scores.groupBy(*G, "score").agg(F.sum("rows").alias("rows")).join(n, G)
-    return weighted_percentiles(rows, G, "score", "rows", F.lit(1.0 - c), F.lit(0), F.col("_all"), name)
+    return weighted_percentiles(rows, G, "score", "rows", F.lit(1.0 - c), F.col("_all"), name)
 
 
 def _bin_scores(counts: DataFrame, name: str, p: DetectorParams) -> DataFrame:
@@ -134,41 +134,113 @@ def kth_distances(x: np.ndarray, before: np.ndarray, after: np.ndarray, k: int)
     return best
 
 
+def _column(batch: pa.RecordBatch, name: str) -> np.ndarray:
+    return batch.column(name).to_numpy(zero_copy_only=False)
+
+
+def _pieces(batches):
+    """(batch, run) for each piece of a batch that lies in one run, in order."""
+    for b in batches:
+        if b.num_rows:
+            run = _column(b, _RUN)
+            cuts = [0, *(np.flatnonzero(run[1:] != run[:-1]) + 1), len(run)]
+            for s, e in zip(cuts, cuts[1:]):
+                yield b.slice(s, e - s), int(run[s])
+
+
+def _ends(k: int):
+    """What a range partition sends: the first k values of its first run, the last k of its last run, and if they are one."""
+    def run(batches):
+        seg, runs, first, last = None, [], np.zeros(0), np.zeros(0)
+        for piece, key in _pieces(batches):
+            x = _column(piece, "value")
+            if not runs or runs[-1] != key:
+                seg, last = int(_column(piece, SEG)[0]), np.zeros(0)
+                runs = [*runs[:1], key]
+            if len(runs) == 1:
+                first = np.concatenate([first, x[: k - len(first)]])
+            last = np.concatenate([last, x[-k:]])[-k:]
+        if runs:
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([seg], pa.int32()), pa.array([runs[0]], pa.int64()), pa.array([first.tolist()], pa.list_(pa.float64())),
+                 pa.array([runs[-1]], pa.int64()), pa.array([last.tolist()], pa.list_(pa.float64())), pa.array([len(runs) == 1])],
+                names=["seg", "first_run", "first", "last_run", "last", "single"])
+
+    return run
+
+
+_ENDS = "seg int, first_run long, first array<double>, last_run long, last array<double>, single boolean"
+
+
+def _halo(ends: list, k: int) -> dict[int, tuple[list[float], list[float]]]:
+    """Per partition the k values before its first run and after its last run, from the partitions beside it. A partition
+    that is one run of fewer than k values passes on what lies beyond it."""
+    out = {}
+    for i, e in enumerate(ends):
+        before: list[float] = []
+        for t in reversed(ends[max(0, i - k) : i]):
+            if t["last_run"] != e["first_run"]:
+                break
+            before = [*t["last"], *before]
+            if len(before) >= k or not t["single"]:
+                break
+        after: list[float] = []
+        for t in ends[i + 1 : i + 1 + k]:
+            if t["first_run"] != e["last_run"]:
+                break
+            after += t["first"]
+            if len(after) >= k or not t["single"]:
+                break
+        if before or after:
+            out[e["seg"]] = (before[-k:], after[:k])
+    return out
+
+
 def knn_scores(long: DataFrame, k: int = KNN_K) -> DataFrame:
     """KEYS, value and D5 score of every row, exact in one dimension.
 
-    A group may run over many range partitions.  Each contributes its first and last k values of the group to a table of
-    edges: at most 2k values for each pair of group and partition, of which there are no more than groups plus partitions.
+    Rows are range-sorted by group and value, so that the k nearest values lie among the k before and the k after. Across a
+    partition's edges they come by a halo exchange: each partition sends its outermost k values, at most 2k numbers
+    whatever it holds, and gets those next to its own. A task holds k values and one batch.
     """
-    sorted_rows = range_sorted(long.select(*KEYS, "value"), G, ["value", "row_id"])
-
-    def ends(batches):
-        held = pd.concat(list(batches), ignore_index=True)  # one range partition
-        for _, rows in held.groupby(G, sort=False):
-            yield rows if len(rows) <= 2 * k else pd.concat([rows.head(k), rows.tail(k)])
-
-    runs = sorted_rows.select(*G, SEG, "value")
-    edges = runs.mapInPandas(ends, runs.schema)
-    by_run: dict[tuple, dict[int, list[float]]] = {}
-    for r in edges.toLocalIterator():
-        by_run.setdefault((r[0], r[1]), {}).setdefault(r[2], []).append(r[3])
-    shared = long.sparkSession.sparkContext.broadcast({g: runs for g, runs in by_run.items() if len(runs) > 1})
-
-    def near(group, seg):
-        runs = shared.value.get(group, {})
-        left = [v for s in runs if s < seg for v in runs[s]]
-        right = [v for s in runs if s > seg for v in runs[s]]
-        return np.sort(np.array(left, dtype=float)), np.sort(np.array(right, dtype=float))
+    rows = long.select(*KEYS, "value").withColumn(_RUN, F.xxhash64(*G))
+    sorted_rows = range_sorted(rows, G, ["value", "row_id"])
+    sent = sorted_rows.select(_RUN, SEG, "value").mapInArrow(_ends(k), _ENDS).collect()  # one row per partition
+    shared = long.sparkSession.sparkContext.broadcast(_halo(sorted(sent, key=lambda r: r["seg"]), k))
+    names = [*KEYS, "value"]
 
     def score(batches):
-        held = pd.concat(list(batches), ignore_index=True)  # one range partition
-        for group, rows in held.groupby(G, sort=False):
-            before, after = near(group, int(rows[SEG].iloc[0]))
-            yield rows[[*KEYS, "value"]].assign(score=kth_distances(rows["value"].to_numpy(), before, after, k))
-
-    schema = T.StructType([long.schema[c] for c in (*KEYS, "value")] + [T.StructField("score", T.DoubleType())])
-    scored = sorted_rows.select(*KEYS, "value", SEG).mapInPandas(score, schema)
-    return scored.withColumn("score", F.when(~F.isnan("score"), F.col("score")))
+        key, before, after = None, np.zeros(0), np.zeros(0)  # the run, the k values before those held, the partition's halo
+        held: list[pa.RecordBatch] = []  # rows that wait for k values after them
+
+        def scored(following: np.ndarray, keep: int):
+            """Score the rows held but for the last ``keep``, which are among ``following`` values."""
+            nonlocal before, held
+            if not held:
+                return
+            whole = pa.Table.from_batches(held).combine_chunks().to_batches()
+            whole = whole[0] if whole else held[0]
+            n = whole.num_rows - keep
+            if n > 0:
+                x = _column(whole, "value")
+                score = kth_distances(x[:n], before, np.concatenate([x[n:], following]), k)
+                yield pa.RecordBatch.from_arrays([*whole.slice(0, n).columns, pa.array(score, pa.float64(), from_pandas=True)], names=[*names, "score"])
+                before = np.concatenate([before, x[:n]])[-k:]
+            held = [whole.slice(max(n, 0))] if keep else []
+
+        for piece, run in _pieces(batches):
+            if key is None:
+                halo = shared.value.get(int(_column(piece, SEG)[0]), ((), ()))
+                before, after, key = np.array(halo[0], dtype=float), np.array(halo[1], dtype=float), run
+            elif run != key:
+                yield from scored(np.zeros(0), 0)
+                before, key = np.zeros(0), run
+            held.append(piece.select(names))
+            yield from scored(np.zeros(0), k)
+        yield from scored(after, 0)
+
+    schema = T.StructType([long.schema[c] for c in names] + [T.StructField("score", T.DoubleType())])
+    return sorted_rows.select(*names, _RUN, SEG).mapInArrow(score, schema)
 
 
 # --- all methods ---------------------------------------------------------------------
@@ -204,6 +276,7 @@ def masks(long: DataFrame, p: DetectorParams, methods=None, on_error: str = "rai
         names = [n for n in names if n in METHODS]
     ensure_checkpoint_dir(long.sparkSession)
     stats = moments(long).checkpoint()
+    largest = stats.agg(F.max("_n")).first()[0] or 0
     models, names = _fit_models(long, stats, names, on_error)
     if not names:
         raise ValueError("no outlier method could be used")
@@ -228,10 +301,10 @@ def masks(long: DataFrame, p: DetectorParams, methods=None, on_error: str = "rai
             ranks[f"_{name}_cut"] = (F.col(f"`{name}`"), 1.0 - p.contamination)
             flags[name] = F.col(f"`{name}`") > F.col(f"`_{name}_cut`")
     if ranks:
-        sides.append(group_percentiles(rows, G, ranks, few=True).checkpoint())
+        sides.append(group_percentiles(rows, G, ranks, largest).checkpoint())
     if "MAD" in names:
         far = long.join(F.broadcast(sides[-1].select(*G, "_med")), G)
-        sides.append(group_percentiles(far, G, {"_mad": (F.abs(F.col("value") - F.col("_med")), 0.5)}, few=True))
+        sides.append(group_percentiles(far, G, {"_mad": (F.abs(F.col("value") - F.col("_med")), 0.5)}, largest))
         m = F.when(F.col("_mad") == 0, F.lit(FLOOR)).otherwise(F.col("_mad"))
         flags["MAD"] = F.abs(F.lit(0.6745) * (F.col("value") - F.col("_med")) / m) > F.lit(p.threshold)
     if "HBOS" in names:
