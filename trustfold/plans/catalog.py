@@ -633,11 +633,22 @@ def q_geo_offset(spark, sf):
 SELECT row_id, User_Id, "Timestamp", Dataset_Source, round(list_reduce(srcs, {_fold_sql(P1)}, r0), 6) AS new_reputation,
        FALSE AS late FROM w""")
 def q_stream_reputation(spark, sf):
-    """Replay the labelled events as a file stream; must equal the batch trace."""
+    """The labelled events as a file stream through keyed state; must equal the batch trace."""
+    from trustfold.streaming.keyed import replay_keyed
+
+    return _rounded_trace(replay_keyed(_event_stream(spark, sf), P1))
+
+
+@query("stream_reputation_split", SQL["stream_reputation"])
+def q_stream_reputation_split(spark, sf):
+    """T1 by the batch fold of each micro-batch, which splits a hot user's rows over tasks."""
     from trustfold.streaming.replay import replay_to_table
 
-    res = replay_to_table(spark, _event_stream(spark, sf), P1)
-    return res.select(ROW_ID, USER, TS, "Dataset_Source", r6(F.col("new_reputation")).alias("new_reputation"), "late")
+    return _rounded_trace(replay_to_table(spark, _event_stream(spark, sf), P1))
+
+
+def _rounded_trace(trace):
+    return trace.select(ROW_ID, USER, TS, "Dataset_Source", r6(F.col("new_reputation")).alias("new_reputation"), "late")
 
 
 def _event_stream(spark, sf):
@@ -653,12 +664,54 @@ def _event_stream(spark, sf):
 
 @query("stream_payload", SQL["kafka_payload"])
 def q_stream_payload(spark, sf):
-    """The stream's JSON messages, written by a file sink."""
-    from trustfold.streaming.replay import replay_to_table
+    """The stream's JSON messages in a topic, written by a stream writer that commits each batch."""
+    from trustfold.session import scratch_path
+    from trustfold.streaming import keyed, topic
     from trustfold.streaming.sink import kafka_frame
 
-    frame = lambda t: kafka_frame(t.withColumn("new_reputation", r6(F.col("new_reputation"))))
-    return replay_to_table(spark, _event_stream(spark, sf), P1, frame=frame)
+    topic.register(spark)
+    path = scratch_path(spark, "topic")
+    trace = keyed.stateful_trace(_event_stream(spark, sf), P1)
+    keyed.drain(kafka_frame(trace.withColumn("new_reputation", r6(F.col("new_reputation")))), f"{path}/checkpoint", topic.NAME, path=f"{path}/topic")
+    return topic.read_topic(spark, f"{path}/topic").select("key", "value")
+
+
+# Fixed rule of the test mapping: the log's span is cut into three equal steps; every 7th event arrives a quarter step after its
+# time, every 50th two steps after it. A run of the stream gets the arrivals of one step; the delay is a third of a step.
+_ARRIVALS_SQL = f"""WITH l AS {O.LABELLED},
+  z AS (SELECT min(epoch_us("Timestamp")) AS t0, (max(epoch_us("Timestamp")) - min(epoch_us("Timestamp"))) // 3 + 1 AS step FROM l),
+  a AS (SELECT l.*, epoch_us("Timestamp") AS us, step // 3000 AS delay,
+               (epoch_us("Timestamp") - t0 + CASE WHEN row_id % 50 = 0 THEN 2 * step WHEN row_id % 7 = 0 THEN step // 4 ELSE 0 END) // step AS run FROM l, z),
+  m AS (SELECT run, max(mx) OVER (ORDER BY run) AS upto, max(mx) OVER (ORDER BY run ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before
+          FROM (SELECT run, max(us) AS mx FROM a GROUP BY run) x),
+  b AS (SELECT a.*, COALESCE(us < (before // 1000 - delay) * 1000, FALSE) AS late, us < ((SELECT max(upto) FROM m) // 1000 - delay) * 1000 AS passed
+          FROM a JOIN m USING (run)),
+  w AS (SELECT *, first_value(User_Reputation) OVER (PARTITION BY User_Id ORDER BY us, row_id) AS r0,
+               list(Dataset_Source) OVER (PARTITION BY User_Id ORDER BY us, row_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS srcs
+          FROM b WHERE NOT late AND passed)"""
+
+
+@query("stream_out_of_order", _ARRIVALS_SQL + f"""
+SELECT row_id, User_Id, "Timestamp", Dataset_Source, round(list_reduce(srcs, {_fold_sql(P1)}, r0), 6) AS new_reputation, FALSE AS late FROM w
+UNION ALL SELECT row_id, User_Id, "Timestamp", Dataset_Source, NULL, TRUE FROM b WHERE late""")
+def q_stream_out_of_order(spark, sf):
+    """Events arrive out of order; those within the delay give the result of the batch, older ones come out as late. Each
+    step of arrivals is a new run of the stream, which goes on from the checkpoint of the one before."""
+    from trustfold.session import scratch_path
+    from trustfold.streaming.keyed import replay_keyed
+
+    top = scratch_path(spark, "arrivals")
+    us = F.unix_micros(F.col(TS).cast("timestamp"))
+    log = labelled(spark, sf)
+    start, end = log.agg(F.min(us), F.max(us)).first()
+    step = (end - start) // 3 + 1
+    shift = F.when(F.col(ROW_ID) % 50 == 0, 2 * step).when(F.col(ROW_ID) % 7 == 0, step // 4).otherwise(0)
+    arrivals = log.withColumn("run", F.floor((us - start + shift) / step))
+    out = None
+    for run in range(5):
+        arrivals.where(F.col("run") == run).drop("run").write.mode("append").parquet(f"{top}/in")
+        out = replay_keyed(spark.readStream.schema(log.schema).parquet(f"{top}/in"), P1, step // 3000, f"{top}/stream")
+    return _rounded_trace(out)
 
 
 # --------------------------------------------------------------- model-based detectors (rows-only)

@@ -98,10 +98,3 @@ def replay_to_table(spark: SparkSession, events: DataFrame, p: Scenario, base: s
     to = table_sink(path)
     replay_stream(spark, events, p, lambda trace, batch_id: to(frame(trace) if frame else trace, batch_id), base, max_delay)
     return spark.read.parquet(path).drop("batch")
-
-
-def kafka_sink(servers: str, topic: str) -> Sink:
-    """Each batch's JSON messages to a Kafka topic (needs the Kafka connector on the classpath)."""
-    from trustfold.streaming.sink import kafka_frame, write_kafka
-
-    return lambda trace, batch_id: write_kafka(kafka_frame(trace), servers, topic)
