@@ -21,6 +21,8 @@ penalised likelihood among 5, 10, 20, 40.
 from __future__ import annotations
 
 import warnings
+from collections.abc import Callable
+from contextlib import contextmanager
 from dataclasses import dataclass
 from functools import reduce
 
@@ -59,8 +61,61 @@ class DetectorParams:
         return cls(s.contamination_rate, s.threshold)
 
 
+@dataclass(frozen=True)
+class Detector:
+    """A caller's own method (D10), in one of two forms.
+
+    ``flag(p)`` is a condition on ``value``, its group's moments (_mean, _sd, _min, _max, _n) and the columns that
+    ``statistics(rows)`` adds, if it is given: it gets the rows with their moments and returns one row per group, of
+    ``G`` and its own columns. Or ``rows(long, p)`` returns KEYS and ``is_outlier`` for any of the rows.
+    """
+
+    name: str
+    flag: Callable[[DetectorParams], Column] | None = None
+    statistics: Callable[[DataFrame], DataFrame] | None = None
+    rows: Callable[[DataFrame, DetectorParams], DataFrame] | None = None
+
+
+_OWN: dict[str, Detector] = {}
+MAX_METHODS = 31  # bits of a mask
+
+
+def known() -> tuple[str, ...]:
+    """All method names in the order that breaks ties and numbers bits: the published ones, then a caller's as registered."""
+    return (*METHODS, *_OWN)
+
+
+def register(*detectors: Detector) -> None:
+    """Make detectors known; from then on every consensus and vote without a list of methods uses them too."""
+    for d in detectors:
+        if d.name in known():
+            raise ValueError(f"there is a method called {d.name!r}")
+        if (d.flag is None) == (d.rows is None):
+            raise ValueError(f"{d.name}: give either flag or rows")
+        if len(known()) == MAX_METHODS:
+            raise ValueError(f"there can be {MAX_METHODS} methods")
+        _OWN[d.name] = d
+
+
+def unregister(*names: str) -> None:
+    """Forget a caller's detectors. Bits are numbered by place, so masks made before are not to be read after."""
+    for n in names:
+        del _OWN[n]
+
+
+@contextmanager
+def registered(*detectors: Detector):
+    """Detectors that are known within the block."""
+    before = set(_OWN)
+    try:
+        register(*detectors)
+        yield
+    finally:
+        unregister(*[n for n in list(_OWN) if n not in before])
+
+
 def priority(name: str) -> int:
-    return METHODS.index(name)
+    return known().index(name)
 
 
 def bit(name: str) -> int:
@@ -264,17 +319,32 @@ def _fit_models(long: DataFrame, stats: DataFrame, names, on_error: str) -> tupl
     return models, left
 
 
-def masks(long: DataFrame, p: DetectorParams, methods=None, on_error: str = "raise") -> tuple[DataFrame, list[str]]:
-    """(frame, methods): KEYS and ``mask``, whose bit ``bit(name)`` says that the method flags the row, for every row of
-    ``long``; and the methods that ran.  ``on_error="skip"`` (G16) leaves out a method whose model cannot be fitted."""
-    names = list(methods or METHODS)
-    unknown = [n for n in names if n not in METHODS]
-    if unknown:
-        if on_error != "skip":
-            raise ValueError(f"unknown outlier methods: {unknown}")
-        warnings.warn(f"unknown outlier methods left out: {unknown}", stacklevel=2)
-        names = [n for n in names if n in METHODS]
-    ensure_checkpoint_dir(long.sparkSession)
+def _outside(p: DetectorParams) -> Column:
+    width = F.lit(p.threshold) * (F.col("_q3") - F.col("_q1"))
+    return (F.col("value") < F.col("_q1") - width) | (F.col("value") > F.col("_q3") + width)
+
+
+def _floored(c: str) -> Column:
+    return F.when(F.col(c) == 0, F.lit(FLOOR)).otherwise(F.col(c))
+
+
+def _above(name: str):
+    """Above the (1 - c) percentile of the group's scores."""
+    return lambda p: F.col(f"`{name}`") > F.col(f"`_{name}_cut`")
+
+
+#: Each method's condition on a row, its scores and its group's statistics.
+FLAGS: dict[str, Callable[[DetectorParams], Column]] = {
+    "HBOS": lambda p: F.col("_hbos")[_bin(F.lit(HBOS_BINS))] > F.col("_hbos_cut"),
+    "kNN": _above("kNN"), "IForest": _above("IForest"), "OC-SVM": _above("OC-SVM"),
+    "LODA": lambda p: F.col("_loda")[_bin(F.col("_loda_k"))] > F.col("_loda_cut"),
+    "Z-Score": lambda p: F.abs((F.col("value") - F.col("_mean")) / _floored("_sd")) > F.lit(p.threshold),
+    "IQR": _outside,
+    "MAD": lambda p: F.abs(F.lit(0.6745) * (F.col("value") - F.col("_med")) / _floored("_mad")) > F.lit(p.threshold),
+}
+
+
+def _masks(long: DataFrame, p: DetectorParams, names: list[str], on_error: str) -> tuple[DataFrame, list[str]]:
     stats = moments(long).checkpoint()
     largest = stats.agg(F.max("_n")).first()[0] or 0
     models, names = _fit_models(long, stats, names, on_error)
@@ -285,40 +355,77 @@ def masks(long: DataFrame, p: DetectorParams, methods=None, on_error: str = "rai
         rows = knn_scores(long) if "kNN" in names else long.withColumn("score", F.lit(None).cast("double"))
         rows = learned.with_scores(rows.withColumnRenamed("score", "kNN"), models).checkpoint()
     binned = long.join(F.broadcast(stats), G)
-    flags, sides = {}, [stats]
-    if "Z-Score" in names:
-        sd = F.when(F.col("_sd") == 0, F.lit(FLOOR)).otherwise(F.col("_sd"))
-        flags["Z-Score"] = F.abs((F.col("value") - F.col("_mean")) / sd) > F.lit(p.threshold)
+    flags, sides = {n: FLAGS[n](p) for n in names if n in FLAGS}, [stats]
     ranks: dict[str, tuple[Column, float]] = {}
     if "IQR" in names:
         ranks |= {"_q1": (F.col("value"), 0.25), "_q3": (F.col("value"), 0.75)}
-        width = F.lit(p.threshold) * (F.col("_q3") - F.col("_q1"))
-        flags["IQR"] = (F.col("value") < F.col("_q1") - width) | (F.col("value") > F.col("_q3") + width)
     if "MAD" in names:
         ranks["_med"] = (F.col("value"), 0.5)
     for name in ("kNN", *models):
-        if name in names:  # D9: above the (1 - c) percentile of the group's scores
+        if name in names:
             ranks[f"_{name}_cut"] = (F.col(f"`{name}`"), 1.0 - p.contamination)
-            flags[name] = F.col(f"`{name}`") > F.col(f"`_{name}_cut`")
     if ranks:
         sides.append(group_percentiles(rows, G, ranks, largest).checkpoint())
     if "MAD" in names:
         far = long.join(F.broadcast(sides[-1].select(*G, "_med")), G)
         sides.append(group_percentiles(far, G, {"_mad": (F.abs(F.col("value") - F.col("_med")), 0.5)}, largest))
-        m = F.when(F.col("_mad") == 0, F.lit(FLOOR)).otherwise(F.col("_mad"))
-        flags["MAD"] = F.abs(F.lit(0.6745) * (F.col("value") - F.col("_med")) / m) > F.lit(p.threshold)
     if "HBOS" in names:
         sides.append(hbos_stats(binned, p))
-        flags["HBOS"] = F.col("_hbos")[_bin(F.lit(HBOS_BINS))] > F.col("_hbos_cut")
     if "LODA" in names:
         sides.append(loda_stats(binned, p))
-        flags["LODA"] = F.col("_loda")[_bin(F.col("_loda_k"))] > F.col("_loda_cut")
+    for i, d in enumerate(_OWN[n] for n in names if n in _OWN):
+        if d.rows:
+            hits = d.rows(long, p).where("is_outlier").select(*KEYS).distinct().withColumn(f"_hit{i}", F.lit(True))
+            rows, flags[d.name] = rows.join(hits, KEYS, "left"), F.col(f"_hit{i}")
+            continue
+        if d.statistics:
+            added = d.statistics(binned)
+            clash = sorted(set(added.columns) & {c for s in [rows, *sides] for c in s.columns} - set(G))
+            if clash:
+                raise ValueError(f"{d.name}: rename these statistics: {clash}")
+            sides.append(added)
+        flags[d.name] = d.flag(p)
     side = reduce(lambda a, b: a.join(b, G), sides).checkpoint()  # one row per group
     mask = reduce(lambda a, b: a.bitwiseOR(b), [
         F.when(F.coalesce(flags[n], F.lit(False)), F.lit(bit(n))).otherwise(F.lit(0)) for n in names])
     return rows.join(F.broadcast(side), G).select(*KEYS, mask.alias("mask")), names
 
 
+def masks(long: DataFrame, p: DetectorParams, methods=None, on_error: str = "raise") -> tuple[DataFrame, list[str]]:
+    """(frame, methods): KEYS and ``mask``, whose bit ``bit(name)`` says that the method flags the row, for every row of
+    ``long``; and the methods that ran: those asked for, or all that are known.
+
+    ``on_error="skip"`` (G16) leaves out, with a warning, any method that is unknown or fails: the masks are then written at once,
+    and should that fail, each method is tried by itself and those that come to an end are run together.
+    """
+    names = list(methods or known())
+    unknown = [n for n in names if n not in known()]
+    if unknown:
+        if on_error != "skip":
+            raise ValueError(f"unknown outlier methods: {unknown}")
+        warnings.warn(f"unknown outlier methods left out: {unknown}", stacklevel=2)
+        names = [n for n in names if n in known()]
+    ensure_checkpoint_dir(long.sparkSession)
+    if on_error != "skip":
+        return _masks(long, p, names, on_error)
+    try:
+        out, used = _masks(long, p, names, on_error)
+        return out.checkpoint(), used
+    except Exception:  # noqa: BLE001 - whichever method failed is found next
+        if len(names) < 2:
+            raise
+    left = []
+    for n in names:
+        try:
+            _masks(long, p, [n], "raise")[0].checkpoint()
+            left.append(n)
+        except Exception as e:  # noqa: BLE001 - the method's failure, of any kind, is what is skipped
+            warnings.warn(f"{n} left out: {str(e).splitlines()[0] if str(e) else type(e).__name__}", stacklevel=2)
+    if not left:
+        raise ValueError("no outlier method could be used")
+    return _masks(long, p, left, "raise")
+
+
 def detect(long: DataFrame, p: DetectorParams, method: str) -> DataFrame:
     """KEYS and ``is_outlier`` of one method."""
     out, _ = masks(long, p, [method])

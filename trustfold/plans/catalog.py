@@ -300,6 +300,44 @@ def q_outliers_by_method(spark, sf):
     return C.by_method(_consensus(spark, sf)["metrics"])
 
 
+# Two detectors of a caller's own. Fixed values of the test: a band of twice the inner 90% of a group's values; a value that occurs once.
+def _band_sql(src: str, _) -> str:
+    return f"""(SELECT chunk_id, row_id, "column", value < lo - (hi - lo) / 2 OR value > hi + (hi - lo) / 2 AS is_outlier
+   FROM (SELECT *, quantile_cont(value, {O.d(0.05)}) OVER ({O.W}) AS lo, quantile_cont(value, {O.d(0.95)}) OVER ({O.W}) AS hi FROM {src} u0) u1)"""
+
+
+def _rare_sql(src: str, _) -> str:
+    return f"""(SELECT chunk_id, row_id, "column", count(*) OVER (PARTITION BY chunk_id, "column", value) = 1 AND value > {O.d(400.0)} AS is_outlier FROM {src} v0)"""
+
+
+def _own_detectors() -> tuple[D.Detector, ...]:
+    from trustfold.plans.percentiles import group_percentiles
+
+    half = (F.col("_band_hi") - F.col("_band_lo")) / 2
+    ends = lambda rows: group_percentiles(rows, D.G, {"_band_lo": (F.col("value"), 0.05), "_band_hi": (F.col("value"), 0.95)})
+
+    def rare(long, p):
+        once = long.groupBy(*D.G, "value").agg(F.count(F.lit(1)).alias("_times"), F.min(ROW_ID).alias(ROW_ID)).where("_times = 1 AND value > 400")
+        return once.select(*D.KEYS, F.lit(True).alias("is_outlier"))
+
+    return (D.Detector("Band", lambda p: (F.col("value") < F.col("_band_lo") - half) | (F.col("value") > F.col("_band_hi") + half), ends),
+            D.Detector("Rare", rows=rare))
+
+
+_OWN_CTES = "WITH " + O.consensus_ctes(P1, own={"Band": (8, _band_sql), "Rare": (9, _rare_sql)})
+
+
+@query("own_detector_metrics", _OWN_CTES + """
+SELECT m.chunk_id, m."column", m.method, m.outliers_removed, b.method = m.method AS best FROM met m JOIN bst b USING (chunk_id, "column")""")
+def q_own_detector_metrics(spark, sf):
+    """Two registered detectors in the consensus, one by statistics and condition, one by rows."""
+    with D.registered(*_own_detectors()):
+        c = C.consensus(load_log(spark, sf), DP, methods=[*D.SQL_CHECKABLE, "Band", "Rare"])
+    best = c["best"].select("chunk_id", "column", F.col("method").alias("_best"))
+    return c["metrics"].join(F.broadcast(best), ["chunk_id", "column"]).select(
+        "chunk_id", "column", "method", "outliers_removed", (F.col("method") == F.col("_best")).alias("best"))
+
+
 @query("vote_counts", _CONS + ",\n  " + O.vote_ctes(P1) + """
 SELECT row_id, votes FROM votes""")
 def q_vote_counts(spark, sf):

@@ -125,9 +125,9 @@ def loda(src: str, c: float, choices=LODA_BIN_CHOICES) -> str:
 METHOD_SQL = {"HBOS": (0, hbos), "kNN": (1, knn), "LODA": (3, loda), "Z-Score": (5, zscore), "IQR": (6, iqr), "MAD": (7, mad)}
 
 
-def all_flags(src: str, c: float, t: float) -> str:
+def all_flags(src: str, c: float, t: float, own: dict | None = None) -> str:
     parts = []
-    for name, (prio, fn) in METHOD_SQL.items():
+    for name, (prio, fn) in {**METHOD_SQL, **(own or {})}.items():
         arg = t if name in ("Z-Score", "IQR", "MAD") else c
         parts.append(f"SELECT chunk_id, row_id, \"column\", '{name}' AS method, {prio} AS priority, is_outlier FROM {fn(src, arg)} q_{prio}")
     return "(" + "\n UNION ALL ".join(parts) + ")"
@@ -147,12 +147,12 @@ def best(m: str) -> str:
              FROM {m} b0) b1) b2 WHERE _r = 1)"""
 
 
-def consensus_ctes(p, log: str = LOG_SQL, label=()) -> str:
-    """WITH-list: log, ch, lng, flg, met, bst, flagged, normal, mis."""
+def consensus_ctes(p, log: str = LOG_SQL, label=(), own: dict | None = None) -> str:
+    """WITH-list: log, ch, lng, flg, met, bst, flagged, normal, mis.  ``own``: further methods, name -> (priority, SQL function)."""
     return f"""lg AS (SELECT * FROM {log} l),
   ch AS (SELECT * FROM {chunked('lg')} c),
   lng AS (SELECT * FROM {long_form('ch', label=label)} x),
-  flg AS (SELECT * FROM {all_flags('lng', p.contamination_rate, p.threshold)} f),
+  flg AS (SELECT * FROM {all_flags('lng', p.contamination_rate, p.threshold, own)} f),
   met AS (SELECT * FROM {metrics('flg')} m),
   bst AS (SELECT * FROM {best('met')} b),
   flagged AS (SELECT DISTINCT f.chunk_id, f.row_id FROM flg f JOIN bst b USING (chunk_id, "column", method) WHERE f.is_outlier),
