@@ -8,11 +8,14 @@ start value is the user's first ``User_Reputation`` or a carried-over value.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trustfold.params import Scenario
 from trustfold.plans.ordered import fold_per_key, fold_trace, keyed_row_number
+from trustfold.plans.scenarios import fold_scenarios
 from trustfold.sources.tables import ROW_ID, TARGET, TS, USER
 
 SOURCE = "Dataset_Source"
@@ -25,8 +28,8 @@ def source_from_class(col: str = "True_Class"):
     return F.lower(F.col(col))
 
 
-def with_steps(df: DataFrame, params: Scenario, source: str = SOURCE) -> DataFrame:
-    """Attach the clamp-shift step (_s, _lo, _hi) of each row; unknown sources do not move."""
+def _step_columns(params: Scenario, source: str = SOURCE) -> tuple[Column, Column, Column]:
+    """The clamp-shift step (s, lo, hi) of a row; unknown sources do not move."""
     src = F.col(source)
     s = (
         F.when(src == NORMAL_SRC, F.lit(params.normal_increment))
@@ -36,7 +39,12 @@ def with_steps(df: DataFrame, params: Scenario, source: str = SOURCE) -> DataFra
     )
     lo = F.when(src.isin(UNINT_SRC, INT_SRC), F.lit(0.0)).otherwise(F.lit(-_INF))
     hi = F.when(src == NORMAL_SRC, F.lit(1.0)).otherwise(F.lit(_INF))
-    return df.withColumn("_s", s.cast("double")).withColumn("_lo", lo).withColumn("_hi", hi)
+    return s.cast("double"), lo, hi
+
+
+def with_steps(df: DataFrame, params: Scenario, source: str = SOURCE) -> DataFrame:
+    """Attach the clamp-shift step (_s, _lo, _hi) of each row."""
+    return df.withColumns(dict(zip(("_s", "_lo", "_hi"), _step_columns(params, source))))
 
 
 def _prepared(labelled: DataFrame, params: Scenario, source: str, initial: DataFrame | None):
@@ -72,6 +80,33 @@ def replay(labelled: DataFrame, params: Scenario, source: str = SOURCE, initial:
             replay_trace(labelled, params, source, initial, carry_cols, num_partitions))
 
 
+def replay_scenarios(labelled: DataFrame, scenarios: Sequence[Scenario], source: str = SOURCE, carry_cols=(ROW_ID, SOURCE),
+                     num_partitions: int | None = None) -> DataFrame:
+    """W1 for several scenarios in one range sort: scenario_id and the columns of ``replay_trace``, a row per row of the log
+    and scenario."""
+    steps = [_step_columns(p, source) for p in scenarios]
+    rows = labelled if source == SOURCE else labelled.withColumn(SOURCE, F.col(source))
+    trace = fold_scenarios(rows, USER, [TS, ROW_ID], TARGET, steps, carry_cols, num_partitions)
+    return _by_scenario(trace, "values", scenarios, "new_reputation")
+
+
+def replay_scenario_users(labelled: DataFrame, scenarios: Sequence[Scenario], source: str = SOURCE, num_partitions: int | None = None) -> DataFrame:
+    """W2-W3 for several scenarios: scenario_id, User_Id, Original_Reputation, Final_Reputation."""
+    steps = [_step_columns(p, source) for p in scenarios]
+    trace = fold_scenarios(labelled, USER, [TS, ROW_ID], TARGET, steps, [TARGET], num_partitions)
+    place = F.struct(F.col(TS).isNull(), F.col(TS), F.col(ROW_ID))
+    users = trace.groupBy(USER).agg(F.min_by(F.col(TARGET).cast("double"), place).alias("Original_Reputation"), F.max_by("values", place).alias("values"))
+    return _by_scenario(users, "values", scenarios, "Final_Reputation")
+
+
+def _by_scenario(df: DataFrame, values: str, scenarios: Sequence[Scenario], out: str) -> DataFrame:
+    """One row per row and scenario instead of an array."""
+    ids = F.array(*[F.lit(p.scenario_id) for p in scenarios])
+    rest = [c for c in df.columns if c != values]
+    long = df.select(*rest, F.posexplode(values).alias("_at", out))
+    return long.select(F.get(ids, F.col("_at")).alias("scenario_id"), *rest, out)
+
+
 def first_in_time(col: str) -> Column:
     """K10, an aggregate: the value on the first row in time order, null times last (partial, so no user is one task)."""
     return F.min_by(F.col(col), F.struct(F.col(TS).isNull(), F.col(TS), F.col(ROW_ID)))

@@ -15,9 +15,10 @@ from pyspark.sql import functions as F
 from trustfold.functions.rules import LABEL_SQL, class_counts, label
 from trustfold.operators import consensus as C
 from trustfold.operators import detectors as D
-from trustfold.operators.reputation import capped_experience, first_in_time, replay_trace, replay_users, source_from_class
+from trustfold.operators.reputation import (
+    capped_experience, first_in_time, replay_scenario_users, replay_scenarios, replay_trace, replay_users, source_from_class)
 from trustfold.operators.votes import top_n_split, vote_counts
-from trustfold.params import scenario
+from trustfold.params import SCENARIOS, scenario
 from trustfold.plans import oracle as O
 from trustfold.sources.tables import LOG_BLANK_SQL, LOG_SQL, ROW_ID, TS, USER, behaviour_log, load_log, read_table
 
@@ -114,6 +115,29 @@ def q_reputation_carry_over(spark, sf):
     return second.select(USER, r6(F.col("Final_Reputation")).alias("Final_Reputation"))
 
 
+def _each_scenario_sql(select) -> str:
+    return " UNION ALL ".join(select(p) for p in SCENARIOS.values())
+
+
+@query("reputation_by_scenario", f"""WITH l AS {O.LABELLED},
+  agg AS (SELECT User_Id, arg_min(User_Reputation, ("Timestamp", row_id)) AS r0,
+                 list(Dataset_Source ORDER BY "Timestamp", row_id) AS srcs FROM l GROUP BY User_Id)
+""" + _each_scenario_sql(lambda p: f"SELECT {p.scenario_id} AS scenario_id, User_Id, round(r0, 6) AS Original_Reputation, "
+                                   f"round(list_reduce(srcs, {_fold_sql(p)}, r0), 6) AS Final_Reputation FROM agg"))
+def q_reputation_by_scenario(spark, sf):
+    """W2-W3 under all scenarios, in one range sort of the log."""
+    users = replay_scenario_users(labelled(spark, sf), list(SCENARIOS.values()))
+    return users.select("scenario_id", USER, r6(F.col("Original_Reputation")).alias("Original_Reputation"), r6(F.col("Final_Reputation")).alias("Final_Reputation"))
+
+
+@query("trace_by_scenario", _TRACE_SQL + _each_scenario_sql(
+    lambda p: f"""SELECT {p.scenario_id} AS scenario_id, row_id, User_Id, "Timestamp", Dataset_Source, round(list_reduce(srcs, {_fold_sql(p)}, r0), 6) AS new_reputation FROM w"""))
+def q_trace_by_scenario(spark, sf):
+    """W1 under all scenarios, in one range sort of the log."""
+    trace = replay_scenarios(labelled(spark, sf), list(SCENARIOS.values()))
+    return trace.select("scenario_id", ROW_ID, USER, TS, "Dataset_Source", r6(F.col("new_reputation")).alias("new_reputation"))
+
+
 @query("kafka_payload", _TRACE_SQL + f"""
 SELECT CAST(User_Id AS VARCHAR) AS "key",
        to_json(struct_pack(user_id := CAST(User_Id AS VARCHAR),
