@@ -792,20 +792,22 @@ _NUMERIC = ["User_Experience", "value", "k"]
 _CATEGORICAL = ["event_type"]
 
 
-def _model_runs(spark, sf):
-    """The three run types: raw log, and the replayed rows of either labelling with their source as a feature (M8)."""
+RUNS = ("raw", "unsupervised", "supervised")
+
+
+def _model_run(spark, sf, run):
+    """The rows of a run type: the raw log, or the replayed rows of either labelling with their source as a feature (M8)."""
     log = capped_experience(load_log(spark, sf)).checkpoint()
-    sup = labelled(spark, sf).select(ROW_ID, "Dataset_Source")
-    uns = _unsup(spark, sf).select(ROW_ID, "Dataset_Source")
-    return {"raw": (log, _CATEGORICAL), "supervised": (log.join(sup, ROW_ID), [*_CATEGORICAL, "Dataset_Source"]),
-            "unsupervised": (log.join(uns, ROW_ID), [*_CATEGORICAL, "Dataset_Source"])}
+    if run == "raw":
+        return log, _CATEGORICAL
+    sources = labelled(spark, sf) if run == "supervised" else _unsup(spark, sf)
+    return log.join(sources.select(ROW_ID, "Dataset_Source"), ROW_ID).checkpoint(), [*_CATEGORICAL, "Dataset_Source"]
 
 
 def _ready(spark, sf, run):
     from trustfold.plans.models import fit_features
 
-    df, categorical = _model_runs(spark, sf)[run]
-    df = df.checkpoint()
+    df, categorical = _model_run(spark, sf, run)
     return df, fit_features(df, _NUMERIC, categorical)
 
 
@@ -822,7 +824,7 @@ def q_model_r2(spark, sf):
     from trustfold.plans.models import r2, train_and_score
 
     df, features = _ready(spark, sf, "raw")
-    res, scored = train_and_score(df, features, "User_Reputation", P1.automl_sample_size, engine="B", budget=2)
+    res, scored = train_and_score(df, features, "User_Reputation", P1.automl_sample_size, engine="B")
     return r2(scored).select("r2", F.lit(res.in_sample).alias("in_sample_r2"), F.lit(res.holdout).alias("holdout_r2"),
                              F.lit(res.best).alias("best_model"), F.lit(res.task).alias("task"))
 
@@ -830,18 +832,17 @@ def q_model_r2(spark, sf):
 @query("model_scores")
 def q_model_scores(spark, sf):
     """Best score per engine and run type, each run trained on all of its rows' kinds and entered in a ledger."""
-    from trustfold.plans.models import append_ledger, fit_features, ledger_row, train_and_score
+    from trustfold.plans.models import append_ledger, ledger_row, train_and_score
     from trustfold.session import scratch_path
 
     path, ledger = scratch_path(spark, "ledger"), None
-    for run, (df, categorical) in _model_runs(spark, sf).items():
-        df = df.checkpoint()
-        features = fit_features(df, _NUMERIC, categorical)
+    for run in RUNS:
+        df, features = _ready(spark, sf, run)
         for engine in ("A", "B"):
-            res, _ = train_and_score(df, features, "User_Reputation", P1.automl_sample_size, engine, budget=1, parallelism=8)
+            res, _ = train_and_score(df, features, "User_Reputation", P1.automl_sample_size, engine)
             ledger = append_ledger(ledger_row(spark, f"{run}_{engine}", res), path)
     run_type = F.element_at(F.split("prefix", "_"), 1).alias("run_type")
-    return R.best_scores(ledger.select("*", run_type), ["raw", "unsupervised", "supervised"])
+    return R.best_scores(ledger.select("*", run_type), list(RUNS))
 
 
 # Coefficients (intercept, User_Experience, value, k, normal row) of two scoring models, so that SQL can check M5, M6 and K2.

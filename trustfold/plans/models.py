@@ -1,12 +1,14 @@
 """Model jobs with Spark ML (M1-M8).
 
-The original runs two single-machine AutoML searches; a Spark user trains,
-selects, scores and summarises with ``pyspark.ml``:
-
-* search A (M2): ``CrossValidator`` (5 folds, seed 420) over a declared grid
-  of linear / elastic-net, decision tree, random forest and GBT;
-* search B (M3): ``TrainValidationSplit`` over the same families, cheapest
-  first, with the candidate count as the budget;
+The original runs two single-machine AutoML searches under a time budget; here
+both are successive halving, over candidates and rows, on Spark:
+
+* search A (M2): linear and elastic net, decision trees, random forest and
+  boosted trees; the last candidates are scored by 5-fold cross-validation;
+* search B (M3): random forest, boosted trees of two depths, extremely
+  randomised trees and stochastic gradient descent, scored on a hold-out fold;
+* every family enters the first round. The budget is the number of rounds: each
+  further one begins with half the rows, and halves the candidates once more;
 * M4 / M8: encode and scale the features, with the replay source where there is
   one, train on an exact seeded sample (or on all rows), score **all** rows with
   both models, and take each user's median prediction;
@@ -16,14 +18,17 @@ selects, scores and summarises with ``pyspark.ml``:
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
+from multiprocessing.pool import ThreadPool
+from typing import Any
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.ml.classification import DecisionTreeClassifier, LogisticRegression, RandomForestClassifier
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder, TrainValidationSplit
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -33,6 +38,8 @@ from trustfold.operators.aggregates import median_per_key
 from trustfold.operators.encode import ScalerModel, categories, fit_scaler, onehot
 from trustfold.operators.sampling import seeded_sample
 from trustfold.operators.schema import check_target, numeric_only, require_columns
+from trustfold.plans import regressors
+from trustfold.session import ensure_checkpoint_dir
 from trustfold.sources.tables import ROW_ID, USER
 
 SEED = 420
@@ -45,18 +52,36 @@ def task_type(df: DataFrame, target: str) -> str:
     return "classification" if df.agg(integer_like(F.col(target)).alias("whole")).first()["whole"] else "regression"
 
 
-def _candidates(task: str, features: str = "features", label: str = "label"):
-    if task == "regression":
-        lr = LinearRegression(featuresCol=features, labelCol=label)
-        dt = DecisionTreeRegressor(featuresCol=features, labelCol=label, seed=SEED)
-        rf = RandomForestRegressor(featuresCol=features, labelCol=label, seed=SEED, numTrees=20)
-        gbt = GBTRegressor(featuresCol=features, labelCol=label, seed=SEED, maxIter=20)
-        return [(lr, [("regParam", [0.0, 0.1]), ("elasticNetParam", [0.0, 0.5])]),
-                (dt, [("maxDepth", [3, 5])]), (rf, [("maxDepth", [5])]), (gbt, [("maxDepth", [3])])]
-    lg = LogisticRegression(featuresCol=features, labelCol=label)
-    dt = DecisionTreeClassifier(featuresCol=features, labelCol=label, seed=SEED)
-    rf = RandomForestClassifier(featuresCol=features, labelCol=label, seed=SEED, numTrees=20)
-    return [(lg, [("regParam", [0.0, 0.1])]), (dt, [("maxDepth", [3, 5])]), (rf, [("maxDepth", [5])])]
+@dataclass(frozen=True)
+class Candidate:
+    """A family and the fit of one of its settings: (rows, feature names) -> model with ``transform``."""
+
+    family: str
+    fit: Callable[[DataFrame, list[str]], Any]
+
+
+def _spark_ml(family: str, make, **settings) -> Candidate:
+    def fit(data: DataFrame, names: list[str]):
+        assembler = VectorAssembler(inputCols=names, outputCol="features", handleInvalid="keep")
+        return Pipeline(stages=[assembler, make(featuresCol="features", labelCol="label", **settings)]).fit(data)
+
+    return Candidate(family, fit)
+
+
+def candidates(task: str, engine: str) -> list[Candidate]:
+    """All that enter a search: the families of the engine, each with its settings."""
+    trees = {"seed": SEED}
+    if task == "classification":
+        out = [_spark_ml("LogisticRegression", LogisticRegression, regParam=r) for r in (0.0, 0.1)]
+        out += [_spark_ml("DecisionTreeClassifier", DecisionTreeClassifier, maxDepth=d, **trees) for d in (3, 5)]
+        return [*out, _spark_ml("RandomForestClassifier", RandomForestClassifier, maxDepth=5, numTrees=20, **trees)]
+    forest = _spark_ml("RandomForestRegressor", RandomForestRegressor, maxDepth=5, numTrees=20, **trees)
+    boosted = lambda depth: _spark_ml("GBTRegressor", GBTRegressor, maxDepth=depth, maxIter=10, **trees)
+    if engine == "A":
+        out = [_spark_ml("LinearRegression", LinearRegression, regParam=r, elasticNetParam=e) for r, e in ((0.0, 0.0), (0.1, 0.0), (0.1, 0.5))]
+        out += [_spark_ml("DecisionTreeRegressor", DecisionTreeRegressor, maxDepth=d, **trees) for d in (3, 5)]
+        return [*out, forest, boosted(3)]
+    return [forest, boosted(5), boosted(3), Candidate("ExtraTrees", regressors.extra_trees), Candidate("SGD", regressors.sgd)]
 
 
 def _evaluator(task: str):
@@ -67,7 +92,7 @@ def _evaluator(task: str):
 
 @dataclass
 class FitResult:
-    model: PipelineModel
+    model: Any  # a PipelineModel, or a model of ``regressors``
     engine: str
     task: str
     in_sample: float
@@ -80,28 +105,60 @@ def _prepare(df: DataFrame, features, target):
     return df.withColumn("label", F.col(target).cast("double"))
 
 
-def search(df: DataFrame, features, target: str, engine: str = "A", budget: int = 4, parallelism: int = 2) -> FitResult:
-    """M2 (engine A, k-fold CV) or M3 (engine B, one hold-out split), over the first ``budget`` families of candidates."""
+FOLDS = 5
+
+
+def _in_parallel(spark, parallelism: int, fn, items: list) -> list:
+    with ThreadPool(max(1, min(parallelism, len(items)))) as pool:
+        return pool.map(inheritable_thread_target(spark)(fn), items)
+
+
+def halving(data: DataFrame, names: list[str], entries: list[Candidate], evaluator, rounds: int, parallelism: int) -> list[tuple[Candidate, float]]:
+    """(candidate, last score) of the last round, the best first.
+
+    Each round fits the candidates left on the rows of four folds, in the first round on 2^(1 - rounds) of them and in each
+    further one on twice as many, and scores them on the fifth; the better half goes on. ``data`` has ``_fold`` and ``_u``, a
+    uniform number by which the rows of a round hold those of the rounds before.
+    """
+    test = data.where("_fold = 0")
+    left = [(c, float("-inf")) for c in entries]
+    for r in range(rounds):
+        train = data.where((F.col("_fold") != 0) & (F.col("_u") < 2.0 ** (r + 1 - rounds)))
+        scores = _in_parallel(data.sparkSession, parallelism, lambda c: evaluator.evaluate(c[0].fit(train, names).transform(test)), left)
+        ranked = sorted(range(len(left)), key=lambda i: (-scores[i], i))
+        left = [(left[i][0], scores[i]) for i in ranked]
+        if r + 1 < rounds:
+            left = left[: max(1, (len(left) + 1) // 2)]
+    return left
+
+
+def cross_validated(data: DataFrame, names: list[str], entries: list[Candidate], evaluator, parallelism: int) -> list[float]:
+    """Mean score of each candidate over all folds."""
+    runs = [(c, k) for c in entries for k in range(FOLDS)]
+    one = lambda ck: evaluator.evaluate(ck[0].fit(data.where(F.col("_fold") != ck[1]), names).transform(data.where(F.col("_fold") == ck[1])))
+    scores = _in_parallel(data.sparkSession, parallelism, one, runs)
+    return [sum(scores[i * FOLDS : (i + 1) * FOLDS]) / FOLDS for i in range(len(entries))]
+
+
+def search(df: DataFrame, features, target: str, engine: str = "A", budget: int = 3, parallelism: int = 8) -> FitResult:
+    """M2 (engine A) or M3 (engine B) in ``budget`` rounds; the winner is fitted on all rows."""
     task = task_type(df, target)
-    data = _prepare(df, features, target)
-    assembler = VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="keep")
+    names = list(features)
+    ensure_checkpoint_dir(df.sparkSession)
+    rows = _prepare(df, names, target)
+    key = [F.col(f"`{n}`") for n in names] + [F.col("label")]
+    draw = lambda salt: F.pmod(F.xxhash64(F.lit(SEED + salt), *key), F.lit(1 << 20))  # noqa: E731 - equal rows share a fold
+    data = rows.withColumns({"_fold": draw(0) % FOLDS, "_u": draw(1) / (1 << 20)}).checkpoint()
     ev = _evaluator(task)
-    best_model, best_score, best_name = None, None, None
-    for est, grid_spec in _candidates(task)[:budget]:
-        grid = ParamGridBuilder()
-        for name, vals in grid_spec:
-            grid = grid.addGrid(est.getParam(name), vals)
-        pipe = Pipeline(stages=[assembler, est])
-        if engine == "A":
-            tuner = CrossValidator(estimator=pipe, estimatorParamMaps=grid.build(), evaluator=ev, numFolds=5, seed=SEED, parallelism=parallelism)
-        else:
-            tuner = TrainValidationSplit(estimator=pipe, estimatorParamMaps=grid.build(), evaluator=ev, trainRatio=0.8, seed=SEED, parallelism=parallelism)
-        fitted = tuner.fit(data)
-        score = max(fitted.avgMetrics) if engine == "A" else max(fitted.validationMetrics)
-        if best_score is None or score > best_score:
-            best_model, best_score, best_name = fitted.bestModel, score, type(est).__name__
-    in_sample = ev.evaluate(best_model.transform(data))
-    return FitResult(best_model, engine, task, in_sample, best_score, best_name)
+    left = halving(data, names, candidates(task, engine), ev, max(1, budget), parallelism)
+    best, score = left[0]
+    if engine == "A" and len(left) > 1:
+        last = [c for c, _ in left[:2]]
+        scores = cross_validated(data, names, last, ev, parallelism)
+        at = max(range(len(last)), key=lambda i: (scores[i], -i))
+        best, score = last[at], scores[at]
+    model = best.fit(data, names)
+    return FitResult(model, engine, task, ev.evaluate(model.transform(data)), score, best.family)
 
 
 @dataclass
@@ -140,13 +197,12 @@ def fit_features(df: DataFrame, numeric, categorical) -> Features:
     return Features(fit_scaler(df, list(numeric), "standard"), cats, [*numeric, *[f"{c}_{v}" for c in categorical for v in cats[c]]])
 
 
-def train_and_score(df: DataFrame, features: Features, target: str, sample_size: int | None, engine: str = "A", budget: int = 4,
-                    parallelism: int = 2) -> tuple[FitResult, DataFrame]:
+def train_and_score(df: DataFrame, features: Features, target: str, sample_size: int | None, engine: str = "A", budget: int = 3,
+                    parallelism: int = 8) -> tuple[FitResult, DataFrame]:
     """M4 / M5: fit on an exact seeded sample (all rows if ``sample_size`` is None), score every row."""
     ready = features.transform(df)
-    sample = (ready if sample_size is None else seeded_sample(ready, sample_size)).cache()
+    sample = ready if sample_size is None else seeded_sample(ready, sample_size)
     res = search(sample, features.names, target, engine, budget, parallelism)
-    sample.unpersist()
     return res, res.model.transform(_prepare(ready, features.names, target))
 
 
@@ -157,7 +213,7 @@ def check_scored(df: DataFrame, scored: DataFrame) -> None:
         raise ValueError(f"{got} predictions for {rows} rows")
 
 
-def predict_final_reputations(df: DataFrame, features: Features, target: str, sample_size: int | None, budget: int = 2,
+def predict_final_reputations(df: DataFrame, features: Features, target: str, sample_size: int | None, budget: int = 3,
                               parallelism: int = 8) -> tuple[DataFrame, dict[str, FitResult]]:
     """M4: both searches, all rows scored, each user's median prediction of each (K2)."""
     check_target(df, target)
@@ -191,14 +247,20 @@ def append_ledger(row: DataFrame, path: str) -> DataFrame:
 
 def save(res: FitResult, features: Features, path: str) -> None:
     """Model, scaler and categories."""
-    res.model.write().overwrite().save(f"{path}/model")
+    if isinstance(res.model, PipelineModel):
+        res.model.write().overwrite().save(f"{path}/model")
+    else:
+        regressors.save(res.model, f"{path}/model")
+    SparkSession.active().createDataFrame([(isinstance(res.model, PipelineModel),)], "pipeline boolean").write.mode("overwrite").parquet(f"{path}/kind")
     features.save(SparkSession.active(), f"{path}/features")
 
 
 def load_and_predict(path: str, df: DataFrame, target: str) -> DataFrame:
     """M7: load a saved model with its feature preparation and score."""
     features = Features.load(df.sparkSession, f"{path}/features")
-    return PipelineModel.load(f"{path}/model").transform(_prepare(features.transform(df), features.names, target))
+    pipeline = df.sparkSession.read.parquet(f"{path}/kind").first()["pipeline"]
+    model = PipelineModel.load(f"{path}/model") if pipeline else regressors.load(df.sparkSession, f"{path}/model")
+    return model.transform(_prepare(features.transform(df), features.names, target))
 
 
 def r2(scored: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
