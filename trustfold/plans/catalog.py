@@ -50,11 +50,6 @@ def labelled(spark, sf):
     return label(log).withColumn("Dataset_Source", source_from_class())
 
 
-def seeded_order(key: str = ROW_ID, seed: str = SEED):
-    """L4 order key: md5 of seed and key, stable across partitionings and engines."""
-    return [F.md5(F.concat_ws("#", F.lit(seed), F.col(key).cast("string"))), F.col(key)]
-
-
 def seeded_order_sql(key: str = "row_id", seed: str = SEED) -> str:
     return f"md5(concat_ws('#', '{seed}', CAST({key} AS VARCHAR))), {key}"
 
@@ -72,8 +67,7 @@ def q_label_events(spark, sf):
 SELECT True_Class, COALESCE(n_full, 0) AS n_full, COALESCE(n_sample, 0) AS n_sample FROM a FULL JOIN b USING (True_Class)""")
 def q_label_counts(spark, sf):
     lab = label(load_log(spark, sf))
-    sample = lab.orderBy(*seeded_order()).limit(P1.ground_sample_size)
-    return class_counts(lab, sample)
+    return class_counts(lab, S.seeded_sample(lab, P1.ground_sample_size))
 
 
 # --------------------------------------------------------------- replay W1-W3, K10, A5
@@ -423,6 +417,32 @@ def q_daily_users(spark, sf):
     return R.daily_users(sup.unionByName(uns), _SERIES)
 
 
+@query("users_by_period", f"""WITH l AS {O.LABELLED}
+SELECT 'week' AS period, date_trunc('week', "Timestamp") AS start, Dataset_Source AS series, count(DISTINCT User_Id) AS users FROM l GROUP BY ALL
+UNION ALL SELECT 'month', date_trunc('month', "Timestamp"), Dataset_Source, count(DISTINCT User_Id) FROM l GROUP BY ALL""")
+def q_users_by_period(spark, sf):
+    """K5 by sketches: the log comes in three parts, each adds its daily sketches to the stored ones, and weeks and months are
+    united from them. Exact up to 16,384 users."""
+    from trustfold.session import scratch_path
+
+    series = R.with_day(labelled(spark, sf)).select(R.DAY, ROW_ID, USER, F.col("Dataset_Source").alias("series"))
+    path, sketches = scratch_path(spark, "sketches"), None
+    for part in range(3):
+        sketches = R.add_sketches(series.where(F.col(ROW_ID) % 3 == part), path)
+    both = [R.users_by_period(sketches, p).select(F.lit(p).alias("period"), F.col("start").cast("timestamp_ntz").alias("start"), "series", "users") for p in ("week", "month")]
+    return both[0].unionByName(both[1])
+
+
+@query("daily_users_sketched", f"""WITH s AS (SELECT date_trunc('day', "Timestamp") AS Day, User_Id, Dataset_Source AS series FROM {O.LABELLED} x),
+  p AS (SELECT Day, {", ".join(f"CAST(count(DISTINCT User_Id) FILTER (WHERE series = '{n}') AS BIGINT) AS {n}" for n in ("normal", "unintentional", "intentional"))}
+          FROM s GROUP BY Day)
+SELECT *, {", ".join(f"round({_rolling_sql(n)}, 6) AS {n}_7d" for n in ("normal", "unintentional", "intentional"))} FROM p""")
+def q_daily_users_sketched(spark, sf):
+    """R2 / K5 with the approximate count."""
+    series = R.with_day(labelled(spark, sf)).select(R.DAY, USER, F.col("Dataset_Source").alias("series"))
+    return R.daily_users(series, ["normal", "unintentional", "intentional"], approximate=True)
+
+
 _CLS = ["Normal", "Unintentional", "Intentional"]
 
 

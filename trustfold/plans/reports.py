@@ -41,12 +41,39 @@ def _pivot(long: DataFrame, col: str, values, agg: Column) -> DataFrame:
     return zero_fill(long.groupBy(DAY).pivot(col, list(values)).agg(agg), list(values))
 
 
-def daily_users(series: DataFrame, names) -> DataFrame:
+#: Users that a sketch holds one by one, as a power of two. Up to so many counts are exact; beyond, the standard error is
+#: 2^(-SKETCH_LOG2 / 2), 0.8%.
+SKETCH_LOG2 = 14
+
+
+def user_sketches(series: DataFrame, log2: int = SKETCH_LOG2) -> DataFrame:
+    """K5, approximate form: Day, series, users_sketch, a mergeable sketch of the distinct users, of bounded size."""
+    return series.where(F.col(USER).isNotNull()).groupBy(DAY, "series").agg(F.theta_sketch_agg(USER, log2).alias("users_sketch"))
+
+
+def add_sketches(series: DataFrame, path: str, log2: int = SKETCH_LOG2) -> DataFrame:
+    """Append the daily sketches of new rows to the stored ones and return them all. A day may come in several parts: a
+    user seen in two of them counts once, as sketches are united."""
+    user_sketches(series, log2).write.mode("append").parquet(path)
+    return series.sparkSession.read.parquet(path)
+
+
+def users_by_period(sketches: DataFrame, period: str, log2: int = SKETCH_LOG2) -> DataFrame:
+    """start, series, users: distinct users of each day, week or month from daily sketches; no row of the log is read again."""
+    start = F.date_trunc(period, F.col(DAY)).alias("start")
+    united = sketches.groupBy(start, "series").agg(F.theta_union_agg("users_sketch", log2).alias("_all"))
+    return united.select("start", "series", F.theta_sketch_estimate("_all").cast("bigint").alias("users"))
+
+
+def daily_users(series: DataFrame, names, approximate: bool = False) -> DataFrame:
     """R2: distinct users per day for each series, plus 7-row means.
 
-    ``series`` holds Day, User_Id and ``series`` (one name per class series).
+    ``series`` holds Day, User_Id and ``series`` (one name per class series).  ``approximate`` counts by sketches.
     """
-    per_day = series.groupBy(DAY, "series").agg(F.count_distinct(USER).alias("users"))
+    if approximate:
+        per_day = users_by_period(user_sketches(series), "day").withColumnRenamed("start", DAY)
+    else:
+        per_day = series.groupBy(DAY, "series").agg(F.count_distinct(USER).alias("users"))
     wide = _pivot(per_day, "series", names, F.first("users"))
     for n in names:
         wide = wide.withColumn(n, F.col(n).cast("bigint"))
