@@ -6,20 +6,24 @@ in vectorised batches:
 * IForest (Liu et al. 2008): 100 trees of 256 rows each, depth limit
   ceil(log2 256).  Trees draw their rows by hash from the whole group: in a
   round, rows are dealt into n / 256 disjoint sets, each a tree's sample, and
-  small groups are dealt in as many rounds as give 100 sets.  In one dimension
-  the forest's mean path length is a step function of x, which is the model.
+  small groups are dealt in as many rounds as give 100 sets.  Draws and cuts come
+  from the MD5 of (round, row) and (group, tree, node), so any engine can grow
+  the same forest.  In one dimension the forest's mean path length is a step
+  function of x, which is the model; scores are rounded to 9 digits.
 * OC-SVM (Schoelkopf et al. 2001), re-aimed for scale: RBF kernel
   approximated by 64 random Fourier features (Rahimi & Recht 2007), primal
   sub-gradient descent with nu = 0.5.  All rows take part, as a histogram of
   4096 equal-width cells with each cell's count and mean; the score is the
   signed margin.
 
-Both feed the contamination threshold (D9).  No SQL oracle exists for them;
-tests check properties instead (flag share at most c plus ties).
+Both feed the contamination threshold (D9).  SQL replays the forest; for the
+machine there is no oracle, and tests check properties instead (flag share at
+most c plus ties).
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 import zlib
 
@@ -29,7 +33,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from trustfold.functions.scalars import hashed_uniform
+
 N_TREES = 100
+DIGITS = 9  # of a forest's score, so that the order of summation cannot flip a flag
 SUBSAMPLE = 256
 RFF_DIM = 64
 OCSVM_NU = 0.5
@@ -74,33 +81,38 @@ def path_correction(n: int) -> float:
     return 0.0 if n <= 1 else 2.0 * (math.log(n - 1) + 0.5772156649) - 2.0 * (n - 1) / n
 
 
-def _grow(x: np.ndarray, rng, limit: int) -> list[tuple[float, float]]:
-    """Leaves of one isolation tree as (lower bound, path length); they tile the line."""
-    stack, leaves = [(x, 0, -np.inf)], []
+def _uniform(*parts) -> float:
+    """``scalars.hashed_uniform`` of the parts."""
+    return int(hashlib.md5("#".join(map(str, parts)).encode()).hexdigest()[:13], 16) / 2**52
+
+
+def _grow(x: np.ndarray, name: tuple, limit: int) -> list[tuple[float, float]]:
+    """Leaves of one isolation tree as (lower bound, path length); they tile the line.  Node 1 is the root, node i has the
+    children 2i (below the cut) and 2i + 1."""
+    stack, leaves = [(x, 0, -np.inf, 1)], []
     while stack:
-        xs, depth, low = stack.pop()
+        xs, depth, low, node = stack.pop()
         if depth >= limit or len(xs) <= 1 or xs.min() == xs.max():
             leaves.append((low, depth + path_correction(len(xs))))
             continue
-        cut = rng.uniform(xs.min(), xs.max())
-        stack.append((xs[xs < cut], depth + 1, low))
-        stack.append((xs[xs >= cut], depth + 1, cut))
+        cut = xs.min() + _uniform("cut", *name, node) * (xs.max() - xs.min())
+        stack.append((xs[xs < cut], depth + 1, low, 2 * node))
+        stack.append((xs[xs >= cut], depth + 1, cut, 2 * node + 1))
     return sorted(leaves)
 
 
 def _forest(chunk_id, column, pdf: pd.DataFrame):
     """(lower bounds, scores) of the forest's step function."""
-    rng = np.random.default_rng(_group_seed(chunk_id, column))
     limit = math.ceil(math.log2(SUBSAMPLE))
-    samples = [x["value"].to_numpy(dtype=float) for _, x in pdf.groupby("tree")]
-    trees = [_grow(x, rng, limit) for x in samples]
+    samples = {int(t): x["value"].to_numpy(dtype=float) for t, x in pdf.groupby("tree")}
+    trees = [_grow(x, (chunk_id, column, t), limit) for t, x in samples.items()]
     lows = np.unique([low for leaves in trees for low, _ in leaves])
     total = np.zeros(len(lows))
     for leaves in trees:
         at = np.searchsorted([low for low, _ in leaves], lows, side="right") - 1
         total += np.array([h for _, h in leaves])[at]
-    size = min(SUBSAMPLE, max(len(x) for x in samples))
-    return lows, np.power(2.0, -(total / len(trees)) / max(path_correction(size), 1e-12))
+    size = min(SUBSAMPLE, max(len(x) for x in samples.values()))
+    return lows, np.round(np.power(2.0, -(total / len(trees)) / max(path_correction(size), 1e-12)), DIGITS)
 
 
 def tree_samples(long: DataFrame, stats: DataFrame, trees: int = N_TREES, size: int = SUBSAMPLE) -> DataFrame:
@@ -108,7 +120,8 @@ def tree_samples(long: DataFrame, stats: DataFrame, trees: int = N_TREES, size:
     sets = F.greatest(F.lit(1), F.ceil(F.col("_n") / size)).cast("int")
     rounds = F.ceil(F.lit(trees) / F.col("sets")).cast("int")
     rows = long.join(F.broadcast(stats.select(*_G, sets.alias("sets"))), _G).withColumn("round", F.explode(F.sequence(F.lit(0), rounds - 1)))
-    tree = F.col("round") * F.col("sets") + F.pmod(F.xxhash64("row_id", "round"), F.col("sets")).cast("int")
+    draw = F.floor(hashed_uniform("tree", F.concat_ws("#", F.col("round").cast("string"), F.col("row_id").cast("string"))) * F.col("sets"))
+    tree = F.col("round") * F.col("sets") + draw.cast("int")
     return rows.withColumn("tree", tree).where(F.col("tree") < trees).select(*_G, "tree", "value")
 
 

@@ -796,10 +796,8 @@ def q_stream_out_of_order(spark, sf):
     return _rounded_trace(out)
 
 
-# --------------------------------------------------------------- model-based detectors (rows-only)
-@query("iforest")
-def q_iforest(spark, sf):
-    return D.detect(_long(spark, sf), DP, "IForest")
+# --------------------------------------------------------------- model-based detectors
+_detector_query("iforest", "IForest", O.iforest, DP.contamination)
 
 
 @query("ocsvm")

@@ -7,7 +7,10 @@ literal is cast explicitly (DuckDB reads ``0.1`` as DECIMAL).
 
 from __future__ import annotations
 
+import math
+
 from trustfold.functions.rules import LABEL_SQL
+from trustfold.operators.learned import DIGITS, N_TREES, SUBSAMPLE
 from trustfold.operators.detectors import HBOS_ALPHA, HBOS_BINS, KNN_K, LODA_BIN_CHOICES
 from trustfold.sources.tables import LOG_SQL
 
@@ -122,6 +125,39 @@ def loda(src: str, c: float, choices=LODA_BIN_CHOICES) -> str:
     return flags_from_scores(scored, c)
 
 
+def hashed(seed: str, *keys: str) -> str:
+    """SQL twin of ``scalars.hashed_uniform`` over keys joined by #."""
+    parts = ", ".join(f"CAST({k} AS VARCHAR)" for k in keys)
+    return f"(CAST(('0x' || substring(md5(concat_ws('#', '{seed}', {parts})), 1, 13)) AS BIGINT) / CAST(4503599627370496 AS DOUBLE))"
+
+
+def iforest(src: str, c: float, trees: int = N_TREES, size: int = SUBSAMPLE) -> str:
+    """The forest level by level: rows of all trees' samples carry their node and its lower bound."""
+    depth = math.ceil(math.log2(size))
+    group = 'chunk_id, "column"'
+    correction = lambda n: f"CASE WHEN {n} <= 1 THEN {d(0.0)} ELSE 2.0 * (ln({n} - 1) + {d(0.5772156649)}) - 2.0 * ({n} - 1) / {n} END"
+    ctes = [f"""src AS (SELECT chunk_id, row_id, "column", value, greatest(1, CAST(ceil(count(*) OVER ({W}) / {d(float(size))}) AS BIGINT)) AS sets FROM {src} i0)""",
+            f"""dealt AS (SELECT *, round_no * sets + CAST(floor({hashed('tree', 'round_no', 'row_id')} * sets) AS BIGINT) AS tree
+                FROM (SELECT *, unnest(range(0, CAST(ceil({trees} / CAST(sets AS DOUBLE)) AS BIGINT))) AS round_no FROM src) i1)""",
+            f"""s0 AS (SELECT {group}, tree, value, CAST(1 AS BIGINT) AS node, CAST('-infinity' AS DOUBLE) AS low FROM dealt WHERE tree < {trees})"""]
+    for k in range(depth + 1):
+        split = "n > 1 AND mn < mx" if k < depth else "FALSE"
+        ctes.append(f"""n{k} AS (SELECT *, mn + {hashed('cut', 'chunk_id', '"column"', 'tree', 'node')} * (mx - mn) AS cut, {split} AS split
+                FROM (SELECT {group}, tree, node, any_value(low) AS low, count(*) AS n, min(value) AS mn, max(value) AS mx FROM s{k} GROUP BY ALL) i2)""")
+        if k < depth:
+            ctes.append(f"""s{k + 1} AS (SELECT s.chunk_id, s."column", s.tree, s.value, 2 * s.node + CAST(s.value >= cut AS BIGINT) AS node,
+                CASE WHEN s.value >= cut THEN cut ELSE s.low END AS low FROM s{k} s JOIN n{k} USING ({group}, tree, node) WHERE split)""")
+    leaves = " UNION ALL ".join(f"SELECT {group}, tree, low, {k} + {correction('n')} AS path FROM n{k} WHERE NOT split" for k in range(depth + 1))
+    ctes += [f"leaves AS ({leaves})",
+             f"""sized AS (SELECT {group}, least({size}, max(m)) AS size, count(*) AS trees FROM (SELECT {group}, tree, count(*) AS m FROM s0 GROUP BY ALL) i3 GROUP BY {group})""",
+             f"""points AS (SELECT {group}, value, tree FROM (SELECT DISTINCT {group}, value FROM src) i4 JOIN (SELECT DISTINCT {group}, tree FROM s0) i5 USING ({group}))""",
+             f"""paths AS (SELECT p.chunk_id, p."column", p.value, sum(l.path) AS total FROM points p
+                ASOF JOIN leaves l ON p.chunk_id = l.chunk_id AND p."column" = l."column" AND p.tree = l.tree AND p.value >= l.low GROUP BY ALL)""",
+             f"""scored AS (SELECT {group}, value, round(pow({d(2.0)}, -(total / trees) / greatest({correction('size')}, {d(1e-12)})), {DIGITS}) AS score
+                FROM paths JOIN sized USING ({group}))"""]
+    return flags_from_scores(f"(WITH {', '.join(ctes)} SELECT src.chunk_id, src.row_id, src.\"column\", scored.score FROM src JOIN scored USING ({group}, value))", c)
+
+
 METHOD_SQL = {"HBOS": (0, hbos), "kNN": (1, knn), "LODA": (3, loda), "Z-Score": (5, zscore), "IQR": (6, iqr), "MAD": (7, mad)}
 
 
