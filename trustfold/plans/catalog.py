@@ -372,6 +372,15 @@ def q_vote_topn_split(spark, sf):
     return marked.select(ROW_ID, "votes", F.col("Is_Intentional").cast("int").alias("Is_Intentional"))
 
 
+@query("vote_split_guard", _CONS + ",\n  " + O.vote_ctes(P1.with_(intentional_perc=1.0)) + """
+SELECT row_id, votes, Is_Intentional FROM marks""")
+def q_vote_split_guard(spark, sf):
+    """If all rows would be in the top N, none is intentional."""
+    c = _consensus(spark, sf)
+    marked, _, _ = top_n_split(c["misbehaving"], vote_counts(c["misbehaving"], DP, methods=list(D.SQL_CHECKABLE)), 1.0)
+    return marked.select(ROW_ID, "votes", F.col("Is_Intentional").cast("int").alias("Is_Intentional"))
+
+
 # --------------------------------------------------------------- unsupervised replay, reports
 from trustfold.plans import reports as R  # noqa: E402
 from trustfold.plans.pipeline import unsupervised_sources  # noqa: E402
@@ -887,6 +896,64 @@ def q_fixed_model_r2(spark, sf):
     return r2(rows, "User_Reputation", "p").select(r6(F.col("r2")).alias("r2"), "n_rows")
 
 
+# Weights of a line over scaled numbers and one-hot sources, and its constant.
+_WEIGHTS = {"User_Experience": 0.03, "value": -0.02, "k": 0.01, "Dataset_Source_intentional": -0.2, "Dataset_Source_normal": 0.1,
+            "Dataset_Source_unintentional": -0.05}
+_CONSTANT = 0.5
+
+
+def _weighted_sql() -> str:
+    scaled = lambda c: f"COALESCE((l.{c} - avg(l.{c}) OVER ()) / NULLIF(stddev_pop(l.{c}) OVER (), 0), 0)"
+    parts = [f"{O.d(_WEIGHTS[c])} * {scaled(c)}" for c in _NUMERIC]
+    parts += [f"{O.d(w)} * CAST(l.Dataset_Source = '{c[len('Dataset_Source_'):]}' AS DOUBLE)" for c, w in _WEIGHTS.items() if c.startswith("Dataset_Source_")]
+    return f"(SELECT l.*, {' + '.join(parts)} + {O.d(_CONSTANT)} AS p FROM {O.LABELLED} l)"
+
+
+def _fixed_line(spark, sf):
+    """The labelled log, its fitted features (M8) and a line with fixed weights over them."""
+    import numpy as np
+
+    from trustfold.plans.models import fit_features
+    from trustfold.plans.regressors import Line
+
+    log = labelled(spark, sf)
+    features = fit_features(log, _NUMERIC, ["Dataset_Source"])
+    return log, features, Line(features.names, np.array([*[_WEIGHTS[n] for n in features.names], _CONSTANT]))
+
+
+@query("reloaded_model_scores", f"SELECT row_id, User_Id, round(p, 6) AS prediction FROM {_weighted_sql()} x")
+def q_reloaded_model_scores(spark, sf):
+    """A saved model, its scaler and categories are loaded again and score all rows."""
+    from trustfold.plans import models as M
+    from trustfold.session import scratch_path
+
+    log, features, line = _fixed_line(spark, sf)
+    path = scratch_path(spark, "model")
+    M.save(M.FitResult(line, "B", "regression", 0.0, None, "Line"), features, path)
+    return M.load_and_predict(path, log, "User_Reputation").select(ROW_ID, USER, r6(F.col("prediction")).alias("prediction"))
+
+
+@query("fixed_model_ledger", f"""WITH x AS (SELECT *, avg(User_Reputation) OVER () AS m FROM {_weighted_sql()} w),
+  y AS (SELECT *, {_linear_sql("A", "Dataset_Source = 'normal'")} AS q FROM x)
+SELECT prefix, engine, pipeline, task, round(score, 6) AS score FROM (
+  SELECT 'line' AS prefix, 'B' AS engine, 'Line' AS pipeline, 1 - sum(pow(User_Reputation - p, 2)) / sum(pow(User_Reputation - m, 2)) AS score FROM y
+  UNION ALL SELECT 'fixed', 'A', 'Fixed', 1 - sum(pow(User_Reputation - q, 2)) / sum(pow(User_Reputation - m, 2)) FROM y) s,
+  (SELECT CASE WHEN count(DISTINCT User_Reputation) <= 10 AND bool_and(User_Reputation = floor(User_Reputation)) THEN 'classification' ELSE 'regression' END AS task FROM y) t""")
+def q_fixed_model_ledger(spark, sf):
+    """Two models' scores on all rows, appended to a ledger one after the other."""
+    from trustfold.plans import models as M
+    from trustfold.session import scratch_path
+
+    log, features, line = _fixed_line(spark, sf)
+    task, path, ledger = M.task_type(log, "User_Reputation"), scratch_path(spark, "ledger"), None
+    lines = line.transform(features.transform(log))
+    fixed = log.withColumn("prediction", _linear("A", F.col("Dataset_Source") == "normal"))
+    for prefix, engine, name, scored in (("line", "B", "Line", lines), ("fixed", "A", "Fixed", fixed)):
+        score = M.r2(scored, "User_Reputation").first()["r2"]
+        ledger = M.append_ledger(M.ledger_row(spark, prefix, M.FitResult(None, engine, task, score, None, name)), path)
+    return ledger.select("prefix", "engine", "pipeline", "task", r6(F.col("score")).alias("score"))
+
+
 # Nine stages of a user's reputation: the median of the log, the two replays, and both fixed models on each run type.
 _STAGES = {
     "Original_Reputation": None, "Predicted_A_Raw": ("A", "TRUE", "lg"), "Predicted_B_Raw": ("B", "TRUE", "lg"), "Feedback_Loop_Supervised": None,
@@ -986,6 +1053,29 @@ def q_csv_roundtrip(spark, sf):
     return load_csv(spark, base, "behaviour_log", schema=schema)
 
 
+@query("rows_by_class", f"SELECT row_id, User_Id, value, {LABEL_SQL} AS True_Class FROM {LOG_SQL} t")
+def q_rows_by_class(spark, sf):
+    """A4: one output per class, each read back by itself."""
+    from trustfold.functions.rules import CLASSES
+    from trustfold.session import scratch_path
+    from trustfold.sources.io import write_by_class
+
+    path = scratch_path(spark, "classes")
+    lab = label(load_log(spark, sf)).select(ROW_ID, USER, "value", "True_Class")
+    write_by_class(lab, path)
+    schema = lab.drop("True_Class").schema
+    found = [r["True_Class"] for r in spark.read.parquet(path).select("True_Class").distinct().collect()]
+    parts = [spark.read.schema(schema).parquet(f"{path}/True_Class={c}").withColumn("True_Class", F.lit(c)) for c in CLASSES if c in found]
+    return S.union_by_name(*parts)
+
+
+@query("encode_all", f"""SELECT row_id, User_Id, value, CAST(dense_rank() OVER (ORDER BY event_type) - 1 AS BIGINT) AS event_type FROM {LOG_SQL} t""")
+def q_encode_all(spark, sf):
+    """Every text feature label-encoded, after a check that nothing is null."""
+    out, _ = E.validate_target_feature(load_log(spark, sf).select(ROW_ID, USER, "event_type", "value"), "value")
+    return out
+
+
 # --------------------------------------------------------------- multi-column LODA over embeddings
 from trustfold.operators import loda_multi as LM  # noqa: E402
 
