@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trustfold.llm.common import BROADCAST_ROWS, broadcast_if_small, free_names, let, row_key, stored
+from trustfold.llm.common import broadcast_if_small, free_names, let, row_key, stored
 from trustfold.llm.components import components
 
 EDITS = 2
@@ -234,9 +234,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     columns pass through; they may not be called as the added ones.
     """
     free_names(docs, "row", "n_lines", "n_exact", "n_near", "dropped")
-    gone = stored(dropped_lines(docs, id_col, text_col, k, min_chars))
-    if (gone.agg(F.sum(F.size("dropped"))).first()[0] or 0) <= BROADCAST_ROWS:
-        gone = broadcast_if_small(gone)
+    gone = dropped_lines(docs, id_col, text_col, k, min_chars)  # grows with the corpus, so it is joined by a shuffle at every size
     text, zero = F.col(text_col), F.lit(0).cast("long")
     left = F.array_join(F.filter(F.split(text, "\n"), lambda x, i: ~F.array_contains(F.col("dropped"), i)), "\n")
     breaks = F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))
