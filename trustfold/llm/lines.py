@@ -172,11 +172,19 @@ def edit_links(shared: DataFrame, texts: DataFrame, k: int = EDITS) -> DataFrame
 # --- classes -----------------------------------------------------------------
 
 
+def _trimmed(line: Column) -> Column:
+    """``line`` without white space at its ends. btrim walks the whole line, so lines that need none don't meet it."""
+    ends = F.lit(False)
+    for c in SPACE:
+        ends = ends | F.startswith(line, F.lit(c)) | F.endswith(line, F.lit(c))
+    return F.when(ends, F.btrim(line, F.lit(SPACE))).otherwise(line)
+
+
 def _split_lines(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataFrame:
     """(row, id, no, line, lid) for every line of ``min_chars`` or more; those under MIN_CHARS need a letter or digit."""
     rows = docs.select(row_key(docs, id_col, text_col).alias("row"), F.col(id_col).alias("id"),
                        F.posexplode(F.split(F.col(text_col), "\n")).alias("no", "line"))
-    rows = rows.withColumn("line", F.btrim("line", F.lit(SPACE))).where((F.length("line") >= min_chars) & ((F.length("line") >= MIN_CHARS) | F.col("line").rlike(r"[\p{L}\p{N}]")))
+    rows = rows.withColumn("line", _trimmed(F.col("line"))).where((F.length("line") >= min_chars) & ((F.length("line") >= MIN_CHARS) | F.col("line").rlike(r"[\p{L}\p{N}]")))
     return rows.withColumn("lid", F.xxhash64("line"))
 
 
