@@ -35,8 +35,9 @@ BAG_BITS = 7
 
 
 def _shared(a: Column, b: Column, limit: Column, part) -> Column:
-    """Largest n <= limit with part(a, n) = part(b, n), by binary steps."""
-    steps = F.array(*[F.lit(1 << i) for i in range(30, -1, -1)])
+    """Largest n <= limit with part(a, n) = part(b, n), by binary steps from the largest power of two within the limit."""
+    powers = F.sequence(F.floor(F.log2(F.greatest(limit, F.lit(1)))).cast("int"), F.lit(0), F.lit(-1))
+    steps = F.transform(powers, lambda i: F.call_function("shiftleft", F.lit(1), i))
     return F.aggregate(
         steps, F.lit(0),
         lambda n, s: F.when((n + s <= limit) & (part(a, n + s) == part(b, n + s)), n + s).otherwise(n))
@@ -119,11 +120,16 @@ def placements(k: int) -> list[tuple[int, int, int]]:
 def line_keys(distinct: DataFrame, k: int) -> DataFrame:
     """(lid, key, own): index keys (own) and probe keys of every line (lid, line) of more than 2k(k + 1) characters."""
     at = F.array(*[F.struct(F.lit(x).alias("less"), F.lit(i).alias("i"), F.lit(o).alias("off")) for x, i, o in placements(k)])
-    rows = distinct.select("lid", "line", F.length("line").alias("chars")).select("lid", "line", "chars", F.explode(at).alias("p"))
-    rows = rows.select("lid", "line", (F.col("chars") - F.col("p.less")).alias("n"), F.col("p.i").alias("i"), F.col("p.off").alias("off"))
-    rows = rows.withColumn("own", (F.col("n") == F.length("line")) & (F.col("off") == 0))
+    # where every character is one byte, a segment is cut out of the bytes without counting characters from the line's start
+    plain = F.octet_length("line") == F.length("line")
+    rows = distinct.select("lid", "line", F.length("line").alias("chars"), F.when(plain, F.col("line").cast("binary")).alias("bytes"))
+    rows = rows.select("lid", "line", "bytes", "chars", F.explode(at).alias("p")).select(
+        "lid", "line", "bytes", (F.col("chars") - F.col("p.less")).alias("n"), F.col("p.i").alias("i"), F.col("p.off").alias("off"),
+        ((F.col("p.less") == 0) & (F.col("p.off") == 0)).alias("own"))
     begin, end = F.expr(f"CAST(n * i DIV {k + 1} AS INT)"), F.expr(f"CAST(n * (i + 1) DIV {k + 1} AS INT)")
-    return rows.select("lid", F.xxhash64("n", "i", F.substr("line", begin + 1 + F.col("off"), end - begin)).alias("key"), "own")
+    cut = lambda x: F.substr(x, begin + 1 + F.col("off"), end - begin)
+    segment = F.coalesce(cut(F.col("bytes")), cut(F.col("line")).cast("binary"))
+    return rows.select("lid", F.xxhash64("n", "i", segment).alias("key"), "own")
 
 
 def _bag(line: Column) -> Column:
