@@ -9,7 +9,8 @@ share classes by the hash of their ending, so every word has a class, known or
 not. Within its class a word has its smoothed share of the class's training
 tokens; each class keeps one share for unknown words.
 
-Word counts come from all training texts: the frequent words' are broadcast,
+Texts are tokenised and their words hashed once; counting, training and scoring
+read the stored runs of tokens. Word counts come from all training texts: the frequent words' are broadcast,
 up to a fixed number, the rest are joined. Training passes over the training
 texts in rounds of disjoint parts: each task starts from the round's weights,
 takes gradient steps over its texts, and emits its changes with their counts;
@@ -73,7 +74,9 @@ class Tokens:
 
     code: np.ndarray
     starts: np.ndarray
-    words: list[bytes]
+    words: list[bytes] | None  # not kept in stored runs
+    hashes: np.ndarray | None = None  # of the words
+    own: np.ndarray | None = None  # their classes by ending, 0 for the end
 
 
 def tokenise(texts: pa.Array) -> Tokens:
@@ -108,22 +111,65 @@ def ending_class(word: bytes, s: Settings) -> int:
     return 1 + s.single + _ending_hash(word[-2:]) % s.endings
 
 
+def hashed(t: Tokens, s: Settings) -> Tokens:
+    """``t`` with the hash and the class by ending of each word."""
+    if t.hashes is None:
+        t.hashes = np.array([word_hash(w) for w in t.words], dtype=np.int64)
+        t.own = np.array([0 if w == END else ending_class(w, s) for w in t.words], dtype=np.int64)
+    return t
+
+
+def token_runs(rows: DataFrame, s: Settings) -> DataFrame:
+    """One row for the texts of one batch and part of ``rows`` (row, part, text): their keys, sizes in tokens, tokens as
+    places among the run's distinct words, and those words' hashes and classes by ending, each as the bytes of an array."""
+
+    def run(batches):
+        for b in batches:
+            t = hashed(tokenise(b.column("text")), s)
+            key, part = (b.column(c).to_numpy(zero_copy_only=False) for c in ("row", "part"))
+            sizes = np.diff(t.starts)
+            for p in np.unique(part):
+                code = t.code[np.repeat(part == p, sizes)]
+                used = np.bincount(code, minlength=len(t.hashes)) > 0
+                place = (np.cumsum(used) - 1).astype(_code_type(int(used.sum())))
+                arrays = {"rows": key[part == p], "sizes": sizes[part == p].astype(np.int64), "codes": place[code],
+                          "hashes": t.hashes[used], "own": t.own[used].astype(np.uint16)}
+                yield pa.RecordBatch.from_pydict({"part": pa.array([p], pa.int32()), **{k: pa.array([v.tobytes()], pa.binary()) for k, v in arrays.items()}})
+
+    return rows.select("row", "part", "text").mapInArrow(run, "part int, rows binary, sizes binary, codes binary, hashes binary, own binary")
+
+
+def _code_type(words: int) -> type:
+    return np.uint16 if words <= 1 << 16 else np.uint32
+
+
+def read_runs(batch: pa.RecordBatch):
+    """The Tokens of each row of ``token_runs``."""
+    for sizes, codes, hashes, own in zip(*(batch.column(c) for c in ("sizes", "codes", "hashes", "own"))):
+        sizes, hashes = (np.frombuffer(x.as_buffer(), dtype=np.int64) for x in (sizes, hashes))
+        code = np.frombuffer(codes.as_buffer(), dtype=_code_type(len(hashes))).astype(np.int64)
+        yield Tokens(code, np.concatenate([[0], np.cumsum(sizes)]), None, hashes, np.frombuffer(own.as_buffer(), dtype=np.uint16).astype(np.int64))
+
+
 # --- counts -------------------------------------------------------------------
 
 
-def word_counts(texts: DataFrame, s: Settings) -> DataFrame:
-    """(word, ending, n): tokens of the training ``texts`` (text) by the word's hash, with its ending's class; the end is a word."""
+def run_counts(runs: DataFrame) -> DataFrame:
+    """(word, ending, n): tokens of the ``runs`` by the word's hash, with its ending's class; the end is a word."""
 
     def run(batches):
         for b in batches:
-            t = tokenise(b.column("text"))
-            n = np.bincount(t.code, minlength=len(t.words))
-            yield pa.RecordBatch.from_pydict({
-                "word": pa.array([word_hash(w) for w in t.words], pa.int64()),
-                "ending": pa.array([0 if w == END else ending_class(w, s) for w in t.words], pa.int32()), "n": pa.array(n, pa.int64())})
+            for t in read_runs(b):
+                yield pa.RecordBatch.from_pydict({"word": pa.array(t.hashes), "ending": pa.array(t.own, pa.int32()),
+                                                  "n": pa.array(np.bincount(t.code, minlength=len(t.hashes)), pa.int64())})
+
+    rows = runs.select("sizes", "codes", "hashes", "own").mapInArrow(run, "word long, ending int, n long")
+    return rows.groupBy("word", "ending").agg(F.sum("n").alias("n"))
 
-    rows = texts.select("text").mapInArrow(run, "word long, ending int, n long")
-    return rows.where("n > 0").groupBy("word", "ending").agg(F.sum("n").alias("n"))
+
+def word_counts(texts: DataFrame, s: Settings) -> DataFrame:
+    """``run_counts`` of the training ``texts`` (text)."""
+    return run_counts(token_runs(texts.select(F.lit(0).cast("long").alias("row"), F.lit(0).alias("part"), "text"), s))
 
 
 @dataclass
@@ -191,11 +237,10 @@ def lexicon(counts: DataFrame, s: Settings) -> tuple[Lexicon, DataFrame]:
 def encode(t: Tokens, lex: Lexicon, s: Settings) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(classes, features, place, hashes): each token's class and FEATURES weight rows; of each distinct word, its place
     in the lexicon (-1 if it is not there) and its hash."""
-    hashes = np.array([word_hash(w) for w in t.words], dtype=np.int64)
+    hashes = hashed(t, s).hashes
     place = lex.find(hashes)
     rank = np.where(place >= 0, lex.rank[place] if len(lex.rank) else 0, 1 << 40)
-    own = np.array([0 if w == END else ending_class(w, s) for w in t.words], dtype=np.int64)
-    own = np.where(rank < s.single, 1 + rank, own)
+    own = np.where(rank < s.single, 1 + rank, t.own)
     name = np.where(rank < s.named, rank, s.named + own)[t.code].astype(np.uint64)
     at = np.arange(len(t.code)) - np.repeat(t.starts[:-1], np.diff(t.starts))
     begin = np.uint64(s.named + s.classes)
@@ -267,9 +312,9 @@ def descend(classes: np.ndarray, features: np.ndarray, weights: np.ndarray, bias
             used[at] += n
 
 
-def train(texts: DataFrame, lex: Lexicon, s: Settings) -> tuple[np.ndarray, np.ndarray]:
-    """(weights, bias) after Settings.rounds rounds over ``texts`` (part, text); part is 0..rounds-1."""
-    sc = texts.sparkSession.sparkContext
+def train(runs: DataFrame, lex: Lexicon, s: Settings) -> tuple[np.ndarray, np.ndarray]:
+    """(weights, bias) after Settings.rounds rounds over ``runs``, by part: 0..rounds-1."""
+    sc = runs.sparkSession.sparkContext
     known = sc.broadcast(lex)
     weights = np.zeros((s.rows, s.classes), dtype=np.float32)
     bias = np.log((lex.class_tokens + 1) / (lex.class_tokens + 1).sum()).astype(np.float32)  # the classes' shares to begin with
@@ -280,10 +325,10 @@ def train(texts: DataFrame, lex: Lexicon, s: Settings) -> tuple[np.ndarray, np.n
             w, b = (x.copy() for x in model.value)
             used, tokens = np.zeros(s.rows, dtype=np.int64), 0
             for batch in batches:
-                t = tokenise(batch.column("text"))
-                classes, features, _, _ = encode(t, known.value, s)
-                descend(classes, features, w, b, used, s)
-                tokens += len(classes)
+                for t in read_runs(batch):
+                    classes, features, _, _ = encode(t, known.value, s)
+                    descend(classes, features, w, b, used, s)
+                    tokens += len(classes)
             if not tokens:
                 return
             # changes times counts: their sums over the tasks give means by feature
@@ -297,7 +342,7 @@ def train(texts: DataFrame, lex: Lexicon, s: Settings) -> tuple[np.ndarray, np.n
             yield pa.RecordBatch.from_pydict({"block": pa.array(out["block"], pa.int32()), "change": pa.array(out["change"], pa.binary()),
                                               "used": pa.array(out["used"], pa.binary())})
 
-        parts = texts.where(F.col("part") == number).select("text").mapInArrow(run, "block int, change binary, used binary")
+        parts = runs.where(F.col("part") == number).select("sizes", "codes", "hashes", "own").mapInArrow(run, "block int, change binary, used binary")
         sums = parts.repartition("block").mapInArrow(_sum_blocks, "block int, change binary, used binary").collect()  # one model
         weights, bias = weights.copy(), bias.copy()
         for r in sums:
@@ -329,38 +374,36 @@ def _sum_blocks(batches):
 # --- scores --------------------------------------------------------------------
 
 
-def score_texts(rows: DataFrame, lex: Lexicon, weights: np.ndarray, bias: np.ndarray, s: Settings) -> DataFrame:
-    """(row, n_tokens, n_known, logs, class_logs, rare, times) per row of ``rows`` (row, text): logs sums
+def score_texts(runs: DataFrame, lex: Lexicon, weights: np.ndarray, bias: np.ndarray, s: Settings) -> DataFrame:
+    """(row, n_tokens, n_known, logs, class_logs, rare, times) per text of the ``runs``: logs sums
     log10(count + 1) and n_known counts over the tokens in the lexicon; rare lists the other words' hashes with times."""
-    model = rows.sparkSession.sparkContext.broadcast((lex, weights, bias))  # of fixed size
+    model = runs.sparkSession.sparkContext.broadcast((lex, weights, bias))  # of fixed size
 
     def run(batches):
         lex, weights, bias = model.value
         for b in batches:
-            t = tokenise(b.column("text"))
-            if not len(t.code):
-                continue
-            classes, features, place, hashes = encode(t, lex, s)
-            p = np.zeros(len(classes))
-            for a in range(0, len(classes), s.batch):
-                y = classes[a : a + s.batch]
-                p[a : a + s.batch] = own_logs(y, features[a : a + s.batch], weights, bias) / np.log(10)
-            p -= lex.class_logs[classes]
-            known = place[t.code] >= 0
-            count = np.where(place >= 0, lex.count[place] if len(lex.count) else 0, 0)
-            logs = np.where(known, np.log10(count + 1.0)[t.code], 0.0)
-            owner = np.repeat(np.arange(len(t.starts) - 1), np.diff(t.starts))
-            pairs = owner[~known] * np.int64(len(t.words)) + t.code[~known]
-            pairs, times = np.unique(pairs, return_counts=True)
-            at = np.searchsorted(pairs // len(t.words), np.arange(len(t.starts)))
-            yield pa.RecordBatch.from_pydict({
-                "row": b.column("row"), "n_tokens": pa.array(np.diff(t.starts), pa.int64()),
-                "n_known": pa.array(np.add.reduceat(known.astype(np.int64), t.starts[:-1]), pa.int64()),
-                "logs": pa.array(np.add.reduceat(logs, t.starts[:-1])), "class_logs": pa.array(np.add.reduceat(p, t.starts[:-1])),
-                "rare": pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(hashes[pairs % len(t.words)], pa.int64())),
-                "times": pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(times, pa.int64()))})
-
-    return rows.select("row", "text").mapInArrow(
+            for t, row in zip(read_runs(b), b.column("rows")):
+                classes, features, place, hashes = encode(t, lex, s)
+                p = np.zeros(len(classes))
+                for a in range(0, len(classes), s.batch):
+                    y = classes[a : a + s.batch]
+                    p[a : a + s.batch] = own_logs(y, features[a : a + s.batch], weights, bias) / np.log(10)
+                p -= lex.class_logs[classes]
+                known = place[t.code] >= 0
+                count = np.where(place >= 0, lex.count[place] if len(lex.count) else 0, 0)
+                logs = np.where(known, np.log10(count + 1.0)[t.code], 0.0)
+                owner = np.repeat(np.arange(len(t.starts) - 1), np.diff(t.starts))
+                pairs = owner[~known] * np.int64(len(hashes)) + t.code[~known]
+                pairs, times = np.unique(pairs, return_counts=True)
+                at = np.searchsorted(pairs // len(hashes), np.arange(len(t.starts)))
+                yield pa.RecordBatch.from_pydict({
+                    "row": pa.array(np.frombuffer(row.as_buffer(), dtype=np.int64)), "n_tokens": pa.array(np.diff(t.starts), pa.int64()),
+                    "n_known": pa.array(np.add.reduceat(known.astype(np.int64), t.starts[:-1]), pa.int64()),
+                    "logs": pa.array(np.add.reduceat(logs, t.starts[:-1])), "class_logs": pa.array(np.add.reduceat(p, t.starts[:-1])),
+                    "rare": pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(hashes[pairs % len(hashes)], pa.int64())),
+                    "times": pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(times, pa.int64()))})
+
+    return runs.drop("part").mapInArrow(
         run, "row long, n_tokens long, n_known long, logs double, class_logs double, rare array<long>, times array<long>")
 
 
@@ -382,11 +425,13 @@ def language_model_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str
     s = settings
     rows = docs.select(F.col(id_col).alias("id"), held_out(F.col(id_col)).alias("held_out"), row_key(docs, id_col, text_col).alias("row"),
                        F.col(text_col).alias("text"))
-    training = rows.where("NOT held_out").select(F.pmod("row", F.lit(s.rounds)).alias("part"), "text")
-    counts = stored(word_counts(training, s))
+    part = F.when(F.col("held_out"), F.lit(-1)).otherwise(F.pmod("row", F.lit(s.rounds)).cast("int"))
+    runs = stored(token_runs(rows.withColumn("part", part), s))
+    training = runs.where("part >= 0")
+    counts = stored(run_counts(training))
     lex, rest = lexicon(counts, s)
     weights, bias = train(training, lex, s)
-    scored = stored(score_texts(rows, lex, weights, bias, s))
+    scored = stored(score_texts(runs, lex, weights, bias, s))
     once = scored.dropDuplicates(["row"])  # repeated rows have the same tokens
     rare = once.where(F.size("rare") > 0).select("row", F.explode(F.arrays_zip("rare", "times")).alias("r")).select(
         "row", F.col("r.rare").alias("word"), F.col("r.times").alias("times"))
