@@ -5,15 +5,16 @@ only valid values are touched. A format's values are numbered 0..N-1, and a
 Feistel network over that range, keyed and tweaked by the kind, permutes the
 numbers; numbers that fall outside the range are permuted again until they fall
 inside (cycle walking). The result is written back in the format of the
-occurrence, with its separators and with check digits that hold. Equal values
-get equal pseudonyms in all documents without any table of values, different
-values get different ones, and the holder of the key can invert them.
+occurrence, with its separators and with check digits that hold. What is
+permuted is the value, not its spelling: a telephone number with or without
+country code, a date in any order, an IPv6 address with or without its zeros.
+Equal values get equal pseudonyms in all documents without any table of values,
+different values get different ones, and the holder of the key can invert them.
 """
 
 from __future__ import annotations
 
 import calendar
-import datetime
 import hashlib
 import ipaddress
 import math
@@ -88,36 +89,63 @@ def _card(s: str, key: bytes, back: bool) -> str | None:
     return _into(s, out + luhn_digit(out))
 
 
+#: Country codes of two digits; 1 and 7 have one digit, all others three. Fixed values.
+_CODES_2 = frozenset(
+    "20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
+#: North American area and exchange codes: from 200, none that ends in 11.
+_NANP = [a for a in range(200, 1000) if a % 100 != 11]
+#: Numbers whose national spelling shows the first digit's meaning: that digit stays. Britain and France: (code, digits).
+_FIRST_STAYS = frozenset((("44", 10), ("33", 9)))
+
+
+def _national(code: str, number: str, key: bytes, back: bool) -> str:
+    """A number (country code, national digits without a trunk 0) permuted among those of its code and length.
+
+    Ten digits under code 1 stay North American numbers, or stay none.
+    """
+    n, tweak = len(number), b"phone" + code.encode()
+    if code == "1" and n == 10:
+        size = len(_NANP)
+
+        def valid(d: str) -> bool:
+            return all(int(x) >= 200 and int(x) % 100 != 11 for x in (d[:3], d[3:6]))
+
+        if valid(number):
+            x = (_NANP.index(int(number[:3])) * size + _NANP.index(int(number[3:6]))) * 10_000 + int(number[6:])
+            x, line = divmod(permute(x, size**2 * 10_000, key, b"nanp", back), 10_000)
+            return f"{_NANP[x // size]}{_NANP[x % size]}{line:04d}"
+        while True:
+            number = f"{permute(int(number), 10**n, key, tweak, back):0{n}d}"
+            if not valid(number):
+                return number
+    head = number[: (code, n) in _FIRST_STAYS]
+    n -= len(head)
+    return head + f"{permute(int(number[len(head):]), 10**n, key, tweak + b'|' + head.encode(), back):0{n}d}"
+
+
 def _phone(s: str, key: bytes, back: bool) -> str | None:
-    head = re.match(r"\+\d{1,3}(?=[ (.-])|\+\d", s)
+    """With country code; a trunk 0 in brackets after it stays and is no part of the number."""
     d = _digits(s)
-    if not head or not 8 <= len(d) <= 15:
+    if not 8 <= len(d) <= 15:
         return None
-    code, rest = head.group()[1:], d[len(head.group()) - 1 :]
-    out = f"{permute(int(rest), 10 ** len(rest), key, b'phone' + code.encode(), back):0{len(rest)}d}"
-    return _into(s, code + out)
-
-
-_CODES = [a for a in range(200, 1000) if a % 100 != 11]
+    code = d[: 1 if d[0] in "17" else 2 if d[:2] in _CODES_2 else 3]
+    trunk = "0" if re.match(r"\+%s[ .-]?\(0\)" % code, s) else ""
+    rest = d[len(code) + len(trunk) :]
+    return _into(s, code + trunk + _national(code, rest, key, back))
 
 
 def _nanp(s: str, key: bytes, back: bool) -> str | None:
-    """North American: area and exchange codes from 200, none that ends in 11; the leading 1, if any, stays."""
+    """North American without +; the leading 1, if any, stays."""
     d = _digits(s)
-    one, (area, exchange, line) = d[:-10], (int(d[-10:-7]), int(d[-7:-4]), int(d[-4:]))
-    if area % 100 == 11 or exchange % 100 == 11:
+    if int(d[-10:-7]) % 100 == 11 or int(d[-7:-4]) % 100 == 11:
         return None
-    x = (_CODES.index(area) * len(_CODES) + _CODES.index(exchange)) * 10_000 + line
-    x, line = divmod(permute(x, len(_CODES) ** 2 * 10_000, key, b"nanp", back), 10_000)
-    area, exchange = divmod(x, len(_CODES))
-    return _into(s, f"{one}{_CODES[area]}{_CODES[exchange]}{line:04d}")
+    return _into(s, d[:-10] + _national("1", d[-10:], key, back))
 
 
 def _trunk(s: str, key: bytes, back: bool) -> str | None:
     """British (eleven digits) and French (ten) numbers; the leading 0 and the digit after it stay."""
     d = _digits(s)
-    n = len(d) - 2
-    return _into(s, d[:2] + f"{permute(int(d[2:]), 10**n, key, b'trunk%d' % n + d[:2].encode(), back):0{n}d}")
+    return _into(s, d[0] + _national("44" if len(d) == 11 else "33", d[1:], key, back))
 
 
 def _ip(s: str, key: bytes, back: bool) -> str | None:
@@ -129,14 +157,36 @@ def _ip(s: str, key: bytes, back: bool) -> str | None:
 
 
 def _ip6(s: str, key: bytes, back: bool) -> str | None:
-    """Global, unique local and link-local addresses; the first group and the places of digits and letters stay."""
+    """Global, unique local and link-local addresses.
+
+    The first group, groups of zero, the lengths of the groups without leading zeros and the places of digits and letters
+    stay, so every spelling of an address (leading zeros, ``::``, upper case) can hold the same new one.
+    """
     try:
-        first = int(ipaddress.IPv6Address(s)) >> 112
+        groups = ipaddress.IPv6Address(s).exploded.split(":")
     except ValueError:
         return None
+    first = int(groups[0], 16)
     if not (0x2000 <= first <= 0x3FFF or 0xFC00 <= first <= 0xFDFF or 0xFE80 <= first <= 0xFEBF):
         return None
-    return s[:4] + _letters(s[4:], key, b"ip6" + s[:4].lower().encode(), back, _hex)
+    plain = [g.lstrip("0") for g in groups[1:]]  # a group of zero is empty
+    sets = [("123456789" if i == 0 else "0123456789") if c.isdigit() else "abcdef" for g in plain for i, c in enumerate(g)]
+    tweak = b"ip6" + groups[0].encode() + ":".join(re.sub(r"\d", "0", re.sub(r"[a-f]", "a", g)) for g in plain).encode()
+    new = iter(_pick("".join(plain), sets, key, tweak, back))
+    it = iter(["".join(next(new) for _ in g) for g in plain])
+    out = [s[:4]]
+    at = 4
+    for m in re.finditer(r"[0-9A-Fa-f]+|::", s[4:]):
+        out.append(s[at : 4 + m.start()])
+        at = 4 + m.end()
+        if m.group() == "::":
+            spelled = len(re.findall(r"[0-9A-Fa-f]+", s))
+            for _ in range(8 - spelled):
+                next(it)
+            out.append("::")
+        else:
+            out.append(_cased(m.group(), next(it).rjust(len(m.group()), "0")))
+    return "".join(out) + s[at:]
 
 
 _SSN_AREAS = [a for a in range(1, 900) if a != 666]
@@ -152,92 +202,73 @@ def _ssn(s: str, key: bytes, back: bool) -> str | None:
     return f"{_SSN_AREAS[area]:03d}{s[3]}{group + 1:02d}{s[6]}{serial + 1:04d}"
 
 
-_FIRST, _LAST = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
-
-
 def _date(s: str, key: bytes, back: bool) -> str | None:
-    iso = re.fullmatch(r"(\d{4})([-/.])(\d\d)\2(\d\d)", s)
-    other = re.fullmatch(r"(\d\d)([-/.])(\d\d)\2(\d{4})", s)
-    if iso:
-        y, sep, m, d = int(iso[1]), iso[2], int(iso[3]), int(iso[4])
-    elif other:  # day first, unless only month first is a date
-        d, sep, m, y = int(other[1]), other[2], int(other[3]), int(other[4])
-    else:
-        return None
-    swap = bool(other) and m > 12 and d <= 12
-    if swap:
-        d, m = m, d
-    if not (1900 <= y <= 2099 and 1 <= m <= 12 and 1 <= d <= calendar.monthrange(y, m)[1]):
-        return None
-    x = permute(datetime.date(y, m, d).toordinal() - _FIRST, _LAST - _FIRST + 1, key, b"date", back) + _FIRST
-    new = datetime.date.fromordinal(x)
-    if iso:
-        return f"{new.year:04d}{sep}{new.month:02d}{sep}{new.day:02d}"
-    a, b = (new.month, new.day) if swap else (new.day, new.month)
-    return f"{a:02d}{sep}{b:02d}{sep}{new.year:04d}"
-
+    """Dates from 1900 to 2099: year first, or day first unless only month first is a date.
 
-def _short_date(s: str, key: bytes, back: bool) -> str | None:
-    """Dates with a day or month of one digit. They are permuted among those with as many digits, in the same order."""
+    A day stays in 1-9, 10-12 or 13-31 and a month in 1-9 or 10-12, so every spelling of a date (with or without leading
+    zeros, month first or day first) can hold the same new one and is read back in the same order.
+    """
     sep = re.search(r"\D", s)[0]
     parts = s.split(sep)
     iso = len(parts[0]) == 4
-    y, (a, b) = int(parts[0] if iso else parts[2]), (parts[1:] if iso else parts[:2])
-    if len(a) == len(b) == 2:
-        return None
-    values = lambda t, most: range(1, (9 if len(t) == 1 else most) + 1)
-    month_first = iso or int(b) > 12
-    if iso:
-        firsts, seconds = values(a, 12), values(b, 31)
-    elif month_first:  # only a day above 12 shows that the month is first
-        firsts, seconds = values(a, 12), range(13, 32)
-    else:
-        firsts, seconds = values(a, 31), values(b, 12)
-
-    def valid(y: int, a: int, b: int) -> bool:
-        m, d = (a, b) if month_first else (b, a)
-        return 1 <= m <= 12 and 1 <= d <= calendar.monthrange(y, m)[1]
-
-    if not (1900 <= y <= 2099 and int(a) in firsts and int(b) in seconds and valid(y, int(a), int(b))):
+    y, first, second = int(parts[0] if iso else parts[2]), *(parts[1:] if iso else parts[:2])
+    month_first = iso or int(second) > 12
+    m, d = (int(first), int(second)) if month_first else (int(second), int(first))
+
+    def valid(y: int, m: int, d: int) -> bool:
+        return 1900 <= y <= 2099 and 1 <= m <= 12 and 1 <= d <= calendar.monthrange(y, m)[1]
+
+    if not valid(y, m, d):
         return None
-    i, j, tweak = int(a), int(b), b"date%d%d%d%d" % (iso, month_first, len(a), len(b))
+    days = range(1, 10) if d < 10 else range(10, 13) if d < 13 else range(13, 32)
+    months = range(1, 10) if m < 10 else range(10, 13)
+    n, tweak = 200 * len(months) * len(days), b"date%d,%d" % (days[0], months[0])
     while True:
-        x = ((y - 1900) * len(firsts) + firsts.index(i)) * len(seconds) + seconds.index(j)
-        x, j = divmod(permute(x, 200 * len(firsts) * len(seconds), key, tweak, back), len(seconds))
-        y, i = divmod(x, len(firsts))
-        y, i, j = y + 1900, firsts[i], seconds[j]
-        if valid(y, i, j):
+        x = ((y - 1900) * len(months) + months.index(m)) * len(days) + days.index(d)
+        x, j = divmod(permute(x, n, key, tweak, back), len(days))
+        y, m, d = x // len(months) + 1900, months[x % len(months)], days[j]
+        if valid(y, m, d):
             break
-    i, j = f"{i:0{len(a)}d}", f"{j:0{len(b)}d}"
-    return sep.join((f"{y}", i, j) if iso else (i, j, f"{y}"))
-
-
-def _hex(c: str) -> str:
-    return "0123456789" if c.isdigit() else "abcdef" if c.islower() else "ABCDEF"
+    a, b = (m, d) if month_first else (d, m)
+    a, b = f"{a:0{len(first)}d}", f"{b:0{len(second)}d}"
+    return sep.join((f"{y}", a, b) if iso else (a, b, f"{y}"))
 
 
 def _alphabet(c: str) -> str:
     return "0123456789" if c.isdigit() else "abcdefghijklmnopqrstuvwxyz" if c.islower() else "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
-def _letters(s: str, key: bytes, tweak: bytes, back: bool, alphabet=_alphabet) -> str:
-    """Digits, lower and upper case letters of ``s`` permuted together, each staying what it is."""
-    places = [i for i, c in enumerate(s) if c.isascii() and c.isalnum()]
-    sets = [alphabet(s[i]) for i in places]
+def _pick(chars: str, sets: list[str], key: bytes, tweak: bytes, back: bool) -> str:
+    """``chars`` permuted among all strings that take one character of each set in turn."""
     x, n = 0, 1
-    for i, a in zip(places, sets):
-        x, n = x * len(a) + a.index(s[i]), n * len(a)
-    x = permute(x, n, key, tweak + "".join(a[0] for a in sets).encode(), back)
-    out = list(s)
-    for i, a in zip(reversed(places), reversed(sets)):
+    for c, a in zip(chars, sets):
+        x, n = x * len(a) + a.index(c), n * len(a)
+    x = permute(x, n, key, tweak, back)
+    out = []
+    for a in reversed(sets):
         x, r = divmod(x, len(a))
-        out[i] = a[r]
-    return "".join(out)
+        out.append(a[r])
+    return "".join(reversed(out))
+
+
+def _letters(s: str, key: bytes, tweak: bytes, back: bool) -> str:
+    """Digits, lower and upper case letters of ``s`` permuted together, each staying what it is."""
+    chars = "".join(c for c in s if c.isascii() and c.isalnum())
+    sets = [_alphabet(c) for c in chars]
+    it = iter(_pick(chars, sets, key, tweak + "".join(a[0] for a in sets).encode(), back))
+    return "".join(next(it) if c.isascii() and c.isalnum() else c for c in s)
+
+
+def _cased(shape: str, s: str) -> str:
+    """``s`` with upper case where ``shape`` has an ASCII capital."""
+    return "".join(c.upper() if h.isascii() and h.isupper() else c for h, c in zip(shape, s))
 
 
 def _email(s: str, key: bytes, back: bool) -> str | None:
+    """The local part without regard to case; the domain stays."""
     local, _, domain = s.rpartition("@")
-    return f"{_letters(local, key, b'email' + domain.lower().encode(), back)}@{domain}"
+    lower = "".join(c.lower() if c.isascii() else c for c in local)
+    return f"{_cased(local, _letters(lower, key, b'email' + domain.lower().encode(), back))}@{domain}"
 
 
 def _iban_check(country: str, bban: str) -> str:
@@ -262,9 +293,10 @@ _FORMATS = (
     ("ip", ".", re.compile(r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\.?\d)"), _ip),
     ("ip", ":", re.compile(r"(?<![\w:.])(?=[0-9A-Fa-f]{4}:)[0-9A-Fa-f]{4}(?::[0-9A-Fa-f]{1,4}){0,7}(?:::(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6})?)?(?!\w|:[\w:])"), _ip6),
     ("date", "", re.compile(r"(?<![\d./-])(?:\d{4}([-/.])\d\d\1\d\d|\d\d([-/.])\d\d\2\d{4})(?![/-]?\d)"), _date),
-    ("date", "", re.compile(r"(?<![\d./-])(?:\d{4}([-/])\d\d?\1\d\d?|\d\d?([-/.])\d\d?\2\d{4})(?![/-]?\d)"), _short_date),
+    ("date", "", re.compile(r"(?<![\d./-])(?:\d{4}([-/])\d\d?\1\d\d?|\d\d?([-/.])\d\d?\2\d{4})(?![/-]?\d)"), _date),
     ("ssn", "-", re.compile(r"(?<![\d-])\d{3}-\d\d-\d{4}(?![\d-])"), _ssn),
-    ("phone", "+", re.compile(r"(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}(?!\d)"), _phone),
+    ("phone", "+", re.compile(
+        r"(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?(?:\d(?:[ .-]\d\d){4}(?![ .-]?\d)|\d{2,4}(?:[ .-]?\d{2,4}){1,4}(?!\d))"), _phone),
     ("card", "", re.compile(r"(?<![\d.-])\d(?:[ -]?\d){12,18}(?![\d-])"), _card),
     ("phone", "", re.compile(r"(?<![\w+.-])(?:1[ .-])?(?:\([2-9]\d\d\) ?|[2-9]\d\d[ .-])[2-9]\d\d[ .-]\d{4}(?![\w-]|\.\d)"), _nanp),
     ("phone", "", re.compile(
