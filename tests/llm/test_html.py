@@ -93,3 +93,49 @@ def test_lists_tables_and_adverts_inside_the_article():
         assert html.main_text(wrap(f"<p>{b}</p>{middle}<p>{c}</p>"), weights, seen) == "\n".join([b, *items, c])
         assert html.main_text(wrap(f"<p>{b}</p>{middle}"), weights, seen) == "\n".join([b, *items])
     assert html.main_text(wrap(f"<h1>{a}</h1><p>{a}</p>{advert}<p>{c}</p>"), weights, seen) == "\n".join([a, a, c])
+
+
+def test_content_without_an_article_element(spark):
+    """Weights learned where an article element marks the content find it where a plain or named div holds it."""
+    rnd = random.Random(4)
+    weights, seen = html.learn(spark.createDataFrame([(page(rnd, i)[0],) for i in range(40)], "html string"))
+    for tag in ("div", "div class=x9", "section id=search-algorithms", "div class='related-work'"):
+        for i in range(30):
+            made, want = page(rnd, i)
+            made = made.replace("<article>", f"<{tag}>").replace("</article>", f"</{tag.split()[0]}>")
+            assert html.main_text(made, weights, seen) == want
+
+
+def test_lists_adverts_and_named_sections_of_an_article(spark):
+    rnd = random.Random(5)
+    weights, seen = html.learn(spark.createDataFrame([(page(rnd, i)[0],) for i in range(40)], "html string"))
+    menu = "<ul>" + "".join(f"<li><a href=/{w}>{w} {w}</a></li>" for w in WORDS) + "</ul>"
+    a, b, c = text(rnd, 20), text(rnd, 30), text(rnd, 25)
+    items = [text(rnd, 1 + i % 4) for i in range(9)]
+    body = (f"<p>{a}</p><ul>" + "".join(f"<li>{x}</li>" for x in items) + f"</ul><div class='ad banner'><p>{text(rnd, 50)}</p></div>"
+            f"<section id='search-algorithms'><p>{b}</p></section><div class='related-work'><p>{c}</p></div>"
+            "<p>so <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds, see <a href=/y>this page</a>.</p>")
+    want = "\n".join([a, *items, b, c, "so x=2 holds, see this page."])
+    for tag in ("article", "div"):
+        made = f"<body>{menu}<{tag}>{body}</{tag}>{menu}<section id=comments><p>{text(rnd, 60)}</p></section></body>"
+        assert html.main_text(made, weights, seen) == want
+
+
+def test_names_are_learned_from_labelled_pages(spark):
+    """A name of no list is left out if labelled pages have it outside their content only; a listed one is kept if they have it within."""
+    rnd = random.Random(6)
+    rows = [(f"<body><div class=zz>{text(rnd, 30)}</div><article><div class=promo><p>{text(rnd, 200)}</p></div></article></body>",) for _ in range(40)]
+    weights, seen = html.learn(spark.createDataFrame(rows, "html string"))
+    assert html.main_text("<body><div><p>one two one two</p><div class=zz><p>three</p></div><div class=promo><p>four</p></div></div></body>", weights, seen) == "one two one two\nfour"
+
+
+def test_the_scan_decides(spark):
+    """Teasers and menus without names or boiler tags lie outside the best run; without the scan they would stay."""
+    rnd = random.Random(7)
+    weights, seen = html.learn(spark.createDataFrame([(page(rnd, i)[0],) for i in range(40)], "html string"))
+    menu = "<div>" + "".join(f"<p><a href=/{w}>{w} {w} {w}</a></p>" for w in WORDS * 3) + "</div>"
+    body = [text(rnd, 30) for _ in range(3)]
+    made = f"<body>{menu}<div>" + "".join(f"<p>{x}</p>" for x in body) + f"</div>{menu}</body>"
+    every = html.tokens(made)
+    assert not any(html.left_out(t, weights, seen) for t in every) and sum(t.words for t in every) > 90 + 100
+    assert html.main_text(made, weights, seen) == "\n".join(body)
