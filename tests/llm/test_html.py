@@ -124,7 +124,7 @@ def test_lists_adverts_and_named_sections_of_an_article(spark):
 def test_names_are_learned_from_labelled_pages(spark):
     """A name of no list is left out if labelled pages have it outside their content only; a listed one is kept if they have it within."""
     rnd = random.Random(6)
-    rows = [(f"<body><div class=zz>{text(rnd, 30)}</div><article><div class=promo><p>{text(rnd, 200)}</p></div></article></body>",) for _ in range(40)]
+    rows = [(f"<body><div class=zz>{text(rnd, 30)}</div><article><p>{text(rnd, 100)}</p><div class=promo><p>{text(rnd, 200)}</p></div></article></body>",) for _ in range(40)]
     weights, seen = html.learn(spark.createDataFrame(rows, "html string"))
     assert html.main_text("<body><div><p>one two one two</p><div class=zz><p>three</p></div><div class=promo><p>four</p></div></div></body>", weights, seen) == "one two one two\nfour"
 
