@@ -6,6 +6,7 @@ from trustfold.functions.rules import label
 from trustfold.operators import encode as E
 from trustfold.operators.reputation import source_from_class
 from trustfold.plans import models as M
+from trustfold.plans import regressors
 from trustfold.sources.tables import load_log
 
 
@@ -60,3 +61,17 @@ def test_one_scaler(spark):
         key = lambda r: (r["x"], r["c"])
         assert sorted(map(key, fitted.collect())) == sorted(map(key, grouped.collect()))
         assert all(r["c"] == 0 for r in fitted.collect())
+
+
+def test_search_data_is_packed(spark, monkeypatch):
+    """A search's short jobs run over a sample's rows, all of them, and not over the partitions of the log it came from."""
+    seen = []
+
+    def fit(data, names):
+        seen.append((data.rdd.getNumPartitions(), data.count()))
+        return regressors.sgd(data, names, epochs=1)
+
+    monkeypatch.setattr(M, "candidates", lambda task, engine: [M.Candidate("Seen", fit)])
+    df = spark.range(400).selectExpr("id / 400.0D AS x", "id * 2.5D + 0.25D AS y").repartition(40)
+    res = M.search(df, ["x"], "y", "B", budget=1)
+    assert seen[-1] == (1, 400) and {p for p, _ in seen} == {1} and res.best == "Seen"
