@@ -104,3 +104,43 @@ def test_knn_jobs_do_not_depend_on_partitions(spark):
     assert scores[0] == scores[1] == scores[2] and len(scores[0]) == 157
     assert [s for c, _, s in scores[0] if c == 1] == [-1] * 7 and {s for c, _, s in scores[0] if c == 2} == {0}
     assert jobs[0] == jobs[1] == jobs[2] <= 5
+
+
+def test_value_scores_are_the_rows_scores(spark):
+    """Values that come once, a few and many times, in several groups and over many range partitions."""
+    rng = np.random.default_rng(19)
+    long = _long(spark, np.round(rng.normal(size=300), 1)).unionByName(_long(spark, np.repeat([0.0, 1.0, 5.0], [200, 20, 1]), chunk=1)).unionByName(
+        _long(spark, rng.random(9), chunk=2))
+    spark.conf.set("spark.sql.shuffle.partitions", "30")
+    try:
+        rows = {(r["chunk_id"], r["value"]): r["score"] for r in D.knn_scores(long).collect()}
+        values = {(r["chunk_id"], r["value"]): (r[D.TIMES], r["score"]) for r in D.value_scores(D.counted_values(long)).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+    assert {k: s for k, (_, s) in values.items()} == rows and sum(n for n, _ in values.values()) == 530
+
+
+def test_masks_sort_values_and_not_rows(spark, monkeypatch):
+    """What is sorted does not grow with the rows of a 0/1 column, and flags are the same by either kind of lookup and percentile."""
+    from trustfold.plans import percentiles as P
+
+    rng = np.random.default_rng(23)
+    values = np.concatenate([np.round(rng.normal(size=200), 1), [40.0]])
+    long = _long(spark, values).unionByName(_long(spark, np.arange(900) % 300 == 7, column="f"))
+    sizes, sort = [], D.range_sorted
+
+    def counted(df, *args, **kw):
+        sizes.append(df.where("column = 'f'" if "column" in df.columns else "false").count())
+        return sort(df, *args, **kw)
+
+    monkeypatch.setattr(D, "range_sorted", counted)
+    p = D.DetectorParams(contamination=0.05, threshold=2.0)
+    get = lambda: {(r["column"], r["row_id"]): r["mask"] for r in D.masks(long, p, list(D.SQL_CHECKABLE))[0].collect()}
+    first = get()
+    assert sizes == [2] and len(first) == 1101 and first["x", 200] & D.bit("kNN")
+    score = {i: np.sort(np.abs(np.delete(values, i) - v))[19] for i, v in enumerate(values)}
+    cut = np.percentile(list(score.values()), 95)
+    assert {i for i in score if first["x", i] & D.bit("kNN")} == {i for i, s in score.items() if s > cut}
+    monkeypatch.setattr(D, "HITS", 0)
+    monkeypatch.setattr(P, "SMALL", 5)
+    assert get() == first
