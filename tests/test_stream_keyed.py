@@ -89,3 +89,18 @@ def test_rows_behind_the_watermark_are_flagged_and_move_nothing(spark, tmp_path)
         out = replay_keyed(stream(spark, f"{tmp_path}/in"), scenario(1), 2 * 3_600_000, f"{tmp_path}/s")
     got = {r["row_id"]: (r["late"], r["new_reputation"] and round(r["new_reputation"], 6)) for r in out.collect()}
     assert got == {1: (False, 0.505), 2: (False, 0.515), 3: (True, None), 4: (False, 0.51), 5: (True, None), 6: (False, 0.255)}
+
+
+def test_users_share_state_rows(spark, tmp_path, monkeypatch):
+    """As many state rows as buckets, however many users there are; each user's values are its own."""
+    from trustfold.streaming import keyed
+
+    monkeypatch.setattr(keyed, "BUCKETS", 3)
+    data = sorted(rows(200, users=50), key=lambda r: (r[2], r[0]))
+    for part in (data[:90], data[90:]):
+        append(spark, f"{tmp_path}/in", part)
+        q = drain(stateful_trace(stream(spark, f"{tmp_path}/in"), scenario(2), 3_600_000), f"{tmp_path}/c", path=f"{tmp_path}/out")
+    assert max(p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress) == 3
+    out, mark = spark.read.parquet(f"{tmp_path}/out"), data[-1][2] - dt.timedelta(hours=1)
+    done = {r[0] for r in data if r[2] < mark}
+    assert values(out) == {i: v for i, v in batch_trace(spark, data).items() if i in done} and out.where("late").count() == 0
