@@ -41,6 +41,69 @@ def test_failing_method_is_skipped_in_votes_but_fatal_in_consensus(spark, monkey
         vote_counts(mis, p, methods=["No such method"], on_error="raise")
 
 
+def _events(spark, folder) -> str:
+    import datetime as dt
+
+    t0 = dt.datetime(2024, 1, 1)
+    rows = [(i, t0 + dt.timedelta(minutes=i), i % 9, ("click", "view", "error")[i % 3], i * 37 % 101 / 7 + 300.0 * (i % 25 == 3), f'{{"k": {i * 13 % 17}}}')
+            for i in range(300)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").write.parquet(
+        f"{folder}/events.parquet")
+    return str(folder)
+
+
+def _fails_in_the_vote(monkeypatch, name) -> list:
+    """The method's condition holds in the consensus, which comes first, and raises while the vote's rows are read."""
+    from pyspark.sql import functions as F
+
+    real, used = D.FLAGS[name], []
+
+    def flag(p):
+        used.append(name)
+        return real(p) if len(used) == 1 else F.raise_error(F.lit("broken in the vote")).cast("boolean")
+
+    monkeypatch.setitem(D.FLAGS, name, flag)
+    return used
+
+
+@pytest.mark.parametrize("query", ["final_reputation_all_methods", "final_reputation_unsupervised", "vote_counts", "vote_topn_split"])
+def test_a_method_that_fails_in_the_vote_fails_the_query(spark, monkeypatch, tmp_path, query):
+    """A vote without one of its methods is not the query's answer, and has the same columns and rows as the whole one."""
+    from trustfold.plans.catalog import QUERIES
+
+    used = _fails_in_the_vote(monkeypatch, "MAD")
+    with pytest.raises(Exception, match="broken in the vote"):
+        QUERIES[query](spark, _events(spark, tmp_path)).collect()
+    assert len(used) == 2
+
+
+def test_a_model_that_fails_in_the_vote_fails_the_query(spark, monkeypatch, tmp_path):
+    from trustfold.operators import learned
+    from trustfold.plans.catalog import QUERIES
+
+    real, fits = learned.fit_machines, []
+
+    def fit(long, stats):
+        fits.append(1)
+        return real(long, stats) if len(fits) == 1 else ({}, ["broken in the vote"])
+
+    monkeypatch.setattr(learned, "fit_machines", fit)
+    with pytest.raises(RuntimeError, match="OC-SVM: broken in the vote"):
+        QUERIES["final_reputation_all_methods"](spark, _events(spark, tmp_path)).collect()
+
+
+def test_the_vote_of_a_run_skips_a_failing_method_if_told_to(spark, monkeypatch, tmp_path):
+    from trustfold.params import scenario
+    from trustfold.plans.pipeline import unsupervised_sources
+    from trustfold.sources.tables import load_log
+
+    log = load_log(spark, _events(spark, tmp_path))
+    _fails_in_the_vote(monkeypatch, "MAD")
+    with pytest.warns(UserWarning, match="MAD left out"):
+        sources = unsupervised_sources(log, scenario(1), methods=["Z-Score", "MAD"], on_error="skip")
+    assert sources.count() == 300
+
+
 def test_validate_target_feature_rejects_nulls_and_label_encodes(spark):
     ok = spark.createDataFrame([("b", 1.0), ("a", 2.0), ("b", 3.0)], "c string, y double")
     enc, target = validate_target_feature(ok, "y")
