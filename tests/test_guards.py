@@ -66,7 +66,8 @@ def _fails_in_the_vote(monkeypatch, name) -> list:
     return used
 
 
-@pytest.mark.parametrize("query", ["final_reputation_all_methods", "final_reputation_unsupervised", "vote_counts", "vote_topn_split"])
+@pytest.mark.parametrize("query", ["final_reputation_all_methods", "final_reputation_unsupervised", "vote_counts", "vote_topn_split",
+                                   "vote_split_guard"])
 def test_a_method_that_fails_in_the_vote_fails_the_query(spark, monkeypatch, tmp_path, query):
     """A vote without one of its methods is not the query's answer, and has the same columns and rows as the whole one."""
     from trustfold.plans.catalog import QUERIES
